@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import quality, urls
+from . import bpe, quality, urls
 
-MODULES = (urls, quality)
+MODULES = (urls, quality, bpe)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
