@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, urls
+from . import bpe, packing, quality, urls, warc
 
-MODULES = (urls, quality, bpe)
+MODULES = (urls, quality, bpe, packing, warc)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
