@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, simhash, urls, warc
+from . import bpe, packing, quality, simhash, suffix, urls, warc
 
-MODULES = (urls, quality, bpe, packing, warc, simhash)
+MODULES = (urls, quality, bpe, packing, warc, simhash, suffix)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
