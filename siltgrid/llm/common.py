@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,3 +88,28 @@ def space_pieces(text: str) -> list[str]:
     if text.startswith(" ") or text.endswith(" ") or _NEAR.search(text):
         return _CUT.split(text)
     return text.split(" ")
+
+
+#: Rows of a narrow table (a few numbers each) up to which it is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A stored narrow table, marked for broadcast if a count shows that it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def by_runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches, cut so that rows of equal value stay together."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns)]
+        other = np.flatnonzero(columns[column] != columns[column][-1]) if len(columns[column]) else ()
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield [c[:cut] for c in columns]
+        held = [c[cut:] for c in columns]
+    if held is not None and len(held[0]):
+        yield held

@@ -194,6 +194,132 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     return prints.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Documents are alike from this Jaccard similarity of their sets of five-word shingles.
+ALIKE_WORDS, ALIKE = 5, 0.8
+#: Bits that fingerprints of documents so alike may differ in (their mean is about ten, and the spread three).
+ALIKE_BITS = 20
+#: Least shingle hashes by which documents meet. Two that are so alike share none of so many once in ten thousand times or less.
+MEETING = 6
+#: Members of a meeting up to which each is held against all before it; beyond, against the references and its neighbours in their order.
+SMALL_MEETING = 2048
+
+
+def candidate_pairs(prints: np.ndarray, bits_apart: int) -> list[tuple[int, int]]:
+    """Positions of pairs to verify, at most two for each member: with the first member near it, and with the nearest before it."""
+    n, pairs = len(prints), set()
+    if n <= SMALL_MEETING:
+        for a in range(1, n, ROWS):
+            rows = np.arange(a, min(a + ROWS, n))
+            apart = np.bitwise_count(prints[rows][:, None] ^ prints[None, : rows[-1]]).astype(np.int16)
+            apart[np.arange(rows[-1])[None, :] >= rows[:, None]] = 99
+            near_any = apart <= bits_apart
+            for i in np.flatnonzero(near_any.any(axis=1)).tolist():
+                pairs.add((int(near_any[i].argmax()), int(rows[i])))
+                pairs.add((int(apart[i].argmin()), int(rows[i])))
+        return list(pairs)
+    home = np.full(n, -1)
+    while len(free := np.flatnonzero(home < 0)):  # each reference takes the free members near it
+        apart = np.bitwise_count(prints[free] ^ prints[free[0]]).astype(np.int16)
+        mine = free[apart <= bits_apart]
+        home[mine] = free[0]
+        table = np.bitwise_count(prints[mine][:, None] ^ np.append(prints[free[0]], REFERENCES[:3])[None, :])
+        order = mine[np.lexsort(table.T[::-1])]
+        pairs.update((int(free[0]), int(x)) for x in mine[1:])
+        pairs.update((min(int(x), int(y)), max(int(x), int(y))) for x, y in zip(order, order[1:]))
+    return list(pairs)
+
+
+def sketches(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(key, sig, fp, least): a hash of the word sequence, the fingerprint and the least distinct shingle hashes."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sigs, prints, least = [], [], []
+        for v in batch.column(1):
+            words = v.as_buffer().to_pybytes().lower().split()
+            hashes = shingle_hashes(words, size)
+            sigs.append(xxhash.xxh64_intdigest(b" ".join(words), 1))
+            prints.append(majority(hashes))
+            least.append(np.unique(np.partition(hashes, 4 * MEETING)[: 4 * MEETING] if len(hashes) > 8 * MEETING else hashes)[:MEETING].view(np.int64))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(least, pa.list_(pa.int64()))], [key, "sig", "fp", "least"])
+
+    return common.map_batches(common.byte_texts(df, key, text), run, f"{key} {df.schema[key].dataType.simpleString()}, sig long, fp long, least array<long>")
+
+
+def meetings(reps: DataFrame, bits_apart: int) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of the representatives (rep, fp, least) that meet at a hash."""
+    met = reps.select(F.explode("least").alias("at"), "rep", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, rep, fp in common.by_runs(batches, 0):
+            edges = np.flatnonzero(np.append(np.append(True, at[1:] != at[:-1]), True))
+            a, b = [], []
+            for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if end - start > 1:
+                    for x, y in candidate_pairs(fp[start:end].view(np.uint64), bits_apart):
+                        a.append(int(rep[start + x]))
+                        b.append(int(rep[start + y]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return met.repartition("at").sortWithinPartitions("at", "rep").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+
+
+#: Parts over which the members that are held against one document are dealt.
+SALTS = 8
+
+
+def verified(df: DataFrame, pairs: DataFrame, key: str, text: str, size: int, alike: float) -> DataFrame:
+    """The pairs whose shingle sets are alike: sets of b are held against that of a, a stream for each a."""
+    asked = pairs.select(F.col("b").alias("doc"), F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("rank"))
+    leads = asked.select("lead", "salt").distinct().select(F.col("lead").alias("doc"), "lead", "salt", F.lit(0).alias("rank"))
+    roles = common.saved(asked.unionByName(leads).groupBy("doc").agg(F.collect_list(F.struct("lead", "salt", "rank")).alias("roles")), "roles")
+
+    def to_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for value, roles_ in zip(batch.column(1), batch.column(2)):
+            data = np.unique(shingle_hashes(value.as_buffer().to_pybytes().lower().split(), size).astype(np.uint32)).astype("<u4").tobytes()
+            out.append([r | {"data": data} for r in roles_.as_py()])
+        flat = [(d, r["lead"], r["salt"], r["rank"], r["data"]) for d, rs in zip(batch.column(0).to_pylist(), out) for r in rs]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*flat) if flat else [[]] * 5, kinds)], ["doc", "lead", "salt", "rank", "data"])
+
+    texts = common.byte_texts(df.filter(F.col(key).isNotNull()), key, text).join(common.small_side(roles), F.col(key) == F.col("doc")).select(F.col(key).cast("long").alias("doc"), "text", "roles")
+    sets = common.map_batches(texts, to_sets, "doc long, lead long, salt int, rank int, data binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, np.zeros(0, np.uint32)
+        for batch in batches:
+            a, b = [], []
+            for doc, lead, salt, rank, data in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+                members = np.frombuffer(data.as_buffer(), "<u4")
+                if rank == 0:
+                    at, own = (lead, salt), members.copy()
+                elif at == (lead, salt):
+                    shared = len(np.intersect1d(own, members, assume_unique=True))
+                    if shared >= alike * (len(own) + len(members) - shared) - 1e-9 and shared:
+                        a.append(lead)
+                        b.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return sets.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "rank").mapInArrow(run, "a long, b long")
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = ALIKE_WORDS, alike: float = ALIKE, bits_apart: int = ALIKE_BITS) -> DataFrame:
+    """The rows without near-duplicates: of each group of documents that links connect, the one with the least id.
+
+    Links are exact copies (the same words) and pairs whose Jaccard similarity of shingle sets, counted exactly,
+    is at least `alike`. Documents meet at their least shingle hashes; of those that meet, fingerprints within
+    bits_apart by the tables of distances are verified. Rows that share an id stay or go together; rows without an
+    id stay.
+    """
+    found = common.saved(sketches(df.filter(F.col(key).isNotNull()), key, text, size), "sketches")
+    reps = common.saved(found.groupBy("sig").agg(F.min(F.struct(F.col(key).cast("long").alias("rep"), "fp", "least")).alias("x"), F.count("*").alias("n")).select("sig", "x.rep", "x.fp", "x.least", "n"), "distinct-texts")
+    pairs = common.saved(meetings(reps, bits_apart), "pairs")
+    alike_links = verified(df, pairs, key, text, size, alike)
+    copies = found.select(F.col(key).cast("long").alias("doc"), "sig").join(reps.filter("n > 1").select("sig", "rep"), "sig").filter("doc <> rep").select("doc")
+    dropped = common.saved(copies.unionByName(components(alike_links).select(F.col("node").alias("doc"))).distinct(), "dropped")
+    return df.join(common.small_side(dropped), F.col(key) == F.col("doc"), "left_anti")
+
+
 def op4_pivot_tables(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 

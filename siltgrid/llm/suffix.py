@@ -223,27 +223,11 @@ def index_tasks(texts: DataFrame, least: int = LEAST) -> DataFrame:
     return texts.mapInArrow(run, ROWS)
 
 
-def by_runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted batches, cut so that rows of equal value stay together."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held is not None:
-            columns = [np.concatenate(x) for x in zip(held, columns)]
-        other = np.flatnonzero(columns[column] != columns[column][-1]) if len(columns[column]) else ()
-        cut = int(other[-1]) + 1 if len(other) else 0
-        if cut:
-            yield [c[:cut] for c in columns]
-        held = [c[cut:] for c in columns]
-    if held is not None and len(held[0]):
-        yield held
-
-
 def scan_anchors(rows: DataFrame) -> DataFrame:
     """Merge the tasks' families by anchor: covered ranges are done; first reaches of anchors that have several stay open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for done, anchor, reach, doc, low, more, place in by_runs(batches, 1):
+        for done, anchor, reach, doc, low, more, place in common.by_runs(batches, 1):
             done = done.astype(bool)
             parts = [(doc[done], low[done], (low + more)[done])]
             live = ~done
@@ -301,7 +285,7 @@ def scan_windows(rows: DataFrame) -> DataFrame:
     """Window ranges (doc, low, high) that start earlier elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for done, prints, doc, low, high in by_runs(batches, 1):
+        for done, prints, doc, low, high in common.by_runs(batches, 1):
             done = done.astype(bool)
             new = np.ones(len(doc), bool)
             new[1:] = (prints[1:] != prints[:-1]) | done[1:] | done[:-1]
