@@ -20,6 +20,7 @@ Null texts are empty. Very long matches of the pattern run through the transduce
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
@@ -32,6 +33,8 @@ from pyspark.sql import DataFrame
 
 from . import common
 
+#: In place of the token before, where a state does not depend on it; -1 stands for none at all.
+UNUSED = -2
 State = tuple[int, bytes, tuple[tuple[int, tuple[int, ...]], ...]]
 
 
@@ -55,7 +58,7 @@ class Transducer:
     def reset(self) -> None:
         self.states: list[State] = []
         self.number: dict[State, int] = {}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # by 256 * state + byte
         self.last: list[tuple[int, ...]] = []
         self.start = self.intern((-1, b"", ((0, ()),)))
 
@@ -64,7 +67,6 @@ class Transducer:
         if found is None:
             found = self.number[state] = len(self.states)
             self.states.append(state)
-            self.moves.append({})
             self.last.append(state[2][-1][1])  # what is left to emit if the input ends here
         return found
 
@@ -109,21 +111,28 @@ class Transducer:
         live = [w for w in ways if tail[w[0] :] in self.prefixes] + [reached]
         shared = 0
         first = live[0][1]
-        while all(len(w[1]) > shared and w[1][shared] == first[shared] for w in live):
-            shared += 1
+        if len(live) == 1:
+            shared = len(first)
+        else:
+            for tokens in zip(*[p for _, p in live]):
+                if tokens.count(tokens[0]) < len(tokens):
+                    break
+                shared += 1
         out = first[:shared]
         cut = live[0][0]
-        state = (out[-1] if out else before, tail[cut:], tuple((s - cut, p[shared:]) for s, p in live))
-        return self.intern(state), out
+        ways = tuple([(s - cut, p[shared:]) for s, p in live])
+        # the token before matters only to a way with nothing pending
+        before = UNUSED if all([p for _, p in ways]) else out[-1] if out else before
+        return self.intern((before, tail[cut:], ways)), out
 
     def encode(self, text: bytes) -> list[int]:
         if len(self.states) > self.most_states:
             self.reset()
         at, out, moves = self.start, [], self.moves
         for byte in text:
-            move = moves[at].get(byte)
+            move = moves.get(at << 8 | byte)
             if move is None:
-                move = moves[at][byte] = self.step(at, byte)
+                move = moves[at << 8 | byte] = self.step(at, byte)
             at = move[0]
             if move[1]:
                 out += move[1]
@@ -195,6 +204,7 @@ def decode_stream(ids: Iterable[np.ndarray], tokens: list[bytes]) -> Iterator[by
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> tuple[Encoder, list[bytes]]:
     ranks = read_ranks(path)
+    gc.set_threshold(100_000, 20, 20)  # states hold no cycles, and looking for some among them takes long
     tokens = [b""] * (max(ranks.values()) + 1)
     for b, i in ranks.items():
         tokens[i] = b
