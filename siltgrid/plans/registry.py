@@ -23,20 +23,20 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _loaded() -> None:
+    from . import raster_queries  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Callable[..., Any]]:
+    _loaded()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _loaded()
     return dict(_ORACLES)
 
 
 def flagship(spark, sf_dir: str):
-    """Revenue by return flag; stands in until a domain query takes its place."""
-    from pyspark.sql import functions as F
-
-    return (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.sum("l_quantity").alias("sum_qty"), F.count("*").alias("n"))
-    )
+    """Otsu thresholds, masks, cleanup and accuracy of the pixel scenes."""
+    return queries()["flagship_scene_accuracy"](spark, sf_dir)
