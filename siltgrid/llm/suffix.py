@@ -151,8 +151,8 @@ class LevelFamily:
         while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) > len(self.levels[-2][0]):
             b, a = self.levels.pop(), self.levels.pop()
             lp, ld, ls = (np.concatenate(x) for x in zip(a, b))
-            order = np.lexsort((ls, ld, lp))
-            self.levels.append((lp[order], ld[order], ls[order]))
+            merge = np.lexsort((ls, ld, lp))
+            self.levels.append((lp[merge], ld[merge], ls[merge]))
         out = np.empty(len(p), bool)
         out[order] = covered
         return out
