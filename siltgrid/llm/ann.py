@@ -34,9 +34,11 @@ SAMPLE = 20_000
 #: Mean entries of a list, the most lists, and the part of the lists that a query probes (at least LEAST_PROBES).
 LIST_ROWS, MOST_LISTS, PROBED, LEAST_PROBES = 400, 4096, 0.75, 8
 #: Entries and queries that meet in one task.
-SLICE_ROWS, GROUP_QUERIES = 4000, 2000
+SLICE_ROWS, GROUP_QUERIES = 4000, 500
 #: Columns of a block, and the test's margin: larger abandons later.
 BLOCK, MARGIN = 16, 2.1
+#: Entries of a slice that give the first bound, and of each stretch after them.
+FIRST, STRETCH = 128, 1024
 
 
 def rotation(size: int, seed: int = 5) -> np.ndarray:
@@ -90,39 +92,55 @@ def entries(df: DataFrame, key: str, vector: str, least: int) -> DataFrame:
     return ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def scan(query: np.ndarray, rotated: np.ndarray, ids: list[np.ndarray], original: np.ndarray, exact_query: np.ndarray, k: int) -> list[tuple[float, int]]:
-    """The k least (distance, id) among a slice's entries, with early abandonment."""
+def scan(queries: np.ndarray, turned: np.ndarray, original: np.ndarray, rotated: np.ndarray, ids: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, distance) of the k least (distance, id) of each query among a slice's entries, with early abandonment.
+
+    All queries go over a stretch of entries together: the first block of columns as one product, the
+    later ones for the pairs that are left.
+    """
     n, size = rotated.shape
-    best: list[tuple[float, int]] = []
-    bound = np.inf
-    step = 512
-    for a in range(0, n, step):
-        alive = np.arange(a, min(a + step, n))
-        partial = np.zeros(len(alive))
-        for c in range(0, size, BLOCK):
-            gap = rotated[alive, c : c + BLOCK] - query[c : c + BLOCK]
+    counts = np.array([len(x) for x in ids])
+    starts, flat = np.cumsum(counts) - counts, np.concatenate(ids).astype(np.int64)
+    bound = np.full(len(queries), np.inf)
+    at = np.zeros(0, np.int64)
+    best = (at, at, np.zeros(0))
+    head = slice(0, min(BLOCK, size))
+    stretches = [0, *range(min(n, FIRST), n, STRETCH), n] if n else [0]
+    for a, b in zip(stretches, stretches[1:]):
+        q, c = turned[:, head], rotated[a:b, head]
+        block = np.maximum((q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * q @ c.T, 0)
+        seen = head.stop
+        qi, ci = np.nonzero(block <= allowed(bound, seen, size)[:, None])
+        partial, ci = block[qi, ci], ci + a
+        while seen < size and len(qi):
+            columns = slice(seen, min(seen + BLOCK, size))
+            gap = rotated[ci, columns] - turned[qi, columns]
             partial = partial + np.einsum("ij,ij->i", gap, gap)
-            seen = min(c + BLOCK, size)
-            if np.isfinite(bound):
-                # the hypothesis that the whole distance is within the bound is given up beyond the margin
-                factor = seen / size * (1 + MARGIN / np.sqrt(seen)) ** 2 if seen < size else 1.0
-                keep = partial <= bound * bound * factor * (1 + 1e-9) + 1e-12
-                alive, partial = alive[keep], partial[keep]
-                if len(alive) == 0:
-                    break
-        if len(alive) == 0:
-            continue
-        gap = original[alive] - exact_query
+            seen = columns.stop
+            left = partial <= allowed(bound, seen, size)[qi]
+            qi, ci, partial = qi[left], ci[left], partial[left]
+        gap = original[ci] - queries[qi]
         exact = np.sqrt((gap * gap).sum(axis=1))
-        for d, e in zip(exact.tolist(), alive.tolist()):
-            if d <= bound:
-                best.extend((d, int(i)) for i in ids[e])
-        best = sorted(set(best))[:k]
-        if len(best) == k:
-            bound = best[-1][0]
+        copies = counts[ci]
+        each = np.repeat(np.arange(len(ci)), copies)
+        place = np.arange(len(each)) - np.repeat(np.cumsum(copies) - copies, copies)
+        found = (np.append(best[0], qi[each]), np.append(best[1], flat[starts[ci[each]] + place]), np.append(best[2], exact[each]))
+        order = np.lexsort((found[1], found[2], found[0]))
+        found = tuple(x[order] for x in found)
+        first = np.searchsorted(found[0], np.arange(len(queries)))
+        rank = np.arange(len(order)) - first[found[0]]
+        best = tuple(x[rank < k] for x in found)
+        last = rank[rank < k] == k - 1
+        bound[best[0][last]] = best[2][last]
     return best
 
 
+def allowed(bound: np.ndarray, seen: int, size: int) -> np.ndarray:
+    """The greatest partial sum of squares over `seen` columns at which a candidate is still held possible."""
+    factor = seen / size * (1 + MARGIN / np.sqrt(seen)) ** 2 if seen < size else 1.0
+    return bound * bound * factor * (1 + 1e-9) + 1e-9
+
+
 def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each row whose id is divisible by `every`."""
     spark = df.sparkSession
@@ -163,14 +181,11 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
     right = asked.join(shape, "list").withColumn("group", F.pmod(F.xxhash64("v", F.lit(1)), "groups")).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).select("list", "slice", "group", "v")
 
     def meet(entries_: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(entries_) and len(asks):
-            original, exact = matrix(entries_["v"]), matrix(asks["v"])
-            ids = [np.asarray(x) for x in entries_["ids"]]
-            rotated, turned = (original @ turn).astype(np.float64), exact @ turn
-            for v, q, e in zip(asks["v"], turned, exact):
-                found += [(v, i, d) for d, i in scan(q, rotated, ids, original, e, k + 1)]
-        return pd.DataFrame(found, columns=["v", "vec_id", "score"])
+        if not len(entries_) or not len(asks):
+            return pd.DataFrame({"v": [], "vec_id": [], "score": []})
+        original, exact = matrix(entries_["v"]), matrix(asks["v"])
+        number, ids, score = scan(exact, exact @ turn, original, original @ turn, [np.asarray(x) for x in entries_["ids"]], k + 1)
+        return pd.DataFrame({"v": asks["v"].to_numpy()[number], "vec_id": ids, "score": score})
 
     met = left.groupBy("list", "slice", "group").cogroup(right.groupBy("list", "slice", "group")).applyInPandas(meet, "v array<double>, vec_id long, score double")
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("score", "vec_id"))).filter(F.col("r") <= k + 1)
