@@ -12,7 +12,7 @@ bounded size, and each range is read at once and cut into its records.
 
 Payload groups are aggregated by digest before anything is joined; a group of copies of any size is
 one row there, and only rows that have copies look it up. A null html has an empty payload. Pages
-that share an id stay separate records.
+that share an id stay separate records; one without an id is a response.
 """
 
 from __future__ import annotations
@@ -41,11 +41,11 @@ def bare_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
+def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
-def record_bytes(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """A response, or a revisit of the given page's response: its block ends after the HTTP header."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
@@ -58,8 +58,9 @@ def record_bytes(page_id: int, url: str | None, payload: bytes, refers_to: int |
         f"WARC-Payload-Digest: sha1:{bare_digest(payload)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
-        f"X-Page-ID: {page_id}",
     ]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -154,7 +155,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                         found = parse_record(zlib.decompress(block[offset - start : offset - start + length], 31))
                         f = found["fields"]
                         refers = f.get("X-Refers-To-Page-ID")
-                        out.append((int(f["X-Page-ID"]), f["WARC-Target-URI"], found["payload_bytes"], f["WARC-Payload-Digest"].removeprefix("sha1:"), f["WARC-Type"], None if refers is None else int(refers), found["payload"]))
+                        page = f.get("X-Page-ID")
+                        out.append((None if page is None else int(page), f["WARC-Target-URI"], found["payload_bytes"], f["WARC-Payload-Digest"].removeprefix("sha1:"), f["WARC-Type"], None if refers is None else int(refers), found["payload"]))
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names)
 
     return index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
