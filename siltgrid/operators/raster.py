@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,33 +89,47 @@ def distance(df: DataFrame, mask: str, cell: float = 1.0, scene: str = "scene")
     return line.select(scene, "r", F.explode(here).alias("x")).select(scene, "r", F.col("x.c").alias("c"), F.coalesce(F.sqrt("x.d2") * cell, F.lit(float("inf"))).alias("distance"))
 
 
-def label_scene(pdf: pd.DataFrame, mask: str, eight: bool) -> np.ndarray:
-    """Component of each true pixel of one scene, named by its least row-major place; -1 elsewhere."""
-    r, c, m = pdf["r"].to_numpy(), pdf["c"].to_numpy(), pdf[mask].to_numpy(bool)
-    width = int(c.max()) + 1
-    grid = np.full((int(r.max()) + 3, width + 2), np.iinfo(np.int64).max)
-    on = np.zeros(grid.shape, bool)
-    on[r[m] + 1, c[m] + 1] = True
-    grid[r[m] + 1, c[m] + 1] = r[m] * width + c[m]
+#: Cells of the scenes that are labelled side by side.
+STACK_CELLS = 2_000_000
+
+
+def label_stack(scene: np.ndarray, r: np.ndarray, c: np.ndarray, width: np.ndarray, eight: bool) -> np.ndarray:
+    """Component of each true pixel (scene number, r, c), named by its least row-major place: least names spread to neighbours until they rest."""
+    none = np.iinfo(np.int64).max
+    grid = np.full((int(scene.max()) + 1, int(r.max()) + 3, int(c.max()) + 3), none)
+    grid[scene, r + 1, c + 1] = r.astype(np.int64) * width[scene] + c
     steps = [s for s in offsets(1, cross=not eight) if s != (0, 0)]
+    where = (scene, r + 1, c + 1)
     while True:
-        least = grid.copy()
+        now = grid[where]
+        least = now
         for a, b in steps:
-            np.minimum(least, np.roll(grid, (a, b), (0, 1)), out=least)
-        least[~on] = np.iinfo(np.int64).max
-        if (least == grid).all():
-            break
-        grid = least
-    return np.where(m, grid[r + 1, c + 1], -1)
+            least = np.minimum(least, grid[scene, r + 1 + a, c + 1 + b])
+        if (least == now).all():
+            return now
+        grid[where] = least
 
 
 def components(df: DataFrame, mask: str, eight: bool = True, scene: str = "scene") -> DataFrame:
-    """(scene, r, c, component) of true pixels, connected over eight or four neighbours. A scene is one group: a grid of fixed size."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[[scene, "r", "c"]].assign(component=label_scene(pdf, mask, eight))
-        return out[out["component"] >= 0]
-
-    return df.select(scene, "r", "c", mask).groupBy(scene).applyInPandas(run, f"{scene} long, r int, c int, component long")
+    """(scene, r, c, component) of true pixels, connected over eight or four neighbours. A scene is one row: a grid of fixed size; many are labelled at once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name, width, on = batch.column(0), batch.column(1).to_numpy().astype(np.int64), batch.column(2)
+            flat, size = on.flatten(), on.value_lengths().to_numpy()
+            r, c = (flat.field(i).to_numpy() for i in range(2))
+            which = np.repeat(np.arange(len(size)), size)
+            if len(r) == 0:
+                continue
+            most = max(1, STACK_CELLS // ((int(r.max()) + 3) * (int(c.max()) + 3)))
+            for a in range(0, len(size), most):
+                part = (which >= a) & (which < a + most)
+                if part.any():
+                    k = which[part]
+                    label = label_stack(k - a, r[part], c[part], width[a : a + most], eight)
+                    yield pa.RecordBatch.from_arrays([name.take(pa.array(k)), pa.array(r[part]), pa.array(c[part]), pa.array(label)], [scene, "r", "c", "component"])
+
+    rows = df.groupBy(scene).agg((F.max("c") + 1).cast("int").alias("width"), F.collect_list(F.when(F.col(mask), F.struct("r", "c"))).alias("on"))
+    return rows.mapInArrow(run, f"{scene} {df.schema[scene].dataType.simpleString()}, r int, c int, component long")
 
 
 def at_least(labelled: DataFrame, size: int, scene: str = "scene") -> DataFrame:
