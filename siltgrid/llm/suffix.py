@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST, ANCHOR = 100, 40
+#: Names of joined columns, which a table of documents is not expected to have.
+RANGES, OWNER = "__siltgrid_ranges", "__siltgrid_owner"
 _RANDOM = np.random.default_rng(7)
 BYTE_VALUES = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -178,7 +180,7 @@ def side_by_side(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, ends - lengths, ends
 
 
-def in_parts(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def in_parts(batch: pa.RecordBatch, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the parts hold few bytes, or one long text."""
     start = size = 0
     for i, v in enumerate(batch.column(1)):
@@ -265,7 +267,7 @@ def window_rows(texts_with_open: DataFrame, least: int = LEAST) -> DataFrame:
                 spans = flat.flatten()
                 low, more = (spans.field(i).to_numpy() for i in range(2))
                 number = np.repeat(np.arange(len(counts)), counts)
-                doc = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), counts)
+                doc = np.repeat(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), counts)
                 each = np.repeat(np.arange(len(low)), more + 1)
                 step = np.arange(len(each)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
                 window, doc = low[each] + step, doc[each]
@@ -306,16 +308,17 @@ def removed_mask(n: int, low: np.ndarray, high: np.ndarray, least: int) -> np.nd
 
 
 def with_ranges(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """All rows and columns with the window ranges to remove: column _ranges, array of (low, high), null where there are none."""
-    spark = df.sparkSession
+    """All rows and columns with the window ranges to remove: column RANGES, array of (low, high), null where there are none."""
     texts = common.byte_texts(df.filter(F.col(key).isNotNull()), key, text)
     scanned = common.saved(scan_anchors(index_tasks(texts, least)), "suffix-scan")
     open_ = scanned.filter("not done").groupBy("doc").agg(F.collect_list(F.struct("low", "more")).alias("open"))
-    fetched = common.byte_texts(df, key, text).join(open_, F.col(key) == F.col("doc")).select(F.col(key).cast("long").alias("doc"), "text", "open")
+    # the same rows, unfiltered, are what the caller's own join moves: Spark then moves them once for both
+    own = common.byte_texts(df, key, text)
+    fetched = own.join(open_.withColumnRenamed("doc", OWNER), own[key] == F.col(OWNER), "left").select(F.col(OWNER).alias("doc"), own["text"], "open")
     fine = scan_windows(window_rows(fetched, least))
     ranges = scanned.filter("done").select("doc", "low", (F.col("low") + F.col("more")).alias("high")).unionByName(fine)
-    by_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("_ranges")).withColumnRenamed("doc", "_doc")
-    return df.join(by_doc, F.col(key) == F.col("_doc"), "left").drop("_doc")
+    by_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias(RANGES)).withColumnRenamed("doc", OWNER)
+    return df.join(by_doc, df[key] == by_doc[OWNER], "left").drop(OWNER)
 
 
 def _range_arrays(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
@@ -341,7 +344,7 @@ def summary(df: DataFrame, key: str = "doc_id", text: str = "text", least: int =
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = with_ranges(df.select(key, text), key, text, least).select(key, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), "_ranges")
+    rows = with_ranges(common.byte_texts(df, key, text), key, "text", least).select(key, "text", RANGES)
     return common.map_batches(rows, run, f"{key} {df.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -363,7 +366,7 @@ def strip_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least:
         return pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
     rows = with_ranges(df, key, text, least)
-    return common.map_batches(rows.select(*(rows[c] for c in df.columns), "_ranges"), run, df.schema)
+    return common.map_batches(rows.select(*(rows[c] for c in df.columns), RANGES), run, df.schema)
 
 
 def op6_log_family(spark, sf_dir: str) -> DataFrame:
