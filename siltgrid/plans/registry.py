@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _loaded() -> None:
-    from . import raster_queries, relational_queries, spatial_queries, temporal_queries  # noqa: F401  register their queries
+    from . import raster_queries, relational_queries, selection_queries, spatial_queries, temporal_queries  # noqa: F401  register their queries
 
 
 def queries() -> dict[str, Callable[..., Any]]:
