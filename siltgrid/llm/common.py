@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -18,7 +20,34 @@ from pyspark.sql import types as T
 BLANKS = b" \t\n\v\f\r"
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held by the JVM and by the task at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS where it is larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def tidied(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same task function, which gives freed memory back to the system at its end: worker processes go on to other stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        gc.collect(1)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,9 +86,18 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Write a table once to the shared folder and read it back: the lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete saved tables that no later step reads, so that they don't count as disk until the end."""
+    for df in stored:
+        remove(df.sparkSession, df.saved_path)
 
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: T.StructType | str) -> DataFrame:
@@ -70,7 +108,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa
             out = f(batch)
             yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def byte_texts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -99,17 +137,30 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Rows that are gathered, at least, before runs are handed on.
+RUN_ROWS = 1 << 16
+
+
 def by_runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[np.ndarray]]:
     """Columns of sorted batches, cut so that rows of equal value stay together."""
-    held: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []
+    rows = 0
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*held)] if len(held) > 1 else held[0]
+
     for batch in batches:
+        if batch.num_rows == 0:
+            continue
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held is not None:
-            columns = [np.concatenate(x) for x in zip(held, columns)]
-        other = np.flatnonzero(columns[column] != columns[column][-1]) if len(columns[column]) else ()
-        cut = int(other[-1]) + 1 if len(other) else 0
-        if cut:
-            yield [c[:cut] for c in columns]
-        held = [c[cut:] for c in columns]
-    if held is not None and len(held[0]):
-        yield held
+        held.append(columns)
+        rows += batch.num_rows
+        last = columns[column][-1]
+        if rows < RUN_ROWS or held[0][column][0] == last:  # sorted: all of one value so far
+            continue
+        whole = joined()
+        cut = int(np.flatnonzero(whole[column] != last)[-1]) + 1
+        yield [c[:cut] for c in whole]
+        held, rows = [[c[cut:] for c in whole]], len(whole[0]) - cut
+    if held:
+        yield joined()

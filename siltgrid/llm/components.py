@@ -58,7 +58,7 @@ def contract(links: DataFrame) -> DataFrame:
         a, b = forest.links()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return links.select("a", "b").mapInArrow(run, LINK)
+    return links.select("a", "b").mapInArrow(common.tidied(run), LINK)
 
 
 def _large_star(links: DataFrame) -> DataFrame:

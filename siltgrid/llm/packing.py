@@ -21,7 +21,6 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,7 +37,7 @@ SHARD_PIECES = 150_000
 class PieceMemo(dict):
     """Ids of short pieces between blanks as little-endian unsigned 32-bit numbers; misses are encoded many at a time."""
 
-    def __init__(self, path: str, most: int = 400_000, together: int = 200):
+    def __init__(self, path: str, most: int = 250_000, together: int = 200):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -106,9 +105,10 @@ def pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
                 columns = zip(*rows) if rows else [[]] * 6
                 kinds = (pa.int64(), batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["slot", key, "piece", "start", "length", "ids_crc32"])
+        memo(tokenizer_path).clear()  # a worker process runs other stages next
 
     kind = df.schema[key].dataType.simpleString()
-    return common.byte_texts(df, key, text).mapInArrow(run, f"slot long, {key} {kind}, piece int, start long, length long, ids_crc32 long")
+    return common.byte_texts(df, key, text).mapInArrow(common.tidied(run), f"slot long, {key} {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,13 +143,14 @@ def pack(cut: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, shard_pi
     shards = max(1, -(-cut.count() // shard_pieces))
     kind = cut.schema[key].dataType.simpleString()
 
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "slot"], ascending=[False, True], kind="stable")
-        sequence, group["offset"] = sum_of_squares(group["length"].to_numpy(), capacity)
-        group["sequence_id"] = sequence + (group["shard"].to_numpy() << 32)
-        return group[[key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+    def place(group: pa.Table) -> pa.Table:
+        length, slot, shard = (group.column(c).to_numpy() for c in ("length", "slot", "shard"))
+        order = np.lexsort((slot, -length))
+        sequence, offset = sum_of_squares(length[order], capacity)
+        rows = group.take(pa.array(order)).select([key, "piece", "start", "length", "ids_crc32"])
+        return rows.append_column("sequence_id", pa.array(sequence + (shard[order] << 32))).append_column("offset", pa.array(offset))
 
-    return cut.withColumn("shard", F.pmod("slot", F.lit(shards))).groupBy("shard").applyInPandas(place, f"{key} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return cut.withColumn("shard", F.pmod("slot", F.lit(shards))).groupBy("shard").applyInArrow(place, f"{key} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -10,7 +10,8 @@ of one are linked to it at once and need no comparing among themselves, so a den
 size times few references and gives as many links as it has members, never all pairs.
 
 Null texts and texts without a word have fingerprint zero and link like any other. Repeated rows
-keep a row each. An empty table gives no rows.
+keep a row each. A row without an id joins the component of its fingerprint, and names none. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -151,8 +152,6 @@ def links(distinct: DataFrame, bits_apart: int = BITS_APART) -> DataFrame:
     buckets = distinct.select("fp", "rep", F.explode(F.array(*bucket_columns(bits_apart))).alias("k")).select("k.blocks", "k.value", "fp", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
         def found(columns: list[np.ndarray]) -> pa.RecordBatch:
             blocks, value, fp, rep = columns
             new = np.ones(len(fp) + 1, bool)
@@ -170,26 +169,17 @@ def links(distinct: DataFrame, bits_apart: int = BITS_APART) -> DataFrame:
                     b.append(int(rep[start + y]))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                columns = [np.concatenate(x) for x in zip(held, columns)]
-            last = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1])) if len(columns[0]) else []
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield found([c[:cut] for c in columns])
-            held = [c[cut:] for c in columns]
-        if held is not None and len(held[0]):
-            yield found(held)
+        for columns in common.by_runs(batches, 1):
+            yield found(columns)
 
-    return buckets.repartition("blocks", "value").sortWithinPartitions("blocks", "value").mapInArrow(run, "a long, b long")
+    return buckets.repartition("blocks", "value").sortWithinPartitions("blocks", "value").mapInArrow(common.tidied(run), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, bits_apart: int = BITS_APART) -> DataFrame:
     """(key, fingerprint as 16 hex digits, component_id) of every row."""
     prints = common.saved(fingerprints(df, key, text, size), "fingerprints")
     distinct = common.saved(prints.groupBy("fp").agg(F.min(key).alias("rep")), "distinct-fingerprints")
-    found = components(links(distinct, bits_apart))
+    found = components(links(distinct.filter("rep is not null"), bits_apart))
     named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -200,13 +190,17 @@ ALIKE_WORDS, ALIKE = 5, 0.8
 ALIKE_BITS = 20
 #: Least shingle hashes by which documents meet. Two that are so alike share none of so many once in ten thousand times or less.
 MEETING = 6
-#: Members of a meeting up to which each is held against all before it; beyond, against the references and its neighbours in their order.
-SMALL_MEETING = 2048
+#: Members of a meeting up to which all near pairs are verified; then, up to which each member is verified against the
+#: first near it and the NEAREST before it; beyond, against its reference and its neighbours in the order of distances.
+FEW, SMALL_MEETING, NEAREST = 32, 2048, 3
 
 
 def candidate_pairs(prints: np.ndarray, bits_apart: int) -> list[tuple[int, int]]:
-    """Positions of pairs to verify, at most two for each member: with the first member near it, and with the nearest before it."""
+    """Positions of pairs to verify."""
     n, pairs = len(prints), set()
+    if n <= FEW:
+        near_any = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= bits_apart
+        return [(int(x), int(y)) for x, y in zip(*np.nonzero(np.triu(near_any, 1)))]
     if n <= SMALL_MEETING:
         for a in range(1, n, ROWS):
             rows = np.arange(a, min(a + ROWS, n))
@@ -214,8 +208,9 @@ def candidate_pairs(prints: np.ndarray, bits_apart: int) -> list[tuple[int, int]
             apart[np.arange(rows[-1])[None, :] >= rows[:, None]] = 99
             near_any = apart <= bits_apart
             for i in np.flatnonzero(near_any.any(axis=1)).tolist():
+                best = np.argpartition(apart[i], NEAREST)[:NEAREST] if apart.shape[1] > NEAREST else np.arange(apart.shape[1])
                 pairs.add((int(near_any[i].argmax()), int(rows[i])))
-                pairs.add((int(apart[i].argmin()), int(rows[i])))
+                pairs.update((int(j), int(rows[i])) for j in best if near_any[i, j])
         return list(pairs)
     home = np.full(n, -1)
     while len(free := np.flatnonzero(home < 0)):  # each reference takes the free members near it
@@ -260,7 +255,7 @@ def meetings(reps: DataFrame, bits_apart: int) -> DataFrame:
                         b.append(int(rep[start + y]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return met.repartition("at").sortWithinPartitions("at", "rep").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return met.repartition("at").sortWithinPartitions("at", "rep").mapInArrow(common.tidied(run), "a long, b long").filter("a <> b").distinct()
 
 
 #: Parts over which the members that are held against one document are dealt.
@@ -282,7 +277,8 @@ def verified(df: DataFrame, pairs: DataFrame, key: str, text: str, size: int, al
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*flat) if flat else [[]] * 5, kinds)], ["doc", "lead", "salt", "rank", "data"])
 
-    texts = common.byte_texts(df.filter(F.col(key).isNotNull()), key, text).join(common.small_side(roles), F.col(key) == F.col("doc")).select(F.col(key).cast("long").alias("doc"), "text", "roles")
+    own = common.byte_texts(df.filter(F.col(key).isNotNull()), key, text).select(F.col(key).cast("long").alias("doc"), "text")
+    texts = own.join(common.small_side(roles), "doc").select("doc", "text", "roles")
     sets = common.map_batches(texts, to_sets, "doc long, lead long, salt int, rank int, data binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +296,7 @@ def verified(df: DataFrame, pairs: DataFrame, key: str, text: str, size: int, al
                         b.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return sets.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "rank").mapInArrow(run, "a long, b long")
+    return sets.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "rank").mapInArrow(common.tidied(run), "a long, b long")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = ALIKE_WORDS, alike: float = ALIKE, bits_apart: int = ALIKE_BITS) -> DataFrame:
@@ -317,7 +313,8 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     alike_links = verified(df, pairs, key, text, size, alike)
     copies = found.select(F.col(key).cast("long").alias("doc"), "sig").join(reps.filter("n > 1").select("sig", "rep"), "sig").filter("doc <> rep").select("doc")
     dropped = common.saved(copies.unionByName(components(alike_links).select(F.col("node").alias("doc"))).distinct(), "dropped")
-    return df.join(common.small_side(dropped), F.col(key) == F.col("doc"), "left_anti")
+    gone = "__siltgrid_gone"
+    return df.join(common.small_side(dropped).withColumnRenamed("doc", gone), df[key] == F.col(gone), "left_anti")
 
 
 def op4_pivot_tables(spark, sf_dir: str) -> DataFrame:

@@ -222,7 +222,7 @@ def index_tasks(texts: DataFrame, least: int = LEAST) -> DataFrame:
                     mark = mixed(d.view(np.uint64) ^ a.view(np.uint64), 5)
                     yield _rows(True, mark, mark, d, a, b - a, np.zeros(len(d), np.int64))
 
-    return texts.mapInArrow(run, ROWS)
+    return texts.mapInArrow(common.tidied(run), ROWS)
 
 
 def scan_anchors(rows: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def scan_anchors(rows: DataFrame) -> DataFrame:
             zero = np.zeros(len(d), np.int64)
             yield _rows(True, zero, zero, d, a, b - a, zero)
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "reach", "doc", "low").mapInArrow(run, ROWS)
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "reach", "doc", "low").mapInArrow(common.tidied(run), ROWS)
 
 
 def window_rows(texts_with_open: DataFrame, least: int = LEAST) -> DataFrame:
@@ -280,7 +280,7 @@ def window_rows(texts_with_open: DataFrame, least: int = LEAST) -> DataFrame:
                 mark = mixed(d.view(np.uint64) ^ a.view(np.uint64), 6).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(d), bool)), pa.array(mark), pa.array(d), pa.array(a), pa.array(b)], ["done", "print", "doc", "low", "high"])
 
-    return texts_with_open.mapInArrow(run, "done boolean, print long, doc long, low long, high long")
+    return texts_with_open.mapInArrow(common.tidied(run), "done boolean, print long, doc long, low long, high long")
 
 
 def scan_windows(rows: DataFrame) -> DataFrame:
@@ -296,7 +296,7 @@ def scan_windows(rows: DataFrame) -> DataFrame:
             d, a, b = joined_ranges(doc[take], low[take], high[take])
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(b)], ["doc", "low", "high"])
 
-    return rows.repartition("print").sortWithinPartitions("print", "done", "doc", "low").mapInArrow(run, "doc long, low long, high long")
+    return rows.repartition("print").sortWithinPartitions("print", "done", "doc", "low").mapInArrow(common.tidied(run), "doc long, low long, high long")
 
 
 def removed_mask(n: int, low: np.ndarray, high: np.ndarray, least: int) -> np.ndarray:

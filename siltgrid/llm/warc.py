@@ -113,7 +113,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
             out.close()
 
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
-    return pages.select(F.col(key).cast("long"), F.col(url), payload, F.col("refers_to").cast("long")).mapInArrow(run, INDEX)
+    return pages.select(F.col(key).cast("long"), F.col(url), payload, F.col("refers_to").cast("long")).mapInArrow(common.tidied(run), INDEX)
 
 
 def coalesced(ranges: list[tuple[int, int]], most: int = READ_BYTES, gap: int = GAP_BYTES) -> Iterator[tuple[int, int, list[int]]]:
@@ -159,7 +159,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                         out.append((None if page is None else int(page), f["WARC-Target-URI"], found["payload_bytes"], f["WARC-Payload-Digest"].removeprefix("sha1:"), f["WARC-Type"], None if refers is None else int(refers), found["payload"]))
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names)
 
-    return index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
+    return index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(common.tidied(run), schema)
 
 
 def write_and_index(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> tuple[DataFrame, str]:
