@@ -285,7 +285,7 @@ def test_model_beats_its_base_on_held_out_text(spark):
     rng = random.Random(9)
     chain = {w: rng.sample(WORDS, 3) for w in WORDS}
     rows = []
-    for i in range(300):
+    for i in range(1500):
         w, out = rng.choice(WORDS), []
         for _ in range(80):
             out.append(w)
