@@ -188,15 +188,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
 ALIKE_WORDS, ALIKE = 5, 0.8
 #: Bits that fingerprints of documents so alike may differ in (their mean is about ten, and the spread three).
 ALIKE_BITS = 20
-#: Least shingle hashes by which documents meet. Two that are so alike share none of so many once in ten thousand times or less.
-MEETING = 6
-#: Members of a meeting up to which all near pairs are verified; then, up to which each member is verified against the
-#: first near it and the NEAREST before it; beyond, against its reference and its neighbours in the order of distances.
+#: Part of a text's shingles by which it meets others beyond the least that any pair so alike must share.
+SPARE = 0.1
+#: Members of a meeting up to which all pairs are verified at once; then, up to which each member is first verified against
+#: the first near it and the NEAREST before it; beyond, against its reference and its neighbours in the order of distances.
+#: What these leave unconnected is verified in a second pass.
 FEW, SMALL_MEETING, NEAREST = 32, 2048, 3
+#: Words of 64 parity bits of a set.
+PARITY = 8
 
 
 def candidate_pairs(prints: np.ndarray, bits_apart: int) -> list[tuple[int, int]]:
-    """Positions of pairs to verify."""
+    """Positions of pairs to verify first, by fingerprints."""
     n, pairs = len(prints), set()
     if n <= FEW:
         near_any = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= bits_apart
@@ -224,95 +227,194 @@ def candidate_pairs(prints: np.ndarray, bits_apart: int) -> list[tuple[int, int]
     return list(pairs)
 
 
-def sketches(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(key, sig, fp, least): a hash of the word sequence, the fingerprint and the least distinct shingle hashes."""
+def least_shared(n, alike: float):
+    """Shingles that a text of n shares at least with any text alike."""
+    return np.ceil(alike * n - 1e-9).astype(np.int64)
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """PARITY words: how often a set hits each bit, odd or even. Sets differ in at least as many shingles as their words do in bits."""
+    bits = np.bincount((hashes % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def sketches(df: DataFrame, key: str, text: str, size: int, alike: float) -> DataFrame:
+    """(key, sig, n, fp, least): a hash of the word sequence, the number of distinct shingles, their fingerprint, and the least of their hashes.
+
+    Of those, two texts alike share the first SPARE of the smaller one's shingles, or one.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sigs, prints, least = [], [], []
+        sigs, sizes, prints, least = [], [], [], []
         for v in batch.column(1):
             words = v.as_buffer().to_pybytes().lower().split()
-            hashes = shingle_hashes(words, size)
+            hashes = np.unique(shingle_hashes(words, size))
+            n = len(hashes)
             sigs.append(xxhash.xxh64_intdigest(b" ".join(words), 1))
+            sizes.append(n)
             prints.append(majority(hashes))
-            least.append(np.unique(np.partition(hashes, 4 * MEETING)[: 4 * MEETING] if len(hashes) > 8 * MEETING else hashes)[:MEETING].view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(least, pa.list_(pa.int64()))], [key, "sig", "fp", "least"])
+            least.append(hashes[: n - int(least_shared(n, alike)) + max(1, int(SPARE * n))].view(np.int64))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(least, pa.list_(pa.int64()))], [key, "sig", "n", "fp", "least"])
 
-    return common.map_batches(common.byte_texts(df, key, text), run, f"{key} {df.schema[key].dataType.simpleString()}, sig long, fp long, least array<long>")
+    return common.map_batches(common.byte_texts(df, key, text), run, f"{key} {df.schema[key].dataType.simpleString()}, sig long, n long, fp long, least array<long>")
 
 
-def meetings(reps: DataFrame, bits_apart: int) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of the representatives (rep, fp, least) that meet at a hash."""
-    met = reps.select(F.explode("least").alias("at"), "rep", "fp")
+def shared(hashes: DataFrame) -> DataFrame:
+    """(at, sig, n, texts): the rows (at, sig, n), once each, whose hash two texts or more have, and how many have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, rep, fp in common.by_runs(batches, 0):
+        for at, sig, n in common.by_runs(batches, 0):
+            once = np.append(True, (at[1:] != at[:-1]) | (sig[1:] != sig[:-1]))
+            at, sig, n = at[once], sig[once], n[once]
             edges = np.flatnonzero(np.append(np.append(True, at[1:] != at[:-1]), True))
-            a, b = [], []
+            texts = np.repeat(np.diff(edges), np.diff(edges))
+            more = texts > 1
+            yield pa.RecordBatch.from_arrays([pa.array(c[more], pa.int64()) for c in (at, sig, n, texts)], ["at", "sig", "n", "texts"])
+
+    return hashes.repartition("at").sortWithinPartitions("at", "sig").mapInArrow(common.tidied(run), "at long, sig long, n long, texts long")
+
+
+def common_sets(df: DataFrame, live: DataFrame, key: str, text: str, size: int, alike: float) -> DataFrame:
+    """(sig, n, n_shared, rarest, data, words): of the texts (doc, sig) that others cover far enough, the shingles that others have too.
+
+    rarest: those that, rarest first, any text alike has one of. data: all of them, in order of their hashes.
+    """
+    own = common.byte_texts(df.filter(F.col(key).isNotNull()), key, text).select(F.col(key).cast("long").alias("doc"), "text")
+    texts = own.join(common.small_side(live.select("doc", "sig")), "doc").select("sig", "text")
+
+    def to_hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, sigs, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for sig, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            words = value.as_buffer().to_pybytes().lower().split()
+            if int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), 1)).view(np.int64)) == sig:  # rows may share an id
+                at.append(np.unique(shingle_hashes(words, size)))
+                sigs.append(np.full(len(at[-1]), sig, np.int64))
+                sizes.append(np.full(len(at[-1]), len(at[-1]), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(at).view(np.int64)), pa.array(np.concatenate(sigs)), pa.array(np.concatenate(sizes))], ["at", "sig", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sig, n, _, at in common.by_runs(batches, 0):
+            edges = np.flatnonzero(np.append(np.append(True, sig[1:] != sig[:-1]), True))
+            rows = []
             for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if end - start > 1:
-                    for x, y in candidate_pairs(fp[start:end].view(np.uint64), bits_apart):
-                        a.append(int(rep[start + x]))
-                        b.append(int(rep[start + y]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                spare = end - start - int(least_shared(n[start], alike))
+                if spare >= 0:
+                    own = at[start:end]
+                    rows.append((int(sig[start]), int(n[start]), end - start, own[: spare + 1], np.sort(own).astype("<i8").tobytes(), parity(own.view(np.uint64)).view(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["sig", "n", "n_shared", "rarest", "data", "words"])
+
+    counted = shared(common.map_batches(texts, to_hashes, "at long, sig long, n long")).select("sig", "n", "texts", "at")
+    return counted.repartition("sig").sortWithinPartitions("sig", "texts", "at").mapInArrow(common.tidied(run), "sig long, n long, n_shared long, rarest array<long>, data binary, words array<long>")
 
-    return met.repartition("at").sortWithinPartitions("at", "rep").mapInArrow(common.tidied(run), "a long, b long").filter("a <> b").distinct()
 
+def may_be_alike(n: np.ndarray, n_shared: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray, alike: float) -> np.ndarray:
+    """Which pairs their sizes and parity words leave in; no pair alike is left out."""
+    bits = np.bitwise_count(words[left] ^ words[right]).sum(axis=1, dtype=np.int64)
+    most = np.minimum((n_shared[left] + n_shared[right] - bits) // 2, np.minimum(n_shared[left], n_shared[right]))
+    return most >= alike * (n[left] + n[right] - most) - 1e-9
 
-#: Parts over which the members that are held against one document are dealt.
+
+def meetings(members: DataFrame, alike: float, bits_apart: int, rest: bool) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of the texts (at, sig, part, n, n_shared, fp, words) that meet at a hash.
+
+    First those of small meetings and, by fingerprints, of large ones; with rest, all pairs of large meetings whose parts differ.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[bytes] = set()  # many meetings have the same members
+        for at, sig, part, n, n_shared, fp, *words in common.by_runs(batches, 0):
+            table = np.stack(words, axis=1).view(np.uint64)  # bits of a signed number are counted without its sign
+            edges = np.flatnonzero(np.append(np.append(True, at[1:] != at[:-1]), True))
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                m = end - start
+                if m < 2 or (rest and m <= FEW):
+                    continue
+                mark = xxhash.xxh128_digest(sig[start:end].tobytes())
+                if mark in known:
+                    continue
+                known.add(mark)
+                for low in range(0, m if rest else 1, ROWS):
+                    if rest:
+                        rows = np.arange(start + low, min(start + low + ROWS, end))
+                        left, right = np.nonzero((part[rows][:, None] != part[None, start:end]) & (rows[:, None] < np.arange(start, end)[None, :]))
+                        left, right = rows[left], right + start
+                    elif m <= FEW:
+                        left, right = (x + start for x in np.triu_indices(m, 1))
+                    else:
+                        left, right = (np.array(x, np.int64) + start for x in zip(*(candidate_pairs(fp[start:end].view(np.uint64), bits_apart) or [(0, 1)])))
+                    for cut in range(0, len(left), 1 << 18):
+                        x, y = left[cut : cut + (1 << 18)], right[cut : cut + (1 << 18)]
+                        hit = may_be_alike(n, n_shared, table, x, y, alike)
+                        a.append(np.minimum(sig[x[hit]], sig[y[hit]]))
+                        b.append(np.maximum(sig[x[hit]], sig[y[hit]]))
+            both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+
+    columns = ["at", "sig", "part", "n", "n_shared", "fp", *(F.col("words")[i].alias(f"w{i}") for i in range(PARITY))]
+    return members.select(*columns).repartition("at").sortWithinPartitions("at", "sig").mapInArrow(common.tidied(run), "a long, b long").distinct()
+
+
+#: Parts over which the members that are held against one text are dealt.
 SALTS = 8
 
 
-def verified(df: DataFrame, pairs: DataFrame, key: str, text: str, size: int, alike: float) -> DataFrame:
+def verified(sets: DataFrame, pairs: DataFrame, alike: float) -> DataFrame:
     """The pairs whose shingle sets are alike: sets of b are held against that of a, a stream for each a."""
-    asked = pairs.select(F.col("b").alias("doc"), F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("rank"))
-    leads = asked.select("lead", "salt").distinct().select(F.col("lead").alias("doc"), "lead", "salt", F.lit(0).alias("rank"))
-    roles = common.saved(asked.unionByName(leads).groupBy("doc").agg(F.collect_list(F.struct("lead", "salt", "rank")).alias("roles")), "roles")
-
-    def to_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for value, roles_ in zip(batch.column(1), batch.column(2)):
-            data = np.unique(shingle_hashes(value.as_buffer().to_pybytes().lower().split(), size).astype(np.uint32)).astype("<u4").tobytes()
-            out.append([r | {"data": data} for r in roles_.as_py()])
-        flat = [(d, r["lead"], r["salt"], r["rank"], r["data"]) for d, rs in zip(batch.column(0).to_pylist(), out) for r in rs]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*flat) if flat else [[]] * 5, kinds)], ["doc", "lead", "salt", "rank", "data"])
-
-    own = common.byte_texts(df.filter(F.col(key).isNotNull()), key, text).select(F.col(key).cast("long").alias("doc"), "text")
-    texts = own.join(common.small_side(roles), "doc").select("doc", "text", "roles")
-    sets = common.map_batches(texts, to_sets, "doc long, lead long, salt int, rank int, data binary")
+    asked = pairs.select(F.col("b").alias("sig"), F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("rank"))
+    leads = asked.select("lead", "salt").distinct().select(F.col("lead").alias("sig"), "lead", "salt", F.lit(0).alias("rank"))
+    dealt = asked.unionByName(leads).join(sets.select("sig", "n", "data"), "sig").select("sig", "lead", "salt", "rank", "n", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, np.zeros(0, np.uint32)
+        at, own, own_n = None, np.zeros(0, np.int64), 0
         for batch in batches:
             a, b = [], []
-            for doc, lead, salt, rank, data in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
-                members = np.frombuffer(data.as_buffer(), "<u4")
+            for sig, lead, salt, rank, n, data in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5)):
+                members = np.frombuffer(data.as_buffer(), "<i8")
                 if rank == 0:
-                    at, own = (lead, salt), members.copy()
+                    at, own, own_n = (lead, salt), members.copy(), n
                 elif at == (lead, salt):
-                    shared = len(np.intersect1d(own, members, assume_unique=True))
-                    if shared >= alike * (len(own) + len(members) - shared) - 1e-9 and shared:
+                    both = len(np.intersect1d(own, members, assume_unique=True))
+                    if both and both >= alike * (own_n + n - both) - 1e-9:
                         a.append(lead)
-                        b.append(doc)
+                        b.append(sig)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return sets.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "rank").mapInArrow(common.tidied(run), "a long, b long")
+    return dealt.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "rank").mapInArrow(common.tidied(run), "a long, b long")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = ALIKE_WORDS, alike: float = ALIKE, bits_apart: int = ALIKE_BITS) -> DataFrame:
     """The rows without near-duplicates: of each group of documents that links connect, the one with the least id.
 
     Links are exact copies (the same words) and pairs whose Jaccard similarity of shingle sets, counted exactly,
-    is at least `alike`. Documents meet at their least shingle hashes; of those that meet, fingerprints within
-    bits_apart by the tables of distances are verified. Rows that share an id stay or go together; rows without an
-    id stay.
+    is at least `alike`. No link is lost: two texts alike share shingles among so many of any order's first as their
+    sizes tell. By the order of hashes, texts that too few others meet go out; by the order of rarity, the rest meet.
+    Small meetings verify all pairs; large ones first those that fingerprints within bits_apart name, and then all
+    that are not in one component yet. Rows that share an id stay or go together; rows without an id stay.
     """
-    found = common.saved(sketches(df.filter(F.col(key).isNotNull()), key, text, size), "sketches")
-    reps = common.saved(found.groupBy("sig").agg(F.min(F.struct(F.col(key).cast("long").alias("rep"), "fp", "least")).alias("x"), F.count("*").alias("n")).select("sig", "x.rep", "x.fp", "x.least", "n"), "distinct-texts")
-    pairs = common.saved(meetings(reps, bits_apart), "pairs")
-    alike_links = verified(df, pairs, key, text, size, alike)
-    copies = found.select(F.col(key).cast("long").alias("doc"), "sig").join(reps.filter("n > 1").select("sig", "rep"), "sig").filter("doc <> rep").select("doc")
-    dropped = common.saved(copies.unionByName(components(alike_links).select(F.col("node").alias("doc"))).distinct(), "dropped")
+    found = common.saved(sketches(df.filter(F.col(key).isNotNull()), key, text, size, alike), "sketches")
+    docs = found.select(F.col(key).cast("long").alias("doc"), "sig", "n", "fp", "least")
+    reps = common.saved(docs.groupBy("sig").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "distinct-texts")
+    copies = common.saved(docs.select("doc", "sig").join(reps.filter("copies > 1").select("sig", "rep"), "sig").filter("doc <> rep").select("doc", "sig").distinct(), "copies")
+    firsts = docs.join(common.small_side(copies), ["doc", "sig"], "left_anti")
+    met = shared(firsts.select(F.explode("least").alias("at"), "sig", "n")).groupBy("sig", "n").count()
+    live = met.filter(F.col("count") >= F.greatest(F.lit(1), F.floor(F.col("n") * (SPARE * alike) - 1e-9))).select("sig")
+    live = common.saved(live.join(firsts.select("doc", "sig", "fp").distinct(), "sig"), "live")
+    sets = common.saved(common_sets(df, live, key, text, size, alike).join(common.small_side(live), "sig"), "sets")
+    members = sets.select(F.explode("rarest").alias("at"), "sig", F.col("doc").alias("part"), "n", "n_shared", "fp", "words")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        names = sets.select("sig", "doc")
+        a, b = (names.select(F.col("sig").alias(x), F.col("doc").alias(f"doc_{x}")) for x in "ab")
+        return verified(sets, pairs, alike).join(a, "a").join(b, "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+
+    first = common.saved(components(linked(common.saved(meetings(members, alike, bits_apart, False), "pairs"))), "components")
+    parts = members.join(common.small_side(first), F.col("part") == F.col("node"), "left").withColumn("part", F.coalesce("component", "part"))
+    again = common.saved(linked(common.saved(meetings(parts, alike, bits_apart, True), "pairs")), "links")
+    whole = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(again)) if again.head() else first
+    dropped = common.saved(copies.select("doc").unionByName(whole.select(F.col("node").alias("doc"))).distinct(), "dropped")
+    common.discard(found, reps, copies, live, sets, first, again)
     gone = "__siltgrid_gone"
     return df.join(common.small_side(dropped).withColumnRenamed("doc", gone), df[key] == F.col(gone), "left_anti")
 

@@ -228,6 +228,42 @@ def test_keep_one_matches_brute_force(spark, docs):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i in sets if forest.root(i) == i)
 
 
+def alike_components(texts):
+    sets = {i: set(simhash.shingle_hashes(t.encode().lower().split(), 5).tolist()) for i, t in texts.items()}
+    forest = components.Forest()
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            forest.join(a, b)
+    return sorted(i for i in sets if forest.root(i) == i)
+
+
+def test_keep_one_finds_pairs_among_shared_boilerplate(spark):
+    rng = random.Random(6)
+    shared = " ".join(f"s{rng.randrange(10**6)}" for _ in range(150))
+    texts = {}
+    for i in range(120):  # partners are alike, others share the passage only
+        own = [f"o{rng.randrange(10**6)}" for _ in range(60)]
+        texts[i] = shared + " " + " ".join(own)
+        own[8] = own[22] = own[36] = own[50] = "x"
+        texts[200 + i] = shared + " " + " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == alike_components(texts) == list(range(120))
+
+
+def test_parity_bound_leaves_in_all_alike():
+    rng = np.random.default_rng(8)
+    n, same = np.full(60, 100), np.full(60, 90)
+    words = np.zeros((60, simhash.PARITY), np.uint64)
+    left, right = np.triu_indices(60, 1)
+    assert simhash.may_be_alike(n, same, words, left, right, 0.8).all()
+    for _ in range(300):  # the bound never leaves out a pair alike
+        a = np.unique(rng.integers(0, 1 << 62, 200).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: rng.integers(150, 200)], rng.integers(0, 1 << 62, rng.integers(0, 40)).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        left_in = simhash.may_be_alike(np.array([len(a), len(b)]), np.array([len(a), len(b)]), np.stack([simhash.parity(a), simhash.parity(b)]), np.array([0]), np.array([1]), 0.8)[0]
+        assert left_in or both < 0.8 * (len(a) + len(b) - both)
+
+
 def brute_removed(texts, least=100):
     seen, out = set(), {}
     for i in sorted(texts):
