@@ -264,6 +264,17 @@ def test_parity_bound_leaves_in_all_alike():
         assert left_in or both < 0.8 * (len(a) + len(b) - both)
 
 
+def test_keep_one_counts_repeated_shingles_once(spark):
+    rng = random.Random(11)
+    texts = {}
+    for i in range(20):
+        words = " ".join(f"w{rng.randrange(10**6)}" for _ in range(600))
+        texts[i] = words
+        texts[100 + i] = words + "\n" + " ".join(f"r{i}x{k}" for k in range(10)) + (" " + " ".join(f"r{i}x{k}" for k in range(10))) * 49
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == alike_components(texts) == list(range(20))
+
+
 def brute_removed(texts, least=100):
     seen, out = set(), {}
     for i in sorted(texts):
