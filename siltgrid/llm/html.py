@@ -38,73 +38,105 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)
 CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose content is not markup.
-RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title noscript iframe template svg".split())
+INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mstyle mfrac msqrt mroot msub msup msubsup mover munder munderover".split())
 #: Elements, and words of a class, id or role, that are never content.
-CHROME_TAGS = frozenset("nav header footer aside form menu dialog head button select option figcaption".split()) | RAW
+CHROME_TAGS = frozenset("nav header footer aside form menu dialog head button select option".split()) | RAW
 CHROME_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside ad ads advert advertisement adverts sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal newsletter subscribe share sharing social related comment comments commentlist disqus respond pagination pager search toolbar widget masthead contentinfo complementary".split()
 )
+#: A class that begins so tells what the page has beside the element.
+MODIFIERS = frozenset("no not has with without hide".split())
+#: What makes an element chrome: a class, id or role, which gives way where it holds the page's only main element, or its tag.
+BY_CLASS, BY_TAG = 1, 2
 MAIN_TAGS = frozenset(("article", "main"))
-#: Deeper elements count as children of one at this depth.
+#: Deeper elements lend their text to the one at this depth.
 DEPTH = 60
 #: A pivot node is template if at least so many pages have it and so large a part of them the same text.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 4, 0.8
-#: Wrappers are broadcast up to so many hosts; a row is bounded by WRAPPER_NODES.
-BROADCAST_HOSTS, WRAPPER_NODES = 5000, 400
+#: Wrappers are broadcast up to so many hosts.
+BROADCAST_HOSTS = 5000
 
 
 class Node:
     __slots__ = ("label", "tag", "chrome", "main", "children", "number")
 
-    def __init__(self, label: str, tag: str, chrome: bool, main: bool):
+    def __init__(self, label: str, tag: str, chrome: int, main: bool):
         self.label, self.tag, self.chrome, self.main = label, tag, chrome, main
         self.children: list[Node | str] = []
         self.number = -1
 
 
+def says_chrome(token: str) -> bool:
+    """Whether a class, id or role names chrome by its first or last word: site-footer and share-box do, no-sidebar and page-header-fixed don't."""
+    words = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+    return bool(words) and words[0] not in MODIFIERS and (words[0] in CHROME_WORDS or words[-1] in CHROME_WORDS)
+
+
 def parse(html: str) -> Node:
     """The tree of block elements; inline elements leave their text where it stands."""
-    root = Node("#", "#", False, False)
+    root = Node("#", "#", 0, False)
     stack, at, n = [root], 0, len(html)
+    deep: list[tuple[str, bool]] = []  # open elements beyond DEPTH, and whether they are chrome
+
+    def add(text: str) -> None:
+        if not any(chrome for _, chrome in deep):
+            stack[-1].children.append(text)
+
     while at < n:
         m = TOKEN.search(html, at)
         if m is None:
-            stack[-1].children.append(html[at:])
+            add(html[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
+            inner = next((i for i in range(len(deep) - 1, -1, -1) if deep[i][0] == tag), None)
+            if inner is not None:
+                del deep[inner:]
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
+                    deep.clear()
                     break
             continue
         if tag in RAW:
+            if m[3].endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = end.end() if end else n
             continue
         if tag == "br":
-            stack[-1].children.append(" ")
+            add(" ")
             continue
         if tag in VOID or tag in INLINE:
             continue
         if m[3].endswith("/"):
             continue
         closes = ("p",) if tag not in ("li", "dt", "dd", "tr", "td", "th", "option") else ("p", "li") if tag == "li" else ("p", "dt", "dd") if tag in ("dt", "dd") else ("p", "td", "th") if tag in ("td", "th") else ("p", "td", "th", "tr") if tag == "tr" else (tag,)
-        while len(stack) > 1 and stack[-1].tag in closes:
+        while deep and deep[-1][0] in closes:
+            deep.pop()
+        while not deep and len(stack) > 1 and stack[-1].tag in closes:
             stack.pop()
         words = {w for _, a, b, c in CLASS.findall(m[3]) for w in re.split(r"[^a-z0-9]+", (a or b or c).lower())} if m[3] else set()
+        tokens = [w for _, a, b, c in CLASS.findall(m[3]) for w in (a or b or c).lower().split()] if m[3] else []
         first = next((re.sub(r"[^a-z0-9_-]", "", (a or b or c).lower().split()[0]) for k, a, b, c in CLASS.findall(m[3]) if k.lower() == "class" and (a or b or c).split()), "") if m[3] else ""
         body = tag in ("html", "body") or tag in MAIN_TAGS
-        node = Node(f"{tag}.{first}" if first else tag, tag, tag in CHROME_TAGS or (not body and bool(words & CHROME_WORDS)), tag in MAIN_TAGS or "articlebody" in words)
+        node = Node(f"{tag}.{first}" if first else tag, tag, BY_TAG if tag in CHROME_TAGS else BY_CLASS if not body and any(map(says_chrome, tokens)) else 0, tag in MAIN_TAGS or "articlebody" in words)
+        if any(chrome for _, chrome in deep):
+            deep.append((tag, True))
+            continue
         stack[-1].children.append(node)
-        if len(stack) < DEPTH:
+        if len(stack) < DEPTH and not deep:
             stack.append(node)
+        else:
+            deep.append((tag, bool(node.chrome)))
+            stack[-1].main = stack[-1].main or (node.main and not node.chrome)
     return root
 
 
@@ -196,13 +228,15 @@ def content(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
     """Texts of content blocks in page order. template: numbers of skeleton nodes whose own text is template; it does not reach into an article."""
     blocks: list[str] = []
 
-    def has_main(node: Node) -> bool:
-        return not node.chrome and (node.main or any(has_main(c) for c in node.children if isinstance(c, Node)))
+    def has_main(node: Node, least: int) -> bool:
+        return node.chrome < least and (node.main or any(has_main(c, least) for c in node.children if isinstance(c, Node)))
 
-    within = has_main(root)
+    within = has_main(root, BY_CLASS)
+    around = not within and has_main(root, BY_TAG)  # a class alone does not make chrome of what holds the only main element
+    within = within or around
 
     def visit(node: Node, inside: bool) -> None:
-        if node.chrome:
+        if node.chrome and not (around and not inside and has_main(node, BY_TAG)):
             return
         inside = inside or node.main
         take = inside if within else node.number not in template
@@ -235,7 +269,7 @@ def layouts(pages: DataFrame, url: str, html: str) -> DataFrame:
             skeleton, behind = number(parse(text or ""))
             hosts.append(split_url(link)[0])
             skeletons.append(skeleton)
-            hashes.append([xxhash.xxh64_intdigest(own_text(g).encode("utf-8", "replace"), 0) - (1 << 63) for g in behind[:WRAPPER_NODES]])
+            hashes.append([xxhash.xxh64_intdigest(own_text(g).encode("utf-8", "replace"), 0) - (1 << 63) for g in behind])
         return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(skeletons, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], ["host", "skeleton", "texts"])
 
     return common.map_batches(pages.select(url, html), run, "host string, skeleton string, texts array<long>")

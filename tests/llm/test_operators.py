@@ -375,6 +375,21 @@ def test_wrapper_induction(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_no_part_of_an_article_is_lost():
+    def text(page):
+        return html.content(html.parse(page))
+
+    for name in ("content with-sidebar", "no-sidebar", "page-header-fixed", "menu"):
+        assert text(f"<div class='{name}'><article><p>Story.</p></article></div><footer>f</footer>") == ["Story."]
+    assert text("<div class=related><article>Teaser</article></div><article>Story</article>") == ["Story"]
+    assert text("<div class='site-footer'>f</div><div class='no-sidebar'>Story</div>") == ["Story"]
+    assert text("<article>a<svg/> b<p>c</p></article>") == ["a b", "c"]
+    assert text("<article>" + "<div>" * 80 + "in" + "</div>" * 80 + "<p>after</p></article>") == ["in", "after"]
+    assert text("<article>" + "<div>" * 80 + "in<nav>menu<p>m</p></nav>" + "</div>" * 80 + "<p>after</p></article>") == ["in", "after"]
+    assert text("<div>" * 80 + "<article>in</article>" + "</div>" * 80) == ["in"]
+    assert text("<article><p>E: <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><figure><figcaption>Cap</figcaption></figure><object>alt</object></article>") == ["E: x=1", "Cap", "alt"]
+
+
 def test_tree_matching():
     a, b = "#(html(nav,div(p),footer))", "#(html(nav,aside,div(h1,p),footer))"
     m = html.match_trees(a, b)
