@@ -4,11 +4,11 @@ Pages of a host share a layout. Each page's DOM is reduced to its skeleton: bloc
 first class, runs of equal siblings as one node. A host's most frequent skeleton is the pivot, and
 each page's skeleton is aligned with it by simple tree matching. Over all pages of the host, a pivot
 node whose own text is (nearly) always the same is template; one whose text varies is a slot, and
-slots are content. What the elements themselves declare comes first: menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments are never content, though their text may
-vary from page to page (as menus and adverts do), and an article is never template, though two pages
-of a host may carry the same one. So where pages name their article, the wrapper only confirms it; where
-they don't, the wrapper finds it.
+slots are content, inside an article and beside it. What the elements themselves declare comes first:
+menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
+never content, though their text may vary from page to page (as menus and adverts do). An article
+breaks ties: where the wrapper has no verdict on a node (it has no counterpart, or too few pages have
+it) or leaves nothing of a page, a page that names its article gives what is in it, and else everything.
 
 Only skeletons and hashes of node texts are shuffled, with counts summed before they travel; a host of
 any size is one wrapper row. The wrappers are broadcast when a count shows that they are few, and else
@@ -224,8 +224,8 @@ def own_text(nodes: list[Node]) -> str:
     return plain(" ".join(c for node in nodes for c in node.children if isinstance(c, str)))
 
 
-def content(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
-    """Texts of content blocks in page order. template: numbers of skeleton nodes whose own text is template; it does not reach into an article."""
+def content(root: Node, template: frozenset[int] = frozenset(), slots: frozenset[int] = frozenset()) -> list[str]:
+    """Texts of content blocks in page order. template, slots: numbers of skeleton nodes whose own text is template or varies; of others an article decides."""
     blocks: list[str] = []
 
     def has_main(node: Node, least: int) -> bool:
@@ -239,7 +239,7 @@ def content(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
         if node.chrome and not (around and not inside and has_main(node, BY_TAG)):
             return
         inside = inside or node.main
-        take = inside if within else node.number not in template
+        take = node.number in slots or (node.number not in template and (inside or not within))
         run: list[str] = []
 
         def flush() -> None:
@@ -257,7 +257,7 @@ def content(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
         flush()
 
     visit(root, False)
-    return blocks
+    return blocks if blocks or not (template or slots) or not within else content(root)
 
 
 def layouts(pages: DataFrame, url: str, html: str) -> DataFrame:
@@ -276,7 +276,7 @@ def layouts(pages: DataFrame, url: str, html: str) -> DataFrame:
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, pivot, template): each host's pivot skeleton and the numbers of its template nodes."""
+    """(host, pivot, template, slots): each host's pivot skeleton and the numbers of its template nodes and of those that vary."""
     found = common.saved(layouts(pages, url, html), "layouts")
     order = Window.partitionBy("host").orderBy(F.desc("n"), "skeleton")
     pivots = found.groupBy("host", "skeleton").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(order)).filter("r = 1").select("host", F.col("skeleton").alias("pivot"))
@@ -294,7 +294,8 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
     votes = common.map_batches(alike.join(pivots, "host").select("host", "skeleton", "texts", "n", "pivot"), run, "host string, node int, text long, n long")
     by_text = votes.groupBy("host", "node", "text").agg(F.sum("n").alias("n"))
     nodes = by_text.groupBy("host", "node").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
-    fixed = nodes.filter((F.col("all") >= TEMPLATE_PAGES) & (F.col("most") >= TEMPLATE_SHARE * F.col("all"))).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
+    same = F.col("most") >= TEMPLATE_SHARE * F.col("all")
+    fixed = nodes.filter(F.col("all") >= TEMPLATE_PAGES).groupBy("host").agg(F.sort_array(F.collect_list(F.when(same, F.col("node")))).alias("template"), F.sort_array(F.collect_list(F.when(~same, F.col("node")))).alias("slots"))
     return pivots.join(fixed, "host", "left")
 
 
@@ -308,16 +309,16 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     kind = pages.schema[key].dataType.simpleString()
     rows = common.map_batches(pages.select(key, url, html), with_host, f"{key} {kind}, url string, html string, host string")
-    joined = rows.join(F.broadcast(made) if few else made, "host", "left").select(key, "url", "html", "pivot", "template")
+    joined = rows.join(F.broadcast(made) if few else made, "host", "left").select(key, "url", "html", "pivot", "template", "slots")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for html_text, pivot, template in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+        for html_text, pivot, template, slots in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
             root = parse(html_text or "")
             skeleton, _ = number(root)
-            fixed = set(template or ())
-            own = frozenset(i for i, j in enumerate(match_trees(skeleton, pivot)) if j in fixed) if fixed and pivot else frozenset()
-            texts.append("\n\n".join(content(root, own)))
+            match = match_trees(skeleton, pivot) if pivot and (template or slots) else ()
+            own, varying = (frozenset(i for i, j in enumerate(match) if j in found) for found in (set(template or ()), set(slots or ())))
+            texts.append("\n\n".join(content(root, own, varying)))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [key, "url", "text", "n_chars"])
 
     return common.map_batches(joined, run, f"{key} {kind}, url string, text string, n_chars long")

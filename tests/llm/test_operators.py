@@ -375,6 +375,13 @@ def test_wrapper_induction(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_wrapper_decides_beside_and_inside_articles(spark):
+    page = "<div class=body><p>Story {0} begins.</p></div><article><h2>Join our list</h2></article>"
+    rows = [(i, f"http://t.test/{i}", page.format(i)) for i in range(6)] + [(10 + i, f"http://u.test/{i}", "<article><p>The same.</p></article>") for i in range(6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} begins." for i in range(6)} | {10 + i: "The same." for i in range(6)}
+
+
 def test_no_part_of_an_article_is_lost():
     def text(page):
         return html.content(html.parse(page))
