@@ -6,7 +6,9 @@ characters in this way is rejected, as is one that fails the base rules (too few
 repeated three-word windows).
 
 Nulls and texts without a word have zero counts and fail the base rules. Repeated rows are judged
-one by one. Extra columns are not read. The work is one pass over the documents without a shuffle.
+one by one, texts of any length whole. Extra columns, whatever their names, are not read, or pass
+through where whole rows are kept. An empty table gives no rows. The work is one pass over the
+documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ CONTINUATION = bytes(range(0x80, 0xC0))
 #: How a sentence ends: a mark, then closing quotes or brackets.
 SENTENCE_END = re.compile(r"""[.!?:;…。！？]["'”’»)\]]*$""")
 SEPARATORS = "|»›•·"
-#: Phrases of notices, licences and site furniture.
+#: Phrases of notices, licences and site furniture, in English, French, German and Spanish.
 BOILERPLATE_PHRASES = (
     "all rights reserved",
     "terms of use",
@@ -47,6 +49,114 @@ BOILERPLATE_PHRASES = (
     "lorem ipsum",
     "copyright (c)",
     "copyright ©",
+    "terms and conditions",
+    "we use cookies",
+    "cookie settings",
+    "manage cookies",
+    "accept all",
+    "sign up for our",
+    "log in to your account",
+    "create an account",
+    "forgot your password",
+    "add to cart",
+    "add to basket",
+    "back to top",
+    "read more",
+    "load more",
+    "leave a comment",
+    "post a comment",
+    "share this",
+    "tweet this",
+    "share on twitter",
+    "like us on",
+    "join our mailing list",
+    "powered by",
+    "report this ad",
+    "skip to main",
+    "enable javascript",
+    "mit license",
+    "apache license",
+    "without warranty of any kind",
+    "tous droits réservés",
+    "mentions légales",
+    "conditions d'utilisation",
+    "conditions générales",
+    "politique de confidentialité",
+    "utilise des cookies",
+    "utilisons des cookies",
+    "accepter les cookies",
+    "tout accepter",
+    "gérer les cookies",
+    "abonnez-vous",
+    "inscrivez-vous",
+    "s'inscrire à la newsletter",
+    "cliquez ici",
+    "lire la suite",
+    "en savoir plus",
+    "partager sur",
+    "suivez-nous",
+    "mot de passe oublié",
+    "ajouter au panier",
+    "retour en haut",
+    "aller au contenu",
+    "laisser un commentaire",
+    "plan du site",
+    "propulsé par",
+    "sous licence",
+    "alle rechte vorbehalten",
+    "allgemeine geschäftsbedingungen",
+    "nutzungsbedingungen",
+    "datenschutzerklärung",
+    "datenschutzbestimmungen",
+    "impressum",
+    "verwendet cookies",
+    "verwenden cookies",
+    "cookies akzeptieren",
+    "alle akzeptieren",
+    "cookie-einstellungen",
+    "newsletter abonnieren",
+    "jetzt anmelden",
+    "hier klicken",
+    "klicken sie hier",
+    "weiterlesen",
+    "mehr erfahren",
+    "teilen auf",
+    "folgen sie uns",
+    "passwort vergessen",
+    "in den warenkorb",
+    "nach oben",
+    "zum inhalt springen",
+    "kommentar schreiben",
+    "unterstützt von",
+    "lizenziert unter",
+    "todos los derechos reservados",
+    "aviso legal",
+    "condiciones de uso",
+    "términos y condiciones",
+    "política de privacidad",
+    "política de cookies",
+    "utiliza cookies",
+    "utilizamos cookies",
+    "aceptar cookies",
+    "aceptar todo",
+    "configurar cookies",
+    "suscríbete",
+    "suscribirse al boletín",
+    "regístrate",
+    "haz clic aquí",
+    "haga clic aquí",
+    "leer más",
+    "ver más",
+    "compartir en",
+    "síguenos",
+    "olvidaste tu contraseña",
+    "añadir al carrito",
+    "volver arriba",
+    "saltar al contenido",
+    "deja un comentario",
+    "mapa del sitio",
+    "con la tecnología de",
+    "bajo licencia",
 )
 BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE_PHRASES)))
 
@@ -155,15 +265,17 @@ def line_first(df: DataFrame, key: str = "doc_id", text: str = "text", rules: Li
 
 
 def keep_documents(df: DataFrame, key: str = "doc_id", text: str = "text", rules: LineRules = PRODUCTION) -> DataFrame:
-    """The rows whose documents pass, with all their columns; the verdict needs no shuffle.
+    """The rows whose documents pass, with all their columns, and their texts without the lines that fail.
 
     The whole row goes through the pass, so that rows that share a key are judged one by one.
     """
     at = df.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        passed = [t.is_valid and judge(t.as_buffer().to_pybytes(), rules)[6] for t in batch.column(at)]
-        return batch.filter(pa.array(passed, pa.bool_()))
+        found = [judge(t.as_buffer().to_pybytes(), rules) if t.is_valid else None for t in batch.column(at)]
+        passed = [r is not None and r[6] for r in found]
+        kept = pa.array([r[7].decode("utf-8", "replace") for r in found if r is not None and r[6]], batch.schema.field(at).type)
+        return batch.filter(pa.array(passed, pa.bool_())).set_column(at, batch.schema.field(at), kept)
 
     return common.map_batches(df, run, df.schema)
 
@@ -174,7 +286,7 @@ def op7_line_rules(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     word = r"[^\x20\x09-\x0D]+"
-    phrases = "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE_PHRASES)
+    phrases = "|".join(p.replace("(", r"\(").replace(")", r"\)").replace("'", "''") for p in BOILERPLATE_PHRASES)
     r = PRODUCTION
     lower = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"""

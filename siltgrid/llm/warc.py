@@ -11,8 +11,9 @@ Reading: index rows are sorted by file and offset, neighbouring byte ranges are
 bounded size, and each range is read at once and cut into its records.
 
 Payload groups are aggregated by digest before anything is joined; a group of copies of any size is
-one row there, and only rows that have copies look it up. A null html has an empty payload. Pages
-that share an id stay separate records; one without an id is a response.
+one row there. A null html has an empty payload. Pages that share an id stay separate records, each
+judged by its own payload; one without an id is a response. Pages that share id and payload get the
+same verdict. Urls and texts of any length are written whole; other columns are not read. An empty table gives no records.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from . import common
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
 #: Bytes from which a coalesced read ends, the gap that it may bridge, and that of an archive.
 READ_BYTES, GAP_BYTES, ARCHIVE_BYTES = 4 << 20, 64 << 10, 256 << 20
+#: Archive bytes that a reading task takes, at most (about) and at least, where the cluster has tasks to spare.
+TASK_BYTES, LEAST_TASK_BYTES = 128 << 20, 4 << 20
 
 
 def bare_digest(payload: bytes) -> str:
@@ -80,11 +83,12 @@ def parse_record(data: bytes) -> dict:
 
 
 def decide(pages: DataFrame, key: str = "page_id", html: str = "html", least_bytes: int = 0) -> DataFrame:
-    """(key, refers_to) of the pages that revisit another; pages of equal payloads of at least so many bytes form a group."""
+    """(key, digest, refers_to) of the pages that revisit another; pages of equal payloads of at least so many bytes form a group."""
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
-    rows = pages.select(key, F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")).filter(F.col("size") >= least_bytes)
-    groups = rows.groupBy("digest").agg(F.max(key).alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    return rows.join(groups, "digest").filter(F.col(key) < F.col("refers_to")).groupBy(key).agg(F.max("refers_to").alias("refers_to"))
+    rows = pages.select(key, F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")).filter((F.col("size") >= least_bytes) & F.col(key).isNotNull())
+    groups = rows.groupBy("digest").agg(F.max(key).alias("refers_to"), F.min(key).alias("least")).filter("least < refers_to").select("digest", "refers_to")
+    groups = common.small_side(common.saved(groups, "payload-groups"))
+    return rows.join(groups, "digest").filter(F.col(key) < F.col("refers_to")).select(key, "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -133,7 +137,7 @@ def coalesced(ranges: list[tuple[int, int]], most: int = READ_BYTES, gap: int =
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Read the records that the index rows name: (page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload)."""
+    """Read the records that the stored index's rows name, and check what they hold against their digests and sizes: (page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload)."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
@@ -155,11 +159,16 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                         found = parse_record(zlib.decompress(block[offset - start : offset - start + length], 31))
                         f = found["fields"]
                         refers = f.get("X-Refers-To-Page-ID")
+                        if f["WARC-Type"] == "response" and (len(found["payload"]) != found["payload_bytes"] or f["WARC-Payload-Digest"] != f"sha1:{bare_digest(found['payload'])}"):
+                            raise ValueError(f"{open_name} at {offset}: the payload is not the one that its record names")
                         page = f.get("X-Page-ID")
                         out.append((None if page is None else int(page), f["WARC-Target-URI"], found["payload_bytes"], f["WARC-Payload-Digest"].removeprefix("sha1:"), f["WARC-Type"], None if refers is None else int(refers), found["payload"]))
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names)
 
-    return index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(common.tidied(run), schema)
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // TASK_BYTES), min(index.sparkSession.sparkContext.defaultParallelism, total // LEAST_TASK_BYTES))
+    ranges = index.select("file", "offset", "length").repartitionByRange(int(tasks), "file", "offset").sortWithinPartitions("file", "offset")
+    return ranges.mapInArrow(common.tidied(run), schema)
 
 
 def write_and_index(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> tuple[DataFrame, str]:
@@ -167,8 +176,8 @@ def write_and_index(pages: DataFrame, key: str = "page_id", url: str = "url", ht
     folder = common.scratch(pages.sparkSession, "warc")
     if "://" not in folder and not folder.startswith("file:"):
         folder = f"file://{folder}"
-    refers = decide(pages, key, html, least_bytes)
-    marked = pages.select(key, url, html).join(refers, key, "left")
+    digest = F.sha1(F.coalesce(F.col(html).cast("binary"), F.lit(b"")))
+    marked = pages.select(key, url, html, digest.alias("digest")).join(decide(pages, key, html, least_bytes), [key, "digest"], "left")
     return common.saved(write_archives(marked, folder, key, url, html), "warc-index"), folder
 
 
