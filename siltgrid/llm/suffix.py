@@ -19,7 +19,9 @@ Windows are compared by 64-bit fingerprints at offsets that agree in the anchor,
 own removal by exact byte ranges.
 
 Texts are whole UTF-8 bytes; a null text is empty. Rows without an id take no part in the index and
-stay whole. Rows that share an id count as one document: what is removed in one is removed in each.
+stay whole. Rows that share an id are documents of their own, told apart by a hash of their text: none of
+them is earlier than another, so what they repeat of each other stays, and equal ones are judged alike.
+Other columns, whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from . import common
 
 LEAST, ANCHOR = 100, 40
 #: Names of joined columns, which a table of documents is not expected to have.
-RANGES, OWNER = "__siltgrid_ranges", "__siltgrid_owner"
+RANGES, OWNER, MARK, OWNER_MARK = "__siltgrid_ranges", "__siltgrid_owner", "__siltgrid_mark", "__siltgrid_owner_mark"
 _RANDOM = np.random.default_rng(7)
 BYTE_VALUES = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -101,7 +103,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def suffixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int = LEAST, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Anchored suffixes of documents that lie side by side: document number, anchor's and reach's fingerprint, first window, windows after it, place of the anchor after the first window."""
+    """Anchored suffixes of documents that lie side by side: document number, anchor's and reach's fingerprint, first window, windows after it."""
     prints = Prints(data)
     grams = mixed(prints.all_of_length(anchor), 1)
     width = least - anchor + 1
@@ -111,7 +113,7 @@ def suffixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int
         ordered = (part >> PLACE_BITS << PLACE_BITS) | np.arange(len(part), dtype=np.uint64)
         found.append((sliding_least(ordered, width) & np.uint64((1 << int(PLACE_BITS)) - 1)).astype(np.int64) + at)
     if not found:
-        return tuple(np.zeros(0, k) for k in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, k) for k in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
     picked = np.concatenate(found)
     doc = np.searchsorted(ends, np.arange(len(picked)), side="right")
     inside = (doc < len(ends)) & (np.arange(len(picked)) + least <= ends[np.minimum(doc, len(ends) - 1)])
@@ -123,53 +125,76 @@ def suffixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int
     last = np.append(first[1:], len(window)) - 1
     low, high, doc, at = window[first], window[last], doc[first], picked[first]
     reach = mixed(prints.of(low, high + least), 2) ^ mixed(((at - low) << 16 | (high - low)).astype(np.uint64), 3)
-    return doc, grams[at], reach, low - starts[doc], high - low, at - low
+    return doc, grams[at], reach, low - starts[doc], high - low
 
 
 class LevelFamily:
-    """Sorted arrays of (print, document, place), each at least twice as long as the next."""
+    """Sorted arrays of (print, document, its mark, place), each at least twice as long as the next."""
 
     def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, prints: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Take in a batch; tells which of its entries have an equal one earlier, in the batch or in a level."""
-        order = np.lexsort((places, docs, prints))
-        p, d, s = prints[order], docs[order], places[order]
+    def add(self, prints: np.ndarray, docs: np.ndarray, marks: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Take in a batch; tells which of its entries have an equal one earlier, in the batch or in a level.
+
+        Entries are held against the first of their print alone. What that leaves open among rows that share an id is
+        for the scan over the cluster.
+        """
+        order = np.lexsort((places, marks, docs, prints))
+        p, d, m, s = (x[order] for x in (prints, docs, marks, places))
         new = np.ones(len(p), bool)
         new[1:] = p[1:] != p[:-1]
         first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(p) else np.zeros(0, np.int64)
-        covered = (d[first] < d) | ((d[first] == d) & (s[first] < s))
-        p1, d1, s1 = p[new], d[new], s[new]
-        beaten = np.zeros(len(p1), bool)
-        for lp, ld, ls in self.levels:
-            at = np.searchsorted(lp, p1)  # a level's equal prints begin with the earliest
-            at[at == len(lp)] = 0
-            hit = lp[at] == p1
-            beaten |= hit & ((ld[at] < d1) | ((ld[at] == d1) & (ls[at] < s1)))
+        covered = earlier(d[first], m[first], s[first], d, m, s)
+        head = tuple(x[new] for x in (p, d, m, s))
+        beaten = np.zeros(len(head[0]), bool)
+        for level in self.levels:
+            at = np.searchsorted(level[0], head[0])  # a level's equal prints begin with the earliest
+            at[at == len(level[0])] = 0
+            beaten |= (level[0][at] == head[0]) & earlier(*(x[at] for x in level[1:]), *head[1:])
         covered |= beaten[np.cumsum(new) - 1] if len(p) else False
         if (~beaten).any():
-            self.levels.append((p1[~beaten], d1[~beaten], s1[~beaten]))
+            self.levels.append(tuple(x[~beaten] for x in head))
         while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) > len(self.levels[-2][0]):
-            b, a = self.levels.pop(), self.levels.pop()
-            lp, ld, ls = (np.concatenate(x) for x in zip(a, b))
-            merge = np.lexsort((ls, ld, lp))
-            self.levels.append((lp[merge], ld[merge], ls[merge]))
+            later, before = self.levels.pop(), self.levels.pop()
+            both = [np.concatenate(x) for x in zip(before, later)]
+            merge = np.lexsort(both[::-1])
+            self.levels.append(tuple(x[merge] for x in both))
         out = np.empty(len(p), bool)
         out[order] = covered
         return out
 
 
-def joined_ranges(docs: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def earlier(doc: np.ndarray, mark: np.ndarray, place: np.ndarray, than_doc: np.ndarray, than_mark: np.ndarray, than_place: np.ndarray) -> np.ndarray:
+    """Whether a place comes before another: in a document of smaller id, or in the same document."""
+    return (doc < than_doc) | ((doc == than_doc) & (mark == than_mark) & (place < than_place))
+
+
+def starts_of(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of rows that agree in all columns begin."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def found_before(new: np.ndarray, doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order of (string, doc, mark, place), with `new` where a string begins: which have it earlier, and which are a document's first."""
+    own = new | starts_of(doc, mark)
+    first, mine = (np.flatnonzero(x)[np.cumsum(x) - 1] for x in (new, own))
+    return (doc[first] < doc) | (place[mine] < place), own
+
+
+def joined_ranges(docs: np.ndarray, marks: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
     """Join window ranges of a document that touch."""
     if len(docs) == 0:
-        return docs, low, high
-    order = np.lexsort((low, docs))
-    docs, low, high = docs[order], low[order], high[order]
-    new = np.ones(len(docs), bool)
-    new[1:] = (docs[1:] != docs[:-1]) | (low[1:] > high[:-1] + 1)
+        return docs, marks, low, high
+    order = np.lexsort((low, marks, docs))
+    docs, marks, low, high = (x[order] for x in (docs, marks, low, high))
+    new = starts_of(docs, marks)
+    new[1:] |= low[1:] > high[:-1] + 1
     first = np.flatnonzero(new)
-    return docs[first], low[first], np.maximum.reduceat(high, first)
+    return docs[first], marks[first], low[first], np.maximum.reduceat(high, first)
 
 
 def side_by_side(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,110 +218,123 @@ def in_parts(batch: pa.RecordBatch, most_bytes: int = 1 << 20) -> Iterator[pa.Re
         yield batch.slice(start)
 
 
-ROWS = "done boolean, anchor long, reach long, doc long, low long, more long, place long"
-_NAMES = ["done", "anchor", "reach", "doc", "low", "more", "place"]
+ROWS = "done boolean, anchor long, reach long, doc long, mark int, low long, more long"
+_NAMES = ["done", "anchor", "reach", "doc", "mark", "low", "more"]
 
 
-def _rows(done: bool, anchor, reach, doc, low, more, place) -> pa.RecordBatch:
-    n = len(doc)
-    arrays = [pa.array(np.full(n, done)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (anchor, reach, doc, low, more, place))]
-    return pa.RecordBatch.from_arrays(arrays, _NAMES)
+def _rows(done: bool, anchor, reach, doc, mark, low, more) -> pa.RecordBatch:
+    longs = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (anchor, reach, doc, low, more)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), done)), *longs[:3], pa.array(np.ascontiguousarray(mark), pa.int32()), *longs[3:]], _NAMES)
 
 
 def index_tasks(texts: DataFrame, least: int = LEAST) -> DataFrame:
-    """Suffixes that have no earlier equal in their task, and window ranges that have one (done)."""
+    """Suffixes of the texts (key, text, mark) that have no earlier equal in their task, and window ranges that have one (done)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = LevelFamily()
         for whole in batches:
             for batch in in_parts(whole):
                 data, starts, ends = side_by_side(batch.column(1))
-                number, anchor, reach, low, more, place = suffixes(data, starts, ends, least)
+                number, anchor, reach, low, more = suffixes(data, starts, ends, least)
                 if len(number) == 0:
                     continue
-                doc = batch.column(0).to_numpy()[number]
-                covered = family.add(reach, doc, low)
-                yield _rows(False, *(x[~covered] for x in (anchor, reach, doc, low, more, place)))
-                d, a, b = joined_ranges(doc[covered], low[covered], (low + more)[covered])
+                doc, mark = batch.column(0).to_numpy()[number], batch.column(2).to_numpy()[number]
+                covered = family.add(reach, doc, mark, low)
+                yield _rows(False, *(x[~covered] for x in (anchor, reach, doc, mark, low, more)))
+                d, m, a, b = joined_ranges(*(x[covered] for x in (doc, mark, low, low + more)))
                 if len(d):
-                    mark = mixed(d.view(np.uint64) ^ a.view(np.uint64), 5)
-                    yield _rows(True, mark, mark, d, a, b - a, np.zeros(len(d), np.int64))
+                    spread = mixed(d.view(np.uint64) ^ a.view(np.uint64), 5)
+                    yield _rows(True, spread, spread, d, m, a, b - a)
 
     return texts.mapInArrow(common.tidied(run), ROWS)
 
 
 def scan_anchors(rows: DataFrame) -> DataFrame:
-    """Merge the tasks' families by anchor: covered ranges are done; first reaches of anchors that have several stay open."""
+    """Merge the tasks' families by anchor: covered ranges are done; first reaches of anchors that have several stay open.
+
+    Rows are taken by reach, so an anchor of any number of reaches is never held as a whole: what waits is its first reach.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for done, anchor, reach, doc, low, more, place in common.by_runs(batches, 1):
+        at, waiting = None, None  # the last anchor, and rows of its only reach so far
+        for done, anchor, reach, doc, mark, low, more in common.by_runs(batches, 2):
             done = done.astype(bool)
-            parts = [(doc[done], low[done], (low + more)[done])]
-            live = ~done
-            anchor, reach, doc, low, more, place = (x[live] for x in (anchor, reach, doc, low, more, place))
+            parts = [(doc[done], mark[done], low[done], (low + more)[done])]
+            anchor, reach, doc, mark, low, more = (x[~done] for x in (anchor, reach, doc, mark, low, more))
             if len(doc):
-                new = np.ones(len(doc), bool)
-                new[1:] = (reach[1:] != reach[:-1]) | (anchor[1:] != anchor[:-1])
-                first = np.flatnonzero(new)[np.cumsum(new) - 1]
-                covered = (doc[first] < doc) | ((doc[first] == doc) & (low[first] < low))
-                parts.append((doc[covered], low[covered], (low + more)[covered]))
-                head = np.flatnonzero(new)
-                same = anchor[head][1:] == anchor[head][:-1]
-                several = np.append(same, False) | np.append(False, same)
-                at = head[several]
-                yield _rows(False, *(x[at] for x in (anchor, reach, doc, low, more, place)))
-            d, a, b = joined_ranges(*(np.concatenate(x) for x in zip(*parts)))
+                new_anchor = starts_of(anchor)
+                new = new_anchor | starts_of(reach)
+                covered, own = found_before(new, doc, mark, low)
+                parts.append((doc[covered], mark[covered], low[covered], (low + more)[covered]))
+                of = np.cumsum(new_anchor) - 1
+                several = np.bincount(of, new) > 1
+                if at == anchor[0]:
+                    several[0] = True
+                    if waiting is not None:
+                        yield waiting
+                        waiting = None
+                open_ = own & ~covered
+                now = open_ & several[of]
+                yield _rows(False, *(x[now] for x in (anchor, reach, doc, mark, low, more)))
+                last = open_ & (of == of[-1])
+                at, waiting = anchor[-1], None if several[-1] else _rows(False, *(x[last] for x in (anchor, reach, doc, mark, low, more)))
+            d, m, a, b = joined_ranges(*(np.concatenate(x) for x in zip(*parts)))
             zero = np.zeros(len(d), np.int64)
-            yield _rows(True, zero, zero, d, a, b - a, zero)
+            yield _rows(True, zero, zero, d, m, a, b - a)
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "reach", "doc", "low").mapInArrow(common.tidied(run), ROWS)
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "reach", "doc", "mark", "low").mapInArrow(common.tidied(run), ROWS)
+
+
+WINDOWS = "done boolean, print long, doc long, mark int, low long, high long"
 
 
 def window_rows(texts_with_open: DataFrame, least: int = LEAST) -> DataFrame:
-    """(print, doc, low) of the single windows of open suffixes that have no earlier equal in their task; with done, of those that have one."""
+    """(print, doc, mark, low) of the single windows of open suffixes that have no earlier equal in their task; with done, of those that have one."""
+    names = ["done", "print", "doc", "mark", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = LevelFamily()
         for whole in batches:
             for batch in in_parts(whole):
                 data, starts, _ = side_by_side(batch.column(1))
-                flat = batch.column(2)
+                flat = batch.column(3)
                 counts = np.array([0 if not v.is_valid else len(v) for v in flat], np.int64)
                 if not counts.sum():
                     continue
                 spans = flat.flatten()
                 low, more = (spans.field(i).to_numpy() for i in range(2))
                 number = np.repeat(np.arange(len(counts)), counts)
-                doc = np.repeat(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), counts)
                 each = np.repeat(np.arange(len(low)), more + 1)
                 step = np.arange(len(each)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-                window, doc = low[each] + step, doc[each]
-                at = starts[number][each] + window
+                row = number[each]
+                doc, mark = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False)[row] for i in (0, 2))
+                window = low[each] + step
+                at = starts[row] + window
                 prints = mixed(Prints(data).of(at, at + least), 4)
-                covered = family.add(prints, doc, window)
+                covered = family.add(prints, doc, mark, window)
                 open_ = ~covered
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int(open_.sum()), bool)), pa.array(prints[open_].view(np.int64)), pa.array(doc[open_]), pa.array(window[open_]), pa.array(window[open_])], ["done", "print", "doc", "low", "high"])
-                d, a, b = joined_ranges(doc[covered], window[covered], window[covered])
-                mark = mixed(d.view(np.uint64) ^ a.view(np.uint64), 6).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(d), bool)), pa.array(mark), pa.array(d), pa.array(a), pa.array(b)], ["done", "print", "doc", "low", "high"])
+                rows = (prints.view(np.int64), doc, mark, window, window)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int(open_.sum()), bool)), *(pa.array(x[open_]) for x in rows)], names)
+                d, m, a, b = joined_ranges(*(x[covered] for x in (doc, mark, window, window)))
+                spread = mixed(d.view(np.uint64) ^ a.view(np.uint64), 6).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(d), bool)), *map(pa.array, (spread, d, m, a, b))], names)
 
-    return texts_with_open.mapInArrow(common.tidied(run), "done boolean, print long, doc long, low long, high long")
+    return texts_with_open.mapInArrow(common.tidied(run), WINDOWS)
 
 
 def scan_windows(rows: DataFrame) -> DataFrame:
-    """Window ranges (doc, low, high) that start earlier elsewhere."""
+    """Window ranges (doc, mark, low, high) that start earlier elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for done, prints, doc, low, high in common.by_runs(batches, 1):
+        for done, prints, doc, mark, low, high in common.by_runs(batches, 1):
             done = done.astype(bool)
-            new = np.ones(len(doc), bool)
-            new[1:] = (prints[1:] != prints[:-1]) | done[1:] | done[:-1]
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            take = done | (doc[first] < doc) | ((doc[first] == doc) & (low[first] < low))
-            d, a, b = joined_ranges(doc[take], low[take], high[take])
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(b)], ["doc", "low", "high"])
+            new = starts_of(prints)
+            new[1:] |= done[1:] | done[:-1]
+            take = done | found_before(new, doc, mark, low)[0]
+            d, m, a, b = joined_ranges(*(x[take] for x in (doc, mark, low, high)))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (d, m, a, b))], ["doc", "mark", "low", "high"])
 
-    return rows.repartition("print").sortWithinPartitions("print", "done", "doc", "low").mapInArrow(common.tidied(run), "doc long, low long, high long")
+    return rows.repartition("print").sortWithinPartitions("print", "done", "doc", "mark", "low").mapInArrow(common.tidied(run), "doc long, mark int, low long, high long")
 
 
 def removed_mask(n: int, low: np.ndarray, high: np.ndarray, least: int) -> np.ndarray:
@@ -307,18 +345,31 @@ def removed_mask(n: int, low: np.ndarray, high: np.ndarray, least: int) -> np.nd
     return np.cumsum(change[:n]) > 0
 
 
+def marked(df: DataFrame, text: str) -> DataFrame:
+    """With MARK, a hash of the text, which tells rows of equal ids apart."""
+    return df.withColumn(MARK, F.hash(F.coalesce(F.col(text).cast("binary"), F.lit(b""))))
+
+
 def with_ranges(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """All rows and columns with the window ranges to remove: column RANGES, array of (low, high), null where there are none."""
-    texts = common.byte_texts(df.filter(F.col(key).isNotNull()), key, text)
-    scanned = common.saved(scan_anchors(index_tasks(texts, least)), "suffix-scan")
-    open_ = scanned.filter("not done").groupBy("doc").agg(F.collect_list(F.struct("low", "more")).alias("open"))
+
+    def own_texts(rows: DataFrame) -> DataFrame:
+        return marked(common.byte_texts(rows, key, text).withColumnRenamed("text", text), text)
+
+    def same(left: DataFrame, right: DataFrame):
+        return (left[key] == right[OWNER]) & (left[MARK] == right[OWNER_MARK])
+
+    scanned = common.saved(scan_anchors(index_tasks(own_texts(df.filter(F.col(key).isNotNull())), least)), "suffix-scan")
+    names = {"doc": OWNER, "mark": OWNER_MARK}
+    open_ = scanned.filter("not done").groupBy("doc", "mark").agg(F.collect_list(F.struct("low", "more")).alias("open")).withColumnsRenamed(names)
     # the same rows, unfiltered, are what the caller's own join moves: Spark then moves them once for both
-    own = common.byte_texts(df, key, text)
-    fetched = own.join(open_.withColumnRenamed("doc", OWNER), own[key] == F.col(OWNER), "left").select(F.col(OWNER).alias("doc"), own["text"], "open")
+    own = own_texts(df)
+    fetched = own.join(open_, same(own, open_), "left").select(F.col(OWNER).alias("doc"), own[text].alias("text"), F.col(OWNER_MARK).alias("mark"), "open")
     fine = scan_windows(window_rows(fetched, least))
-    ranges = scanned.filter("done").select("doc", "low", (F.col("low") + F.col("more")).alias("high")).unionByName(fine)
-    by_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias(RANGES)).withColumnRenamed("doc", OWNER)
-    return df.join(by_doc, df[key] == by_doc[OWNER], "left").drop(OWNER)
+    ranges = scanned.filter("done").select("doc", "mark", "low", (F.col("low") + F.col("more")).alias("high")).unionByName(fine)
+    by_doc = ranges.groupBy("doc", "mark").agg(F.collect_list(F.struct("low", "high")).alias(RANGES)).withColumnsRenamed(names)
+    rows = marked(df, text)
+    return rows.join(by_doc, same(rows, by_doc), "left").drop(OWNER, OWNER_MARK, MARK)
 
 
 def _range_arrays(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
