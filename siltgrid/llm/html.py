@@ -15,8 +15,9 @@ any size is one wrapper row. The wrappers are broadcast when a count shows that
 joined by host.
 
 A null html gives an empty text, as does a page without content. Ill-formed markup is read as browsers
-do in the common cases: paragraphs close each other, end tags without a start are skipped. Repeated rows
-are extracted one by one.
+do in the common cases: paragraphs close each other, end tags without a start are skipped. Pages of any
+length and depth are read whole, without recursion. Repeated rows are extracted one by one, also where
+they share an id. Other columns, whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,18 +41,23 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mstyle mfrac msqrt mroot msub msup msubsup mover munder munderover".split())
+#: The open elements that a start tag closes.
+CLOSES = {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "tr": ("p", "td", "th", "tr"), "option": ("option",)}
 #: Elements, and words of a class, id or role, that are never content.
 CHROME_TAGS = frozenset("nav header footer aside form menu dialog head button select option".split()) | RAW
 CHROME_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside ad ads advert advertisement adverts sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal newsletter subscribe share sharing social related comment comments commentlist disqus respond pagination pager search toolbar widget masthead contentinfo complementary".split()
 )
+#: Words that may stand beside those in the name of what is chrome; with any other word, the name says something else.
+NEUTRAL_WORDS = frozenset(
+    "site page main global top bottom left right primary secondary inner outer box block bar list item items link links wrap wrapper container content section area slot unit button buttons icons form row col panel post posts article articles story stories entry the and a".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A class that begins so tells what the page has beside the element.
 MODIFIERS = frozenset("no not has with without hide".split())
 #: What makes an element chrome: a class, id or role, which gives way where it holds the page's only main element, or its tag.
 BY_CLASS, BY_TAG = 1, 2
 MAIN_TAGS = frozenset(("article", "main"))
-#: Deeper elements lend their text to the one at this depth.
-DEPTH = 60
 #: A pivot node is template if at least so many pages have it and so large a part of them the same text.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 4, 0.8
 #: Wrappers are broadcast up to so many hosts.
@@ -59,107 +65,124 @@ BROADCAST_HOSTS = 5000
 
 
 class Node:
-    __slots__ = ("label", "tag", "chrome", "main", "children", "number")
+    """A block element. shown, named: whether a main element is in it, outside all chrome or outside what its tag makes chrome."""
+
+    __slots__ = ("label", "tag", "chrome", "main", "children", "number", "shown", "named")
 
     def __init__(self, label: str, tag: str, chrome: int, main: bool):
         self.label, self.tag, self.chrome, self.main = label, tag, chrome, main
         self.children: list[Node | str] = []
         self.number = -1
+        self.shown = self.named = False
 
 
 def says_chrome(token: str) -> bool:
-    """Whether a class, id or role names chrome by its first or last word: site-footer and share-box do, no-sidebar and page-header-fixed don't."""
-    words = [w for w in re.split(r"[^a-z0-9]+", token) if w]
-    return bool(words) and words[0] not in MODIFIERS and (words[0] in CHROME_WORDS or words[-1] in CHROME_WORDS)
+    """Whether a class, id or role names chrome: site-footer and share-box do, no-sidebar, page-header-fixed and share-price don't."""
+    words = [w for w in re.split(r"[^a-z]+", token) if w]
+    if not words or words[0] in MODIFIERS or CHROME_WORDS.isdisjoint(words):
+        return False
+    return all(w in CHROME_WORDS or w in NEUTRAL_WORDS for w in words)
+
+
+def new_node(tag: str, attributes: str) -> Node:
+    values = [(k.lower(), (a or b or c).lower()) for k, a, b, c in CLASS.findall(attributes)] if attributes else []
+    first = next((re.sub(r"[^a-z0-9_-]", "", v.split()[0]) for k, v in values if k == "class" and v.split()), "")
+    main = tag in MAIN_TAGS or any("articlebody" in re.split(r"[^a-z0-9]+", v) for _, v in values)
+    chrome = 0
+    if tag in CHROME_TAGS:
+        chrome = BY_TAG
+    elif tag not in HEADINGS and tag not in MAIN_TAGS and tag not in ("html", "body") and any(says_chrome(w) for _, v in values for w in v.split()):
+        chrome = BY_CLASS
+    return Node(f"{tag}.{first}" if first else tag, tag, chrome, main)
+
+
+def closed_later(html: str, tag: str, at: int) -> bool:
+    """Whether the element that a self-closing start tag would open is closed: then it is open, as browsers read it."""
+    m = re.compile(rf"<(/?){re.escape(tag)}\b", re.I).search(html, at)
+    return m is not None and bool(m[1])
 
 
 def parse(html: str) -> Node:
     """The tree of block elements; inline elements leave their text where it stands."""
     root = Node("#", "#", 0, False)
     stack, at, n = [root], 0, len(html)
-    deep: list[tuple[str, bool]] = []  # open elements beyond DEPTH, and whether they are chrome
+    open_tags = {"#": 1}  # how many open elements have a tag: an end tag without a start is skipped at once
+    made = [root]
 
-    def add(text: str) -> None:
-        if not any(chrome for _, chrome in deep):
-            stack[-1].children.append(text)
+    def close(above: int) -> None:
+        for node in stack[above:]:
+            open_tags[node.tag] -= 1
+        del stack[above:]
 
     while at < n:
         m = TOKEN.search(html, at)
         if m is None:
-            add(html[at:])
+            stack[-1].children.append(html[at:])
             break
         if m.start() > at:
-            add(html[at : m.start()])
+            stack[-1].children.append(html[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            inner = next((i for i in range(len(deep) - 1, -1, -1) if deep[i][0] == tag), None)
-            if inner is not None:
-                del deep[inner:]
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    deep.clear()
-                    break
+            if open_tags.get(tag):
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
+        empty = m[3].endswith("/") and (tag == "svg" or not closed_later(html, tag, at))
         if tag in RAW:
-            if m[3].endswith("/"):
-                continue
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
+            if not empty:
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                at = end.end() if end else n
             continue
         if tag == "br":
-            add(" ")
-            continue
-        if tag in VOID or tag in INLINE:
-            continue
-        if m[3].endswith("/"):
-            continue
-        closes = ("p",) if tag not in ("li", "dt", "dd", "tr", "td", "th", "option") else ("p", "li") if tag == "li" else ("p", "dt", "dd") if tag in ("dt", "dd") else ("p", "td", "th") if tag in ("td", "th") else ("p", "td", "th", "tr") if tag == "tr" else (tag,)
-        while deep and deep[-1][0] in closes:
-            deep.pop()
-        while not deep and len(stack) > 1 and stack[-1].tag in closes:
-            stack.pop()
-        words = {w for _, a, b, c in CLASS.findall(m[3]) for w in re.split(r"[^a-z0-9]+", (a or b or c).lower())} if m[3] else set()
-        tokens = [w for _, a, b, c in CLASS.findall(m[3]) for w in (a or b or c).lower().split()] if m[3] else []
-        first = next((re.sub(r"[^a-z0-9_-]", "", (a or b or c).lower().split()[0]) for k, a, b, c in CLASS.findall(m[3]) if k.lower() == "class" and (a or b or c).split()), "") if m[3] else ""
-        body = tag in ("html", "body") or tag in MAIN_TAGS
-        node = Node(f"{tag}.{first}" if first else tag, tag, BY_TAG if tag in CHROME_TAGS else BY_CLASS if not body and any(map(says_chrome, tokens)) else 0, tag in MAIN_TAGS or "articlebody" in words)
-        if any(chrome for _, chrome in deep):
-            deep.append((tag, True))
+            stack[-1].children.append(" ")
+        if tag in VOID or tag in INLINE or empty:
             continue
+        closes = CLOSES.get(tag, ("p",))
+        while len(stack) > 1 and stack[-1].tag in closes:
+            close(len(stack) - 1)
+        node = new_node(tag, m[3])
+        made.append(node)
         stack[-1].children.append(node)
-        if len(stack) < DEPTH and not deep:
-            stack.append(node)
-        else:
-            deep.append((tag, bool(node.chrome)))
-            stack[-1].main = stack[-1].main or (node.main and not node.chrome)
+        stack.append(node)
+        open_tags[tag] = open_tags.get(tag, 0) + 1
+    for node in reversed(made):  # parents are made before their children
+        inside = [c for c in node.children if isinstance(c, Node)]
+        node.shown = node.chrome < BY_CLASS and (node.main or any(c.shown for c in inside))
+        node.named = node.chrome < BY_TAG and (node.main or any(c.named for c in inside))
     return root
 
 
 def number(root: Node) -> tuple[str, list[list[Node]]]:
     """The skeleton as text, and the page's nodes behind each skeleton node in its order; nodes get its numbers."""
     behind: list[list[Node]] = []
-
-    def visit(group: list[Node]) -> str:
-        for node in group:
-            node.number = len(behind)
-        behind.append(group)
+    out: list[str] = []
+    todo: list[list[Node] | str] = [[root]]
+    while todo:
+        group = todo.pop()
+        if isinstance(group, str):
+            out.append(group)
+            continue
         runs: list[list[Node]] = []
         for node in group:
+            node.number = len(behind)
             for child in node.children:
                 if isinstance(child, Node):
                     if runs and runs[-1][0].label == child.label:
                         runs[-1].append(child)
                     else:
                         runs.append([child])
-        inside = ",".join(visit(run) for run in runs)
-        return f"{group[0].label}({inside})" if inside else group[0].label
-
-    return visit([root]), behind
+        behind.append(group)
+        out.append(group[0].label)
+        if runs:
+            out.append("(")
+            todo.append(")")
+            for i in range(len(runs) - 1, -1, -1):
+                todo.append(runs[i])
+                if i:
+                    todo.append(",")
+    return "".join(out), behind
 
 
 def read_skeleton(text: str) -> list[tuple[str, list[int]]]:
@@ -182,18 +205,17 @@ def read_skeleton(text: str) -> list[tuple[str, list[int]]]:
 def match_trees(a_text: str, b_text: str) -> tuple[int, ...]:
     """Simple tree matching: for each node of a, the node of b that the largest order-keeping match of equal labels gives it, or -1."""
     a, b = read_skeleton(a_text), read_skeleton(b_text)
+    reached = [(0, 0)] if a and b and a[0][0] == b[0][0] else []
+    for i, j in reached:  # grows: pairs that may match if their parents do
+        reached += [(p, q) for p in a[i][1] for q in b[j][1] if a[p][0] == b[q][0]]
     best: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-
-    def weigh(i: int, j: int) -> int:
-        if a[i][0] != b[j][0]:
-            return 0
-        if (i, j) in best:
-            return best[i, j][0]
+    for i, j in reversed(reached):
         left, right = a[i][1], b[j][1]
         table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
         for x, p in enumerate(left, 1):
             for y, q in enumerate(right, 1):
-                table[x][y] = max(table[x - 1][y], table[x][y - 1], table[x - 1][y - 1] + weigh(p, q))
+                both = best[p, q][0] if (p, q) in best else 0
+                table[x][y] = max(table[x - 1][y], table[x][y - 1], table[x - 1][y - 1] + both)
         pairs, x, y = [], len(left), len(right)
         while x and y:
             if table[x][y] == table[x - 1][y]:
@@ -204,15 +226,12 @@ def match_trees(a_text: str, b_text: str) -> tuple[int, ...]:
                 x, y = x - 1, y - 1
                 pairs.append((left[x], right[y]))
         best[i, j] = (1 + table[-1][-1], pairs)
-        return best[i, j][0]
-
     found = [-1] * len(a)
-    if a and b and weigh(0, 0):
-        todo = [(0, 0)]
-        while todo:
-            i, j = todo.pop()
-            found[i] = j
-            todo += best[i, j][1]
+    todo = reached[:1]
+    while todo:
+        i, j = todo.pop()
+        found[i] = j
+        todo += best[i, j][1]
     return tuple(found)
 
 
@@ -227,36 +246,31 @@ def own_text(nodes: list[Node]) -> str:
 def content(root: Node, template: frozenset[int] = frozenset(), slots: frozenset[int] = frozenset()) -> list[str]:
     """Texts of content blocks in page order. template, slots: numbers of skeleton nodes whose own text is template or varies; of others an article decides."""
     blocks: list[str] = []
-
-    def has_main(node: Node, least: int) -> bool:
-        return node.chrome < least and (node.main or any(has_main(c, least) for c in node.children if isinstance(c, Node)))
-
-    within = has_main(root, BY_CLASS)
-    around = not within and has_main(root, BY_TAG)  # a class alone does not make chrome of what holds the only main element
-    within = within or around
-
-    def visit(node: Node, inside: bool) -> None:
-        if node.chrome and not (around and not inside and has_main(node, BY_TAG)):
-            return
-        inside = inside or node.main
-        take = node.number in slots or (node.number not in template and (inside or not within))
-        run: list[str] = []
-
-        def flush() -> None:
-            text = plain("".join(run))
-            if text and take:
-                blocks.append(text)
-            run.clear()
-
-        for child in node.children:
-            if isinstance(child, str):
-                run.append(child)
-            else:
-                flush()
-                visit(child, inside)
+    run: list[str] = []
+    around = not root.shown and root.named  # a class alone does not make chrome of what holds the only main element
+    within = root.shown or around
+    taken = False  # whether the run's node is content
+
+    def flush() -> None:
+        text = plain("".join(run)) if taken else ""
+        if text:
+            blocks.append(text)
+        run.clear()
+
+    todo: list[tuple[Node | str | None, bool, bool]] = [(root, False, False)]  # what comes next; for a text, whether it is content
+    while todo:
+        item, inside, take = todo.pop()
+        if isinstance(item, str):
+            taken = take
+            run.append(item)
+            continue
         flush()
-
-    visit(root, False)
+        if item is None or (item.chrome and not (around and not inside and item.named)):
+            continue
+        inside = inside or item.main
+        take = item.number in slots or (item.number not in template and (inside or not within))
+        todo.append((None, False, False))
+        todo += [(child, inside, take) for child in reversed(item.children)]
     return blocks if blocks or not (template or slots) or not within else content(root)
 
 
