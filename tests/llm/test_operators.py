@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on the odd cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import random
@@ -298,12 +299,31 @@ def test_suffix_dedup_matches_brute_force(spark, docs):
     assert suffix.summary(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(21)
+    a, b = (bytes(rng.choice(range(97, 123)) for _ in range(400)).decode() for _ in range(2))
+    rows = [(1, a), (2, b), (2, a), (2, a), (3, b[:150] + a[:150] + b[150:300]), (3, None)]
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, low int, mark string").repartition(3)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix.summary(df).collect())
+    assert got == [(1, 400, 0, 0), (2, 400, 0, 0), (2, 400, 400, 1), (2, 400, 400, 1), (3, 0, 0, 0), (3, 450, 450, 1)]
+    assert sorted((r.doc_id, r.text or "") for r in suffix.strip_repeats(df).collect()) == [(1, a), (2, ""), (2, ""), (2, b), (3, ""), (3, "")]
+
+
+def test_equal_anchors_with_many_surroundings(spark):
+    rng = random.Random(22)
+    common_part = "".join(rng.choice("abcdef ") for _ in range(60))
+    texts = {i: "".join(rng.choice("uvwxyz ") for _ in range(90)) + common_part + "".join(rng.choice("uvwxyz ") for _ in range(90)) for i in range(300)}
+    texts |= {400: texts[7][20:], 401: texts[7], 402: texts[9][:140]}
+    got = collected(suffix.summary(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == brute_removed(texts)
+
+
 def test_level_family_finds_earlier_entries():
     rng, family, seen = np.random.default_rng(5), suffix.LevelFamily(), {}
     for _ in range(40):
         n = int(rng.integers(1, 60))
         p, d, s = rng.integers(0, 50, n).astype(np.uint64), rng.integers(0, 9, n), rng.integers(0, 9, n)
-        got = family.add(p, d, s)
+        got = family.add(p, d, np.zeros(n, np.int32), s)
         best = dict(seen)
         for k, *at in zip(p.tolist(), d.tolist(), s.tolist()):
             best[k] = min(best.get(k, tuple(at)), tuple(at))
@@ -342,6 +362,93 @@ def test_model_beats_its_base_on_held_out_text(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
 
 
+def plain_logs(model, words, leaf_of):
+    """log10 of each word's probability, word by word in plain Python. words: the text's, with its end; leaf_of: a word's (count, leaf)."""
+    mark = [xxhash.xxh64_intdigest(w, 0) >> 32 for w in words]
+    out = []
+    for i, w in enumerate(words):
+        count, leaf = leaf_of.get(w, (0, None))
+        if not count:
+            out.append(np.log10(model.unseen))
+            continue
+        one, two = mark[i - 1] if i else 1, mark[i - 2] if i > 1 else 1
+        both = (one * 0x9E3779B1 + two) * 0x85EBCA6B % 2**32
+        frequent = [model.rank_of[v] for v in words[:i] if v in model.rank_of]
+        top = 2**32 // 2**model.bits
+        rows = [one * 0xC2B2AE35 % 2**32 // top, both // top, two * 0x27D4EB2F % 2**32 // top, frequent[-1] + 1 if frequent else 0]
+        cls, slot = divmod(leaf, maxent.SLOTS)
+        salt = (cls + 1) * 0x165667B1 % 2**32
+        slot_rows = [(one ^ salt) * 0x9E3779B1 % 2**32 // top, (both ^ salt) * 0xC2B2AE3D % 2**32 // top]
+        total = 0.0
+        for layer, found, at, bias in ((model.layers[0], rows, cls, model.layers[0].bias), (model.layers[1], slot_rows, slot, model.layers[1].bias[cls])):
+            z = [float(bias[k]) + sum(float(layer.tables[t, r, k]) for t, r in enumerate(found)) for k in range(len(bias))]
+            total += z[at] - np.log(sum(np.exp(x) for x in z))
+        out.append((total + np.log(count / model.mass[leaf])) / np.log(10) + np.log10(1 - model.unseen))
+    return out
+
+
+def test_scores_equal_a_plain_model(spark):
+    rng = random.Random(10)
+    rows = [(i, prose(rng, rng.randint(0, 60))) for i in range(70)] + [(70, None), (71, "never seen words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    coded, model = maxent.fit(df)
+    leaves = {}
+    ranked = {}
+    for r in coded.collect():
+        marks, known = maxent.unpacked(bytes(r.marks), "<u4"), maxent.unpacked(bytes(r.known), "<i8")
+        leaves |= {int(m): (int(k >> 16), int((k & 0x7FFF) - 1)) for m, k in zip(marks, known)}
+        ranked |= {int(marks[c]): i for i, c in enumerate(r.frequent) if c >= 0}
+    every = {w for _, t in rows for w in [*(t or "").encode().lower().split(), b""]}
+    leaf_of = {w: leaves[xxhash.xxh64_intdigest(w, 0) >> 32] for w in every}
+    model.rank_of = {w: ranked[h] for w in every if (h := xxhash.xxh64_intdigest(w, 0) >> 32) in ranked}
+    assert abs(model.layers[0].tables).max() > 0.1 and abs(model.layers[1].tables).max() > 0.1
+    # the shares of a leaf's words sum to one, and so do the classes and slots of each context
+    shares = {}
+    for count, leaf in leaf_of.values():
+        shares[leaf] = shares.get(leaf, 0) + count
+    assert all(shares[leaf] == model.mass[leaf] for leaf in shares if leaf >= 0) and sum(model.mass) == model.n
+
+    score_of = {}
+    for r in coded.collect():
+        tokens = maxent.Tokens(bytes(r.codes), r.sizes)
+        count, leaf = (x[tokens.codes] for x in maxent.known_words(maxent.unpacked(bytes(r.known), "<i8")))
+        logs = model.logs(tokens, bytes(r.marks), r.frequent, count, leaf.astype(np.int32))
+        score_of |= dict(zip(r.ids, np.add.reduceat(logs, tokens.first)))
+    for i, t in rows:
+        assert score_of[i] == pytest.approx(sum(plain_logs(model, [*(t or "").encode().lower().split(), b""], leaf_of)), rel=1e-4)
+
+
+def test_steps_equal_plain_steps():
+    rng = np.random.default_rng(3)
+    layer = maxent.Layer(np.zeros((2, 16, 5)), np.log(np.full(5, 0.2)))
+    rows, target = [rng.integers(0, 16, 40).astype(np.uint16) for _ in range(2)], rng.integers(0, 5, 40)
+    layer.descend(rows, target)
+    weights = np.zeros((2, 16, 5))
+    slope = np.full((40, 5), 0.2)
+    slope[np.arange(40), target] -= 1
+    for t in range(2):
+        for r in range(16):
+            step = slope[rows[t] == r].sum(axis=0)
+            weights[t, r] -= step * maxent.RATE / np.sqrt((step**2).mean() + 1e-2)
+    assert np.allclose(layer.tables, weights, atol=1e-5)
+
+
+def test_words_that_are_not_hot_come_back_to_their_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    df = spark.createDataFrame([(i, prose(rng, 50)) for i in range(60)], "doc_id long, text string").repartition(3)
+    whole = {r.doc_id: r for r in maxent.score(df).collect()}
+    monkeypatch.setattr(maxent, "HOT", 12)
+    coded, model = maxent.fit(df)
+    counts = {}
+    for r in coded.collect():
+        for mark, known in zip(maxent.unpacked(bytes(r.marks), "<u4").tolist(), maxent.unpacked(bytes(r.known), "<i8").tolist()):
+            counts[mark] = known >> 16
+    texts = {r.doc_id: r.text for r in df.collect()}
+    train = [w for i, t in texts.items() if not maxent.held_out(i) for w in [*t.encode().lower().split(), b""]]
+    assert {xxhash.xxh64_intdigest(w, 0) >> 32: train.count(w) for w in set(train)} == {m: n for m, n in counts.items() if n}
+    assert sum(model.mass) == model.n == len(train) == whole[0].train_tokens
+
+
 def test_segment_sums():
     rng = np.random.default_rng(0)
     keys = np.sort(rng.integers(0, 40, 500))
@@ -382,6 +489,30 @@ def test_wrapper_decides_beside_and_inside_articles(spark):
     assert got == {i: f"Story {i} begins." for i in range(6)} | {10 + i: "The same." for i in range(6)}
 
 
+def test_wrapper_alone_recovers_main_texts(spark):
+    """Without chrome names and without article, slots and templates separate what varies from what does not."""
+    plain_page = "<div class=b1><p>Our site</p></div><div class=b2><h1>Title {0}</h1><p>Story {0} begins here.</p></div><div class=b3><span>All about us</span></div>"
+    rows = [(i, f"http://q.test/{i}", plain_page.format(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\n\nStory {i} begins here." for i in range(8)}
+
+
+def test_depth_and_names(spark):
+    def text(page):
+        return html.content(html.parse(page))
+
+    deep = "<div>" * 3000 + "<nav>MENU</nav><article><p>text</p></article>" + "</div>" * 3000
+    assert text(deep) == ["text"]
+    skeleton, behind = html.number(html.parse(deep))
+    assert len(behind) == 3004 and html.match_trees(skeleton, skeleton) == tuple(range(3004))
+    article = '<article><h2 class="header">A</h2><p class="share-price">B</p><p class="lead related-to">C</p><p class="share-box">D</p><div class="ad-slot-1">E</div></article>'
+    assert text(article) == ["A", "B", "C"]
+    assert text("<nav/>Menu</nav><p>x</p>") == ["x"] and text("<nav/><p>x</p>") == ["x"] and text("<script/>a</script>b") == ["b"]
+    rows = [(1, "http://e.test/1", "<p>a</p>", "p"), (1, "http://e.test/1", "<p>a</p>", "q"), (1, "http://e.test/2", "<p>" + "long " * 50000 + "</p>", "r")]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, pivot string")).collect()
+    assert sorted((r.page_id, r.n_chars) for r in got) == [(1, 1), (1, 1), (1, 249999)]
+
+
 def test_no_part_of_an_article_is_lost():
     def text(page):
         return html.content(html.parse(page))
@@ -449,3 +580,46 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert hits >= 0.9 * 60
     assert [i for _, i, _ in sorted(got[0])] == list(range(50, 60))
     assert ann.search(df.limit(0)).count() == 0
+
+
+def test_archives_keep_every_payload_of_a_shared_id(spark):
+    rows = [(5, "u", "same", "x"), (5, "u", "a payload of its own", "y"), (9, "u", "same", "z"), (9, "u", "same", "z"), (None, "u", "same", "n")]
+    index, folder = warc.write_and_index(spark.createDataFrame(rows, "page_id long, url string, html string, digest string"))
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, bytes(r.payload)) for r in warc.read_records(index, folder).collect())
+    assert got == [(0, "response", 0, b"same"), (5, "response", 0, b"a payload of its own"), (5, "revisit", 9, b""), (9, "response", 0, b"same"), (9, "response", 0, b"same")]
+
+
+def test_archives_that_hold_another_payload_are_refused(spark, tmp_path):
+    record = warc.record_bytes(1, "u", b"text", None).replace(b"\r\n\r\ntext", b"\r\n\r\ntexT")
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record))
+    index = spark.createDataFrame([("a.warc.gz", 0, len(gzip.compress(record)))], "file string, offset long, length long")
+    with pytest.raises(Exception, match="not the one that its record names"):
+        warc.read_records(index, f"file://{tmp_path}").collect()
+
+
+def test_url_escapes_and_vocabulary():
+    assert urls.by_vocabulary("http://a.test/%20porn%20b") == urls.by_vocabulary("http://a.test/a%2Fporn") == urls.by_vocabulary("http://a.test/p%6Frn") == "block"
+    assert urls.by_vocabulary("http://a.test/%C3porn%C3") == "block" and urls.by_vocabulary("http://a.test/p%6xorn") == "allow"
+    assert urls.by_vocabulary("http://a.test/casino") == "allow" and urls.by_vocabulary("http://a.test/casino/casino") == "allow"
+    assert urls.by_vocabulary("http://a.test/kostenlos/gewinnspiel") == urls.by_vocabulary("http://a.test/apuestas-gratis") == "block"
+    clean = ["https://example.org/essex/history", "http://news.test/2024/free-school-meals", "https://a.test/de/impressum", "http://b.test/sexton/scunthorpe", "https://c.test/analysis?x=1#top"]
+    assert all(urls.by_vocabulary(u) == "allow" for u in clean)
+    assert len(urls.STRICT_TERMS) > 60 and len(urls.SOFT_TERMS) > 120
+
+
+def test_url_rules_on_odd_rows(spark):
+    long_url = "http://" + "a" * 50000 + ".com/en/" + "b" * 50000
+    rows = [(1, long_url, "h"), (1, long_url, "h"), (2, None, "h")]
+    got = sorted((r.page_id, r.verdict) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, host string")).collect())
+    assert got == [(1, "block"), (1, "block"), (2, "allow")]
+
+
+def test_failed_lines_leave_kept_texts(spark):
+    rng = random.Random(31)
+    prose_lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) + "." for _ in range(8)]
+    furniture = ["Accueil | Contact | Plan | Aide", "Alle Rechte vorbehalten.", prose_lines[0], "Suscríbete a nuestro boletín."]
+    df = spark.createDataFrame([(1, "\n".join(prose_lines + furniture), "c"), (1, "\n".join(furniture), "c"), (2, None, "c")], "doc_id long, text string, cleaned string")
+    got = quality.keep_documents(df).collect()
+    assert [(r.doc_id, r.text, r.cleaned) for r in got] == [(1, "\n".join(prose_lines), "c")]
+    assert quality.line_first(df.limit(0)).count() == quality.keep_documents(df.limit(0)).count() == 0
+    assert quality.line_fails("Les conditions d'utilisation changent.", 4) == "boilerplate"
