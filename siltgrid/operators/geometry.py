@@ -42,8 +42,8 @@ def segments(df: DataFrame, line: str) -> DataFrame:
     return df.filter(n >= 2).select(*rest, F.posexplode(pairs).alias("segment", "p")).select(*rest, "segment", F.col("p.a.x").alias("x1"), F.col("p.a.y").alias("y1"), F.col("p.b.x").alias("x2"), F.col("p.b.y").alias("y2"))
 
 
-def clipped_length(x1: Column, y1: Column, x2: Column, y2: Column, left: Column, bottom: Column, right: Column, top: Column) -> Column:
-    """Length of a segment inside a box, by the parameters at which it enters and leaves each slab."""
+def inside_box(x1: Column, y1: Column, x2: Column, y2: Column, left: Column, bottom: Column, right: Column, top: Column) -> tuple[Column, Column]:
+    """The parameters at which a segment enters and leaves a box; it leaves before it enters where it misses the box."""
     def slab(a: Column, b: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
         d = b - a
         p, q = (lo - a) / F.when(d != 0, d), (hi - a) / F.when(d != 0, d)
@@ -54,7 +54,92 @@ def clipped_length(x1: Column, y1: Column, x2: Column, y2: Column, left: Column,
 
     ex, lx = slab(x1, x2, left, right)
     ey, ly = slab(y1, y2, bottom, top)
-    return F.greatest(F.least(lx, ly, F.lit(1.0)) - F.greatest(ex, ey, F.lit(0.0)), F.lit(0.0)) * F.hypot(x2 - x1, y2 - y1)
+    return F.greatest(ex, ey, F.lit(0.0)), F.least(lx, ly, F.lit(1.0))
+
+
+def clipped_length(x1: Column, y1: Column, x2: Column, y2: Column, left: Column, bottom: Column, right: Column, top: Column) -> Column:
+    """Length of a segment inside a box."""
+    enter, leave = inside_box(x1, y1, x2, y2, left, bottom, right, top)
+    return F.greatest(leave - enter, F.lit(0.0)) * F.hypot(x2 - x1, y2 - y1)
+
+
+def point(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def edges(ring: Column, f) -> Column:
+    """f(a, b) of each edge of a closed ring, as an array; empty for fewer than two points."""
+    n = F.size(ring)
+    every = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: f(F.get(ring, i - 1), F.get(ring, i)))
+    return F.when(n >= 2, every)
+
+
+def in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point lies in a closed ring, by parity of the edges to its right; left and lower borders belong to it."""
+    def crosses(a: Column, b: Column) -> Column:
+        up = b["y"] - a["y"]
+        at = (b["x"] - a["x"]) * (y - a["y"]) / F.when(up != 0, up) + a["x"]
+        return F.coalesce(((a["y"] > y) != (b["y"] > y)) & (x < at), F.lit(False))
+
+    return F.size(F.filter(edges(ring, crosses), lambda hit: hit)) % 2 == 1
+
+
+def bounds(ring: Column) -> tuple[Column, Column, Column, Column]:
+    """Left, bottom, right, top."""
+    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
+
+
+def spread(df: DataFrame, left: Column, bottom: Column, right: Column, top: Column, size: float) -> DataFrame:
+    """A row for each grid cell (gx, gy) that the box of a row meets."""
+    span = lambda lo, hi: F.sequence(F.floor(lo / size).cast("long"), F.floor(hi / size).cast("long"))
+    return df.select("*", F.explode(span(left, right)).alias("gx")).select("*", F.explode(span(bottom, top)).alias("gy"))
+
+
+def points_in_rings(points: DataFrame, rings: DataFrame, ring: str, size: float) -> DataFrame:
+    """Points (x, y) with the rings that hold them; both meet in grid cells, so each pair is tested once."""
+    cells = spread(rings, *bounds(F.col(ring)), size)
+    own = points.withColumn("gx", F.floor(F.col("x") / size).cast("long")).withColumn("gy", F.floor(F.col("y") / size).cast("long"))
+    return own.join(cells, ["gx", "gy"]).filter(in_ring(F.col("x"), F.col("y"), F.col(ring))).drop("gx", "gy")
+
+
+def clip_ring(df: DataFrame, ring: str, left: str, bottom: str, right: str, top: str) -> DataFrame:
+    """The ring cut to a box, side after side; empty where they don't meet."""
+    sides = (("x", left, 1), ("x", right, -1), ("y", bottom, 1), ("y", top, -1))
+    for axis, edge, sign in sides:
+        limit = F.col(edge)
+
+        def cut(a: Column, b: Column, axis=axis, limit=limit, sign=sign) -> Column:
+            in_a, in_b = (a[axis] - limit) * sign >= 0, (b[axis] - limit) * sign >= 0
+            run = b[axis] - a[axis]
+            t = (limit - a[axis]) / F.when(run != 0, run)
+            other = "y" if axis == "x" else "x"
+            moved = a[other] + t * (b[other] - a[other])
+            met = point(limit, moved) if axis == "x" else point(moved, limit)
+            return F.when(in_a & in_b, F.array(b)).when(in_a, F.array(met)).when(in_b, F.array(met, b)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+
+        df = df.withColumn(ring, F.coalesce(F.flatten(edges(F.col(ring), cut)), F.array().cast("array<struct<x:double,y:double>>")))
+        df = df.withColumn(ring, F.concat(F.col(ring), F.slice(F.col(ring), 1, 1)))
+    return df
+
+
+def touched_cells(size: float) -> Column:
+    """Grid cells (gx, gy) that a segment of columns x1, y1, x2, y2 passes through, column by column."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    low, high = F.least(x1, x2), F.greatest(x1, x2)
+    run = x2 - x1
+
+    def column(gx: Column) -> Column:
+        def at(x: Column) -> Column:
+            return y1 + (x - x1) / F.when(run != 0, run) * (y2 - y1)
+
+        a, b = at(F.greatest(low, gx * size)), at(F.least(high, (gx + 1) * size))
+        first, last = F.coalesce(F.least(a, b), F.least(y1, y2)), F.coalesce(F.greatest(a, b), F.greatest(y1, y2))
+        first = F.when(run == 0, F.least(y1, y2)).otherwise(first)
+        last = F.when(run == 0, F.greatest(y1, y2)).otherwise(last)
+        return F.transform(F.sequence(F.floor(first / size).cast("long"), F.floor(last / size).cast("long")), lambda gy: F.struct(gx.alias("gx"), gy.alias("gy")))
+
+    return F.flatten(F.transform(F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long")), column))
 
 
 def box_distance(x: Column, y: Column, left: Column, bottom: Column, right: Column, top: Column) -> Column:
@@ -75,14 +160,6 @@ def ring_area(ring: str) -> Column:
     return F.abs(F.aggregate(F.sequence(F.lit(1), F.size(ring) - 1), F.lit(0.0), lambda s, i: s + term(i))) / 2
 
 
-def cells_of_segment(size: float) -> Column:
-    """Grid cells (gx, gy) that the bounding box of a segment's columns x1, y1, x2, y2 meets."""
-    def span(a: str, b: str) -> Column:
-        return F.sequence(F.floor(F.least(a, b) / size).cast("long"), F.floor(F.greatest(a, b) / size).cast("long"))
-
-    return F.flatten(F.transform(span("x1", "x2"), lambda i: F.transform(span("y1", "y2"), lambda j: F.struct(i.alias("gx"), j.alias("gy")))))
-
-
 def rasterize_centres(rings: DataFrame, key: str, ring: str, cell: float) -> DataFrame:
     """(key, gx, gy) of the grid cells whose centres lie inside a ring, by parity of edge crossings.
 

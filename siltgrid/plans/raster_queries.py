@@ -120,7 +120,10 @@ def mask_areas(spark, sf):
     return rounded(long.select("scene", "mask", "pixels", (F.col("pixels") * 0.04).alias("area_ha"), (100.0 * F.col("pixels") / F.col("v")).alias("pct_of_valid")), "area_ha", "pct_of_valid")
 
 
-FOCAL_SQL = "off AS (SELECT unnest(range(-1, 2)) AS d), nb AS (SELECT p.scene, p.r, p.c, q.v AS x FROM px p, off a, off b, px q WHERE q.scene = p.scene AND q.r = greatest(0, least(7, p.r + a.d)) AND q.c = greatest(0, least(7, p.c + b.d))), mo AS (SELECT scene, r, c, avg(x) AS mean, avg(x * x) AS mean_sq, count(*) AS n FROM nb GROUP BY 1, 2, 3)"
+FOCAL_SQL = """off AS (SELECT unnest(range(-1, 2)) AS d),
+spot AS (SELECT scene, r, c, greatest(0, least(7, r + a.d)) AS qr, greatest(0, least(7, c + b.d)) AS qc FROM px, off a, off b),
+nb AS (SELECT spot.scene, spot.r, spot.c, q.v AS x FROM spot JOIN px q ON q.scene = spot.scene AND q.r = qr AND q.c = qc),
+mo AS (SELECT scene, r, c, avg(x) AS mean, avg(x * x) AS mean_sq, count(*) AS n FROM nb GROUP BY 1, 2, 3)"""
 
 
 @query("w10_focal_std", f"WITH {PIXELS_SQL}, {FOCAL_SQL} SELECT scene, r, c, n, round(mean, 6) AS mean, round(sqrt(greatest(mean_sq - mean * mean, 0)), 6) AS std FROM mo")

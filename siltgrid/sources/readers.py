@@ -41,7 +41,11 @@ GEOJSON = "crs struct<type:string,properties:struct<name:string>>, features arra
 
 def geojson_polygons(spark: SparkSession, path: str) -> DataFrame:
     """(properties, crs, rings) of a polygon layer. A layer without a named CRS is an error; an empty one gives no rows, null geometries are left out."""
-    doc = json_documents(spark, path, GEOJSON)
+    return polygons(json_documents(spark, path, GEOJSON), path)
+
+
+def polygons(doc: DataFrame, path: str = "layer") -> DataFrame:
+    """The same for documents at hand, in the schema GEOJSON."""
     if not doc.filter("crs.properties.name is null").isEmpty():
         raise ValueError(f"{path}: the layer names no CRS")
     f = doc.select(F.col("crs.properties.name").alias("crs"), F.explode("features").alias("f")).filter("f.geometry is not null")
@@ -68,6 +72,38 @@ def gain_table(xml: str) -> tuple[Column, Column]:
     return F.when(ok, F.transform(F.sequence(F.lit(0), n - 1), lambda i: first + i * step)), F.when(ok, gains)
 
 
+def noise_level(xml: str, missing: float = float("nan")) -> Column:
+    """The greatest number after the marker of noise levels; `missing` where there is none."""
+    found = numbers(F.substring_index(xml, "<noiseLevelValues", -1))
+    return F.when(F.col(xml).contains("<noiseLevelValues") & (F.size(found) > 0), F.array_max(found)).otherwise(F.lit(missing))
+
+
+def settings(xml: str, parent: str) -> Column:
+    """Children of a tag as a map of names to texts."""
+    inside = F.expr(f"xpath({xml}, '//{parent}/*/text()')")
+    names = F.regexp_extract_all(F.regexp_extract(xml, rf"(?s)<{parent}>(.*?)</{parent}>", 1), F.lit(r"<([A-Za-z][A-Za-z0-9_]*)>"), F.lit(1))
+    return F.map_from_arrays(names, inside)
+
+
+def mask_codes(xml: str) -> Column:
+    """Mask names by code of entries <mask code="..">name</mask>."""
+    codes = F.transform(F.expr(f"xpath({xml}, '//mask/@code')"), lambda c: c.cast("int"))
+    return F.map_from_arrays(codes, F.expr(f"xpath({xml}, '//mask/text()')"))
+
+
+def band_order(header: str, wanted: str, fallback: int) -> Column:
+    """The place, from one, of a band by its description among BAND lines; the declared fallback where none has it."""
+    bands = F.regexp_extract_all(F.col(header), F.lit(r"BAND_NAME=([A-Za-z0-9_]+)"), F.lit(1))
+    return F.coalesce(F.nullif(F.array_position(bands, wanted), F.lit(0)), F.lit(fallback)).cast("int")
+
+
+def only_one(files: DataFrame, group: Sequence[str], path: str) -> DataFrame:
+    """One file for each group; a group with several raises when the rows are made."""
+    n = F.count("*")
+    several = F.raise_error(F.concat(F.lit("more than one file for "), F.concat_ws(", ", *group)))
+    return files.groupBy(*group).agg(n.alias("n"), F.min(path).alias(path)).select(*group, F.when(F.col("n") > 1, several).otherwise(F.col(path)).alias(path))
+
+
 def checksums(lines: DataFrame) -> DataFrame:
     """(sha1, path) of manifest lines 'digest  [* ]path'; other lines are left out."""
     p = r"^([0-9a-fA-F]{40})\s+[* ]?(.+)$"
