@@ -121,7 +121,7 @@ def layer_subset(spark, sf):
     return masks(spark, sf).filter("valid").select(layer.alias("layer")).filter(F.col("layer").isin(shown)).groupBy("layer").agg(F.count("*").alias("n"))
 
 
-@query("p30_sentinel", f"WITH {MASKS_SQL} SELECT scene, r, c, round(CASE WHEN valid THEN v ELSE -9999 END, 6) AS stored FROM mk")
+@query("p30_sentinel", f"WITH {MASKS_SQL} SELECT scene, r, c, round(CASE WHEN valid THEN v ELSE -9999 END, 6) + 0.0::DOUBLE AS stored FROM mk")
 def sentinel(spark, sf):
     return rounded(masks(spark, sf).select(*PIXEL, F.when(F.col("valid"), F.col("v")).otherwise(-9999.0).alias("stored")), "stored")
 
@@ -172,7 +172,7 @@ def fold_candidates(spark, sf):
     return pairs.crossJoin(F.broadcast(grid)).select("rep", "thr", "heldout", "train")
 
 
-@query("j16_aligned_pixels", f"WITH {MASKS_SQL} SELECT a.scene, count(*) AS both, round(sum(a.v * b.elev), 6) AS weighted FROM mk a JOIN mk b ON a.scene = b.scene AND a.r = b.r AND a.c = b.c WHERE a.pred AND b.valid GROUP BY 1")
+@query("j16_aligned_pixels", f"WITH {MASKS_SQL} SELECT a.scene, count(*) AS both, round(sum(a.v * b.elev), 6) + 0.0::DOUBLE AS weighted FROM mk a JOIN mk b ON a.scene = b.scene AND a.r = b.r AND a.c = b.c WHERE a.pred AND b.valid GROUP BY 1")
 def aligned_pixels(spark, sf):
     """Two co-indexed rasters joined on scene, row and column."""
     px = masks(spark, sf)
@@ -308,7 +308,7 @@ def group_offset(spark, sf):
 @query(
     "w09_focal_moments",
     f"""WITH {PIXELS_SQL}, p AS (SELECT px.scene, px.r, px.c, a.k AS dr, b.k AS dc FROM px, (SELECT unnest(range(-2, 3)) AS k) a, (SELECT unnest(range(-2, 3)) AS k) b)
-SELECT p.scene, p.r, p.c, round(avg(q.v), 6) AS mean, round(avg(q.v * q.v), 6) AS mean_sq, count(*) AS n
+SELECT p.scene, p.r, p.c, round(avg(q.v), 6) + 0.0::DOUBLE AS mean, round(avg(q.v * q.v), 6) AS mean_sq, count(*) AS n
 FROM p JOIN px q ON q.scene = p.scene AND q.r = greatest(0, least(7, p.r + dr)) AND q.c = greatest(0, least(7, p.c + dc)) GROUP BY 1, 2, 3""",
 )
 def focal_moments(spark, sf):

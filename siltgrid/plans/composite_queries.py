@@ -115,7 +115,7 @@ def grid_change_table(spark, sf):
     return grid_change(masks(spark, sf)).select("label", "gr", "gc", "before", "after", d.alias("points"), (d > 5.88).alias("above_context"), level.alias("interpretation"))
 
 
-@query("c06_noise_comparison", f"WITH {MASKS_SQL} SELECT label, round(median(v), 6) AS middle, round(median(v) + 0.4, 6) AS above_floor, round(100.0::DOUBLE * count(*) FILTER (v < -0.1) / count(*), 6) AS below_pct, median(v) + 0.4 >= 0.03 AS usable FROM mk WHERE valid GROUP BY label")
+@query("c06_noise_comparison", f"WITH {MASKS_SQL} SELECT label, round(median(v), 6) + 0.0::DOUBLE AS middle, round(median(v) + 0.4, 6) AS above_floor, round(100.0::DOUBLE * count(*) FILTER (v < -0.1) / count(*), 6) AS below_pct, median(v) + 0.4 >= 0.03 AS usable FROM mk WHERE valid GROUP BY label")
 def noise_comparison(spark, sf):
     """Values against a noise floor of -0.4."""
     middle = F.percentile("v", F.lit(0.5))
@@ -209,7 +209,7 @@ def separation_sensitivity(spark, sf):
     return rounded(out, "gap")
 
 
-@query("c15_platform_audit", f"WITH {MASKS_SQL}, s AS (SELECT scene, any_value(label % 2) AS platform, count(*) = 64 AS whole, count(*) FILTER (valid) / 64.0::DOUBLE AS good, avg(v) AS mean FROM mk GROUP BY scene) SELECT platform, count(*) AS scenes, bool_and(whole) AS all_whole, round(avg(good), 6) AS mean_valid, round(avg(mean), 6) AS mean_value, round(stddev_samp(mean), 6) AS spread FROM s GROUP BY platform")
+@query("c15_platform_audit", f"WITH {MASKS_SQL}, s AS (SELECT scene, any_value(label % 2) AS platform, count(*) = 64 AS whole, count(*) FILTER (valid) / 64.0::DOUBLE AS good, avg(v) AS mean FROM mk GROUP BY scene) SELECT platform, count(*) AS scenes, bool_and(whole) AS all_whole, round(avg(good), 6) AS mean_valid, round(avg(mean), 6) + 0.0::DOUBLE AS mean_value, round(stddev_samp(mean), 6) AS spread FROM s GROUP BY platform")
 def platform_audit(spark, sf):
     s = masks(spark, sf).groupBy("scene").agg((F.first("label") % 2).alias("platform"), (F.count("*") == 64).alias("whole"), (F.count_if("valid") / 64).alias("good"), F.avg("v").alias("mean"))
     out = s.groupBy("platform").agg(F.count("*").alias("scenes"), F.every("whole").alias("all_whole"), F.avg("good").alias("mean_valid"), F.avg("mean").alias("mean_value"), F.stddev_samp("mean").alias("spread"))
@@ -253,7 +253,7 @@ def calibration_qa(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", F.round(direct, 6).alias("direct"), F.round(error, 9).alias("error"), (error <= 5e-6).alias("passed"))
 
 
-@query("c20_value_and_area_audit", f"WITH {MASKS_SQL} SELECT scene, count(*) FILTER (valid) AS n, round(min(v) FILTER (valid), 6) AS least, round(max(v) FILTER (valid), 6) AS most, round(median(v) FILTER (valid), 6) AS middle, round(count(*) FILTER (ref AND valid) * 0.04::DOUBLE, 6) AS reference_ha, count(*) FILTER (ref AND permanent) AS rasterized FROM mk GROUP BY scene")
+@query("c20_value_and_area_audit", f"WITH {MASKS_SQL} SELECT scene, count(*) FILTER (valid) AS n, round(min(v) FILTER (valid), 6) + 0.0::DOUBLE AS least, round(max(v) FILTER (valid), 6) + 0.0::DOUBLE AS most, round(median(v) FILTER (valid), 6) + 0.0::DOUBLE AS middle, round(count(*) FILTER (ref AND valid) * 0.04::DOUBLE, 6) AS reference_ha, count(*) FILTER (ref AND permanent) AS rasterized FROM mk GROUP BY scene")
 def value_and_area_audit(spark, sf):
     x = F.when(F.col("valid"), F.col("v"))
     out = masks(spark, sf).groupBy("scene").agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.percentile(x, F.lit(0.5)).alias("middle"), (F.count_if(F.col("ref") & F.col("valid")) * PIXEL_HA).alias("reference_ha"), F.count_if(F.col("ref") & F.col("permanent")).alias("rasterized"))
@@ -269,8 +269,8 @@ def observation_qa(spark, sf):
 
 @query(
     "c22_scene_features",
-    f"""WITH {MASKS_SQL}, {FOCAL_SQL} SELECT mk.scene, mk.r, mk.c, round(CASE WHEN v + 0.5 > 0 THEN 10 * log10(greatest(v + 0.5, 1e-12)) END, 6) AS db,
-  round(mean, 6) AS mean, round(sqrt(greatest(mean_sq - mean * mean, 0)), 6) AS texture, valid AND v + 0.5 > 0 AS usable FROM mk JOIN mo USING (scene, r, c)""",
+    f"""WITH {MASKS_SQL}, {FOCAL_SQL} SELECT mk.scene, mk.r, mk.c, round(CASE WHEN v + 0.5 > 0 THEN 10 * log10(greatest(v + 0.5, 1e-12)) END, 6) + 0.0::DOUBLE AS db,
+  round(mean, 6) + 0.0::DOUBLE AS mean, round(sqrt(greatest(mean_sq - mean * mean, 0)), 6) AS texture, valid AND v + 0.5 > 0 AS usable FROM mk JOIN mo USING (scene, r, c)""",
 )
 def scene_features(spark, sf):
     """Bands in decibels, their neighbourhood, and whether a pixel can be used."""

@@ -126,13 +126,13 @@ nb AS (SELECT spot.scene, spot.r, spot.c, q.v AS x FROM spot JOIN px q ON q.scen
 mo AS (SELECT scene, r, c, avg(x) AS mean, avg(x * x) AS mean_sq, count(*) AS n FROM nb GROUP BY 1, 2, 3)"""
 
 
-@query("w10_focal_std", f"WITH {PIXELS_SQL}, {FOCAL_SQL} SELECT scene, r, c, n, round(mean, 6) AS mean, round(sqrt(greatest(mean_sq - mean * mean, 0)), 6) AS std FROM mo")
+@query("w10_focal_std", f"WITH {PIXELS_SQL}, {FOCAL_SQL} SELECT scene, r, c, n, round(mean, 6) + 0.0::DOUBLE AS mean, round(sqrt(greatest(mean_sq - mean * mean, 0)), 6) AS std FROM mo")
 def focal_std(spark, sf):
     m = raster.focal(pixels(spark, sf), "v", 1, SIDE, SIDE)
     return rounded(m.select("scene", "r", "c", "n", "mean", raster.local_std(m).alias("std")), "mean", "std")
 
 
-@query("w11_lee_filter", f"WITH {PIXELS_SQL}, {FOCAL_SQL}, va AS (SELECT *, greatest(mean_sq - mean * mean, 0) AS var FROM mo), no AS (SELECT scene, median(var) AS noise FROM va GROUP BY scene) SELECT px.scene, px.r, px.c, round(mean + CASE WHEN var + noise > 0 THEN var / (var + noise) ELSE 0 END * (v - mean), 6) AS filtered FROM px JOIN va USING (scene, r, c) JOIN no ON no.scene = px.scene")
+@query("w11_lee_filter", f"WITH {PIXELS_SQL}, {FOCAL_SQL}, va AS (SELECT *, greatest(mean_sq - mean * mean, 0) AS var FROM mo), no AS (SELECT scene, median(var) AS noise FROM va GROUP BY scene) SELECT px.scene, px.r, px.c, round(mean + CASE WHEN var + noise > 0 THEN var / (var + noise) ELSE 0 END * (v - mean), 6) + 0.0::DOUBLE AS filtered FROM px JOIN va USING (scene, r, c) JOIN no ON no.scene = px.scene")
 def lee_filter(spark, sf):
     return rounded(raster.lee(pixels(spark, sf), "v", 1, SIDE, SIDE), "filtered")
 
@@ -261,7 +261,7 @@ def disagreement(spark, sf):
     return masks(spark, sf).select("scene", "r", "c", F.when(F.col("valid"), F.col("pred").cast("int") + 2 * F.col("ref").cast("int")).otherwise(255).alias("code"))
 
 
-@query("r22_feature_stack", f"WITH {PIXELS_SQL}, {FOCAL_SQL} SELECT px.scene, px.r, px.c, round(v, 6) AS hh, round(v - 3, 6) AS hv, 3.0::DOUBLE AS diff, round(sqrt(greatest(mean_sq - mean * mean, 0)), 6) AS texture FROM px JOIN mo USING (scene, r, c)")
+@query("r22_feature_stack", f"WITH {PIXELS_SQL}, {FOCAL_SQL} SELECT px.scene, px.r, px.c, round(v, 6) + 0.0::DOUBLE AS hh, round(v - 3, 6) AS hv, 3.0::DOUBLE AS diff, round(sqrt(greatest(mean_sq - mean * mean, 0)), 6) AS texture FROM px JOIN mo USING (scene, r, c)")
 def feature_stack(spark, sf):
     px = pixels(spark, sf)
     m = raster.focal(px, "v", 1, SIDE, SIDE)

@@ -161,7 +161,7 @@ def checksum_lines(spark, sf):
     return readers.checksums(d.select(text(F.sha1("text"), "  *docs/", F.col("doc_id").cast("string"), ".txt").alias("value")))
 
 
-@query("s27_tile_mosaic", f"WITH {PIXELS_SQL}, t AS (SELECT scene, r, c, v FROM px WHERE r < 5 UNION ALL SELECT scene, r, c, v + 0.5 FROM px WHERE r >= 3) SELECT scene, r, c, round(avg(v), 6) AS elevation, count(*) AS tiles FROM t GROUP BY 1, 2, 3")
+@query("s27_tile_mosaic", f"WITH {PIXELS_SQL}, t AS (SELECT scene, r, c, v FROM px WHERE r < 5 UNION ALL SELECT scene, r, c, v + 0.5 FROM px WHERE r >= 3) SELECT scene, r, c, round(avg(v), 6) + 0.0::DOUBLE AS elevation, count(*) AS tiles FROM t GROUP BY 1, 2, 3")
 def tile_mosaic(spark, sf):
     """Two tiles that overlap, as one raster."""
     px = pixels(spark, sf).select("scene", "r", "c", "v")
@@ -220,7 +220,7 @@ def strict_json(spark, sf):
     return writers.strict_json(read(spark, sf, "nation").select("n_regionkey", "n_nationkey", "n_name"))
 
 
-@query("k03_nodata_raster", f"WITH {MASKS_SQL} SELECT scene, r, c, round(CASE WHEN valid THEN v ELSE -9999 END, 6) AS band, CASE WHEN valid THEN pred::INT ELSE 255 END AS mask FROM mk")
+@query("k03_nodata_raster", f"WITH {MASKS_SQL} SELECT scene, r, c, round(CASE WHEN valid THEN v ELSE -9999 END, 6) + 0.0::DOUBLE AS band, CASE WHEN valid THEN pred::INT ELSE 255 END AS mask FROM mk")
 def nodata_raster(spark, sf):
     ok = F.col("valid")
     out = masks(spark, sf).select("scene", "r", "c", F.when(ok, F.col("v")).alias("band"), F.when(ok, F.col("pred").cast("int")).alias("mask"))
@@ -233,7 +233,7 @@ def geojson_features(spark, sf):
     return writers.features(boxes(spark, sf), ["box"], "Point", at)
 
 
-@query("k06_layer_bundle", f"WITH {MASKS_SQL} SELECT scene, r, c, pred, ref, permanent, valid, pred AND NOT ref AS new, ref AND NOT pred AS lost, round(v, 6) AS band FROM mk")
+@query("k06_layer_bundle", f"WITH {MASKS_SQL} SELECT scene, r, c, pred, ref, permanent, valid, pred AND NOT ref AS new, ref AND NOT pred AS lost, round(v, 6) + 0.0::DOUBLE AS band FROM mk")
 def layer_bundle(spark, sf):
     """Seven layers of a scene as one wide table."""
     p, r = F.col("pred"), F.col("ref")

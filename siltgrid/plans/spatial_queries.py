@@ -58,10 +58,11 @@ def projection(spark, sf):
 
 @query("g08_points_in_boxes", f"WITH {POINTS_SQL}, {BOXES_SQL} SELECT id, box FROM pt JOIN bx ON x >= l AND x < r AND y >= b AND y < t")
 def points_in_boxes(spark, sf):
-    """Point and box meet in the box grid's cell: closed form, an equi-join."""
-    p = points(spark, sf).withColumn("box", (F.floor(F.col("y") / 800) * 5 + F.floor(F.col("x") / 1000)).cast("int"))
-    j = p.join(boxes(spark, sf), "box")
-    return j.filter((F.col("x") >= F.col("l")) & (F.col("x") < F.col("r")) & (F.col("y") >= F.col("b")) & (F.col("y") < F.col("t"))).select("id", "box")
+    """Points and boxes of any layout meet in grid cells."""
+    b = geometry.spread(boxes(spark, sf), F.col("l"), F.col("b"), F.col("r"), F.col("t"), 250.0)
+    p = points(spark, sf).withColumn("gx", F.floor(F.col("x") / 250).cast("long")).withColumn("gy", F.floor(F.col("y") / 250).cast("long"))
+    inside = (F.col("x") >= F.col("l")) & (F.col("x") < F.col("r")) & (F.col("y") >= F.col("b")) & (F.col("y") < F.col("t"))
+    return p.join(b, ["gx", "gy"]).filter(inside).select("id", "box")
 
 
 @query(

@@ -83,10 +83,19 @@ def as_of_purchase(spark, sf):
     return temporal.as_of(rest, bought, ["user_id"], "ts", "ts", ["value"]).select("event_id", "ts", "as_of", "value")
 
 
-@query("j11_step_lookup", "SELECT event_id, floor(value / 10)::BIGINT AS step, CASE WHEN value >= 0 AND value < 1000 THEN 100 + 5 * floor(value / 10)::BIGINT END AS gain FROM events")
+@query(
+    "j11_step_lookup",
+    """WITH t AS (SELECT unnest(range(0, 10)) * 10 AS start, unnest(range(0, 10)) * 5 + 100 AS gain)
+SELECT event_id, max(start)::INT AS step, arg_max(gain, start)::INT AS gain, count(start) = 0 AS outside FROM events LEFT JOIN t ON value >= start AND value < 100 GROUP BY event_id""",
+)
 def step_lookup(spark, sf):
-    step = F.floor(F.col("value") / 10)
-    return read(spark, sf, "events").select("event_id", step.alias("step"), F.when((F.col("value") >= 0) & (F.col("value") < 1000), 100 + 5 * step).alias("gain"))
+    """The last entry of a gain table at or before each value; values outside its support say so. The table is a constant of ten rows."""
+    table = spark.createDataFrame([(10 * k, 100 + 5 * k) for k in range(10)], "start int, gain int")
+    entries = F.broadcast(table.agg(F.array_sort(F.collect_list(F.struct("start", "gain"))).alias("entries")))
+    known = F.filter("entries", lambda e: (e["start"] <= F.col("value")) & (F.col("value") < 100))
+    found = F.try_element_at(known, F.lit(-1))
+    rows = read(spark, sf, "events").select("event_id", "value").crossJoin(entries).select("event_id", found.alias("e"))
+    return rows.select("event_id", F.col("e.start").alias("step"), F.col("e.gain").alias("gain"), F.col("e").isNull().alias("outside"))
 
 
 @query("j12_best_match", "SELECT l_orderkey, l_linenumber, l_partkey, round(abs(epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400e6, 6) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY coalesce(l_discount, 100), l_shipdate, l_linenumber, l_partkey, l_suppkey) = 1")

@@ -20,8 +20,9 @@ def as_map(df, *names):
 
 
 def test_otsu_finds_the_gap_of_a_skewed_sample(spark):
-    df = spark.createDataFrame([(-20.0,)] * 1000 + [(-7.0,)] * 5000 + [(18.0,)] * 5, "v double")
-    assert -20 < raster.otsu(df, "v").first().threshold < -7
+    rows = [(0.1 * k - 12,) for k in range(9)] * 70 + [(0.1 * k + 3,) for k in range(7)] * 900 + [(31.0,)] * 3
+    threshold = raster.otsu(spark.createDataFrame(rows, "v double"), "v").first().threshold
+    assert -11.2 < threshold < 3
 
 
 def test_otsu_of_one_value(spark):
@@ -212,3 +213,53 @@ def test_stream_gives_the_table_s_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert integrity.same_rows(spark.table("hourly_windows"), windows.tumbling(df, "ts", "1 hour", ["k"], "v"))
+
+
+def boxed(spark, ring, box=(0.0, 0.0, 10.0, 10.0)):
+    names = ["l", "b", "r", "t"]
+    return spark.createDataFrame([([tuple(map(float, p)) for p in ring], *box)], "ring array<struct<x:double,y:double>>, " + ", ".join(f"{n} double" for n in names)), names
+
+
+@pytest.mark.parametrize(
+    "ring, area",
+    [
+        ([(-5, -5), (5, -5), (-5, 5), (-5, -5)], 0.0),
+        ([(0, 0), (20, 0), (0, 20), (0, 0)], 100.0),
+        ([(5, 5), (25, 5), (5, 25), (5, 5)], 25.0),
+        ([(2, 2), (4, 2), (4, 6), (2, 6), (2, 2)], 8.0),
+        ([(-5, 3), (15, 3), (15, 7), (-5, 7), (-5, 3)], 40.0),
+    ],
+)
+def test_clipped_rings(spark, ring, area):
+    df, sides = boxed(spark, ring)
+    cut = geometry.clip_ring(df, "ring", *sides).select(F.when(F.size("ring") >= 4, geometry.ring_area("ring")).otherwise(0.0).alias("a"))
+    assert cut.first().a == pytest.approx(area)
+
+
+def test_points_in_a_concave_ring(spark):
+    ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (5.0, 2.0), (0.0, 10.0), (0.0, 0.0)]
+    rings = spark.createDataFrame([(1, ring)], "key int, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate([(1.0, 1.0), (5.0, 5.0), (9.0, 5.0), (0.0, 0.0), (11.0, 1.0), (5.0, 1.9)])], "id int, x double, y double")
+    assert sorted(r.id for r in geometry.points_in_rings(points, rings, "ring", 3.0).collect()) == [0, 2, 3, 5]
+
+
+def test_touched_cells_are_those_a_segment_crosses(spark):
+    segments = [(3.0, 4.0, 57.0, 21.0), (15.0, 2.0, 15.0, 38.0), (2.0, 33.0, 41.0, 33.0), (50.0, 5.0, 11.0, 47.0)]
+    df = spark.createDataFrame([(i, *s) for i, s in enumerate(segments)], "id int, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.id, r.k.gx, r.k.gy) for r in df.select("id", F.explode(geometry.touched_cells(10.0)).alias("k")).collect()}
+    want = set()
+    for i, (x1, y1, x2, y2) in enumerate(segments):
+        want |= {(i, int((x1 + t * (x2 - x1)) // 10), int((y1 + t * (y2 - y1)) // 10)) for t in (k / 20000 for k in range(20001))}
+    assert got == want
+
+
+def test_one_file_for_each_group(spark):
+    files = spark.createDataFrame([("a", "1.tif"), ("b", "2.tif")], "g string, path string")
+    assert {(r.g, r.path) for r in readers.only_one(files, ["g"], "path").collect()} == {("a", "1.tif"), ("b", "2.tif")}
+    with pytest.raises(Exception, match="more than one file for a"):
+        readers.only_one(files.unionByName(files.filter("g = 'a'")), ["g"], "path").collect()
+
+
+def test_noise_without_a_marker(spark):
+    rows = spark.createDataFrame([("<noiseLevelValues>-3.5 -2 -9</noiseLevelValues>",), ("<gain>4</gain>",)], "xml string")
+    assert [str(r[0]) for r in rows.select(readers.noise_level("xml")).collect()] == ["-2.0", "nan"]
