@@ -22,7 +22,7 @@ def as_map(df, *names):
 def test_otsu_finds_the_gap_of_a_skewed_sample(spark):
     rows = [(0.1 * k - 12,) for k in range(9)] * 70 + [(0.1 * k + 3,) for k in range(7)] * 900 + [(31.0,)] * 3
     threshold = raster.otsu(spark.createDataFrame(rows, "v double"), "v").first().threshold
-    assert -11.2 < threshold < 3
+    assert -11.4 < threshold < 3  # the lowest of the bins between them, by its middle
 
 
 def test_otsu_of_one_value(spark):
