@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import itertools
+import os
 import random
 import struct
 import zlib
@@ -623,3 +624,28 @@ def test_failed_lines_leave_kept_texts(spark):
     assert [(r.doc_id, r.text, r.cleaned) for r in got] == [(1, "\n".join(prose_lines), "c")]
     assert quality.line_first(df.limit(0)).count() == quality.keep_documents(df.limit(0)).count() == 0
     assert quality.line_fails("Les conditions d'utilisation changent.", 4) == "boilerplate"
+
+
+@pytest.mark.parametrize("folder", ["sf0.1", "check_s"])
+def test_recall_on_the_tables(spark, folder):
+    """Recall of the query's answers against exact search."""
+    path = f"/root/testdata/{folder}"
+    if not os.path.exists(f"{path}/embeddings.parquet"):
+        pytest.skip("no such table")
+    got = {}
+    for r in ann.op9_dimension_scan(spark, path).collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    rows = [r for r in spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").collect() if r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    usual = max((len(r.embedding) for r in rows), key=[len(r.embedding) for r in rows].count)
+    rows = [r for r in rows if len(r.embedding) == usual]
+    ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    hits = total = 0
+    for i in np.flatnonzero(ids % 100 == 0)[:60]:
+        far = np.sqrt(((vectors - vectors[i]) ** 2).sum(axis=1))
+        far[ids == ids[i]] = np.inf
+        tenth = np.partition(far, 9)[9]
+        own = got[ids[i]]
+        assert len(own) == 10 and own == sorted(own)
+        hits += sum(score <= tenth + 1e-9 for score, _ in own)
+        total += 10
+    assert hits >= 0.9 * total
