@@ -356,10 +356,14 @@ tr AS (SELECT h.fold AS heldout, k, thr, avg(coalesce(tp / nullif(tp + fp + fn,
 pick AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY heldout ORDER BY round(iou, 9) DESC, round(bias, 9), k) = 1) SELECT heldout, pick.k AS candidate, round(pick.iou, 6) AS train_iou, round(coalesce(tp / nullif(tp + fp + fn, 0), 0), 6) AS heldout_iou FROM pick JOIN x ON x.fold = heldout AND x.k = pick.k""")
 def leave_one_out(spark, sf):
     """Every candidate threshold is counted once on every fold; training scores are sums over the other folds' counts."""
-    thr = spark.range(7).select(F.col("id").alias("k"), (-0.06 + 0.02 * F.col("id")).alias("thr"))
     px = masks(spark, sf).filter("valid").select((F.col("label") % 5).alias("fold"), "v", "ref")
-    said = F.col("v") < F.col("thr")
-    x = px.crossJoin(F.broadcast(thr)).groupBy("fold", "k").agg(F.count_if(said & F.col("ref")).alias("tp"), F.count_if(said & ~F.col("ref")).alias("fp"), F.count_if(~said & F.col("ref")).alias("fn"))
+
+    def counts(k):
+        said, ref = F.col("v") < -0.06 + 0.02 * k, F.col("ref")
+        return F.struct(F.lit(k).cast("long").alias("k"), F.count_if(said & ref).alias("tp"), F.count_if(said & ~ref).alias("fp"), F.count_if(~said & ref).alias("fn"))
+
+    every = px.groupBy("fold").agg(F.array(*map(counts, range(7))).alias("x"))
+    x = every.select("fold", F.explode("x").alias("x")).select("fold", "x.*")
     x = x.withColumn("iou", metrics.ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")))
     held = x.select(F.col("fold").alias("heldout")).distinct()
     train = x.join(held, F.col("fold") != F.col("heldout")).groupBy("heldout", "k").agg(F.avg("iou").alias("iou"), F.avg(F.abs(F.col("fp") - F.col("fn"))).alias("bias"))
