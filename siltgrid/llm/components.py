@@ -5,6 +5,9 @@ small star does so with the neighbours that are not larger. Alternated until not
 leave each node linked to the least node of its component. Before each round, tasks contract the
 links that they hold to trees, so dense groups shrink early. Links stay in Spark: a round is written
 to the shared folder, and the one before is deleted.
+
+The links of a hub are spread over tasks: a large star moves only the links of nodes that have a smaller
+neighbour, and these meet their node's least neighbour by node and salt, of which each such node has SALTS.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LINK = "a long, b long"
+#: Parts over which the links of one node are dealt.
+SALTS = 16
 
 
 class Forest:
@@ -62,9 +67,12 @@ def contract(links: DataFrame) -> DataFrame:
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    up = links.select(F.col("b").alias("a"), F.col("a").alias("b"))  # each link at its smaller end
+    least = links.groupBy("a").agg(F.min("b").alias("m"))  # of the ends that have a smaller neighbour
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    moved = least.join(up.select("a").distinct(), "a", "left_semi").withColumn("salt", salts)
+    salted = up.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    return salted.join(moved, ["a", "salt"], "left").select(F.col("b").alias("a"), F.coalesce("m", "a").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:

@@ -213,6 +213,16 @@ def test_components_of_paths_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_of_hubs_are_dealt_over_tasks(spark):
+    hubs = [(700, x) for x in range(701, 1500)] + [(90, x) for x in range(1500, 2200)]
+    pairs = hubs + [(700, 45), (2199, 45), (90, 60), (3000, 3000), (3001, 3002), (3002, 3001)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    got = {r.node: r.component for r in components.components(links).collect()}
+    assert got == {x: 45 for x in (60, 90, *range(700, 2200))} | {3002: 3001}
+    starred = components._large_star(spark.createDataFrame([(max(p), min(p)) for p in hubs + [(700, 45)]], "a long, b long"))
+    assert {(r.a, r.b) for r in starred.collect()} == {(x, 45) for x in range(700, 1500)} | {(x, 90) for x in range(1500, 2200)}
+
+
 def test_keep_one_matches_brute_force(spark, docs):
     def shingles(t):
         w = t.encode().lower().split()
