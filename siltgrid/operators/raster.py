@@ -89,47 +89,90 @@ def distance(df: DataFrame, mask: str, cell: float = 1.0, scene: str = "scene")
     return line.select(scene, "r", F.explode(here).alias("x")).select(scene, "r", F.col("x.c").alias("c"), F.coalesce(F.sqrt("x.d2") * cell, F.lit(float("inf"))).alias("distance"))
 
 
-#: Cells of the scenes that are labelled side by side.
-STACK_CELLS = 2_000_000
-
-
-def label_stack(scene: np.ndarray, r: np.ndarray, c: np.ndarray, width: np.ndarray, eight: bool) -> np.ndarray:
-    """Component of each true pixel (scene number, r, c), named by its least row-major place: least names spread to neighbours until they rest."""
-    none = np.iinfo(np.int64).max
-    grid = np.full((int(scene.max()) + 1, int(r.max()) + 3, int(c.max()) + 3), none)
-    grid[scene, r + 1, c + 1] = r.astype(np.int64) * width[scene] + c
-    steps = [s for s in offsets(1, cross=not eight) if s != (0, 0)]
-    where = (scene, r + 1, c + 1)
-    while True:
-        now = grid[where]
-        least = now
-        for a, b in steps:
-            least = np.minimum(least, grid[scene, r + 1 + a, c + 1 + b])
-        if (least == now).all():
-            return now
-        grid[where] = least
-
-
-def components(df: DataFrame, mask: str, eight: bool = True, scene: str = "scene") -> DataFrame:
-    """(scene, r, c, component) of true pixels, connected over eight or four neighbours. A scene is one row: a grid of fixed size; many are labelled at once."""
+def least_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the numbers below n that each is connected to by links a-b.
+
+    The greater of two linked roots is hung below the lesser and the trees are flattened, until all links lie within a
+    tree: a few passes, however long the paths are.
+    """
+    root = np.arange(n)
+    while len(a):
+        low, top = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, top, low)
+        while (root != (up := root[root])).any():
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+def label_pixels(scene: np.ndarray, r: np.ndarray, c: np.ndarray, width: np.ndarray, eight: bool) -> np.ndarray:
+    """Component of each true pixel (scene number, r, c), named by its least row-major place; neighbours are found by sorted places."""
+    r, c = r.astype(np.int64), c.astype(np.int64)
+    high, wide = int(r.max()) + 2, int(c.max()) + 2
+    # a free column parts the rows and a free row the scenes
+    spot, first, back = np.unique((scene.astype(np.int64) * high + r) * wide + c + 1, return_index=True, return_inverse=True)
+    ends = []
+    for step in (1, wide - 1, wide, wide + 1) if eight else (1, wide):
+        at = np.searchsorted(spot, spot + step)
+        at[at == len(spot)] = 0
+        hit = np.flatnonzero(spot[at] == spot + step)
+        ends.append((hit, at[hit]))
+    a, b = (np.concatenate(x) for x in zip(*ends))
+    place = (r * width[scene] + c)[first]
+    return place[least_roots(len(spot), a, b)][back]
+
+
+def components(df: DataFrame, mask: str, eight: bool = True, scene: str = "scene", tile: int | None = None) -> DataFrame:
+    """(scene, r, c, component) of true pixels, connected over eight or four neighbours; a component is named by its least
+    row-major place.
+
+    Without a tile size a scene is one row. With one, tasks label tiles of so many pixels a side, and what a scene gathers
+    in one row is only the links of labels over the borders of its tiles, 1 / tile of its pixels.
+    """
+    kind = df.schema[scene].dataType.simpleString()
+    wide = df.groupBy(scene).agg((F.max("c") + 1).cast("int").alias("width"))
+    if tile is None:
+        rows = df.groupBy(scene).agg((F.max("c") + 1).cast("int").alias("width"), F.collect_list(F.when(F.col(mask), F.struct("r", "c"))).alias("on"))
+        return rows.mapInArrow(labels_of_rows(scene, eight), f"{scene} {kind}, r int, c int, component long")
+    on = df.filter(mask).select(scene, "r", "c", F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc")).join(wide, scene)
+    rows = on.groupBy(scene, "tr", "tc").agg(F.first("width").alias("width"), F.collect_list(F.struct("r", "c")).alias("on")).drop("tr", "tc")
+    local = rows.mapInArrow(labels_of_rows(scene, eight), f"{scene} {kind}, r int, c int, component long")
+    edge = local.filter((F.col("r") % tile).isin(0, tile - 1) | (F.col("c") % tile).isin(0, tile - 1))
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1)) if eight or 0 in (a, b)))
+    onward = edge.withColumn("s", F.explode(steps)).select(scene, (F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"), F.col("component").alias("other"))
+    links = onward.join(edge, [scene, "r", "c"]).filter("other <> component").select(scene, "component", "other").distinct()
+    named = links.groupBy(scene).agg(F.collect_list(F.struct("component", "other")).alias("links")).mapInArrow(roots_of_links(scene), f"{scene} {kind}, component long, root long")
+    return local.join(named, [scene, "component"], "left").select(scene, "r", "c", F.coalesce("root", "component").alias("component"))
+
+
+def labels_of_rows(scene: str, eight: bool):
+    """Label the true pixels (`on`) of each row, which is a scene or a tile, many rows at once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             name, width, on = batch.column(0), batch.column(1).to_numpy().astype(np.int64), batch.column(2)
-            flat, size = on.flatten(), on.value_lengths().to_numpy()
-            r, c = (flat.field(i).to_numpy() for i in range(2))
-            which = np.repeat(np.arange(len(size)), size)
-            if len(r) == 0:
-                continue
-            most = max(1, STACK_CELLS // ((int(r.max()) + 3) * (int(c.max()) + 3)))
-            for a in range(0, len(size), most):
-                part = (which >= a) & (which < a + most)
-                if part.any():
-                    k = which[part]
-                    label = label_stack(k - a, r[part], c[part], width[a : a + most], eight)
-                    yield pa.RecordBatch.from_arrays([name.take(pa.array(k)), pa.array(r[part]), pa.array(c[part]), pa.array(label)], [scene, "r", "c", "component"])
-
-    rows = df.groupBy(scene).agg((F.max("c") + 1).cast("int").alias("width"), F.collect_list(F.when(F.col(mask), F.struct("r", "c"))).alias("on"))
-    return rows.mapInArrow(run, f"{scene} {df.schema[scene].dataType.simpleString()}, r int, c int, component long")
+            flat, which = on.flatten(), np.repeat(np.arange(len(on)), on.value_lengths().to_numpy())
+            if len(which):
+                r, c = (flat.field(i).to_numpy() for i in range(2))
+                label = label_pixels(which, r, c, width, eight)
+                yield pa.RecordBatch.from_arrays([name.take(pa.array(which)), pa.array(r), pa.array(c), pa.array(label)], [scene, "r", "c", "component"])
+
+    return run
+
+
+def roots_of_links(scene: str):
+    """The least label that each label is linked to, scene by scene."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                links = batch.column(1)[i].values
+                names, ends = np.unique(np.concatenate([links.field(k).to_numpy() for k in range(2)]), return_inverse=True)
+                root = least_roots(len(names), ends[: len(links)], ends[len(links) :])
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(names), batch.column(0).type), pa.array(names), pa.array(names[root])], [scene, "component", "root"])
+
+    return run
 
 
 def at_least(labelled: DataFrame, size: int, scene: str = "scene") -> DataFrame:

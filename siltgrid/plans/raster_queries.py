@@ -192,6 +192,20 @@ def components(spark, sf):
     return raster.components(masks(spark, sf), "pred")
 
 
+MOSAIC_SQL = """mo AS (SELECT scene // 4 AS scene, CAST(r + 8 * (scene % 4 // 2) AS INTEGER) AS r, CAST(c + 8 * (scene % 2) AS INTEGER) AS c, pred FROM mk),
+fg AS (SELECT scene, r, c, r * 16 + c AS id FROM (SELECT *, max(c) OVER (PARTITION BY scene) AS last FROM mo) WHERE pred AND last = 15),"""
+
+
+@query("r08_components_of_mosaics", cc("pred").replace("fg AS (SELECT scene, r, c, r * 8 + c AS id FROM mk WHERE pred),", MOSAIC_SQL) + " SELECT * FROM cc")
+def components_of_mosaics(spark, sf):
+    """Scenes of four vectors, labelled in tiles that do not follow the vectors' borders."""
+    k = F.col("scene") % 4
+    place = ((F.col("r") + SIDE * F.floor(k / 2)).cast("int").alias("r"), (F.col("c") + SIDE * (k % 2)).cast("int").alias("c"))
+    px = masks(spark, sf).select(F.floor(F.col("scene") / 4).alias("scene"), *place, "pred")
+    whole = px.groupBy("scene").agg(F.max("c").alias("last")).filter(F.col("last") == 2 * SIDE - 1).select("scene")
+    return raster.components(px.join(whole, "scene"), "pred", tile=5)
+
+
 @query("r16_zones_four", cc("pred AND NOT ref", FOUR) + ", s AS (SELECT scene, component, count(*) AS pixels, min(r) AS top, min(c) AS lft, max(r) AS bottom, max(c) AS rgt FROM cc GROUP BY 1, 2) SELECT scene, component, pixels, top, lft, bottom, rgt, round(pixels * 0.04::DOUBLE, 6) AS area_ha FROM s")
 def zones(spark, sf):
     lab = raster.components(masks(spark, sf).withColumn("m", F.col("pred") & ~F.col("ref")), "m", eight=False)

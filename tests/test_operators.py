@@ -2,7 +2,9 @@
 
 import json
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +92,36 @@ def test_components_of_a_spiral(spark):
     assert got.select("component").distinct().count() == 1
 
 
+@pytest.mark.parametrize("tile", [None, 5, 64])
+@pytest.mark.parametrize("eight", [True, False])
+def test_components_match_a_flood_fill(spark, tile, eight):
+    rng = random.Random(6)
+    fields = [{(r, c) for r in range(23) for c in range(31) if rng.random() < share} for share in (0.35, 0.55, 0.0)]
+    fields.append({(r, c) for r in range(0, 40, 2) for c in range(31)} | {(r, 30 if r % 4 == 1 else 0) for r in range(1, 39, 2)})  # one winding path
+    want = {}
+    for k, field in enumerate(fields):
+        width = 31 + k
+        for start in sorted(field):
+            todo = [start] if (k, *start) not in want else []
+            while todo:
+                r, c = todo.pop()
+                if (r, c) in field and (k, r, c) not in want:
+                    want[k, r, c] = start[0] * width + start[1]
+                    todo += [(r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if eight or 0 in (a, b)]
+    rows = [(k, r, c, (r, c) in field) for k, field in enumerate(fields) for r in range(41) for c in range(31 + k)]
+    df = spark.createDataFrame(rows + rows[:50], "scene long, r int, c int, m boolean").repartition(3)
+    got = raster.components(df, "m", eight=eight, tile=tile).collect()
+    assert {(x.scene, x.r, x.c): x.component for x in got} == want
+    assert raster.components(df.limit(0), "m", eight=eight, tile=tile).count() == 0
+
+
+def test_labels_of_a_long_path():
+    r, c = np.divmod(np.arange(400 * 401), 401)
+    on = (r % 2 == 0) | (c == np.where(r % 4 == 1, 400, 0))
+    label = raster.label_pixels(np.zeros(on.sum(), int), r[on], c[on], np.array([401]), False)
+    assert (label == 0).all()
+
+
 def test_block_mean_coverage(spark):
     df = grid(spark, [[1.0, 3.0], [0.0, 0.0]], "v", "double").withColumn("ok", F.col("r") == 0)
     out = raster.block_mean(df, "v", "ok", 2, 0.95).first()
