@@ -315,6 +315,24 @@ def may_be_alike(n: np.ndarray, n_shared: np.ndarray, words: np.ndarray, left: n
     return most >= alike * (n[left] + n[right] - most) - 1e-9
 
 
+#: Members of a meeting up to which it is one task's work.
+MEETING_ROWS = 16384
+
+
+def dealt(members: DataFrame, most: int = MEETING_ROWS) -> DataFrame:
+    """The same members; a meeting of more than `most` is cut into blocks, and each two of its blocks, or one with itself, meet in a place of their own.
+
+    Any two members still meet, and no place holds many more than twice `most`.
+    """
+    blocks = members.groupBy("at").agg(F.ceil(F.count("*") / most).cast("long").alias("blocks")).filter("blocks > 1")
+    blocks = common.saved(blocks, "large-meetings")
+    block = F.pmod(F.xxhash64("sig"), F.col("blocks"))
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    spread = members.join(common.small_side(blocks), "at", "left").withColumn("other", F.explode(others))
+    place = F.when(F.col("other") < 0, F.col("at")).otherwise(F.xxhash64("at", F.least(block, "other"), F.greatest(block, "other")))
+    return spread.withColumn("at", place).select(*members.columns)
+
+
 def meetings(members: DataFrame, alike: float, bits_apart: int, rest: bool) -> DataFrame:
     """Candidate pairs (a, b), a < b, of the texts (at, sig, part, n, n_shared, fp, words) that meet at a hash.
 
@@ -356,15 +374,18 @@ def meetings(members: DataFrame, alike: float, bits_apart: int, rest: bool) -> D
     return members.select(*columns).repartition("at").sortWithinPartitions("at", "sig").mapInArrow(common.tidied(run), "a long, b long").distinct()
 
 
-#: Parts over which the members that are held against one text are dealt.
-SALTS = 8
+#: Members that are held against one text in one task; more are dealt over tasks, each with a copy of that text's set.
+HELD = 2048
 
 
-def verified(sets: DataFrame, pairs: DataFrame, alike: float) -> DataFrame:
+def verified(sets: DataFrame, pairs: DataFrame, alike: float, held: int = HELD) -> DataFrame:
     """The pairs whose shingle sets are alike: sets of b are held against that of a, a stream for each a."""
-    asked = pairs.select(F.col("b").alias("sig"), F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("rank"))
+    heavy = pairs.groupBy("a").agg(F.ceil(F.count("*") / held).cast("long").alias("parts")).filter("parts > 1")
+    heavy = common.saved(heavy, "heavy-leads")
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1).cast("long")))
+    asked = pairs.join(common.small_side(heavy), "a", "left").select(F.col("b").alias("sig"), F.col("a").alias("lead"), salt.alias("salt"), F.lit(1).alias("rank"))
     leads = asked.select("lead", "salt").distinct().select(F.col("lead").alias("sig"), "lead", "salt", F.lit(0).alias("rank"))
-    dealt = asked.unionByName(leads).join(sets.select("sig", "n", "data"), "sig").select("sig", "lead", "salt", "rank", "n", "data")
+    streams = asked.unionByName(leads).join(sets.select("sig", "n", "data"), "sig").select("sig", "lead", "salt", "rank", "n", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own, own_n = None, np.zeros(0, np.int64), 0
@@ -381,7 +402,7 @@ def verified(sets: DataFrame, pairs: DataFrame, alike: float) -> DataFrame:
                         b.append(sig)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "rank").mapInArrow(common.tidied(run), "a long, b long")
+    return streams.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "rank").mapInArrow(common.tidied(run), "a long, b long")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = ALIKE_WORDS, alike: float = ALIKE, bits_apart: int = ALIKE_BITS) -> DataFrame:
@@ -391,7 +412,8 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     is at least `alike`. No link is lost: two texts alike share shingles among so many of any order's first as their
     sizes tell. By the order of hashes, texts that too few others meet go out; by the order of rarity, the rest meet.
     Small meetings verify all pairs; large ones first those that fingerprints within bits_apart name, and then all
-    that are not in one component yet. Rows that share an id stay or go together; rows without an id stay.
+    that are not in one component yet. Very large ones are dealt over tasks in blocks. Rows that share an id stay or go
+    together; rows without an id stay.
     """
     found = common.saved(sketches(df.filter(F.col(key).isNotNull()), key, text, size, alike), "sketches")
     docs = found.select(F.col(key).cast("long").alias("doc"), "sig", "n", "fp", "least")
@@ -402,7 +424,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     live = met.filter(F.col("count") >= F.greatest(F.lit(1), F.floor(F.col("n") * (SPARE * alike) - 1e-9))).select("sig")
     live = common.saved(live.join(firsts.select("doc", "sig", "fp").distinct(), "sig"), "live")
     sets = common.saved(common_sets(df, live, key, text, size, alike).join(common.small_side(live), "sig"), "sets")
-    members = sets.select(F.explode("rarest").alias("at"), "sig", F.col("doc").alias("part"), "n", "n_shared", "fp", "words")
+    members = dealt(sets.select(F.explode("rarest").alias("at"), "sig", F.col("doc").alias("part"), "n", "n_shared", "fp", "words"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         names = sets.select("sig", "doc")

@@ -262,6 +262,27 @@ def test_keep_one_finds_pairs_among_shared_boilerplate(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == alike_components(texts) == list(range(120))
 
 
+def test_very_large_meetings_are_dealt_in_blocks(spark):
+    rows = [(at, sig, sig) for at, n in ((7, 50), (8, 9), (9, 1)) for sig in range(n)]
+    members = spark.createDataFrame(rows, "at long, sig long, part long")
+    places = {}
+    for r in simhash.dealt(members, 10).collect():
+        places.setdefault(r["at"], []).append(r["sig"])
+    met = {p for sigs in places.values() for p in itertools.combinations(sorted(set(sigs)), 2)}
+    assert met == set(itertools.combinations(range(50), 2))
+    assert sorted(places[8]) == list(range(9)) and 7 not in places
+    assert max(map(len, places.values())) < 45
+    assert simhash.dealt(members.limit(0), 10).count() == 0
+
+
+def test_heavy_leads_are_dealt_over_tasks(spark):
+    sets = [(i, 100, np.sort(np.append(np.arange(100 - i % 30), 1000 + np.arange(i % 30))).astype("<i8").tobytes()) for i in range(90)]
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 90)] + [(3, 4)], "a long, b long")
+    sets = spark.createDataFrame([(s, n, bytearray(d)) for s, n, d in sets], "sig long, n long, data binary")
+    whole, parts = ({(r["a"], r["b"]) for r in simhash.verified(sets, pairs, 0.8, held).collect()} for held in (1000, 10))
+    assert whole == parts == {(0, i) for i in range(1, 90) if i % 30 <= 11} | {(3, 4)}
+
+
 def test_parity_bound_leaves_in_all_alike():
     rng = np.random.default_rng(8)
     n, same = np.full(60, 100), np.full(60, 90)
