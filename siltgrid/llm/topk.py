@@ -9,8 +9,7 @@ selection, and the k best of each query are merged over the blocks: k rows for e
 travel. Every query row meets every candidate row: nothing is pruned or sampled.
 
 Scores are exact: 64-bit integers, or Python's where a block's weights are so large that a product
-or a sum could pass 64 bits; a score beyond 64 bits is ranked by its true value within its block and
-given as the nearest 64-bit integer. Missing trailing components count as 0. Ties go to the smaller
+or a sum could pass 64 bits; a score beyond 64 bits counts as the nearest 64-bit integer. Missing trailing components count as 0. Ties go to the smaller
 id. Vectors that are null or hold a null, NaN or infinity take no part, nor do rows without an id;
 zero and empty vectors do. Rows of equal ids are separate candidates, a query leaves out all of its
 id, and repeated query rows (same id and vector) ask once. An empty table gives no rows. Only the two
@@ -66,15 +65,13 @@ class Postings:
             if t in self.of:
                 slots, weight = self.of[t]
                 dense[slots] += (weight if dense.dtype == np.int64 else weight.astype(object)) * int(query[t])
-        return dense
+        return dense if dense.dtype == np.int64 else np.array([min(max(x, LEAST), MOST) for x in dense.tolist()], np.int64)
 
 
 def best(scores: np.ndarray, k: int) -> np.ndarray:
     """Slots of the k highest scores, in no order; of equal ones the first slots."""
     if len(scores) <= k:
         return np.arange(len(scores))
-    if scores.dtype == object:
-        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], i))[:k])
     least = np.partition(scores, len(scores) - k)[len(scores) - k]
     above = np.flatnonzero(scores > least)
     return np.append(above, np.flatnonzero(scores == least)[: k - len(above)])
@@ -96,7 +93,7 @@ def top_inner_products(df: DataFrame, key: str = "vec_id", vector: str = "embedd
     right = queries.withColumn("group", F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("int")).withColumn("block", every_block).select("block", "group", "id", "v")
 
     def meet(candidates: pa.Table, asks: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, list[int]]] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(candidates) and len(asks):
             candidates = candidates.sort_by("id").combine_chunks()
             v = candidates["v"].combine_chunks()
@@ -108,9 +105,9 @@ def top_inner_products(df: DataFrame, key: str = "vec_id", vector: str = "embedd
                 if b > a:
                     scores, ids = np.delete(scores, slice(a, b)), np.delete(ids, slice(a, b))
                 slots = best(scores, k)
-                found.append((np.full(len(slots), query_id), ids[slots], [min(max(x, LEAST), MOST) for x in scores[slots].tolist()]))
-        columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1)]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array([x for f in found for x in f[2]], pa.int64())})
+                found.append((np.full(len(slots), query_id), ids[slots], scores[slots]))
+        columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(c, pa.int64()) for c in columns))))
 
     met = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(meet, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
