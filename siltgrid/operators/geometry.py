@@ -63,6 +63,22 @@ def clipped_length(x1: Column, y1: Column, x2: Column, y2: Column, left: Column,
     return F.greatest(leave - enter, F.lit(0.0)) * F.hypot(x2 - x1, y2 - y1)
 
 
+def lengths_in_boxes(lines: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
+    """Segments (x1, y1, x2, y2) with the boxes (l, b, r, t) that hold a part of them, and its length inside_m.
+
+    Both meet in the cells of their boxes, whatever their extent; a pair counts in the cell of the place where the segment enters the
+    box, which lies in the extent of both.
+    """
+    x1, y1, x2, y2, left, bottom, right, top = (F.col(c) for c in ("x1", "y1", "x2", "y2", "l", "b", "r", "t"))
+    s = spread(lines, F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2), F.greatest(y1, y2), size)
+    enter, leave = inside_box(x1, y1, x2, y2, left, bottom, right, top)
+    within = lambda v, a, b, lo, hi: F.greatest(lo, F.least(a, b), F.least(hi, F.greatest(a, b), v))
+    x, y = within(x1 + enter * (x2 - x1), x1, x2, left, right), within(y1 + enter * (y2 - y1), y1, y2, bottom, top)
+    here = (F.floor(x / size) == F.col("gx")) & (F.floor(y / size) == F.col("gy"))
+    met = s.join(spread(boxes, left, bottom, right, top, size), ["gx", "gy"]).filter((leave > enter) & here).drop("gx", "gy")
+    return met.withColumn("inside_m", clipped_length(x1, y1, x2, y2, left, bottom, right, top)).filter("inside_m > 0")
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 

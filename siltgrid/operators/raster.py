@@ -89,6 +89,55 @@ def distance(df: DataFrame, mask: str, cell: float = 1.0, scene: str = "scene")
     return line.select(scene, "r", F.explode(here).alias("x")).select(scene, "r", F.col("x.c").alias("c"), F.coalesce(F.sqrt("x.d2") * cell, F.lit(float("inf"))).alias("distance"))
 
 
+def boundary_edges(df: DataFrame, mask: str, valid: str | None = None, scene: str = "scene") -> DataFrame:
+    """(scene, r, c, edge): what erosion takes from a mask, where it is valid."""
+    e = erode(df, mask, scene)
+    if valid is None:
+        return e.select(scene, "r", "c", "edge")
+    return e.join(df.select(scene, "r", "c", F.col(valid).alias("_ok")), [scene, "r", "c"]).select(scene, "r", "c", (F.col("edge") & F.col("_ok")).alias("edge"))
+
+
+def boundary_f1(df: DataFrame, pred: str, ref: str, tolerances: Sequence[int] = (1, 2), valid: str | None = None, scene: str = "scene") -> DataFrame:
+    """(scene, pred_edge, ref_edge, boundary_f1_1px, ...): the harmonic mean of the shares of either edge within so many pixels of the other.
+
+    Every scene has a row; one without an edge on either side scores 0.
+    """
+    edges = {m: boundary_edges(df, m, valid, scene).filter("edge").select(scene, "r", "c") for m in (pred, ref)}
+    out = df.select(scene).distinct()
+    for own, other, name in ((pred, ref, "pred"), (ref, pred, "ref")):
+        side = edges[own]
+        for t in tolerances:
+            steps = [s for s in offsets(t) if s[0] ** 2 + s[1] ** 2 <= t * t]
+            reach = neighbours(edges[other], steps, [], scene).select(scene, "r", "c").distinct().withColumn(f"near{t}", F.lit(True))
+            side = side.join(reach, [scene, "r", "c"], "left")
+        out = out.join(side.groupBy(scene).agg(F.count("*").alias(f"{name}_edge"), *(F.count(f"near{t}").alias(f"{name}_hit{t}") for t in tolerances)), scene, "left")
+    out = out.fillna(0, [c for c in out.columns if c != scene])
+    share = lambda name, t: F.when(F.col(f"{name}_edge") > 0, F.col(f"{name}_hit{t}") / F.when(F.col(f"{name}_edge") > 0, F.col(f"{name}_edge"))).otherwise(0.0)
+
+    def score(t: int) -> Column:
+        p, r = share("pred", t), share("ref", t)
+        return F.when(p + r > 0, 2 * p * r / F.when(p + r > 0, p + r)).otherwise(0.0).alias(f"boundary_f1_{t}px")
+
+    return out.select(scene, "pred_edge", "ref_edge", *(score(t) for t in tolerances))
+
+
+def boundary_distances(df: DataFrame, pred: str, ref: str, valid: str | None = None, scene: str = "scene") -> DataFrame:
+    """(scene, pred_edge, ref_edge, median_px, p95_px, most_px) of the distances from each edge to the other, both ways.
+
+    Every scene has a row; where one of the edges is empty the distances are infinite.
+    """
+    edge = {m: boundary_edges(df, m, valid, scene) for m in (pred, ref)}
+    sides = []
+    for own, other in ((pred, ref), (ref, pred)):
+        far = distance(edge[other], "edge", scene=scene)
+        sides.append(edge[own].filter("edge").join(far, [scene, "r", "c"]).select(scene, F.col("distance").alias("d"), F.lit(own == pred).alias("first")))
+    both = sides[0].unionByName(sides[1])
+    counts = both.groupBy(scene).agg(F.count_if("first").alias("pred_edge"), F.count_if(~F.col("first")).alias("ref_edge"), F.percentile("d", F.lit(0.5)).alias("median_px"), F.percentile("d", F.lit(0.95)).alias("p95_px"), F.max("d").alias("most_px"))
+    out = df.select(scene).distinct().join(counts, scene, "left").fillna(0, ["pred_edge", "ref_edge"])
+    measured = (F.col("pred_edge") > 0) & (F.col("ref_edge") > 0)
+    return out.select(scene, "pred_edge", "ref_edge", *(F.when(measured, F.col(c)).otherwise(float("inf")).alias(c) for c in ("median_px", "p95_px", "most_px")))
+
+
 def least_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least of the numbers below n that each is connected to by links a-b.
 

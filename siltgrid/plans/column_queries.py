@@ -293,10 +293,10 @@ def running_sums(spark, sf):
     return bins.withColumn("upto", F.sum("n").over(Window.partitionBy("label").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-@query("w05_first_in_group", "SELECT lang, source, min(left(text, 40)) AS first_text FROM documents WHERE text IS NOT NULL GROUP BY 1, 2")
+@query("w05_first_in_group", "SELECT lang, source, min(text) AS first_text FROM documents WHERE text IS NOT NULL GROUP BY 1, 2")
 def first_in_group(spark, sf):
-    """The lexicographically first item of each group, by a partial minimum."""
-    return read(spark, sf, "documents").filter("text is not null").groupBy("lang", "source").agg(F.min(F.substring("text", 1, 40)).alias("first_text"))
+    """The lexicographically first item of each group, by a partial minimum of whole texts."""
+    return read(spark, sf, "documents").filter("text is not null").groupBy("lang", "source").agg(F.min("text").alias("first_text"))
 
 
 @query("w07_group_offset", "SELECT user_id, round(avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'view'), 6) AS off FROM events GROUP BY user_id")

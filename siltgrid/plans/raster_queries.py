@@ -157,24 +157,23 @@ def distance_transform(spark, sf):
     return rounded(raster.distance(masks(spark, sf).withColumn("m", F.col("pred") & F.col("ref")), "m", 30.0), "distance")
 
 
+def _boundary_sql(name: str, square: int) -> str:
+    """Edges of either mask within a distance of the other's, and the score; a scene without edges scores 0."""
+    near = lambda a, b: f"EXISTS (SELECT 1 FROM {b} WHERE {b}.scene = {a}.scene AND power({b}.r - {a}.r, 2) + power({b}.c - {a}.c, 2) <= {square})"
+    side = lambda a, b: f"SELECT scene, count(*) AS n, count(*) FILTER ({near(a, b)}) AS hit FROM {a} GROUP BY scene"
+    return f"""{name} AS (SELECT s.scene, coalesce(p.n, 0) AS pred_edge, coalesce(q.n, 0) AS ref_edge,
+  round(coalesce(2 * (p.hit / p.n) * (q.hit / q.n) / nullif(p.hit / p.n + q.hit / q.n, 0), 0), 6) AS f1
+ FROM (SELECT DISTINCT scene FROM mk) s LEFT JOIN ({side('pe', 're')}) p USING (scene) LEFT JOIN ({side('re', 'pe')}) q USING (scene))"""
+
+
 @query(
     "r14_boundary_f1",
     f"WITH {MASKS_SQL}, {ERODE_SQL.format(m='pred')}, {ERODE_SQL.format(m='ref').replace('er AS', 'er2 AS', 1)}, pe AS (SELECT scene, r, c FROM er WHERE m AND NOT eroded), re AS (SELECT scene, r, c FROM er2 WHERE m AND NOT eroded),"
-    """ ph AS (SELECT scene, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM re WHERE re.scene = pe.scene AND power(re.r - pe.r, 2) + power(re.c - pe.c, 2) <= 1)) AS hit FROM pe GROUP BY scene),
- rh AS (SELECT scene, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM pe WHERE re.scene = pe.scene AND power(re.r - pe.r, 2) + power(re.c - pe.c, 2) <= 1)) AS hit FROM re GROUP BY scene)
- SELECT ph.scene, ph.n AS pred_edge, rh.n AS ref_edge, round(CASE WHEN ph.hit + rh.hit = 0 THEN 0 ELSE 2 * (ph.hit / ph.n) * (rh.hit / rh.n) / (ph.hit / ph.n + rh.hit / rh.n) END, 6) AS boundary_f1 FROM ph JOIN rh USING (scene)""",
+    f" {_boundary_sql('one', 1)}, {_boundary_sql('two', 4)} SELECT one.scene, one.pred_edge, one.ref_edge, one.f1 AS boundary_f1_1px, two.f1 AS boundary_f1_2px FROM one JOIN two USING (scene)",
 )
 def boundary_f1(spark, sf):
-    px = masks(spark, sf)
-    steps = [s for s in raster.offsets(1) if s[0] ** 2 + s[1] ** 2 <= 1]
-    sides = {}
-    edges = {m: raster.erode(px, m).filter("edge").select("scene", "r", "c") for m in ("pred", "ref")}
-    for own, other in (("pred", "ref"), ("ref", "pred")):
-        reach = raster.neighbours(edges[other], steps, []).select("scene", "r", "c").distinct().withColumn("near", F.lit(True))
-        sides[own] = edges[own].join(reach, ["scene", "r", "c"], "left").groupBy("scene").agg(F.count("*").alias(f"{own}_edge"), F.count("near").alias(f"{own}_hit"))
-    both = sides["pred"].join(sides["ref"], "scene")
-    p, r = F.col("pred_hit") / F.col("pred_edge"), F.col("ref_hit") / F.col("ref_edge")
-    return rounded(both.select("scene", "pred_edge", "ref_edge", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("boundary_f1")), "boundary_f1")
+    """At one and at two pixels."""
+    return rounded(raster.boundary_f1(masks(spark, sf), "pred", "ref", (1, 2)), "boundary_f1_1px", "boundary_f1_2px")
 
 
 CC_SQL = """fg AS (SELECT scene, r, c, r * 8 + c AS id FROM mk WHERE {m}),

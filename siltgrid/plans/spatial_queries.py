@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siltgrid.operators import forest, geometry, metrics, raster
+from siltgrid.operators import forest, geometry, metrics, nearest, raster
 from siltgrid.sources.tables import MASKS_SQL, SIDE, masks, read
 
 from .raster_queries import rounded
@@ -73,12 +73,9 @@ def points_in_boxes(spark, sf):
  SELECT id, box, round(greatest(f - e, 0) * len, 6) AS inside_m FROM k WHERE f > e AND len > 0""",
 )
 def length_in_boxes(spark, sf):
-    b = boxes(spark, sf).withColumn("cells", F.array(F.struct(F.floor(F.col("l") / 1000).cast("long").alias("gx"), F.floor(F.col("b") / 800).cast("long").alias("gy"))))
-    b = b.select("box", "l", "b", "r", "t", F.col("cells")[0]["gx"].alias("gx"), F.col("cells")[0]["gy"].alias("gy"))
-    gx, gy = F.sequence(F.floor(F.least("x1", "x2") / 1000).cast("long"), F.floor(F.greatest("x1", "x2") / 1000).cast("long")), F.sequence(F.floor(F.least("y1", "y2") / 800).cast("long"), F.floor(F.greatest("y1", "y2") / 800).cast("long"))
-    s = lines(spark, sf).select("*", F.explode(gx).alias("gx")).select("*", F.explode(gy).alias("gy"))
-    inside = geometry.clipped_length(*(F.col(c) for c in ("x1", "y1", "x2", "y2", "l", "b", "r", "t")))
-    return rounded(s.join(b, ["gx", "gy"]).select("id", "box", inside.alias("inside_m")).filter("inside_m > 0"), "inside_m")
+    """Segments and boxes of any extent meet in cells."""
+    met = geometry.lengths_in_boxes(lines(spark, sf), boxes(spark, sf).select("box", "l", "b", "r", "t"), 500.0)
+    return rounded(met.select("id", "box", "inside_m"), "inside_m")
 
 
 @query("g03_line_lengths", f"WITH {LINES_SQL} SELECT id, round(sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)), 6) AS length_m, round((x1 + x2) / 2, 6) AS mx, round((y1 + y2) / 2, 6) AS my FROM ln")
@@ -112,11 +109,11 @@ def distance_bands(spark, sf):
 
 @query("j20_nearest_box", f"WITH {POINTS_SQL}, {BOXES_SQL} SELECT id, n_name AS nearest, round({DISTANCE}, 6) AS distance_m FROM pt, bx QUALIFY row_number() OVER (PARTITION BY id ORDER BY {DISTANCE}, n_name) = 1")
 def nearest_box(spark, sf):
-    """The boxes travel as one array of 25 entries, so each point finds its nearest in its own row."""
-    all_boxes = boxes(spark, sf).agg(F.collect_list(F.struct("n_name", "l", "b", "r", "t")).alias("bs"))
-    d = lambda z: geometry.box_distance(F.col("x"), F.col("y"), z["l"], z["b"], z["r"], z["t"])
-    best = F.array_min(F.transform("bs", lambda z: F.struct(d(z).alias("d"), z["n_name"].alias("n"))))
-    return rounded(points(spark, sf).crossJoin(F.broadcast(all_boxes)).select("id", best.alias("m")).select("id", F.col("m.n").alias("nearest"), F.col("m.d").alias("distance_m")), "distance_m")
+    """Points go down a tree of the boxes' cells."""
+    p = points(spark, sf).select("id", "x", "y", F.col("x").alias("l"), F.col("y").alias("b"), F.col("x").alias("r"), F.col("y").alias("t"))
+    b = boxes(spark, sf).select(F.col("n_name").alias("nearest"), *(F.col(c).alias(f"{c}2") for c in "lbrt"))
+    d = geometry.box_distance(*(F.col(c) for c in ("x", "y", "l2", "b2", "r2", "t2")))
+    return rounded(nearest.nearest(p, b, "id", "nearest", d).withColumnRenamed("distance", "distance_m"), "distance_m")
 
 
 @query("j18_exposure_by_box", f"WITH {POINTS_SQL}, {BOXES_SQL} SELECT box, count(id) AS places, count(id) > 0 AS exposed FROM bx LEFT JOIN pt ON x >= l AND x < r AND y >= b AND y < t GROUP BY box")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siltgrid.operators import geometry, raster
+from siltgrid.operators import geometry, nearest, raster
 from siltgrid.sources.tables import MASKS_SQL, PIXELS_SQL, masks, pixels, read
 
 from . import registry
@@ -75,15 +75,12 @@ def clip_lines(spark, sf):
     return rounded(cut.select("id", *(at(a, b, F.col(t)).alias(n) for a, b, t, n in ((x1, x2, "e", "x1"), (y1, y2, "e", "y1"), (x1, x2, "f", "x2"), (y1, y2, "f", "y2")))), "x1", "y1", "x2", "y2")
 
 
-@query("g07_distance_to_union", f"WITH {POINTS_SQL}, {BOXES_SQL}, d AS (SELECT id, min({DISTANCE}) AS d FROM pt, bx GROUP BY id) SELECT id, CASE WHEN d <= 600 THEN round(d, 6) END AS distance_m FROM d")
+@query("g07_distance_to_union", f"WITH {POINTS_SQL}, {BOXES_SQL}, d AS (SELECT id, min({DISTANCE}) AS d FROM pt, bx GROUP BY id) SELECT id, round(d, 6) AS distance_m FROM d")
 def distance_to_union(spark, sf):
-    """Distance of points to the union of all boxes, null beyond 600 m: boxes reach out into the cells so near, and the least distance counts."""
-    reach = 600.0
-    b = geometry.spread(boxes(spark, sf), F.col("l") - reach, F.col("b") - reach, F.col("r") + reach, F.col("t") + reach, reach)
-    p = points(spark, sf).withColumn("gx", F.floor(F.col("x") / reach).cast("long")).withColumn("gy", F.floor(F.col("y") / reach).cast("long"))
-    d = geometry.box_distance(*(F.col(c) for c in ("x", "y", "l", "b", "r", "t")))
-    near = p.join(b, ["gx", "gy"], "left").groupBy("id").agg(F.min(d).alias("d"))
-    return rounded(near.select("id", F.when(F.col("d") <= reach, F.col("d")).alias("distance_m")), "distance_m")
+    """Distance of points to the union of all boxes, at any distance."""
+    p = points(spark, sf).select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    b = boxes(spark, sf).select(F.array(ring_of("l", "b", "r", "t")).alias("rings"))
+    return rounded(nearest.distance_to_union(p, b, "id", "rings", 250.0).withColumnRenamed("distance", "distance_m"), "distance_m")
 
 
 @query("g09_direct_flags", f"SELECT ln.id, coalesce(max(inside_m), 0) > 0 AS direct, count(box) AS boxes FROM (WITH {LINES_SQL} SELECT id FROM ln) ln LEFT JOIN ({registry._ORACLES['g05_length_in_boxes']}) g ON g.id = ln.id GROUP BY 1")
@@ -209,20 +206,14 @@ def area_mask(spark, sf):
     "r15_boundary_distances",
     f"""WITH {MASKS_SQL}, {ERODE_SQL.format(m='pred')}, {ERODE_SQL.format(m='ref').replace('er AS', 'er2 AS', 1)}, pe AS (SELECT scene, r, c FROM er WHERE m AND NOT eroded), re AS (SELECT scene, r, c FROM er2 WHERE m AND NOT eroded),
 d AS (SELECT pe.scene, pe.r, pe.c, 'p' AS side, min(sqrt(power(re.r - pe.r, 2) + power(re.c - pe.c, 2))) AS d FROM pe JOIN re USING (scene) GROUP BY 1, 2, 3 UNION ALL
- SELECT re.scene, re.r, re.c, 'r', min(sqrt(power(re.r - pe.r, 2) + power(re.c - pe.c, 2))) FROM re JOIN pe USING (scene) GROUP BY 1, 2, 3)
-SELECT scene, count(*) AS n, round(median(d), 6) AS median_px, round(quantile_cont(d, 0.95), 6) AS p95_px, round(max(d), 6) AS most_px FROM d GROUP BY scene""",
+ SELECT re.scene, re.r, re.c, 'r', min(sqrt(power(re.r - pe.r, 2) + power(re.c - pe.c, 2))) FROM re JOIN pe USING (scene) GROUP BY 1, 2, 3),
+s AS (SELECT scene, round(median(d), 6) AS median_px, round(quantile_cont(d, 0.95), 6) AS p95_px, round(max(d), 6) AS most_px FROM d GROUP BY scene),
+n AS (SELECT scene, count(*) FILTER (p) AS pred_edge, count(*) FILTER (NOT p) AS ref_edge FROM (SELECT scene, true AS p FROM pe UNION ALL SELECT scene, false FROM re) GROUP BY scene)
+SELECT scene, coalesce(pred_edge, 0) AS pred_edge, coalesce(ref_edge, 0) AS ref_edge, coalesce(median_px, 'Infinity'::DOUBLE) AS median_px, coalesce(p95_px, 'Infinity'::DOUBLE) AS p95_px, coalesce(most_px, 'Infinity'::DOUBLE) AS most_px
+FROM (SELECT DISTINCT scene FROM mk) LEFT JOIN n USING (scene) LEFT JOIN s USING (scene)""",
 )
 def boundary_distances(spark, sf):
-    """Distances from each boundary to the other, both ways, by the distance transform."""
-    px = masks(spark, sf)
-    edge = {m: raster.erode(px, m).select("scene", "r", "c", "edge") for m in ("pred", "ref")}
-    sides = []
-    for own, other in (("pred", "ref"), ("ref", "pred")):
-        far = raster.distance(edge[other], "edge")
-        sides.append(edge[own].filter("edge").join(far, ["scene", "r", "c"]).select("scene", F.col("distance").alias("d")))
-    both = sides[0].unionByName(sides[1]).filter(F.col("d") < float("inf"))
-    out = both.groupBy("scene").agg(F.count("*").alias("n"), F.percentile("d", F.lit(0.5)).alias("median_px"), F.percentile("d", F.lit(0.95)).alias("p95_px"), F.max("d").alias("most_px"))
-    return rounded(out, "median_px", "p95_px", "most_px")
+    return rounded(raster.boundary_distances(masks(spark, sf), "pred", "ref"), "median_px", "p95_px", "most_px")
 
 
 @query("r18_window_snap", f"WITH {BOXES_SQL} SELECT box, floor(l / 30 + 0.5)::BIGINT AS col_off, floor((4000 - t) / 30 + 0.5)::BIGINT AS row_off, floor((r - l) / 30 + 0.5)::BIGINT AS width, floor((t - b) / 30 + 0.5)::BIGINT AS height FROM bx")
