@@ -2,8 +2,8 @@
 
 Texts are lower-cased (A-Z), cut into pieces and words; each word position gives a suffix of its piece,
 cut to the longest phrase asked for. Suffixes are shuffled by language and first word, sorted in
-reverse lexicographic order, and one stack counts all their prefixes in one scan: what leaves the
-stack is a phrase with its final count. The parts of each phrase are joined to it afterwards.
+reverse lexicographic order, and one stack of open prefixes counts them all in one scan: what leaves the
+stack is a phrase with its count. The parts of each phrase are joined to it afterwards.
 
 What makes this hold on large and uneven tables:
 
@@ -14,7 +14,7 @@ What makes this hold on large and uneven tables:
 * Suffixes are dealt by ranges of (language, words): a frequent first word is cut into several ranges by
   what follows it. The bounds come from a bounded sample and decide only who counts what. A prefix that
   a bound cuts is given from both sides, and one sum over (language, phrase) ends the counting.
-* Spark sorts, and spills where a range is larger than a task's memory; the stack holds one suffix.
+* Spark sorts, and spills where a range is larger than a task's memory; the stack holds one suffix's prefixes.
 
 A null text is empty; a null language counts as `und`. Repeated rows count as often as they are there.
 Texts of any length are read whole, in stretches that end where a piece ends. An empty table gives no
@@ -42,8 +42,8 @@ SCALE = 2_000_000
 NO_LANGUAGE = "und"
 #: Piece ends become line feeds, tabs become blanks.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\v\f\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
-#: Words that a task counts together, tokens that are numbered at once, and bytes of a stretch of a long text.
-CHUNK_WORDS, TOKENS_AT_ONCE, STRETCH = 2_500_000, 400_000, 1 << 20
+#: Words that a task counts together, bytes that are cut into words at once, and bytes of a stretch of a long text.
+CHUNK_WORDS, AT_ONCE, STRETCH = 1_500_000, 1 << 21, 1 << 20
 #: Words of the corpus for a range, the most ranges, words that are read for their bounds, and sampled suffixes for each range.
 RANGE_WORDS, MOST_RANGES, SAMPLE_WORDS, SAMPLED = 1_500_000, 20_000, 3_000_000, 40
 #: Bits of the bitmap: this many for each frequent word, within the two limits.
@@ -70,9 +70,9 @@ class Chunk:
         self.parts: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, lang: str, tokens: list[bytes]) -> None:
+    def add(self, lang: str, texts: list[bytes]) -> None:
         known = self.known.setdefault(lang, {b"\n": 0, b"": -1})
-        coded = pa.array(tokens, pa.large_binary()).dictionary_encode()
+        coded = pc.split_pattern(pa.array(texts, pa.large_binary()), " ").flatten().dictionary_encode()
         own = []
         for word in coded.dictionary.to_pylist():
             number = known.get(word)
@@ -80,12 +80,12 @@ class Chunk:
                 number = known[word] = len(self.entries)
                 self.entries.append((lang, word))
             own.append(number)
-        numbers = np.array(own, np.int64)[coded.indices.to_numpy()]
+        numbers = np.array(own, np.int32)[coded.indices.to_numpy()]
         self.parts.append(numbers[numbers >= 0])
         self.size += len(self.parts[-1])
 
     def tokens(self) -> np.ndarray:
-        return np.concatenate([*self.parts, np.zeros(MAX_WORDS, np.int64)])
+        return np.concatenate([*self.parts, np.zeros(MAX_WORDS, np.int32)])
 
 
 def chunks(batches: Iterator[pa.RecordBatch], words: int = CHUNK_WORDS) -> Iterator[Chunk]:
@@ -94,17 +94,15 @@ def chunks(batches: Iterator[pa.RecordBatch], words: int = CHUNK_WORDS) -> Itera
     for batch in batches:
         for at, lang in enumerate(batch.column(0).to_pylist()):
             for stretch in stretches(batch.column(1)[at].as_buffer().to_pybytes().translate(FOLD)):
-                tokens = stretch.replace(b"\n", b" \n ").split(b" ")
-                tokens.append(b"\n")
-                held.setdefault(lang, []).extend(tokens)
-                waiting += len(tokens)
-                if waiting >= TOKENS_AT_ONCE:
+                held.setdefault(lang, []).append(stretch.replace(b"\n", b" \n ") + b" \n")
+                waiting += len(stretch)
+                if waiting >= AT_ONCE:
                     for x, y in held.items():
                         chunk.add(x, y)
                     held, waiting = {}, 0
                     if chunk.size >= words:
-                        yield chunk
-                        chunk = Chunk()
+                        full, chunk = [chunk], Chunk()
+                        yield full.pop()  # from now on only who reads it holds it
     for x, y in held.items():
         chunk.add(x, y)
     if chunk.size:
@@ -126,12 +124,13 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for chunk in chunks(batches):
             n = np.bincount(np.concatenate(chunk.parts), minlength=len(chunk.entries))
             sums: dict[str, int] = {}
-            for (lang, _), x in zip(chunk.entries[1:], n[1:].tolist()):
-                sums[lang] = sums.get(lang, 0) + x
-            rows = [*((lang, word, x) for (lang, word), x in zip(chunk.entries[1:], n[1:].tolist())), *((lang, None, x) for lang, x in sums.items())]
-            for a in range(0, len(rows), ROWS):
-                langs, words, counts = zip(*rows[a : a + ROWS])
+            for a in range(1, len(n), ROWS):
+                counts = n[a : a + ROWS].tolist()
+                langs, words = zip(*chunk.entries[a : a + ROWS])
+                for lang, x in zip(langs, counts):
+                    sums[lang] = sums.get(lang, 0) + x
                 yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), strings(list(words)), pa.array(counts, pa.int64())], ["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.nulls(len(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["lang", "word", "n"])
 
     return texts.mapInArrow(common.tidied(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -157,37 +156,54 @@ def frequent(chunk: Chunk, marks: np.ndarray) -> np.ndarray:
     return np.append(False, hit.astype(bool))
 
 
-def counted(chunk: Chunk, marks: np.ndarray, max_words: int) -> tuple[pa.Array, np.ndarray]:
-    """Distinct suffixes of two to max_words frequent words, in byte order, and how often each is there.
+def dense(values: np.ndarray) -> np.ndarray:
+    """Ranks of values, equal ones sharing a rank: small numbers in the same order."""
+    order = values.argsort()
+    ranked = values[order]
+    out = np.empty(len(values), np.int64)
+    out[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1])[: len(values)])
+    return out
+
+
+class Suffixes:
+    """A chunk's distinct suffixes of two to max_words frequent words, in byte order, and how often each is there (`n`).
 
     A suffix is the language in hexadecimal, a line feed, and words that each end with a blank: so all suffixes with a common
-    prefix of whole words lie together, and a prefix stands before what is longer.
+    prefix of whole words lie together, and a prefix stands before what is longer. Their bytes are made when asked for.
     """
-    often = np.flatnonzero(frequent(chunk, marks))
-    heads = [chunk.entries[i][0].encode().hex().encode() + b"\n" + chunk.entries[i][1] + b" " for i in often.tolist()]
-    order = sorted(range(len(heads)), key=heads.__getitem__)
-    number = np.zeros(len(chunk.entries), np.int64)
-    number[often[order]] = np.arange(1, len(order) + 1)
-    head = pa.array([b"", *(heads[i] for i in order)], pa.large_binary())
-    tail = pa.array([b"", *(chunk.entries[often[i]][1] + b" " for i in order)], pa.large_binary())
-    words = number[chunk.tokens()]
-    n = len(words) - MAX_WORDS
-    columns, alive = [], np.ones(n, bool)
-    for k in range(max_words):
-        alive = alive & (words[k : n + k] > 0)
-        columns.append(np.where(alive, words[k : n + k], 0))
-    longer = np.flatnonzero(columns[1] > 0) if max_words > 1 else np.zeros(0, np.int64)
-    columns = [c[longer] for c in columns]
-    base = len(order) + 1
-    keys = [columns[i] * base + (columns[i + 1] if i + 1 < max_words else 0) for i in range(0, max_words, 2)]
-    place = np.lexsort(keys[::-1])
-    new = np.ones(len(place), bool)
-    if len(place):
-        new[1:] = np.any([k[place[1:]] != k[place[:-1]] for k in keys], axis=0)
-    first = np.flatnonzero(new)
-    rows = place[first]
-    made = pc.binary_join_element_wise(head.take(pa.array(columns[0][rows])), *(tail.take(pa.array(c[rows])) for c in columns[1:]), pa.scalar(b"", pa.large_binary())) if len(rows) else pa.array([], pa.large_binary())
-    return made, np.diff(np.append(first, len(place)))
+
+    def __init__(self, chunk: Chunk, marks: np.ndarray, max_words: int) -> None:
+        often = np.flatnonzero(frequent(chunk, marks))
+        heads = [chunk.entries[i][0].encode().hex().encode() + b"\n" + chunk.entries[i][1] + b" " for i in often.tolist()]
+        order = sorted(range(len(heads)), key=heads.__getitem__)
+        number = np.zeros(len(chunk.entries), np.int32)
+        number[often[order]] = np.arange(1, len(order) + 1)
+        self.head = pa.array([b"", *(heads[i] for i in order)], pa.large_binary())
+        self.tail = pa.array([b"", *(chunk.entries[often[i]][1] + b" " for i in order)], pa.large_binary())
+        words = number[chunk.tokens()]
+        place = np.flatnonzero((words[:-MAX_WORDS] > 0) & (words[1 : 1 - MAX_WORDS] > 0))
+        columns = [words[place], words[place + 1]]
+        for k in range(2, max_words):
+            columns.append(np.where(columns[-1] > 0, words[place + k], 0))
+        base = len(order) + 1
+        key = dense(columns[0].astype(np.int64) * base + columns[1]) << 32
+        if max_words > 2:
+            key |= dense(columns[2].astype(np.int64) * base + (columns[3] if max_words > 3 else 0))
+        place = key.argsort()
+        key = key[place]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        self.columns = [c[place[first]] for c in columns]
+        self.n = np.diff(np.append(first, len(key)))
+
+    def __len__(self) -> int:
+        return len(self.n)
+
+    def texts(self, a: int, b: int) -> pa.Array:
+        words = [(self.tail if k else self.head).take(pa.array(c[a:b])) for k, c in enumerate(self.columns)]
+        return pc.binary_join_element_wise(*words, pa.scalar(b"", pa.large_binary()))
+
+    def text(self, i: int) -> bytes:
+        return self.texts(i, i + 1)[0].as_py()
 
 
 def suffixes(texts: DataFrame, marks, bounds, max_words: int) -> DataFrame:
@@ -195,58 +211,72 @@ def suffixes(texts: DataFrame, marks, bounds, max_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            found, n = counted(chunk, marks.value, max_words)
-            cuts = [bisect.bisect_left(range(len(found)), b, key=lambda i: found[i].as_py()) for b in bounds.value]
-            part = np.searchsorted(cuts, np.arange(len(found)), side="right")
+            found = Suffixes(chunk, marks.value, max_words)
+            del chunk
+            cuts = [bisect.bisect_left(range(len(found)), b, key=found.text) for b in bounds.value]
             for a in range(0, len(found), ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(part[a : a + ROWS], pa.int32()), found[a : a + ROWS].cast(pa.binary()), pa.array(n[a : a + ROWS], pa.int64())], ["part", "suffix", "n"])
+                b = min(a + ROWS, len(found))
+                part = np.searchsorted(cuts, np.arange(a, b), side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), found.texts(a, b).cast(pa.binary()), pa.array(found.n[a:b], pa.int64())], ["part", "suffix", "n"])
 
     return texts.mapInArrow(common.tidied(run), "part int, suffix binary, n long")
 
 
 class Stack:
-    """Counts all prefixes of suffixes that come in reverse order; each prefix leaves when the first suffix without it comes."""
+    """Counts all prefixes of two words or more of a range's suffixes, which come in reverse order.
+
+    A prefix leaves when the first suffix without it has come: all that end within a batch at once, while what the batch's last suffix
+    holds stays open with its count so far. Rare prefixes are dropped, but for the first and the last of a range at each
+    length: only these can have suffixes in another range too.
+    """
 
-    def __init__(self, bounds: list[bytes], least: int) -> None:
-        self.bounds, self.least = bounds, least
-        self.open: list[bytes] = []
-        self.counts: list[int] = []
+    def __init__(self, least: int) -> None:
+        self.least = least
+        self.open: list[tuple[bytes, int]] = []  # prefixes of the last suffix, of one word, two words, ..., each ended by a blank
+        self.begun: set[int] = set()  # lengths of which a first prefix has left
         self.done: list[tuple[bytes, int]] = []
 
-    def cut(self, prefix: bytes) -> bool:
-        """Whether suffixes with this prefix are dealt to more than one range."""
-        at = bisect.bisect_right(self.bounds, prefix)
-        return at < len(self.bounds) and self.bounds[at].startswith(prefix)
-
-    def close(self, depth: int) -> None:
-        """Take off all prefixes beyond a depth; each one's count goes to the one below it."""
-        while len(self.open) > depth:
-            prefix, n = self.open.pop(), self.counts.pop()
-            if self.counts:
-                self.counts[-1] += n
-                if n >= self.least or self.cut(prefix):  # the first word alone has been counted already
-                    self.done.append((prefix, n))
-
-    def add(self, suffix: bytes, n: int) -> None:
-        depth = 0
-        for prefix in self.open:
-            if not suffix.startswith(prefix):
-                break
-            depth += 1
-        self.close(depth)
-        at = len(self.open[-1]) if self.open else 0
-        while at < len(suffix):
-            at = suffix.index(b" ", at) + 1
-            self.open.append(suffix[:at])
-            self.counts.append(0)
-        self.counts[-1] += n
-
-
-def phrase_counts(parts: DataFrame, ranges: int, bounds, least: int) -> DataFrame:
+    def add(self, suffixes: pa.Array, n: np.ndarray) -> None:
+        # what is open goes before the batch, shortest first, each with what its longer ones don't have
+        counts = [x for _, x in self.open] + [0]
+        texts = pa.concat_arrays([pa.array([prefix for prefix, _ in self.open], suffixes.type), suffixes])
+        n = np.append(-np.diff(counts), n)
+        words = pc.split_pattern(texts, " ")
+        size = words.value_lengths().to_numpy() - 1  # behind the last blank is an empty word
+        codes = words.flatten().dictionary_encode().indices.to_numpy()
+        begin = np.cumsum(size + 1) - size - 1
+        upto = np.append(0, np.cumsum(n))
+        new = np.arange(len(size)) == 0
+        still: list[tuple[bytes, int]] = []
+        for k in range(int(size.max())):
+            has = size > k
+            code = np.where(has, codes[begin + np.minimum(k, size)], -1)
+            new[1:] |= code[1:] != code[:-1]
+            start, stop = np.flatnonzero(new), np.append(np.flatnonzero(new[1:]) + 1, len(new))
+            start, stop = start[has[start]], stop[has[start]]
+            sums = upto[stop] - upto[start]
+            prefix = lambda i, k=k: b" ".join(texts[int(i)].as_py().split(b" ")[: k + 1]) + b" "
+            if len(stop) and stop[-1] == len(new):
+                still.append((prefix(start[-1]), int(sums[-1])))
+                start, stop, sums = start[:-1], stop[:-1], sums[:-1]
+            if k and len(start):
+                wanted = sums >= self.least
+                wanted[0] |= k not in self.begun
+                self.begun.add(k)
+                self.done += [(prefix(start[i]), int(sums[i])) for i in np.flatnonzero(wanted)]
+        self.open = still
+
+    def close(self) -> None:
+        """The range ends: all that is open leaves. The first word alone has been counted already."""
+        self.done += self.open[1:]
+        self.open, self.begun = [], set()
+
+
+def phrase_counts(parts: DataFrame, ranges: int, least: int) -> DataFrame:
     """(lang, phrase, n) of phrases of two words or more with n >= least, from counted suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack, part = Stack(bounds.value, least), None
+        stack, part = Stack(least), None
 
         def out() -> pa.RecordBatch:
             split = [prefix[:-1].split(b"\n") for prefix, _ in stack.done]
@@ -255,13 +285,16 @@ def phrase_counts(parts: DataFrame, ranges: int, bounds, least: int) -> DataFram
             return pa.RecordBatch.from_arrays(values, ["lang", "phrase", "n"])
 
         for batch in batches:
-            for now, suffix, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if now != part:
-                    stack.close(0)
-                    part = now
-                stack.add(suffix, n)
+            of, suffix, n = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in zip(edges, edges[1:]):
+                if b > a:
+                    if of[a] != part:
+                        stack.close()
+                        part = of[a]
+                    stack.add(suffix[a:b], n[a:b])
             yield out()
-        stack.close(0)
+        stack.close()
         yield out()
 
     sorted_ = parts.repartition(ranges, "part").sortWithinPartitions(F.desc("suffix"))
@@ -289,7 +322,7 @@ def collocations(df: DataFrame, lang: str = "lang", text: str = "text", max_word
     keys = suffixes(sampled, marks, none, max_words).select(F.substring("suffix", 1, 200).alias("suffix")).distinct().orderBy(F.xxhash64("suffix")).limit(SAMPLED * ranges)
     sample = sorted(bytes(r[0]) for r in keys.collect()) if ranges > 1 else []
     bounds = spark.sparkContext.broadcast(sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)} if sample else ()))
-    phrases = common.saved(phrase_counts(suffixes(texts, marks, bounds, max_words), ranges, bounds, least), "phrases")
+    phrases = common.saved(phrase_counts(suffixes(texts, marks, bounds, max_words), ranges, least), "phrases")
     counts = often.select("lang", F.col("word").alias("phrase"), "n").unionByName(phrases)
 
     split = phrases.select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))

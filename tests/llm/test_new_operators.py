@@ -162,7 +162,7 @@ def test_collocations_match_brute_force(spark, monkeypatch):
     got = phrases.collocations(df).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     # small ranges, chunks and stretches: prefixes are cut by bounds, suffixes meet from many chunks
-    for name, value in (("RANGE_WORDS", 700), ("SAMPLE_WORDS", 4000), ("CHUNK_WORDS", 300), ("TOKENS_AT_ONCE", 100), ("STRETCH", 64), ("ROWS", 50), ("LEAST_BITS", 64), ("BITS", 1)):
+    for name, value in (("RANGE_WORDS", 700), ("SAMPLE_WORDS", 4000), ("CHUNK_WORDS", 300), ("AT_ONCE", 500), ("STRETCH", 64), ("ROWS", 50), ("LEAST_BITS", 64), ("BITS", 1)):
         monkeypatch.setattr(phrases, name, value)
     small = phrases.chunks.__defaults__
     monkeypatch.setattr(phrases.chunks, "__defaults__", (300,))
@@ -178,9 +178,21 @@ def test_score_is_exact_beyond_64_bits(spark):
     assert row.s == 2_000_000 * a // whole
 
 
-def test_stack_counts_prefixes_that_bounds_cut():
-    stack = phrases.Stack([b"61\nb c d "], 3)
-    for suffix, n in ((b"61\nb c d ", 1), (b"61\nb a ", 2)):
-        stack.add(suffix, n)
-    stack.close(0)
-    assert stack.done == [(b"61\nb c ", 1)]  # too few here, but the bound cuts it; what is whole here and too rare is not given
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_stack_counts_prefixes_over_batches(size):
+    rng = random.Random(3)
+    rows = Counter("61\n" + "".join(rng.choice("ab\x01c") + " " for _ in range(rng.randint(2, 4))) for _ in range(400))
+    ordered = sorted(((k.encode(), n) for k, n in rows.items()), reverse=True)
+    want = Counter()
+    for k, n in ordered:
+        words = k.split(b" ")[:-1]
+        for m in range(2, len(words) + 1):
+            want[b" ".join(words[:m]) + b" "] += n
+    stack = phrases.Stack(5)
+    for a in range(0, len(ordered), size):
+        part = ordered[a : a + size]
+        stack.add(phrases.pa.array([k for k, _ in part], phrases.pa.binary()), np.array([n for _, n in part]))
+    stack.close()
+    assert len(stack.done) == len(dict(stack.done)) and all(want[k] == n for k, n in stack.done)
+    edges = {b" ".join(k.split(b" ")[:m]) + b" " for k in (ordered[0][0], ordered[-1][0]) for m in range(2, k.count(b" ") + 1)}
+    assert {k for k, n in want.items() if n >= 5} | edges <= dict(stack.done).keys()
