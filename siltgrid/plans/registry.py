@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _loaded() -> None:
-    from . import column_queries, composite_queries, contract_queries, fitting_queries, overlay_queries, raster_queries, relational_queries, selection_queries, source_queries, spatial_queries, temporal_queries, vector_queries  # noqa: F401  register their queries
+    from . import column_queries, composite_queries, contract_queries, fitting_queries, overlay_queries, raster_queries, relational_queries, selection_queries, source_queries, spatial_queries, temporal_queries, tracing_queries, vector_queries  # noqa: F401  register their queries
 
 
 def queries() -> dict[str, Callable[..., Any]]:
