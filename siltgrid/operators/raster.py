@@ -1,12 +1,12 @@
 """Map algebra on pixel tables (scene, r, c, ...).
 
-Neighbourhood operators replicate each pixel to the few pixels that need it and aggregate, which is an
-equi-join in disguise and shuffles by scene alone; pixels of one scene are a partition, so windows over
-scene rows and columns need one exchange that later steps reuse. Nothing here pairs whole scenes.
+Focal sums run in windows over tiles that know a margin of their neighbours; other neighbourhood operators
+replicate each pixel to the few pixels that need it. Nothing here pairs whole scenes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCENE = ("scene",)
+#: Pixels of a tile's side, for operators that look a few pixels around, and columns of a block of a row.
+TILE, BLOCK = 256, 4096
 
 
 def offsets(radius: int, cross: bool = False) -> list[tuple[int, int]]:
@@ -27,18 +29,31 @@ def neighbours(df: DataFrame, steps: Sequence[tuple[int, int]], columns: Sequenc
     return df.select(scene, "r", "c", *columns, sent.alias("s")).select(scene, (F.col("r") - F.col("s.dr")).alias("r"), (F.col("c") - F.col("s.dc")).alias("c"), "s.dr", "s.dc", *columns)
 
 
-def focal(df: DataFrame, value: str, radius: int, height: int, width: int, valid: str | None = None, scene: str = "scene") -> DataFrame:
-    """Mean, mean square and count over (2 radius + 1)^2 pixels; edge pixels are repeated outwards, invalid ones left out."""
-    def spread(at: Column, size: int) -> Column:
-        # the places that see this one, once for each time it is repeated beyond an edge
-        near = F.sequence(at - radius, at + radius)
-        low = F.when(at == 0, F.flatten(F.transform(F.sequence(F.lit(1), F.lit(radius)), lambda k: F.sequence(F.lit(0), radius - k)))).otherwise(F.array().cast("array<int>"))
-        high = F.when(at == size - 1, F.flatten(F.transform(F.sequence(F.lit(1), F.lit(radius)), lambda k: F.sequence(size - 1 - radius + k, F.lit(size - 1))))).otherwise(F.array().cast("array<int>"))
-        return F.concat(F.filter(near, lambda x: (x >= 0) & (x < size)), low, high)
+def focal(df: DataFrame, value: str, radius: int, height: int, width: int, valid: str | None = None, scene: str = "scene", keep: Sequence[str] = (), tile: int = TILE) -> DataFrame:
+    """(scene, r, c, mean, mean_sq, n) over (2 radius + 1)^2 pixels, with columns to keep: edge pixels are repeated outwards, invalid ones left out.
 
-    rows = df.filter(F.col(valid)) if valid else df
-    sent = rows.select(scene, F.col(value).alias("x"), F.explode(spread(F.col("r"), height)).alias("r"), "c").select(scene, "x", "r", F.explode(spread(F.col("c"), width)).alias("c"))
-    return sent.groupBy(scene, "r", "c").agg(F.avg("x").alias("mean"), F.avg(F.col("x") * F.col("x")).alias("mean_sq"), F.count("*").alias("n"))
+    Pixels are dealt to tiles, those near a border to the next tile too, and nothing else is copied: one exchange of 1 + 4 radius / tile
+    rows a pixel. In a tile the sums run along rows, then along columns. Places around which nothing is valid have no row.
+    """
+    home = lambda at: F.floor(at / tile)
+    near = lambda at: F.explode(F.sequence(home(F.col(at) - radius), home(F.col(at) + radius)))
+    x = F.col(value).cast("double")
+    ok = F.col(valid) & x.isNotNull() if valid else x.isNotNull()
+    rows = df.select(scene, "r", "c", *keep, F.when(ok, x).otherwise(0.0).alias("_1"), F.when(ok, x * x).otherwise(0.0).alias("_2"), ok.cast("long").alias("_n"))
+    rows = rows.withColumn("_tr", near("r")).withColumn("_tc", near("c")).repartition(scene, "_tr", "_tc")
+
+    def along(rows: DataFrame, line: str, at: str, size: int) -> DataFrame:
+        w = Window.partitionBy(scene, "_tr", "_tc", line).orderBy(at).rangeBetween(-radius, radius)
+        first, last = F.min(at).over(w), F.max(at).over(w)
+        # beyond an edge its pixel stands again and again, as often as the window reaches out
+        before = F.when(first == 0, F.greatest(radius - F.col(at), F.lit(0))).otherwise(0)
+        after = F.when(last == size - 1, F.greatest(F.col(at) + radius - (size - 1), F.lit(0))).otherwise(0)
+        total = lambda c: F.sum(c).over(w) + before * F.first(c).over(w) + after * F.last(c).over(w)
+        return rows.select(scene, "r", "c", *keep, "_tr", "_tc", *(total(c).alias(c) for c in ("_1", "_2", "_n")))
+
+    out = along(along(rows, "r", "c", width), "c", "r", height)
+    own = (home(F.col("r")) == F.col("_tr")) & (home(F.col("c")) == F.col("_tc")) & (F.col("_n") > 0)
+    return out.filter(own).select(scene, "r", "c", *keep, (F.col("_1") / F.col("_n")).alias("mean"), (F.col("_2") / F.col("_n")).alias("mean_sq"), F.col("_n").alias("n"))
 
 
 def local_std(moments: DataFrame) -> Column:
@@ -47,10 +62,10 @@ def local_std(moments: DataFrame) -> Column:
 
 def lee(df: DataFrame, value: str, radius: int, height: int, width: int, scene: str = "scene") -> DataFrame:
     """Speckle filter: mean + v / (v + median v) * (x - mean), v being the local variance and the median the scene's."""
-    m = focal(df, value, radius, height, width, scene=scene).withColumn("var", F.greatest(F.col("mean_sq") - F.col("mean") * F.col("mean"), F.lit(0.0)))
+    m = focal(df, value, radius, height, width, scene=scene, keep=[value]).withColumn("var", F.greatest(F.col("mean_sq") - F.col("mean") * F.col("mean"), F.lit(0.0)))
     noise = m.groupBy(scene).agg(F.percentile("var", F.lit(0.5)).alias("noise"))
     w = F.when(F.col("var") + F.col("noise") > 0, F.col("var") / (F.col("var") + F.col("noise"))).otherwise(0.0)
-    return df.select(scene, "r", "c", F.col(value).alias("x")).join(m, [scene, "r", "c"]).join(noise, scene).select(scene, "r", "c", (F.col("mean") + w * (F.col("x") - F.col("mean"))).alias("filtered"))
+    return m.join(noise, scene).select(scene, "r", "c", (F.col("mean") + w * (F.col(value) - F.col("mean"))).alias("filtered"))
 
 
 def slope(df: DataFrame, value: str, cell: float, scene: str = "scene") -> DataFrame:
@@ -74,19 +89,102 @@ def erode(df: DataFrame, mask: str, scene: str = "scene") -> DataFrame:
     return df.select(scene, "r", "c", m.alias("mask"), kept.alias("eroded"), (m & ~kept).alias("edge"))
 
 
-def distance(df: DataFrame, mask: str, cell: float = 1.0, scene: str = "scene") -> DataFrame:
+def envelope(at: list[int], height: list[int]) -> tuple[list[int], list[float]]:
+    """Of parabolas height[i]^2 + (x - at[i])^2, by rising at: the numbers of those that are least somewhere, and from where on each is."""
+    kept: list[int] = []
+    since: list[float] = []
+    for i, (x, g) in enumerate(zip(at, height)):
+        top = g * g + x * x
+        start = -math.inf
+        while kept:
+            j = kept[-1]
+            start = (top - height[j] * height[j] - at[j] * at[j]) / (2 * (x - at[j]))
+            if start > since[-1]:
+                break
+            kept.pop()
+            since.pop()
+            start = -math.inf
+        kept.append(i)
+        since.append(start)
+    return kept, since
+
+
+def lowest(sites: list[dict]) -> tuple[list[int], list[int]]:
+    """Columns in order, and the least g of each."""
+    best: dict[int, int] = {}
+    for x in sites:
+        best[x["c"]] = min(best.get(x["c"], x["g"]), x["g"])
+    at = sorted(best)
+    return at, [best[c] for c in at]
+
+
+def _envelopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block of a row: the true pixels' parabolas that are least somewhere."""
+    for batch in batches:
+        rows = []
+        for sites in batch.column(4).to_pylist():
+            at, height = lowest(sites)
+            rows.append([{"c": at[i], "g": height[i]} for i in envelope(at, height)[0]])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(rows, batch.column(4).type), batch.column(5)], ["scene", "r", "block", "span", "sites", "cs"])
+
+
+def _least_squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least parabola at each column of a block, by one scan of the envelope."""
+    for batch in batches:
+        which, columns, found = [], [], []
+        for i, (sites, cs) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            at, height = lowest(sites)
+            kept, since = envelope(at, height)
+            cs.sort()
+            if kept:
+                n = np.searchsorted(np.array(since), np.array(cs), side="right") - 1
+                x = np.array([at[j] for j in kept], np.int64)[n]
+                g = np.array([height[j] for j in kept], np.int64)[n]
+                found.append(np.sqrt(((np.array(cs) - x) ** 2 + g * g).astype(np.float64)))
+            else:
+                found.append(np.full(len(cs), np.inf))
+            which += [i] * len(cs)
+            columns += cs
+        at = pa.array(which, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(columns, pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())], ["scene", "r", "c", "distance"])
+
+
+def distance(df: DataFrame, mask: str, cell: float = 1.0, scene: str = "scene", block: int | None = None) -> DataFrame:
     """Exact Euclidean distance of each pixel to the nearest true pixel of its scene; infinite where there is none.
 
-    First the distance within the column, by the last true row above and the first below; then the least
-    over the row's columns of the sum of squares.
+    First the distance g within the column, by the last true row above and the first below. Along a row the answer is the lower envelope
+    of the parabolas g^2 + (x - c)^2, built in one scan, so in time in proportion to the width. A row is cut into blocks of columns: each
+    keeps the parabolas of its own envelope, and sends those on that may be least in another block, which is known from the lowest
+    parabola of each block. So a row of any width is worked on by many tasks, and a task holds one block and what reaches it.
     """
+    block = block or BLOCK
+    kind = df.schema[scene].dataType.simpleString()
     up = Window.partitionBy(scene, "c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(scene, "c").orderBy("r").rowsBetween(0, Window.unboundedFollowing)
     hit = F.when(F.col(mask), F.col("r"))
-    g = df.select(scene, "r", "c", F.least(F.col("r") - F.last(hit, ignorenulls=True).over(up), F.first(hit, ignorenulls=True).over(down) - F.col("r")).alias("g"))
-    line = g.groupBy(scene, "r").agg(F.collect_list(F.when(F.col("g").isNotNull(), F.struct("c", "g"))).alias("line"), F.collect_list("c").alias("cs"))
-    here = F.transform("cs", lambda c: F.struct(c.alias("c"), F.array_min(F.transform("line", lambda x: (x["c"] - c) * (x["c"] - c) + x["g"] * x["g"])).alias("d2")))
-    return line.select(scene, "r", F.explode(here).alias("x")).select(scene, "r", F.col("x.c").alias("c"), F.coalesce(F.sqrt("x.d2") * cell, F.lit(float("inf"))).alias("distance"))
+    g = df.select(F.col(scene).alias("scene"), "r", "c", F.least(F.col("r") - F.last(hit, ignorenulls=True).over(up), F.first(hit, ignorenulls=True).over(down) - F.col("r")).alias("g"))
+    site = F.when(F.col("g").isNotNull(), F.struct(F.col("c").cast("long").alias("c"), F.col("g").cast("long").alias("g")))
+    span = F.struct(F.min("c").cast("long").alias("a"), F.max("c").cast("long").alias("b"), F.min_by(site, "g").alias("low"))
+    blocks = g.groupBy("scene", "r", F.floor(F.col("c") / block).alias("block")).agg(span.alias("span"), F.collect_list(site).alias("sites"), F.collect_list(F.col("c").cast("long")).alias("cs"))
+    parts = "array<struct<c: long, g: long>>"
+    lows = "struct<a: long, b: long, low: struct<c: long, g: long>>"
+    own = blocks.mapInArrow(_envelopes, f"scene {kind}, r int, block long, span {lows}, sites {parts}, cs array<long>")
+    others = own.withColumn("spans", F.collect_list(F.struct("block", "span")).over(Window.partitionBy("scene", "r")))
+    square = lambda v: v * v
+
+    def most(to: Column) -> Column:
+        """The square that no column of a block exceeds: from the lowest parabolas of all blocks."""
+        reach = lambda s: F.when(s["span"]["low"].isNotNull(), square(s["span"]["low"]["g"]) + square(F.greatest(F.abs(to["a"] - s["span"]["low"]["c"]), F.abs(to["b"] - s["span"]["low"]["c"]))))
+        return F.array_min(F.transform("spans", reach))
+
+    sent = others.select("scene", "r", F.col("block").alias("of"), "sites", "cs", F.explode(F.transform("spans", lambda s: F.struct(s["block"].alias("block"), s["span"].alias("to"), most(s["span"]).alias("most")))).alias("t"))
+    gap = lambda x: F.greatest(F.lit(0).cast("long"), F.col("t.to.a") - x["c"], x["c"] - F.col("t.to.b"))
+    here = F.col("of") == F.col("t.block")
+    useful = F.filter("sites", lambda x: here | (square(x["g"]) + square(gap(x)) <= F.col("t.most")))
+    sent = sent.select("scene", "r", F.col("t.block").alias("block"), useful.alias("sites"), F.when(here, F.col("cs")).alias("cs")).filter((F.size("sites") > 0) | F.col("cs").isNotNull())
+    met = sent.groupBy("scene", "r", "block").agg(F.flatten(F.collect_list("sites")).alias("sites"), F.first("cs", ignorenulls=True).alias("cs")).drop("block")
+    out = met.mapInArrow(_least_squares, f"scene {kind}, r int, c int, distance double")
+    return out.select(F.col("scene").alias(scene), "r", "c", (F.col("distance") * cell).alias("distance"))
 
 
 def boundary_edges(df: DataFrame, mask: str, valid: str | None = None, scene: str = "scene") -> DataFrame:

@@ -269,13 +269,13 @@ def observation_qa(spark, sf):
 
 @query(
     "c22_scene_features",
-    f"""WITH {MASKS_SQL}, {FOCAL_SQL} SELECT mk.scene, mk.r, mk.c, round(CASE WHEN v + 0.5 > 0 THEN 10 * log10(greatest(v + 0.5, 1e-12)) END, 6) + 0.0::DOUBLE AS db,
-  round(mean, 6) + 0.0::DOUBLE AS mean, round(sqrt(greatest(mean_sq - mean * mean, 0)), 6) AS texture, valid AND v + 0.5 > 0 AS usable FROM mk JOIN mo USING (scene, r, c)""",
+    f"""WITH {MASKS_SQL}, {FOCAL_SQL} SELECT mk.scene, mk.r, mk.c, round(CASE WHEN mk.v + 0.5 > 0 THEN 10 * log10(greatest(mk.v + 0.5, 1e-12)) END, 6) + 0.0::DOUBLE AS db,
+  round(mean, 6) + 0.0::DOUBLE AS mean, round(sqrt(greatest(mean_sq - mean * mean, 0)), 6) AS texture, valid AND mk.v + 0.5 > 0 AS usable FROM mk JOIN mo USING (scene, r, c)""",
 )
 def scene_features(spark, sf):
     """Bands in decibels, their neighbourhood, and whether a pixel can be used."""
     px = masks(spark, sf)
-    m = raster.focal(px, "v", 1, 8, 8)
+    m = raster.focal(px, "v", 1, 8, 8, keep=["v", "valid"])
     power = F.col("v") + 0.5
-    out = px.join(m, PIXEL).select(*PIXEL, X.decibels(power).alias("db"), "mean", raster.local_std(m).alias("texture"), (F.col("valid") & (power > 0)).alias("usable"))
+    out = m.select(*PIXEL, X.decibels(power).alias("db"), "mean", raster.local_std(m).alias("texture"), (F.col("valid") & (power > 0)).alias("usable"))
     return rounded(out, "db", "mean", "texture")

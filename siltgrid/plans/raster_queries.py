@@ -120,10 +120,9 @@ def mask_areas(spark, sf):
     return rounded(long.select("scene", "mask", "pixels", (F.col("pixels") * 0.04).alias("area_ha"), (100.0 * F.col("pixels") / F.col("v")).alias("pct_of_valid")), "area_ha", "pct_of_valid")
 
 
-FOCAL_SQL = """off AS (SELECT unnest(range(-1, 2)) AS d),
-spot AS (SELECT scene, r, c, greatest(0, least(7, r + a.d)) AS qr, greatest(0, least(7, c + b.d)) AS qc FROM px, off a, off b),
-nb AS (SELECT spot.scene, spot.r, spot.c, q.v AS x FROM spot JOIN px q ON q.scene = spot.scene AND q.r = qr AND q.c = qc),
-mo AS (SELECT scene, r, c, avg(x) AS mean, avg(x * x) AS mean_sq, count(*) AS n FROM nb GROUP BY 1, 2, 3)"""
+#: Sums along rows, then along columns; a pixel at an edge stands once more beyond it.
+FOCAL_SQL = """rw AS (SELECT scene, r, c, v, sum(v) OVER w + CASE WHEN c IN (0, 7) THEN v ELSE 0 END AS s1, sum(v * v) OVER w + CASE WHEN c IN (0, 7) THEN v * v ELSE 0 END AS s2 FROM px WINDOW w AS (PARTITION BY scene, r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+mo AS (SELECT scene, r, c, v, (sum(s1) OVER w + CASE WHEN r IN (0, 7) THEN s1 ELSE 0 END) / 9 AS mean, (sum(s2) OVER w + CASE WHEN r IN (0, 7) THEN s2 ELSE 0 END) / 9 AS mean_sq, 9::BIGINT AS n FROM rw WINDOW w AS (PARTITION BY scene, c ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"""
 
 
 @query("w10_focal_std", f"WITH {PIXELS_SQL}, {FOCAL_SQL} SELECT scene, r, c, n, round(mean, 6) + 0.0::DOUBLE AS mean, round(sqrt(greatest(mean_sq - mean * mean, 0)), 6) AS std FROM mo")
@@ -132,7 +131,7 @@ def focal_std(spark, sf):
     return rounded(m.select("scene", "r", "c", "n", "mean", raster.local_std(m).alias("std")), "mean", "std")
 
 
-@query("w11_lee_filter", f"WITH {PIXELS_SQL}, {FOCAL_SQL}, va AS (SELECT *, greatest(mean_sq - mean * mean, 0) AS var FROM mo), no AS (SELECT scene, median(var) AS noise FROM va GROUP BY scene) SELECT px.scene, px.r, px.c, round(mean + CASE WHEN var + noise > 0 THEN var / (var + noise) ELSE 0 END * (v - mean), 6) + 0.0::DOUBLE AS filtered FROM px JOIN va USING (scene, r, c) JOIN no ON no.scene = px.scene")
+@query("w11_lee_filter", f"WITH {PIXELS_SQL}, {FOCAL_SQL}, va AS (SELECT *, greatest(mean_sq - mean * mean, 0) AS var FROM mo), no AS (SELECT scene, median(var) AS noise FROM va GROUP BY scene) SELECT scene, r, c, round(mean + CASE WHEN var + noise > 0 THEN var / (var + noise) ELSE 0 END * (v - mean), 6) + 0.0::DOUBLE AS filtered FROM va JOIN no USING (scene)")
 def lee_filter(spark, sf):
     return rounded(raster.lee(pixels(spark, sf), "v", 1, SIDE, SIDE), "filtered")
 
@@ -274,11 +273,10 @@ def disagreement(spark, sf):
     return masks(spark, sf).select("scene", "r", "c", F.when(F.col("valid"), F.col("pred").cast("int") + 2 * F.col("ref").cast("int")).otherwise(255).alias("code"))
 
 
-@query("r22_feature_stack", f"WITH {PIXELS_SQL}, {FOCAL_SQL} SELECT px.scene, px.r, px.c, round(v, 6) + 0.0::DOUBLE AS hh, round(v - 3, 6) AS hv, 3.0::DOUBLE AS diff, round(sqrt(greatest(mean_sq - mean * mean, 0)), 6) AS texture FROM px JOIN mo USING (scene, r, c)")
+@query("r22_feature_stack", f"WITH {PIXELS_SQL}, {FOCAL_SQL} SELECT scene, r, c, round(v, 6) + 0.0::DOUBLE AS hh, round(v - 3, 6) AS hv, 3.0::DOUBLE AS diff, round(sqrt(greatest(mean_sq - mean * mean, 0)), 6) AS texture FROM mo")
 def feature_stack(spark, sf):
-    px = pixels(spark, sf)
-    m = raster.focal(px, "v", 1, SIDE, SIDE)
-    out = px.join(m, ["scene", "r", "c"]).select("scene", "r", "c", F.col("v").alias("hh"), (F.col("v") - 3).alias("hv"), F.lit(3.0).alias("diff"), raster.local_std(m).alias("texture"))
+    m = raster.focal(pixels(spark, sf), "v", 1, SIDE, SIDE, keep=["v"])
+    out = m.select("scene", "r", "c", F.col("v").alias("hh"), (F.col("v") - 3).alias("hv"), F.lit(3.0).alias("diff"), raster.local_std(m).alias("texture"))
     return rounded(out, "hh", "hv", "texture")
 
 

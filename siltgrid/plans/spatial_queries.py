@@ -146,8 +146,9 @@ FEATURES = ["v", "mean", "texture", "elev"]
 
 def model_input(spark, sf):
     px = masks(spark, sf)
-    m = raster.focal(px, "v", 1, SIDE, SIDE)
-    return px.join(m.select("scene", "r", "c", "mean", raster.local_std(m).alias("texture")), ["scene", "r", "c"])
+    rest = [c for c in px.columns if c not in ("scene", "r", "c")]
+    m = raster.focal(px, "v", 1, SIDE, SIDE, keep=rest)
+    return m.select("scene", "r", "c", *rest, "mean", raster.local_std(m).alias("texture"))
 
 
 @query("m09_random_forest")
