@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     """a / b; `empty` (or null) where b is zero."""
@@ -42,13 +44,8 @@ def derived(counts: DataFrame, pixel_area: float = 0.04, empty: float | None = 0
 
 def distribution(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Count, percentiles with linear interpolation, and range of finite values; an empty group has count 0 and nulls."""
-    x = F.when(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value))
-    return df.groupBy(*groups).agg(
-        F.count(x).alias("n"),
-        *(F.percentile(x, F.lit(q)).alias(name) for name, q in (("p1", 0.01), ("p5", 0.05), ("median", 0.5), ("p95", 0.95), ("p99", 0.99))),
-        F.min(x).alias("least"),
-        F.max(x).alias("most"),
-    )
+    wanted = {"p1": 0.01, "p5": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99, "least": 0.0, "most": 1.0}
+    return percentiles(df, groups, value, wanted)
 
 
 def pooled(scores: DataFrame, groups: Sequence[str]) -> DataFrame:

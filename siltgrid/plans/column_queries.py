@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from siltgrid.functions import expressions as X
 from siltgrid.operators import metrics, raster
+from siltgrid.operators.quantiles import percentiles
 from siltgrid.sources.tables import MASKS_SQL, PIXEL_HA, PIXELS_SQL, SIDE, masks, pixels, read
 
-from .raster_queries import cc, rounded
+from .raster_queries import cc, rounded, sides
 from .registry import query
 
 PIXEL = ["scene", "r", "c"]
@@ -350,9 +351,8 @@ def calibration(spark, sf):
 
 @query("f04_quartile_gap", f"WITH {MASKS_SQL} SELECT label, round((quantile_cont(v, 0.75) FILTER (ref) + quantile_cont(v, 0.25) FILTER (NOT ref)) / 2, 6) AS threshold FROM mk GROUP BY label")
 def quartile_gap(spark, sf):
-    water = F.percentile(F.when(F.col("ref"), F.col("v")), F.lit(0.75))
-    land = F.percentile(F.when(~F.col("ref"), F.col("v")), F.lit(0.25))
-    return rounded(masks(spark, sf).groupBy("label").agg(((water + land) / 2).alias("threshold")), "threshold")
+    q = sides(percentiles(masks(spark, sf), ["label", "ref"], "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}))
+    return rounded(q.select("label", ((F.col("water_q3") + F.col("land_q1")) / 2).alias("threshold")), "threshold")
 
 
 @query("f05_relative_error", "SELECT p_partkey, round(abs(p_retailprice * 1.00001 - p_retailprice) / p_retailprice, 9) AS error, abs(p_retailprice + p_partkey % 3 * 0.02 - p_retailprice) / p_retailprice <= 1e-5 AS passed FROM part")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from siltgrid.functions import expressions as X
 from siltgrid.operators import geometry, metrics, raster, temporal
+from siltgrid.operators.quantiles import percentiles
 from siltgrid.sources.tables import MASKS_SQL, PIXEL_HA, masks, read
 
 from .fitting_queries import FINAL_SQL, final_masks
-from .raster_queries import CONFUSION, FOCAL_SQL, rounded
+from .raster_queries import CONFUSION, FOCAL_SQL, rounded, sides
 from .registry import query
 from .spatial_queries import BOXES_SQL, DISTANCE, POINTS_SQL, boxes, points
 from .temporal_queries import STAGES_SQL, stages
@@ -118,8 +119,10 @@ def grid_change_table(spark, sf):
 @query("c06_noise_comparison", f"WITH {MASKS_SQL} SELECT label, round(median(v), 6) + 0.0::DOUBLE AS middle, round(median(v) + 0.4, 6) AS above_floor, round(100.0::DOUBLE * count(*) FILTER (v < -0.1) / count(*), 6) AS below_pct, median(v) + 0.4 >= 0.03 AS usable FROM mk WHERE valid GROUP BY label")
 def noise_comparison(spark, sf):
     """Values against a noise floor of -0.4."""
-    middle = F.percentile("v", F.lit(0.5))
-    out = masks(spark, sf).filter("valid").groupBy("label").agg(middle.alias("middle"), (middle + 0.4).alias("above_floor"), (100.0 * F.count_if(F.col("v") < -0.1) / F.count("*")).alias("below_pct"), (middle + 0.4 >= 0.03).alias("usable"))
+    px = masks(spark, sf).filter("valid")
+    out = px.groupBy("label").agg((100.0 * F.count_if(F.col("v") < -0.1) / F.count("*")).alias("below_pct")).join(percentiles(px, ["label"], "v", {"middle": 0.5}), "label")
+    above = F.col("middle") + 0.4
+    out = out.select("label", "middle", above.alias("above_floor"), "below_pct", (above >= 0.03).alias("usable"))
     return rounded(out, "middle", "above_floor", "below_pct")
 
 
@@ -201,11 +204,10 @@ FROM mk JOIN t USING (label) WHERE valid GROUP BY mk.label""",
 def separation_sensitivity(spark, sf):
     """Quartile-gap threshold of each label, the gap of its medians, and the water that a step to either side changes."""
     px = masks(spark, sf).filter("valid")
-    water, land = F.when(F.col("ref"), F.col("v")), F.when(~F.col("ref"), F.col("v"))
-    q = lambda x, p: F.percentile(x, F.lit(p))
-    t = px.groupBy("label").agg(F.round((q(water, 0.75) + q(land, 0.25)) / 2, 6).alias("threshold"), (q(land, 0.5) - q(water, 0.5)).alias("gap"))
+    q = sides(percentiles(px, ["label", "ref"], "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}))
+    t = q.select("label", F.round((F.col("water_q3") + F.col("land_q1")) / 2, 6).alias("threshold"), (F.col("land_q2") - F.col("water_q2")).alias("gap"))
     below = lambda by: F.count_if(F.col("v") < F.col("threshold") + by)
-    out = px.join(F.broadcast(t), "label").groupBy("label", "threshold", "gap").agg(below(-0.01).alias("lower"), below(0.0).alias("own"), below(0.01).alias("higher"))
+    out = px.join(t, "label").groupBy("label", "threshold", "gap").agg(below(-0.01).alias("lower"), below(0.0).alias("own"), below(0.01).alias("higher"))
     return rounded(out, "gap")
 
 

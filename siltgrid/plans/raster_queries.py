@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltgrid.operators import metrics, raster
+from siltgrid.operators.quantiles import percentiles
 from siltgrid.sources.tables import MASKS_SQL, PIXELS_SQL, SIDE, masks, pixels
 
 from .registry import query
@@ -95,20 +96,27 @@ def distribution(spark, sf):
     return rounded(metrics.distribution(pixels(spark, sf), ["label"], "v"), "p1", "p5", "median", "p95", "p99", "least", "most")
 
 
+def sides(q):
+    """Quartiles of both sides of a mask (label, ref, q1, q2, q3) in one row of a label."""
+    of = lambda water, c: F.max(F.when(F.col("ref") == F.lit(water), F.col(c)))
+    return q.groupBy("label").agg(*(of(water, c).alias(f"{name}_{c}") for name, water in (("water", True), ("land", False)) for c in ("q1", "q2", "q3")))
+
+
 @query("a06_sample_description", f"WITH {MASKS_SQL} SELECT label, ref, count(*) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_samp(v), 6) AS std, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.75), 6) AS q3 FROM mk GROUP BY label, ref")
 def sample_description(spark, sf):
-    out = masks(spark, sf).groupBy("label", "ref").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), F.stddev_samp("v").alias("std"), F.percentile("v", F.lit(0.25)).alias("q1"), F.percentile("v", F.lit(0.75)).alias("q3"))
+    px = masks(spark, sf)
+    out = px.groupBy("label", "ref").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    out = out.join(percentiles(px, ["label", "ref"], "v", {"median": 0.5, "q1": 0.25, "q3": 0.75}), ["label", "ref"]).select("label", "ref", "n", "mean", "median", "std", "q1", "q3")
     return rounded(out, "mean", "median", "std", "q1", "q3")
 
 
 @query("a07_separation", f"WITH {MASKS_SQL} SELECT label, round(median(v) FILTER (NOT ref) - median(v) FILTER (ref), 6) AS gap, round((avg(v) FILTER (NOT ref) - avg(v) FILTER (ref)) / sqrt((var_samp(v) FILTER (ref) + var_samp(v) FILTER (NOT ref)) / 2), 6) AS separation, round((quantile_cont(v, 0.75) FILTER (ref) + quantile_cont(v, 0.25) FILTER (NOT ref)) / 2, 6) AS quartile_threshold FROM mk GROUP BY label")
 def separation(spark, sf):
     w, d = F.when(F.col("ref"), F.col("v")), F.when(~F.col("ref"), F.col("v"))
-    out = masks(spark, sf).groupBy("label").agg(
-        (F.percentile(d, F.lit(0.5)) - F.percentile(w, F.lit(0.5))).alias("gap"),
-        ((F.avg(d) - F.avg(w)) / F.sqrt((F.var_samp(w) + F.var_samp(d)) / 2)).alias("separation"),
-        ((F.percentile(w, F.lit(0.75)) + F.percentile(d, F.lit(0.25))) / 2).alias("quartile_threshold"),
-    )
+    px = masks(spark, sf)
+    out = px.groupBy("label").agg(((F.avg(d) - F.avg(w)) / F.sqrt((F.var_samp(w) + F.var_samp(d)) / 2)).alias("separation"))
+    q = sides(percentiles(px, ["label", "ref"], "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}))
+    out = out.join(q, "label").select("label", (F.col("land_q2") - F.col("water_q2")).alias("gap"), "separation", ((F.col("water_q3") + F.col("land_q1")) / 2).alias("quartile_threshold"))
     return rounded(out, "gap", "separation", "quartile_threshold")
 
 
@@ -303,8 +311,8 @@ def object_detection(spark, sf):
 @query("p13_dual_band_rule", f"WITH {MASKS_SQL}, u AS (SELECT *, v < 0.02 AS hh, isfinite(v * 2) AND v * 2 >= -0.3 + 0.003 AS usable FROM mk), t AS (SELECT label, median(v * 2) FILTER (usable) AS thr FROM u GROUP BY label) SELECT scene, r, c, hh AND (NOT usable OR v * 2 < thr) AND valid AND NOT permanent AS water FROM u JOIN t USING (label)")
 def dual_band(spark, sf):
     px = masks(spark, sf).withColumn("hv", F.col("v") * 2).withColumn("usable", ~F.isnan("hv") & (F.abs("hv") < float("inf")) & (F.col("hv") >= -0.3 + 0.003))
-    thr = px.groupBy("label").agg(F.percentile(F.when(F.col("usable"), F.col("hv")), F.lit(0.5)).alias("thr"))
-    return px.join(F.broadcast(thr), "label").select("scene", "r", "c", ((F.col("v") < 0.02) & (~F.col("usable") | (F.col("hv") < F.col("thr"))) & F.col("valid") & ~F.col("permanent")).alias("water"))
+    thr = percentiles(px, ["label"], F.when(F.col("usable"), F.col("hv")), {"thr": 0.5})
+    return px.join(thr.select("label", "thr"), "label").select("scene", "r", "c", ((F.col("v") < 0.02) & (~F.col("usable") | (F.col("hv") < F.col("thr"))) & F.col("valid") & ~F.col("permanent")).alias("water"))
 
 
 @query("p16_terrain_policy", f"WITH {MASKS_SQL} SELECT scene, r, c, pred AND elev <= 5 AS normal, pred AND elev > 5 AND (0.5::FLOAT - v::FLOAT) >= 0.55::FLOAT AND dist <= 60 AS exception, CASE WHEN pred THEN 1 ELSE 0 END + CASE WHEN elev > 5 THEN 2 ELSE 0 END + CASE WHEN dist > 60 THEN 4 ELSE 0 END + CASE WHEN permanent THEN 8 ELSE 0 END + CASE WHEN NOT valid THEN 16 ELSE 0 END AS reason_bits FROM mk")

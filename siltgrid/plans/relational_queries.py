@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltgrid.operators import metrics
+from siltgrid.operators.quantiles import percentiles
 from siltgrid.sources.tables import read
 
 from .raster_queries import rounded
@@ -137,7 +138,10 @@ def pair_list(spark, sf):
 
 @query("a09_group_medians", "SELECT l_returnflag, round(median(l_extendedprice), 4) AS median_price, round(median(abs(l_discount - 0.05)), 6) AS median_gap FROM lineitem GROUP BY 1")
 def group_medians(spark, sf):
-    return rounded(read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", F.lit(0.5)), 4).alias("median_price"), F.percentile(F.abs(F.col("l_discount") - 0.05), F.lit(0.5)).alias("median_gap")), "median_gap")
+    rows = read(spark, sf, "lineitem")
+    price = percentiles(rows, ["l_returnflag"], "l_extendedprice", {"median_price": 0.5}).select("l_returnflag", F.round("median_price", 4).alias("median_price"))
+    gap = percentiles(rows, ["l_returnflag"], F.abs(F.col("l_discount") - 0.05), {"median_gap": 0.5}).select("l_returnflag", "median_gap")
+    return rounded(price.join(gap, "l_returnflag"), "median_gap")
 
 
 @query("a10_multi_aggregate", "SELECT l_returnflag, " + ", ".join(f"round({f}(l_{c}), 4) AS {c}_{n}" for c in ("quantity", "extendedprice", "discount") for f, n in (("avg", "mean"), ("stddev_samp", "std"), ("min", "min"), ("max", "max"))) + " FROM lineitem GROUP BY 1")
@@ -191,7 +195,7 @@ def status_counts(spark, sf):
 @query("a36_display_stretch", "SELECT label, round(quantile_cont(x, 0.02), 6) AS low, round(quantile_cont(x, 0.98), 6) AS high FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label")
 def display_stretch(spark, sf):
     e = read(spark, sf, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x"))
-    return rounded(e.groupBy("label").agg(F.percentile("x", F.lit(0.02)).alias("low"), F.percentile("x", F.lit(0.98)).alias("high")), "low", "high")
+    return rounded(percentiles(e, ["label"], "x", {"low": 0.02, "high": 0.98}).select("label", "low", "high"), "low", "high")
 
 
 @query("t01_multi_key_sort", "SELECT row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_name, c_custkey) AS place, c_mktsegment, c_custkey FROM customer")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltgrid.functions import expressions as X
 from siltgrid.operators import metrics, raster
+from siltgrid.operators.quantiles import percentiles
 from siltgrid.sources.tables import MASKS_SQL, PIXELS_SQL, SIDE, masks, pixels, read
 
 from .raster_queries import rounded
@@ -23,7 +24,9 @@ def mosaic(spark, sf):
 @query("a24_probability_summary", f"WITH {MASKS_SQL} SELECT label, permanent, count(*) AS n, round(avg(0.5 - v), 6) AS mean, round(quantile_cont(0.5 - v, 0.05), 6) AS p05, round(quantile_cont(0.5 - v, 0.5), 6) AS p50, round(quantile_cont(0.5 - v, 0.95), 6) AS p95 FROM mk GROUP BY 1, 2")
 def probability_summary(spark, sf):
     p = 0.5 - F.col("v")
-    out = masks(spark, sf).groupBy("label", "permanent").agg(F.count("*").alias("n"), F.avg(p).alias("mean"), *(F.percentile(p, F.lit(q)).alias(k) for k, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))))
+    px = masks(spark, sf)
+    out = px.groupBy("label", "permanent").agg(F.avg(p).alias("mean")).join(percentiles(px, ["label", "permanent"], p, {"p05": 0.05, "p50": 0.5, "p95": 0.95}), ["label", "permanent"])
+    out = out.select("label", "permanent", "n", "mean", "p05", "p50", "p95")
     return rounded(out, "mean", "p05", "p50", "p95")
 
 
