@@ -28,9 +28,8 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """The rows, written once and read back; deleted by `done`, or when the interpreter ends."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, tag: str):
+    """A new path in the shared folder, and what deletes it; at the latest it goes when the interpreter ends."""
     path = f"{shared_folder(spark)}/siltgrid-{tag}-{uuid.uuid4().hex}"
 
     def at_end() -> None:
@@ -40,8 +39,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
             pass
 
     atexit.register(at_end)
+    return path, at_end
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """The rows, written once and read back; deleted by `done`, or when the interpreter ends."""
+    path, at_end = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path, out.at_end = path, at_end
     return out
 

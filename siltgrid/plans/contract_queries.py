@@ -13,10 +13,12 @@ from .temporal_queries import STAGES_SQL, stages
 REQUIRED = ("doc_id", "text", "lang", "source", "n_chars", "checksum")
 
 
-@query("v01_required_columns", "SELECT name, name IN (SELECT column_name FROM information_schema.columns WHERE table_name = 'documents') AS present FROM (SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars', 'checksum']) AS name)")
+@query("v01_required_columns", "WITH k AS (SELECT count(*) - count(doc_id) AS doc_id, count(*) - count(text) AS text, count(*) - count(lang) AS lang, count(*) - count(source) AS source, count(*) - count(n_chars) AS n_chars FROM documents) SELECT name, name <> 'checksum' AS present, CASE name WHEN 'doc_id' THEN doc_id WHEN 'text' THEN text WHEN 'lang' THEN lang WHEN 'source' THEN source WHEN 'n_chars' THEN n_chars END AS nulls FROM k, (SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars', 'checksum']) AS name)")
 def required_columns(spark, sf):
-    has = set(read(spark, sf, "documents").columns)
-    return spark.createDataFrame([(n, n in has) for n in REQUIRED], "name string, present boolean")
+    """Whether each column is there, and how many of its values are null."""
+    df = read(spark, sf, "documents")
+    nulls = df.agg(*((F.count_if(F.col(n).isNull()) if n in df.columns else F.lit(None).cast("long")).alias(n) for n in REQUIRED))
+    return nulls.unpivot([], list(REQUIRED), "name", "nulls").select("name", F.col("name").isin(*df.columns).alias("present"), "nulls")
 
 
 @query("v02_temporal_contract", f"WITH {STAGES_SQL} SELECT event_type, count(*) = count(DISTINCT event_id) AS unique_ids, bool_and(EXISTS (SELECT 1 FROM st WHERE ts >= a AND ts < b)) AS all_aligned FROM events GROUP BY event_type")
@@ -55,11 +57,22 @@ def protected_inputs(spark, sf):
     return sides.withColumn("equal", (F.col("only_before") == 0) & (F.col("only_after") == 0))
 
 
-@query("v11_frozen_gate", "SELECT method, status = 'GO' AND stated = sha256(method) AS may_run FROM (VALUES ('a', 'GO', sha256('a')), ('b', 'REFINE', sha256('b')), ('c', 'GO', sha256('x'))) t(method, status, stated)")
+@query(
+    "v11_frozen_gate",
+    f"""WITH {MASKS_SQL}, k AS (SELECT label, count(*) FILTER (pred AND ref AND valid) AS tp, count(*) FILTER ((pred OR ref) AND valid) AS either FROM mk GROUP BY label),
+g AS (SELECT label, 1000000 * tp // either AS iou_ppm, CASE WHEN 1000000 * tp // either >= 750000 THEN 'GO' ELSE 'REFINE' END AS status FROM k),
+f AS (SELECT *, 'mode ' || label || ' ' || status || ' ' || iou_ppm AS record, CASE WHEN label % 3 = 1 THEN 'mode ' || label || ' GO 1000000' ELSE 'mode ' || label || ' ' || status || ' ' || iou_ppm END AS frozen FROM g)
+SELECT label, iou_ppm, status, sha256(record) AS gate_sha256, status = 'GO' AND sha256(record) = sha256(frozen) AS may_run FROM f""",
+)
 def frozen_gate(spark, sf):
-    """A frozen method may run only behind its own gate."""
-    rows = spark.createDataFrame([("a", "GO", "a"), ("b", "REFINE", "b"), ("c", "GO", "x")], "method string, status string, of string")
-    return rows.select("method", ((F.col("status") == "GO") & (F.sha2("of", 256) == F.sha2("method", 256))).alias("may_run"))
+    """A frozen method may run only behind its own gate: the gate is computed anew, and the frozen record (altered for some) must have its hash."""
+    ok = F.col("valid")
+    k = masks(spark, sf).groupBy("label").agg(F.count_if(F.col("pred") & F.col("ref") & ok).alias("tp"), F.count_if((F.col("pred") | F.col("ref")) & ok).alias("either"))
+    g = k.withColumn("iou_ppm", F.expr("1000000 * tp div either")).withColumn("status", F.when(F.col("iou_ppm") >= 750000, "GO").otherwise("REFINE"))
+    record = F.concat_ws(" ", F.lit("mode"), F.col("label").cast("string"), "status", F.col("iou_ppm").cast("string"))
+    frozen = F.when(F.col("label") % 3 == 1, F.concat_ws(" ", F.lit("mode"), F.col("label").cast("string"), F.lit("GO"), F.lit("1000000"))).otherwise(record)
+    own = F.sha2(record, 256)
+    return g.select("label", "iou_ppm", "status", own.alias("gate_sha256"), ((F.col("status") == "GO") & (own == F.sha2(frozen, 256))).alias("may_run"))
 
 
 @query("v12_contract_metadata", """SELECT source, '{"files":' || count(*) || ',"kind":"recovery","source":"' || source || '"}' AS record, sha256('{"files":' || count(*) || ',"kind":"recovery","source":"' || source || '"}') AS record_sha256 FROM documents GROUP BY source""")

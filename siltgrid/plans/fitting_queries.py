@@ -172,14 +172,16 @@ def final_policy(spark, sf):
     return final_masks(masks(spark, sf)).select("scene", "r", "c", "water", "raw", "flood", "reasons")
 
 
-DEFINITION = '{"elevation_max":5,"exception_min":55,"least_pixels":4,"method":"policy v1","near_m":60}'
-
-
-@query("m17_method_definition", f"SELECT '{DEFINITION}' AS definition, sha256('{DEFINITION}') AS own_sha256")
+@query(
+    "m17_method_definition",
+    f"""WITH {MASKS_SQL}, k AS (SELECT label % 2 AS mode, count(*) AS pixels, count(DISTINCT scene) AS scenes, count(*) FILTER (ref AND valid) AS water FROM mk GROUP BY 1),
+d AS (SELECT mode, '{{"elevation_max":5,"exception_min":55,"least_pixels":4,"method":"policy v1","mode":' || mode || ',"near_m":60,"pixels":' || pixels || ',"scenes":' || scenes || ',"water":' || water || '}}' AS definition FROM k) SELECT mode, definition, sha256(definition) AS own_sha256 FROM d""",
+)
 def method_definition(spark, sf):
-    """A method's parameters in order of their names, and their hash."""
-    parts = {"elevation_max": F.lit(5), "exception_min": F.lit(55), "least_pixels": F.lit(4), "method": F.lit("policy v1"), "near_m": F.lit(60)}
-    rows = spark.range(1).select(F.to_json(F.struct(*(c.alias(n) for n, c in sorted(parts.items())))).alias("definition"))
+    """A method's parameters and what it was fitted on, in order of their names, and their hash, for each mode."""
+    k = masks(spark, sf).groupBy((F.col("label") % 2).alias("mode")).agg(F.count("*").alias("pixels"), F.countDistinct("scene").alias("scenes"), F.count_if(F.col("ref") & F.col("valid")).alias("water"))
+    parts = {"elevation_max": F.lit(5), "exception_min": F.lit(55), "least_pixels": F.lit(4), "method": F.lit("policy v1"), "near_m": F.lit(60)} | {c: F.col(c) for c in ("mode", "pixels", "scenes", "water")}
+    rows = k.select("mode", F.to_json(F.struct(*(c.alias(n) for n, c in sorted(parts.items())))).alias("definition"))
     return rows.withColumn("own_sha256", F.sha2("definition", 256))
 
 

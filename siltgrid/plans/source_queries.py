@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltgrid.operators import geometry, raster
-from siltgrid.sources import readers, writers
+from siltgrid.operators.stored import new_path, stored
+from siltgrid.sources import readers, tiles, writers
 from siltgrid.sources.tables import MASKS_SQL, PIXELS_SQL, masks, pixels, read
 
 from .raster_queries import rounded
@@ -185,9 +186,12 @@ def reference_snapshot(spark, sf):
     return px.groupBy("scene").agg(F.count_if(F.col("cls") == 1).alias("class_1"), F.count_if(F.col("cls") == 2).alias("class_2"), F.count_if("valid").alias("footprint"))
 
 
-@query("s31_constant_table", "SELECT * FROM (VALUES ('e1', 'first rise', 3), ('e2', 'low water', 1), ('e3', 'second rise', 2)) t(event, name, place)")
+@query("s31_constant_table", "SELECT t.*, count(o_orderkey) AS orders FROM (VALUES ('F', 'finished', 3), ('O', 'open', 1), ('P', 'in part', 2), ('X', 'withdrawn', 4)) t(status, name, place) LEFT JOIN orders ON o_orderstatus = status GROUP BY ALL")
 def constant_table(spark, sf):
-    return spark.createDataFrame([("e1", "first rise", 3), ("e2", "low water", 1), ("e3", "second rise", 2)], "event string, name string, place int")
+    """An inline table of a few known rows, each with what the orders have of it; what they lack stays."""
+    known = spark.createDataFrame([("F", "finished", 3), ("O", "open", 1), ("P", "in part", 2), ("X", "withdrawn", 4)], "status string, name string, place int")
+    counts = read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("orders"))
+    return known.join(counts, "status", "left").fillna(0, ["orders"])
 
 
 @query("s33_single_file", "SELECT c_custkey, 'c/' || c_name || '.tif' AS path FROM customer")
@@ -249,9 +253,34 @@ def staging(spark, sf):
     return writers.changed(new, old, "doc_id", "digest")
 
 
-@query("k11_empty_table", "SELECT 0::BIGINT AS zone_id, ''::VARCHAR AS label, 0.0::DOUBLE AS area_ha WHERE false")
+@query("k11_empty_table", "SELECT o_orderkey AS zone_id, o_orderstatus AS label, o_totalprice::DOUBLE AS area_ha FROM orders WHERE o_totalprice < 0")
 def empty_table(spark, sf):
-    return spark.createDataFrame([], "zone_id long, label string, area_ha double")
+    """Where nothing passes, a table without rows is written all the same, and read back with its columns and types."""
+    found = read(spark, sf, "orders").filter("o_totalprice < 0").select(F.col("o_orderkey").alias("zone_id"), F.col("o_orderstatus").alias("label"), F.col("o_totalprice").cast("double").alias("area_ha"))
+    return stored(found, "zones")
+
+
+TILED_SQL = f"WITH {PIXELS_SQL} SELECT scene, r, c, CASE WHEN v >= 0 THEN round(v, 6) END AS band FROM px"
+
+
+def tiled(spark, sf):
+    """The pixels' values, negative ones without data, written in tiles of 3 x 3; the path."""
+    px = pixels(spark, sf)
+    path, _ = new_path(spark, "tiles")
+    tiles.write(px.select("scene", "r", "c", F.when(F.col("v") >= 0, F.round("v", 6)).alias("band")), path, {"band": -9999.0}, tile=3)
+    return path
+
+
+@query("k03_tiled_window", f"SELECT * FROM ({TILED_SQL}) WHERE r BETWEEN 2 AND 4 AND c BETWEEN 3 AND 5")
+def tiled_window(spark, sf):
+    """What is read back of a written store; the window meets two tiles of nine."""
+    return tiles.window(spark, tiled(spark, sf), 2, 3, 4, 5)
+
+
+@query("v16_geometry_as_written", f"WITH {PIXELS_SQL} SELECT scene, count(*) = 64 AS whole FROM px GROUP BY scene")
+def geometry_as_written(spark, sf):
+    """The check that follows writing reads the written pixels, not those in memory."""
+    return tiles.check(spark, tiled(spark, sf))
 
 
 @query("k12_json_records", """SELECT '{"key":' || r_regionkey || ',"label":"' || r_name || '"}' AS value FROM region""")

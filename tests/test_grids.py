@@ -112,3 +112,26 @@ def test_traced_rings_hold_their_pixels(spark):
         back.setdefault((x.zone.scene, x.zone.component), set()).add((-x.gy - 1, x.gx))
     assert back == want
     assert tracing.trace(lab.limit(0)).count() == 0
+
+
+def test_tiles_are_read_by_window(spark, tmp_path):
+    from siltgrid.sources import tiles
+
+    rows = [(s, r, c, None if (r + c) % 5 == 0 else float(100 * s + 10 * r + c)) for s in (1, 2) for r in range(7) for c in range(11)]
+    df = spark.createDataFrame(rows, "scene long, r int, c int, band double")
+    path = f"{tmp_path}/store"
+    tiles.write(df, path, {"band": -1.0}, tile=4)
+    back = tiles.window(spark, path, 0, 0, 6, 10)
+    assert sorted(map(tuple, back.select("scene", "r", "c", "band").collect()), key=str) == sorted(rows, key=str)
+    part = tiles.window(spark, path, 5, 1, 6, 3)
+    assert sorted(map(tuple, part.select("scene", "r", "c", "band").collect()), key=str) == sorted([x for x in rows if 5 <= x[1] <= 6 and 1 <= x[2] <= 3], key=str)
+    assert {f.split("pixels/")[1].rsplit("/", 1)[0] for f in part.inputFiles()} >= {"tr=1/tc=0"}
+    read = part.select("_metadata.file_path").distinct().collect()
+    assert all("/tr=1/tc=0/" in x[0] for x in read)
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tr" in plan and "tr#" in plan
+    assert all(x.whole for x in tiles.check(spark, path).collect())
+    spark.createDataFrame([(2, 3, 3, 0.0, 0, 0)], "scene long, r int, c int, band double, tr int, tc int").write.partitionBy("tr", "tc").mode("append").parquet(f"{path}/pixels")
+    assert {x.scene: x.whole for x in tiles.check(spark, path).collect()} == {1: True, 2: False}
+    with pytest.raises(Exception, match="already exists"):
+        tiles.write(df, path, {"band": -1.0}, tile=4)
