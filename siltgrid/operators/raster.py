@@ -334,10 +334,17 @@ def touching(labelled: DataFrame, seeds: DataFrame, scene: str = "scene") -> Dat
 
 
 def resample_nearest(df: DataFrame, value: str, factor: float, size: int, scene: str = "scene") -> DataFrame:
-    """Values of a size x size target grid whose cells are `factor` source cells wide, taken at the target cells' centres."""
-    cells = df.sparkSession.range(size * size).select(F.floor(F.col("id") / size).cast("int").alias("tr"), (F.col("id") % size).cast("int").alias("tc"))
-    at = cells.select("tr", "tc", F.floor((F.col("tr") + 0.5) * factor).cast("int").alias("r"), F.floor((F.col("tc") + 0.5) * factor).cast("int").alias("c"))
-    return df.join(F.broadcast(at), ["r", "c"]).select(scene, "tr", "tc", F.col(value).alias("value"))
+    """Values of a size x size target grid whose cells are `factor` source cells wide, taken at the target cells' centres.
+
+    Each source pixel finds by arithmetic the target cells whose centres it holds: nothing is joined.
+    """
+    def cells(at: Column) -> Column:
+        near = F.sequence(F.greatest(F.floor(at / factor - 0.5) - 1, F.lit(0)), F.least(F.ceil((at + 1) / factor - 0.5) + 1, F.lit(size - 1)))
+        return F.filter(near, lambda t: F.floor((t + 0.5) * factor) == at)
+
+    within = (F.floor(F.col("r") / factor - 0.5) - 1 <= size - 1) & (F.floor(F.col("c") / factor - 0.5) - 1 <= size - 1)
+    rows = df.filter(within).select(scene, F.explode(cells(F.col("r"))).alias("tr"), "c", F.col(value).alias("value"))
+    return rows.select(scene, F.col("tr").cast("int").alias("tr"), F.explode(cells(F.col("c"))).alias("tc"), "value").select(scene, "tr", F.col("tc").cast("int").alias("tc"), "value")
 
 
 def block_mean(df: DataFrame, value: str, valid: str, factor: int, least_coverage: float, scene: str = "scene") -> DataFrame:

@@ -135,3 +135,47 @@ def test_tiles_are_read_by_window(spark, tmp_path):
     assert {x.scene: x.whole for x in tiles.check(spark, path).collect()} == {1: True, 2: False}
     with pytest.raises(Exception, match="already exists"):
         tiles.write(df, path, {"band": -1.0}, tile=4)
+
+
+def test_inverse_projection_undoes_the_projection(spark):
+    from siltgrid.operators import warping
+
+    rng = random.Random(3)
+    rows = [(i, rng.uniform(-126, -120), rng.uniform(0.001, 83.9)) for i in range(300)] + [(300, -123.0, 0.001), (301, -120.1, 83.9)]
+    df = spark.createDataFrame(rows, "id long, lon double, lat double")
+    e, n = geometry.utm(F.col("lon"), F.col("lat"), 10)
+    back = warping.lonlat(df.select("*", e.alias("e"), n.alias("n")), "e", "n", 10, "lon2", "lat2")
+    e2, n2 = geometry.utm(F.col("lon2"), F.col("lat2"), 10)
+    for x in back.select("*", e2.alias("e2"), n2.alias("n2")).collect():
+        assert abs(x.e2 - x.e) < 1e-6 and abs(x.n2 - x.n) < 1e-6  # metres
+        assert abs(x.lon2 - x.lon) < 1e-11 and abs(x.lat2 - x.lat) < 1e-11
+
+
+def test_bilinear_values_of_overlapping_tiles(spark):
+    from siltgrid.operators import warping
+
+    rng = random.Random(5)
+    tiles = {(t, r, c): rng.uniform(0, 9) for t in (0, 1) for r in range(5) for c in range(6)}
+    df = spark.createDataFrame([(t, r, c, None if (t, r, c) == (0, 0, 0) else v) for (t, r, c), v in tiles.items()], "t int, r int, c int, v double")
+    grid = warping.mosaic(df, F.col("r"), F.col("c") + 4 * F.col("t"), "v")  # two columns overlap
+    values = {}
+    for (t, r, c), v in tiles.items():
+        if (t, r, c) != (0, 0, 0):
+            values.setdefault((r, c + 4 * t), []).append(v)
+    values = {k: sum(v) / len(v) for k, v in values.items()}
+    places = [(i, rng.uniform(-1, 10), rng.uniform(-1, 5)) for i in range(200)] + [(200, 3.0, 2.0), (201, 9.0, 4.0), (202, 0.0, 0.5), (203, 4.5, 2.0)]
+    got = {x.id: x.value for x in warping.bilinear(grid, spark.createDataFrame(places, "id long, x double, y double"), "id", F.col("x"), F.col("y")).collect()}
+    for i, x, y in places:
+        c, r = math.floor(x), math.floor(y)
+        parts = [((y - r if a else 1 - y + r) * (x - c if b else 1 - x + c), (r + a, c + b)) for a in (0, 1) for b in (0, 1)]
+        parts = [(w, k) for w, k in parts if w > 0]
+        want = sum(w * values[k] for w, k in parts) if all(k in values for _, k in parts) else None
+        assert got.get(i) == (pytest.approx(want) if want is not None else None)
+
+
+@pytest.mark.parametrize(("factor", "size"), [(1.6, 5), (0.5, 30), (3.0, 2), (0.7, 9)])
+def test_nearest_resampling_by_arithmetic(spark, factor, size):
+    df = spark.createDataFrame([(1, r, c, float(10 * r + c)) for r in range(8) for c in range(8)], "scene long, r int, c int, v double")
+    got = {(x.tr, x.tc): x.value for x in raster.resample_nearest(df, "v", factor, size).collect()}
+    at = lambda t: math.floor((t + 0.5) * factor)
+    assert got == {(i, j): 10.0 * at(i) + at(j) for i in range(size) for j in range(size) if at(i) < 8 and at(j) < 8}
