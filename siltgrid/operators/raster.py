@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import done, stored
+
 SCENE = ("scene",)
 #: Pixels of a tile's side, for operators that look a few pixels around, and columns of a block of a row.
 TILE, BLOCK = 256, 4096
@@ -270,29 +272,61 @@ def label_pixels(scene: np.ndarray, r: np.ndarray, c: np.ndarray, width: np.ndar
     return place[least_roots(len(spot), a, b)][back]
 
 
+#: Scenes of up to so many pixels a side are labelled in one row each; larger ones in tiles of this side.
+WHOLE = 1024
+
+
 def components(df: DataFrame, mask: str, eight: bool = True, scene: str = "scene", tile: int | None = None) -> DataFrame:
-    """(scene, r, c, component) of true pixels, connected over eight or four neighbours; a component is named by its least
-    row-major place.
+    """(scene, r, c, component) of true pixels, connected over eight or four neighbours; a component is named by its least row-major
+    place.
 
-    Without a tile size a scene is one row. With one, tasks label tiles of so many pixels a side, and what a scene gathers
-    in one row is only the links of labels over the borders of its tiles, 1 / tile of its pixels.
+    Scenes of at most WHOLE pixels a side are a row each. Larger ones (or all, with a tile size) are labelled tile by tile, and labels
+    that touch over the tiles' borders are linked: their least label is found by rounds of joins (linked_roots), so a scene's
+    links may be more than a task holds.
     """
     kind = df.schema[scene].dataType.simpleString()
     wide = df.groupBy(scene).agg((F.max("c") + 1).cast("int").alias("width"))
+    if tile is None:
+        side = df.agg(F.greatest(F.max("r"), F.max("c")).alias("side")).first()["side"]
+        tile = WHOLE if side is not None and side >= WHOLE else None
     if tile is None:
         rows = df.groupBy(scene).agg((F.max("c") + 1).cast("int").alias("width"), F.collect_list(F.when(F.col(mask), F.struct("r", "c"))).alias("on"))
         return rows.mapInArrow(labels_of_rows(scene, eight), f"{scene} {kind}, r int, c int, component long")
     on = df.filter(mask).select(scene, "r", "c", F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc")).join(wide, scene)
     rows = on.groupBy(scene, "tr", "tc").agg(F.first("width").alias("width"), F.collect_list(F.struct("r", "c")).alias("on")).drop("tr", "tc")
-    local = rows.mapInArrow(labels_of_rows(scene, eight), f"{scene} {kind}, r int, c int, component long")
+    local = stored(rows.mapInArrow(labels_of_rows(scene, eight), f"{scene} {kind}, r int, c int, component long"), "labels")
     edge = local.filter((F.col("r") % tile).isin(0, tile - 1) | (F.col("c") % tile).isin(0, tile - 1))
     steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1)) if eight or 0 in (a, b)))
     onward = edge.withColumn("s", F.explode(steps)).select(scene, (F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"), F.col("component").alias("other"))
-    links = onward.join(edge, [scene, "r", "c"]).filter("other <> component").select(scene, "component", "other").distinct()
-    named = links.groupBy(scene).agg(F.collect_list(F.struct("component", "other")).alias("links")).mapInArrow(roots_of_links(scene), f"{scene} {kind}, component long, root long")
+    links = onward.join(edge, [scene, "r", "c"]).filter("other <> component").select(scene, F.col("component").alias("a"), F.col("other").alias("b"))
+    named = linked_roots(links, scene).withColumnRenamed("node", "component")
     return local.join(named, [scene, "component"], "left").select(scene, "r", "c", F.coalesce("root", "component").alias("component"))
 
 
+def linked_roots(links: DataFrame, scene: str = "scene") -> DataFrame:
+    """(scene, node, root) of every node with a link (scene, a, b): the least node that it is connected to.
+
+    Each node points to a node of its component that is not greater. In a round the greater of what two linked nodes point to is hung
+    below the lesser, and pointers are followed twice; it ends when linked nodes point to the same, which is then the least. Links
+    and pointers stay in stored tables.
+    """
+    links = stored(links.select(scene, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    nodes = links.select(scene, F.explode(F.array("a", "b")).alias("node")).distinct()
+    now = stored(nodes.withColumn("root", F.col("node")), "roots")
+    at = lambda table, node, root: table.select(scene, F.col("node").alias(node), F.col("root").alias(root))
+    while True:
+        apart = links.join(at(now, "a", "ra"), [scene, "a"]).join(at(now, "b", "rb"), [scene, "b"]).select(scene, F.greatest("ra", "rb").alias("root"), F.least("ra", "rb").alias("low")).filter("root <> low")
+        below = stored(apart.groupBy(scene, "root").agg(F.min("low").alias("low")), "below")
+        if below.isEmpty():
+            done(links, below)
+            return now
+        hung = stored(now.join(below, [scene, "root"], "left").select(scene, "node", F.coalesce("low", "root").alias("root")), "hung")
+        once = hung.join(at(hung, "root", "up"), [scene, "root"]).select(scene, "node", F.col("up").alias("root"))
+        new = stored(once.join(at(hung, "root", "up"), [scene, "root"]).select(scene, "node", F.col("up").alias("root")), "roots")
+        done(now, below, hung)
+        now = new
+
+
 def labels_of_rows(scene: str, eight: bool):
     """Label the true pixels (`on`) of each row, which is a scene or a tile, many rows at once."""
 
@@ -308,20 +342,6 @@ def labels_of_rows(scene: str, eight: bool):
     return run
 
 
-def roots_of_links(scene: str):
-    """The least label that each label is linked to, scene by scene."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                links = batch.column(1)[i].values
-                names, ends = np.unique(np.concatenate([links.field(k).to_numpy() for k in range(2)]), return_inverse=True)
-                root = least_roots(len(names), ends[: len(links)], ends[len(links) :])
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(names), batch.column(0).type), pa.array(names), pa.array(names[root])], [scene, "component", "root"])
-
-    return run
-
-
 def at_least(labelled: DataFrame, size: int, scene: str = "scene") -> DataFrame:
     """Pixels of components of at least so many pixels, with the size."""
     return labelled.withColumn("size", F.count("*").over(Window.partitionBy(scene, "component"))).filter(F.col("size") >= size)

@@ -179,3 +179,48 @@ def test_nearest_resampling_by_arithmetic(spark, factor, size):
     got = {(x.tr, x.tc): x.value for x in raster.resample_nearest(df, "v", factor, size).collect()}
     at = lambda t: math.floor((t + 0.5) * factor)
     assert got == {(i, j): 10.0 * at(i) + at(j) for i in range(size) for j in range(size) if at(i) < 8 and at(j) < 8}
+
+
+def spiral(n):
+    """One path that winds to the middle of an n x n grid, one pixel wide."""
+    grid = [[False] * n for _ in range(n)]
+    r = c = d = 0
+    steps = ((0, 1), (1, 0), (0, -1), (-1, 0))
+    free = lambda i, j: not (0 <= i < n and 0 <= j < n) or not grid[i][j]
+    grid[0][0] = True
+    while True:
+        for turn in (0, 1):
+            i, j = r + steps[(d + turn) % 4][0], c + steps[(d + turn) % 4][1]
+            if 0 <= i < n and 0 <= j < n and not grid[i][j] and free(i + steps[(d + turn) % 4][0], j + steps[(d + turn) % 4][1]):
+                d, r, c = (d + turn) % 4, i, j
+                grid[r][c] = True
+                break
+        else:
+            return grid
+
+
+@pytest.mark.parametrize("eight", [True, False])
+def test_components_over_many_tiles(spark, eight):
+    rng = random.Random(11)
+    grids = [spiral(33), [[rng.random() < 0.55 for _ in range(33)] for _ in range(33)], [[True] * 33 for _ in range(33)], [[False] * 33 for _ in range(33)]]
+    df = frame(spark, grids)
+    whole = {(x.scene, x.r, x.c): x.component for x in raster.components(df, "m", eight).collect()}
+    for tile in (4, 9):
+        assert {(x.scene, x.r, x.c): x.component for x in raster.components(df, "m", eight, tile=tile).collect()} == whole
+    assert {v for (s, _, _), v in whole.items() if s in (0, 2)} == {0} and sum(k[0] == 0 for k in whole) > 500
+
+
+def test_large_scenes_are_tiled_by_themselves(spark, monkeypatch):
+    monkeypatch.setattr(raster, "WHOLE", 8)
+    grids = [spiral(21)]
+    got = {(x.r, x.c): x.component for x in raster.components(frame(spark, grids), "m").collect()}
+    assert set(got.values()) == {0} and len(got) == sum(map(sum, grids[0]))
+    assert raster.components(frame(spark, grids).limit(0), "m").count() == 0
+
+
+def test_least_nodes_of_links(spark):
+    rng = random.Random(4)
+    order = rng.sample(range(200), 200)
+    links = [(1, a, b) for a, b in zip(order, order[1:])] + [(2, 5, 6), (2, 6, 7), (2, 7, 5), (2, 9, 9), (3, 1, 100), (3, 100, 50)]
+    got = {(x.scene, x.node): x.root for x in raster.linked_roots(spark.createDataFrame(links, "scene long, a long, b long")).collect()}
+    assert got == {(1, i): 0 for i in range(200)} | {(2, 5): 5, (2, 6): 5, (2, 7): 5, (3, 1): 1, (3, 50): 1, (3, 100): 1}
