@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltgrid.functions import expressions as X
-from siltgrid.operators import forest, metrics, raster
+from siltgrid.operators import forest, metrics, raster, trees
+from siltgrid.operators.stored import stored
 from siltgrid.sources.tables import MASKS_SQL, masks
 
 from .raster_queries import CC_SQL, EIGHT, OTSU_SQL, rounded
@@ -117,9 +118,14 @@ SELECT heldout, e AS elevation_max, m AS least_pixels, round(iou, 6) AS mean_iou
 QUALIFY row_number() OVER (PARTITION BY heldout ORDER BY round(iou, 9) DESC, round(bias, 9), round(recall, 9) DESC, CASE WHEN e = 99 THEN 99 ELSE abs(e - 5) END, m) = 1""",
 )
 def outer_selection(spark, sf):
-    """Cleanup candidates by fold: scenes are labelled once for each elevation; sums over the folds' scenes make up the other folds' means."""
+    """Cleanup candidates by fold, on the masks of one rule."""
+    return select_outer(masks(spark, sf).withColumn("fold", F.col("label") % 5))
+
+
+def select_outer(px):
+    """For each fold the candidate that is best on the other folds' scenes: scenes are labelled once for each elevation; sums over the folds' scenes make up the other folds' means."""
     e = F.explode(F.array(*map(F.lit, ELEVATIONS)))
-    px = masks(spark, sf).filter("valid").select((F.col("label") % 5).alias("fold"), "scene", "r", "c", "pred", "ref", "permanent", "elev", e.alias("e"))
+    px = px.filter("valid").select("fold", "scene", "r", "c", "pred", "ref", "permanent", "elev", e.alias("e"))
     px = px.withColumn("key", F.col("scene") * 100 + F.col("e")).withColumn("m", F.col("pred") & ~F.col("permanent") & (F.col("elev") <= F.col("e")))
     sizes = raster.at_least(raster.components(px, "m", scene="key"), 1, scene="key").select("key", "r", "c", "size")
     all_px = px.join(sizes, ["key", "r", "c"], "left").withColumn("size", F.coalesce("size", F.lit(0)))
@@ -185,6 +191,28 @@ def method_definition(spark, sf):
     return rows.withColumn("own_sha256", F.sha2("definition", 256))
 
 
+def by_fold(spark, sf):
+    """The pixels with the probability that a forest of the other folds' block samples gives them, and water by it."""
+    px = model_input(spark, sf).withColumn("fold", (F.col("label") % 5).cast("long"))
+    blocks = px.filter("valid").withColumn("br", F.floor(F.col("r") / 4)).withColumn("bc", F.floor(F.col("c") / 4))
+    model = trees.fit(forest.block_sample(blocks, "ref", ["scene", "br", "bc"], 3), FEATURES, "ref", "fold", ["scene", "r", "c"], trees=8, depth=5)
+    return trees.predict(model, px, "fold").withColumn("rule", F.col("pred")).withColumn("pred", F.coalesce(F.col("p") >= 0.5, F.lit(False)))
+
+
+@query("m07_forest_selection")
+def forest_selection(spark, sf):
+    """The nested selection: each fold's scenes are predicted by a forest that has not seen them, and its candidate is chosen on the other folds."""
+    return select_outer(by_fold(spark, sf))
+
+
+@query("c17_forest_ladder")
+def forest_ladder(spark, sf):
+    """The rule and the forests by fold, side by side: medians over folds and pooled figures."""
+    px = stored(by_fold(spark, sf).select("fold", "ref", "valid", "rule", "pred"), "by-fold")
+    each = [metrics.confusion(px, ["fold"], pred=column, valid="valid").withColumn("method", F.lit(name)) for name, column in (("rule", "rule"), ("forest by fold", "pred"))]
+    return rounded(metrics.pooled(each[0].unionByName(each[1]), ["method"]), "median_iou", "median_f1", "iqr_iou", "median_abs_bias", "worst_iou", "pooled_iou", "pooled_f1")
+
+
 def fitted(px):
     """A forest on a block sample of the pixels."""
     blocks = px.withColumn("br", F.floor(F.col("r") / 4)).withColumn("bc", F.floor(F.col("c") / 4))
