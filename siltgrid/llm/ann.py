@@ -15,6 +15,7 @@ into groups of bounded number; each slice meets each group in a task of its own.
 The centres are fitted on at most SAMPLE rows, taken by least hash; every row is indexed. Vectors that
 are null, zero, hold a null, NaN or infinity, or have another length than most take no part, as
 candidates or queries. Rows of equal ids are separate candidates; a query leaves out all of its id.
+Only the two named columns are read, so others may have any name. An empty table gives no rows.
 """
 
 from __future__ import annotations

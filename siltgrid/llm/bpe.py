@@ -15,6 +15,8 @@ Decoding maps ids to bytes as they come, and an incremental UTF-8 machine holds
 character that is not complete yet.
 
 Null texts are empty. Very long matches of the pattern run through the transducer in linear time.
+Repeated rows and ids are encoded one by one; a null id stays null. Only the two named columns are
+read, so others may have any name. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ Scoring runs over blocks in numpy batches.
 
 A null text is empty: one end token. A null id counts as empty text where it is hashed. Repeated rows
 are learned from and scored one by one. A text of any length is in one block, which a longer text makes
-as long as itself. Other columns are not read. An empty table gives no rows; without a training token
+as long as itself. Words that follow two topics equally often belong to the one of smaller number. Other
+columns are not read. An empty table gives no rows; without a training token
 every probability is one.
 """
 

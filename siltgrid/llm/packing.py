@@ -11,7 +11,9 @@ Pieces are dealt out evenly over shards of a bounded number of pieces by a runni
 their ids, texts or sources; each shard is packed alone. What a shard leaves open is a few sequences
 of the tens of thousands that it fills. Tokens are not shuffled, only lengths and checksums.
 
-A null text is the end mark alone. Repeated rows are packed one by one. An empty table gives no rows.
+A null text is the end mark alone. Repeated rows and ids are packed one by one; a null id stays null. A text
+of any length is tokenized whole and cut into as many pieces as it fills. Only the two named columns are
+read, so others may have any name. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,8 +10,12 @@ of one are linked to it at once and need no comparing among themselves, so a den
 size times few references and gives as many links as it has members, never all pairs.
 
 Null texts and texts without a word have fingerprint zero and link like any other. Repeated rows
-keep a row each. A row without an id joins the component of its fingerprint, and names none. An empty
+keep a row each. A row without an id joins the component of its fingerprint, and names none. A text of
+any length is read whole. Only the two named columns are read, so others may have any name. An empty
 table gives no rows.
+
+`keep_one` takes null, empty and wordless texts for copies of each other: of all of them the row of least
+id stays.
 """
 
 from __future__ import annotations

@@ -196,3 +196,13 @@ def test_stack_counts_prefixes_over_batches(size):
     assert len(stack.done) == len(dict(stack.done)) and all(want[k] == n for k, n in stack.done)
     edges = {b" ".join(k.split(b" ")[:m]) + b" " for k in (ordered[0][0], ordered[-1][0]) for m in range(2, k.count(b" ") + 1)}
     assert {k for k, n in want.items() if n >= 5} | edges <= dict(stack.done).keys()
+
+
+def test_earlier_operators_on_empty_tables(spark):
+    vocabularies = pytest.importorskip("public_tokenizers")
+    from siltgrid.llm import bpe, warc
+
+    docs = spark.createDataFrame([], "doc_id long, text string, ids string, text_sha string")
+    assert bpe.digest_round_trip(docs, vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN).count() == 0
+    index, folder = warc.write_and_index(spark.createDataFrame([], "page_id long, url string, html string, digest string"))
+    assert warc.read_records(index, folder).count() == 0
