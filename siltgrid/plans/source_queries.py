@@ -53,11 +53,11 @@ def json_scan(spark, sf):
 
 @query("s06_ways", f"WITH {LINES_SQL} SELECT id AS osm_id, CASE WHEN id % 2 = 0 THEN 'yes' ELSE 'no' END AS bridge, 2 AS points, x1 AS first_x, y2 AS last_y FROM ln")
 def ways(spark, sf):
-    """Payloads of nested elements, one for each group of ways."""
+    """Payloads of nested elements, one for each group of at most 500 ways."""
     at = lambda x, y: F.struct(F.col(y).alias("lat"), F.col(x).alias("lon"))
     tags = F.create_map(F.lit("bridge"), F.when(F.col("id") % 2 == 0, "yes").otherwise("no"))
     element = F.struct("id", tags.alias("tags"), F.array(at("x1", "y1"), at("x2", "y2")).alias("geometry"))
-    payload = lines(spark, sf).groupBy(F.floor(F.col("id") / 500))  # of at most 500 ways.agg(F.collect_list(element).alias("elements"))
+    payload = lines(spark, sf).groupBy(F.floor(F.col("id") / 500)).agg(F.collect_list(element).alias("elements"))
     w = readers.ways(payload)
     first, last = F.element_at("line", 1), F.element_at("line", -1)
     return w.select("osm_id", F.col("tags")["bridge"].alias("bridge"), F.size("line").alias("points"), first["x"].alias("first_x"), last["y"].alias("last_y"))
