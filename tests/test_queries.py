@@ -54,3 +54,17 @@ def test_registry_is_whole():
     assert len(registry.queries()) > 100 and set(registry.oracle_sql()) <= set(registry.queries())
     with pytest.raises(ValueError):
         registry.query("p01_project_rename")(lambda s, d: None)
+
+
+def against_sql(spark, folder, name, **tables):
+    """The query's rows and the SQL's, on tables of few keys."""
+    c = duckdb.connect()
+    for table, select in tables.items():
+        c.sql(f"COPY ({select}) TO '{folder}/{table}.parquet' (FORMAT parquet)")
+        c.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    return rows(registry.queries()[name](spark, str(folder)).toPandas()), rows(c.sql(registry.oracle_sql()[name]).df())
+
+
+def test_a_line_of_no_length_in_a_plot_does_not_count(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "j18_lines_by_plot", supplier="SELECT unnest([1497, 1499, 1500])::BIGINT AS s_suppkey, 1 AS s_nationkey")
+    assert got == want
