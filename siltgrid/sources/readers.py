@@ -63,13 +63,25 @@ def numbers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
 
 
+def gain_lookup(xml: str) -> Column:
+    """Positions (at) and gains of a look-up table: first offset, step and a list; a step of zero or an empty list gives nulls.
+
+    The texts are read once and bound: written out where they are used, each use would parse the XML again.
+    """
+    read = F.struct(tag_text(xml, "offset").cast("double").alias("first"), tag_text(xml, "stepSize").cast("double").alias("step"), numbers(tag_text(xml, "gains")).alias("gains"))
+
+    def table(t: Column) -> Column:
+        n = F.size(t["gains"])
+        ok = (n > 0) & (t["step"] != 0)
+        return F.struct(F.when(ok, F.transform(F.sequence(F.lit(0), n - 1), lambda i: t["first"] + i * t["step"])).alias("at"), F.when(ok, t["gains"]).alias("gains"))
+
+    return F.transform(F.array(read), table)[0]
+
+
 def gain_table(xml: str) -> tuple[Column, Column]:
-    """Positions and gains of a look-up table: first offset, step and a list; a step of zero or an empty list gives nulls."""
-    first, step = tag_text(xml, "offset").cast("double"), tag_text(xml, "stepSize").cast("double")
-    gains = numbers(tag_text(xml, "gains"))
-    n = F.size(gains)
-    ok = (n > 0) & (step != 0)
-    return F.when(ok, F.transform(F.sequence(F.lit(0), n - 1), lambda i: first + i * step)), F.when(ok, gains)
+    """The two columns of gain_lookup."""
+    table = gain_lookup(xml)
+    return table["at"], table["gains"]
 
 
 def noise_level(xml: str, missing: float = float("nan")) -> Column:

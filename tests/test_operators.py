@@ -295,3 +295,11 @@ def test_one_file_for_each_group(spark):
 def test_noise_without_a_marker(spark):
     rows = spark.createDataFrame([("<noiseLevelValues>-3.5 -2 -9</noiseLevelValues>",), ("<gain>4</gain>",)], "xml string")
     assert [str(r[0]) for r in rows.select(readers.noise_level("xml")).collect()] == ["-2.0", "nan"]
+
+
+def test_gain_table_parses_each_tag_once(spark):
+    df = spark.range(3).withColumn("xml", F.concat(F.lit("<p><offset>5</offset><stepSize>2</stepSize><gains>1.5 "), F.col("id").cast("string"), F.lit("</gains></p>")))
+    at, gains = readers.gain_table("xml")
+    assert [(r.at, r.g) for r in df.select(at.alias("at"), gains.alias("g")).collect()] == [([5.0, 7.0], [1.5, float(i)]) for i in range(3)]
+    t = df.select(readers.gain_lookup("xml").alias("t")).select(F.size("t.gains"), F.element_at("t.at", -1), F.col("t.gains")[1])
+    assert t._jdf.queryExecution().optimizedPlan().toString().count("local-name()") == 3
