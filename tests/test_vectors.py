@@ -3,10 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltgrid.operators import geometry, nearest, overlay, raster
+from siltgrid.operators import geometry, nearest, overlay, raster, slabs
 
 
 def ring(rng, cx, cy, low, high, n):
@@ -223,3 +224,45 @@ def test_boundaries_of_empty_and_shifted_masks(spark):
     d = {r.scene: r for r in raster.boundary_distances(df, "pred", "ref").collect()}
     assert [d[s].median_px for s in range(3)] == [math.inf] * 3 and [d[s].p95_px for s in range(3)] == [math.inf] * 3
     assert d[3].most_px == 0 and (d[4].median_px, d[4].most_px) == (1.5, 2.0) and (d[0].pred_edge, d[0].ref_edge) == (0, 4)
+
+
+@pytest.mark.parametrize("size, block", [(60.0, 1024), (1000.0, 2)])
+def test_shared_areas_of_layers(spark, monkeypatch, size, block):
+    monkeypatch.setattr(overlay, "BLOCK", block)
+    rng = random.Random(6)
+    first, second = ([polygon(rng) for _ in range(9)] for _ in range(2))
+    got = {(r.a, r.b): r.both for r in overlay.shared_areas(frame(spark, first, "a"), frame(spark, second, "b"), "a", "b", "rings", size).collect()}
+    for i, p in enumerate(first):
+        for j, q in enumerate(second):
+            assert got.get((i, j), 0.0) == pytest.approx(both(p, q), abs=1e-6)
+
+
+def test_pairs_of_layers_send_edges_only(spark):
+    """Not a ring for each pair: what is shuffled before the areas does not grow with the pairs."""
+    df = frame(spark, [[square(0, 0, 10)]] * 3, "a")
+    plan = overlay.shared_areas(df, df.withColumnRenamed("a", "b"), "a", "b", "rings", 1000.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan.replace("FlatMapCoGroupsInPandas", "")
+
+
+def test_strips_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 60
+    y = rng.uniform(0, 10, (n, 2)).round(1)
+    e = (rng.integers(0, 3, n), rng.choice([-1, 1], n), rng.uniform(0, 10, n), y.min(axis=1), rng.uniform(0, 10, n), y.max(axis=1) + 0.1)
+    want = np.concatenate([np.stack(p) for p in slabs.strips(*e, 10.0)], axis=1)
+    monkeypatch.setattr(slabs.pieces, "__defaults__", (5,))
+    parts = [np.stack(p) for p in slabs.strips(*e, 10.0)]
+    assert len(parts) > 20 and max(p.shape[1] for p in parts) <= n
+    assert np.array_equal(np.concatenate(parts, axis=1), want)
+
+
+def test_cover_of_many_copies(spark):
+    rng = random.Random(10)
+    p, q = polygon(rng), polygon(rng)
+    df = frame(spark, [p] * 40 + [q] * 3, "a").withColumn("g", F.lit("x"))
+    cover = overlay.cover_areas(df, "rings", ["g"], 45.0)
+    found = {r.layers: r.area for r in cover.collect()}
+    common = both(p, q)
+    assert [found.get(n, 0.0) for n in (3, 40, 43)] == [pytest.approx(v, abs=1e-6) for v in (area(q) - common, area(p) - common, common)]
+    # edges of a tile are not joined with each other, nor with slabs
+    assert "Join" not in cover._jdf.queryExecution().optimizedPlan().toString()
