@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from siltgrid.functions.expressions import finite
 
+from .stored import stored
+
 #: Targets of a leaf on average, and the levels of the tree whose cells are few enough to start with (4^3).
 LEAF, START, MOST_LEVELS = 8, 3, 24
 #: What rounding may add to a distance: equal ones must not be told apart.
@@ -33,15 +35,21 @@ def least_gap() -> Column:
 
 
 def most_gap() -> Column:
-    """The distance that no two points of the two boxes exceed."""
-    return F.hypot(F.greatest(F.col("r2") - F.col("l"), F.col("r") - F.col("l2")), F.greatest(F.col("t2") - F.col("b"), F.col("t") - F.col("b2")))
+    """A distance that the nearest target in a box (l2, b2, r2, t2) does not exceed: some target touches each side of the box, at the far end at worst.
+
+    Taken from the farthest place of the source's box. Far off it is hardly more than the least distance, where the box's far corner would be its width more.
+    """
+    x, y = F.greatest(F.col("r2") - F.col("l"), F.col("r") - F.col("l2")), F.greatest(F.col("t2") - F.col("b"), F.col("t") - F.col("b2"))
+    to = lambda side, lo, hi: F.greatest(F.abs(F.col(side) - F.col(lo)), F.abs(F.col(side) - F.col(hi)))
+    return F.least(*(F.hypot(to(side, "l", "r"), y) for side in ("l2", "r2")), *(F.hypot(x, to(side, "b", "t")) for side in ("b2", "t2")))
 
 
 def nearest(sources: DataFrame, targets: DataFrame, source_key: str, target_key: str, distance: Column) -> DataFrame:
     """(source_key, target_key, distance): the nearest target of each source.
 
     sources: boxes l, b, r, t and other columns; targets: boxes l2, b2, r2, t2 and other columns, of which `distance` is an expression.
-    It must lie between the least and the greatest distance of the two boxes. A source key may stand in many rows: the nearest of all counts.
+    It must lie between the least and the greatest distance of the two boxes, and a target must touch all sides of its box. A source key may stand in many
+    rows: the nearest of all counts.
     """
     ok = lambda df, names: df.filter(finite(F.col(names[0])) & finite(F.col(names[1])) & finite(F.col(names[2])) & finite(F.col(names[3])))
     sources = ok(sources, ("l", "b", "r", "t")).withColumn("_s", F.monotonically_increasing_id())
@@ -103,35 +111,64 @@ def ring_segments(df: DataFrame, rings: str, keys: list[str]) -> DataFrame:
     return each.select(*keys, F.col("e.a.x").alias("sx1"), F.col("e.a.y").alias("sy1"), F.col("e.b.x").alias("sx2"), F.col("e.b.y").alias("sy2"))
 
 
+def solid_cells(polygons: DataFrame, rings: str, size: float) -> DataFrame:
+    """(gx, gy) of the grid cells that lie wholly inside one of the polygons, away from all its edges."""
+    from . import geometry
+    from .overlay import rings_bounds
+
+    bounds = rings_bounds(F.col(rings))
+    known = polygons.select(rings).filter(finite(bounds[0]) & finite(bounds[1]) & finite(bounds[2]) & finite(bounds[3])).distinct()
+    cells = geometry.spread(known, *bounds, size)
+    left, bottom = F.col("gx") * size, F.col("gy") * size
+
+    def near(a: Column, b: Column) -> Column:
+        # by boxes: a cell near a sloped edge counts as not solid, which loses nothing
+        x = (F.least(a["x"], b["x"]) <= left + size) & (F.greatest(a["x"], b["x"]) >= left)
+        return F.coalesce(x & (F.least(a["y"], b["y"]) <= bottom + size) & (F.greatest(a["y"], b["y"]) >= bottom), F.lit(True))
+
+    crossed = F.exists(rings, lambda r: F.exists(F.coalesce(geometry.edges(r, near), F.array().cast("array<boolean>")), lambda hit: hit))
+    held = F.size(F.filter(rings, lambda r: geometry.in_ring(left + size / 2, bottom + size / 2, r))) % 2 == 1
+    return cells.filter(~crossed).filter(held).select("gx", "gy").distinct()
+
+
 def distance_to_union(segments: DataFrame, polygons: DataFrame, key: str, rings: str, size: float, areas: DataFrame | None = None) -> DataFrame:
     """(key, distance): distance of features to the union of all polygons, zero where they meet, at any distance.
 
     segments: (key, x1, y1, x2, y2), any number for a feature; a point is a segment of no length. areas: (key, rings) of the features that
     are polygons, whose inside counts as well.
+
+    Where many polygons overlap, most places lie deep inside some of them: cells of a fourth of the size that one polygon holds wholly settle the
+    features that start there, and edges within them are inside the union, nearest to nothing outside. The rest is done with the edges that are left.
     """
     from . import geometry
 
     box = lambda a, c: (F.least(a, c), F.greatest(a, c))
+    cell = lambda v: F.floor(v / (size / 4)).cast("long")
+    solid = stored(solid_cells(polygons, rings, size / 4), "solid")
+    segments = segments.filter(finite(F.col("x1")) & finite(F.col("y1")) & finite(F.col("x2")) & finite(F.col("y2")))
+    starts = segments.select(key, F.col("x1").alias("x"), F.col("y1").alias("y"), cell(F.col("x1")).alias("gx"), cell(F.col("y1")).alias("gy")).withColumn("_p", F.monotonically_increasing_id())
+    deep = starts.join(solid, ["gx", "gy"], "left_semi").select(key).distinct()
     left, right = box("x1", "x2")
     bottom, top = box("y1", "y2")
-    own = segments.select(key, "x1", "y1", "x2", "y2", left.alias("l"), bottom.alias("b"), right.alias("r"), top.alias("t"))
-    edges = ring_segments(polygons, rings, []).withColumn("edge", F.struct("sx1", "sy1", "sx2", "sy2"))
+    own = segments.join(deep, key, "left_anti").select(key, "x1", "y1", "x2", "y2", left.alias("l"), bottom.alias("b"), right.alias("r"), top.alias("t"))
     left, right = box("sx1", "sx2")
     bottom, top = box("sy1", "sy2")
+    met = geometry.spread(ring_segments(polygons, rings, []).distinct(), left, bottom, right, top, size / 4).join(solid, ["gx", "gy"], "left_anti")
+    edges = met.select("sx1", "sy1", "sx2", "sy2").distinct().withColumn("edge", F.struct("sx1", "sy1", "sx2", "sy2"))
     to = edges.select("edge", "sx1", "sy1", "sx2", "sy2", left.alias("l2"), bottom.alias("b2"), right.alias("r2"), top.alias("t2"))
     columns = lambda names: tuple(F.col(c) for c in names)
     gap = segment_gap(columns(("x1", "y1", "x2", "y2")), columns(("sx1", "sy1", "sx2", "sy2")))
-    far = nearest(own, to, key, "edge", gap).select(key, "distance")
+    far = nearest(own, stored(to, "edges"), key, "edge", gap).select(key, "distance")
 
     def held(points: DataFrame, shapes: DataFrame, keep: str) -> DataFrame:
         # a point inside the outline and outside the holes, by the parity of all rings
         each = shapes.withColumn("_n", F.monotonically_increasing_id()).select("*", F.explode(rings).alias("ring")).drop(rings)
-        return geometry.points_in_rings(points, each, "ring", size).groupBy("_p", "_n", keep).count().filter("count % 2 = 1").select(keep)
+        return geometry.points_in_rings(points, each, "ring", size / 4).groupBy("_p", "_n", keep).count().filter("count % 2 = 1").select(keep)
 
-    starts = segments.select(key, F.col("x1").alias("x"), F.col("y1").alias("y")).withColumn("_p", F.monotonically_increasing_id())
-    inside = held(starts, polygons.select(rings), key)
+    inside = held(starts.join(deep, key, "left_anti").drop("gx", "gy"), polygons.select(rings), key)
     if areas is not None:
         first = lambda c: F.get(F.get(rings, F.lit(0)), F.lit(0))[c].alias(c)
         inside = inside.unionByName(held(polygons.select(first("x"), first("y")).withColumn("_p", F.monotonically_increasing_id()), areas.select(key, rings), key))
     hit = inside.select(key).distinct().withColumn("_in", F.lit(True))
-    return far.join(hit, key, "left").select(key, F.when(F.col("_in"), 0.0).otherwise(F.col("distance")).alias("distance"))
+    rest = far.join(hit, key, "left").select(key, F.when(F.col("_in"), 0.0).otherwise(F.col("distance")).alias("distance"))
+    return rest.unionByName(deep.withColumn("distance", F.lit(0.0)))

@@ -266,3 +266,25 @@ def test_cover_of_many_copies(spark):
     assert [found.get(n, 0.0) for n in (3, 40, 43)] == [pytest.approx(v, abs=1e-6) for v in (area(q) - common, area(p) - common, common)]
     # edges of a tile are not joined with each other, nor with slabs
     assert "Join" not in cover._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_deep_in_many_polygons_meet_no_edges(spark):
+    """Squares on each other: only cells that none holds wholly are left, and edges within the union are no targets."""
+    polygons = [[square(10 * k, 10 * k, 200)] for k in range(10)]
+    solid = {(r.gx, r.gy) for r in nearest.solid_cells(frame(spark, polygons, "p"), "rings", 25.0).collect()}
+    want = {(x, y) for x in range(12) for y in range(12) if any(10 * k < 25 * x and 25 * x + 25 < 10 * k + 200 and 10 * k < 25 * y and 25 * y + 25 < 10 * k + 200 for k in range(10))}
+    assert solid == want and len(want) > 50
+    points = [(i, float(x), float(y), float(x), float(y)) for i, (x, y) in enumerate([(100, 100), (0, 0), (-30, 50), (290, 290), (300, 290), (5e6, 100), (250, 15), (math.nan, 1)])]
+    df = spark.createDataFrame(points, "id long, x1 double, y1 double, x2 double, y2 double")
+    got = {r.id: r.distance for r in nearest.distance_to_union(df, frame(spark, polygons, "p"), "id", "rings", 100.0).collect()}
+    for i, x, y, *_ in points[:-1]:
+        want = min(math.hypot(max(10 * k - x, 0, x - 10 * k - 200), max(10 * k - y, 0, y - 10 * k - 200)) for k in range(10))
+        assert got[i] == pytest.approx(want, abs=1e-6)
+    assert len(got) == 7
+
+
+def test_far_off_only_the_nearest_side_is_left(spark):
+    """From far off, the box's near side bounds the distance, not its far corner."""
+    df = spark.createDataFrame([(10000.0, 50.0, 10000.0, 50.0, 0.0, 0.0, 300.0, 100.0)], "l double, b double, r double, t double, l2 double, b2 double, r2 double, t2 double")
+    row = df.select(nearest.least_gap().alias("least"), nearest.most_gap().alias("most")).first()
+    assert row.least == 9700 and row.most == pytest.approx(math.hypot(9700, 50))
