@@ -292,15 +292,15 @@ def components(df: DataFrame, mask: str, eight: bool = True, scene: str = "scene
     if tile is None:
         rows = df.groupBy(scene).agg((F.max("c") + 1).cast("int").alias("width"), F.collect_list(F.when(F.col(mask), F.struct("r", "c"))).alias("on"))
         return rows.mapInArrow(labels_of_rows(scene, eight), f"{scene} {kind}, r int, c int, component long")
-    on = df.filter(mask).select(scene, "r", "c", F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc")).join(wide, scene)
+    on = df.filter(mask).select(scene, "r", "c", F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc")).join(wide.hint("merge"), scene)
     rows = on.groupBy(scene, "tr", "tc").agg(F.first("width").alias("width"), F.collect_list(F.struct("r", "c")).alias("on")).drop("tr", "tc")
     local = stored(rows.mapInArrow(labels_of_rows(scene, eight), f"{scene} {kind}, r int, c int, component long"), "labels")
     edge = local.filter((F.col("r") % tile).isin(0, tile - 1) | (F.col("c") % tile).isin(0, tile - 1))
     steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1)) if eight or 0 in (a, b)))
     onward = edge.withColumn("s", F.explode(steps)).select(scene, (F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"), F.col("component").alias("other"))
-    links = onward.join(edge, [scene, "r", "c"]).filter("other <> component").select(scene, F.col("component").alias("a"), F.col("other").alias("b"))
+    links = onward.join(edge.hint("merge"), [scene, "r", "c"]).filter("other <> component").select(scene, F.col("component").alias("a"), F.col("other").alias("b"))
     named = linked_roots(links, scene).withColumnRenamed("node", "component")
-    return local.join(named, [scene, "component"], "left").select(scene, "r", "c", F.coalesce("root", "component").alias("component"))
+    return local.join(named.hint("merge"), [scene, "component"], "left").select(scene, "r", "c", F.coalesce("root", "component").alias("component"))
 
 
 def linked_roots(links: DataFrame, scene: str = "scene") -> DataFrame:
@@ -308,19 +308,20 @@ def linked_roots(links: DataFrame, scene: str = "scene") -> DataFrame:
 
     Each node points to a node of its component that is not greater. In a round the greater of what two linked nodes point to is hung
     below the lesser, and pointers are followed twice; it ends when linked nodes point to the same, which is then the least. Links
-    and pointers stay in stored tables.
+    and pointers stay in stored tables. Joins are by sorting: the files of such tables are far smaller than their rows, so Spark would take them
+    for small ones and send them whole through the driver.
     """
     links = stored(links.select(scene, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     nodes = links.select(scene, F.explode(F.array("a", "b")).alias("node")).distinct()
     now = stored(nodes.withColumn("root", F.col("node")), "roots")
-    at = lambda table, node, root: table.select(scene, F.col("node").alias(node), F.col("root").alias(root))
+    at = lambda table, node, root: table.select(scene, F.col("node").alias(node), F.col("root").alias(root)).hint("merge")
     while True:
         apart = links.join(at(now, "a", "ra"), [scene, "a"]).join(at(now, "b", "rb"), [scene, "b"]).select(scene, F.greatest("ra", "rb").alias("root"), F.least("ra", "rb").alias("low")).filter("root <> low")
         below = stored(apart.groupBy(scene, "root").agg(F.min("low").alias("low")), "below")
         if below.isEmpty():
             done(links, below)
             return now
-        hung = stored(now.join(below, [scene, "root"], "left").select(scene, "node", F.coalesce("low", "root").alias("root")), "hung")
+        hung = stored(now.join(below.hint("merge"), [scene, "root"], "left").select(scene, "node", F.coalesce("low", "root").alias("root")), "hung")
         once = hung.join(at(hung, "root", "up"), [scene, "root"]).select(scene, "node", F.col("up").alias("root"))
         new = stored(once.join(at(hung, "root", "up"), [scene, "root"]).select(scene, "node", F.col("up").alias("root")), "roots")
         done(now, below, hung)

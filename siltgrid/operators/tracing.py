@@ -4,7 +4,8 @@ Each side of a pixel that parts it from another zone is an edge with the zone to
 counter-clockwise, holes clockwise. The edge that follows is known from the two pixels ahead, so each edge points to
 one other edge and the edges of a zone fall into cycles. Cycles are found by pointer jumping: in each round an
 edge looks twice as far along its ring for the least edge, which names the ring, and for how far it is. Rounds
-end when nothing changes, after the logarithm of the longest ring; each is one equi-join of stored tables. Where two
+end when nothing changes, after the logarithm of the longest ring; each is one equi-join of stored tables. Scenes of at most
+raster.WHOLE pixels a side are a task's work instead: their pixels are sent once, by scene, and the rounds are those of arrays. Where two
 pixels of a zone touch at a corner only, the rings stay apart there.
 
 Places are corners of pixels: x = c to the right and y = -r upwards, in pixels.
@@ -12,9 +13,14 @@ Places are corners of pixels: x = c to the right and y = -r upwards, in pixels.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .raster import WHOLE
 from .stored import done, stored
 
 #: By heading (east along the lower side, north, west, south): rows and columns to the pixel ahead and to the one right of it.
@@ -57,7 +63,7 @@ def rings_of(edges: DataFrame, scene: str = "scene") -> DataFrame:
     """(scene, edge, ring, ahead): the least edge of each edge's ring and how many steps ahead it is. edges is read again and again."""
     now, far, changed = stored(edges.select(scene, "edge", F.col("next").alias("to"), F.col("edge").alias("ring"), F.lit(0).cast("long").alias("ahead")), "rings"), 1, True
     while changed:
-        other = now.select(scene, F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("ring").alias("ring2"), (F.col("ahead") + far).alias("ahead2"))
+        other = now.select(scene, F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("ring").alias("ring2"), (F.col("ahead") + far).alias("ahead2")).hint("merge")
         met = now.join(other, [scene, "to"]).select(
             scene, "edge", F.col("to2").alias("to"), F.least("ring", "ring2").alias("ring"), F.when(F.col("ring2") < F.col("ring"), F.col("ahead2")).otherwise(F.col("ahead")).alias("ahead"), (F.col("ring2") < F.col("ring")).alias("found")
         )
@@ -68,17 +74,57 @@ def rings_of(edges: DataFrame, scene: str = "scene") -> DataFrame:
     return now.select(scene, "edge", "ring", "ahead")
 
 
+def least_ahead(to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each number the least one on its cycle, and how many steps ahead it is."""
+    ring, ahead, far = np.arange(len(to)), np.zeros(len(to), np.int64), 1
+    while True:
+        found = ring[to] < ring
+        if not found.any():
+            return ring, ahead
+        ring, ahead = np.where(found, ring[to], ring), np.where(found, ahead[to] + far, ahead)
+        to, far = to[to], 2 * far
+
+
+def whole_rings(edges: DataFrame, scene: str, zone: str) -> DataFrame:
+    """The edges of scenes that a task can hold, with their ring, the steps ahead to its least edge and the number n of its edges."""
+    columns = [zone, "r", "c", "heading", "edge", "next"]
+    rows = edges.groupBy(scene).agg(F.collect_list(F.struct(*columns)).alias("e"))
+    kinds = dict(edges.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                flat = batch.column(1).slice(k, 1).flatten()
+                edge, follow = flat.field(4).to_numpy(), flat.field(5).to_numpy()
+                order = np.argsort(edge)
+                ring, ahead = least_ahead(np.searchsorted(edge[order], follow[order]))
+                n = np.bincount(ring, minlength=len(ring))[ring]
+                flat = flat.take(pa.array(order))
+                names = batch.column(0).take(pa.array(np.full(len(order), k)))
+                yield pa.RecordBatch.from_arrays([names, *(flat.field(i) for i in range(6)), pa.array(edge[order][ring]), pa.array(ahead), pa.array(n)], [scene, *columns, "ring", "ahead", "n"])
+
+    return rows.mapInArrow(run, f"`{scene}` {kinds[scene]}, " + ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", ring long, ahead long, n long")
+
+
+def ringed(zones: DataFrame, scene: str, zone: str) -> DataFrame:
+    """The edges of zones with their ring, the steps ahead to its least edge and the number n of its edges."""
+    side = zones.agg(F.greatest(F.max("r"), F.max("c")).alias("side")).first()["side"]
+    if side is not None and side >= WHOLE:
+        edges = stored(zone_edges(zones, scene, zone), "edges")
+        return edges.join(rings_of(edges, scene).hint("merge"), [scene, "edge"]).withColumn("n", F.count("*").over(Window.partitionBy(scene, "ring")))
+    # all windows over a scene's rows and columns find them where the scene is
+    return whole_rings(zone_edges(zones.repartition(scene), scene, zone), scene, zone)
+
+
 def trace(zones: DataFrame, scene: str = "scene", zone: str = "component") -> DataFrame:
     """(scene, zone, ring, corners, signed_area, sides, points): each ring of each zone, its corners as a closed ring of points (x, y).
 
     The signed area, in pixels, is that of the edges: above zero for the outline, below for holes.
     """
-    edges = stored(zone_edges(zones, scene, zone), "edges")
-    of = rings_of(edges, scene)
+    rows = ringed(stored(zones.select(scene, "r", "c", zone), "zones"), scene, zone)
     x = lambda step: F.col("c") + F.element_at(F.array(*(F.lit(STARTS[k][0]) for k in step)), F.col("heading") + 1)
     y = lambda step: -F.col("r") + F.element_at(F.array(*(F.lit(STARTS[k][1]) for k in step)), F.col("heading") + 1)
     start, end = (0, 1, 2, 3), (1, 2, 3, 0)
-    rows = edges.join(of, [scene, "edge"]).withColumn("n", F.count("*").over(Window.partitionBy(scene, "ring")))
     # steps from the least edge; the side's end is a corner if the next one has another heading
     at = F.pmod(F.col("n") - F.col("ahead"), F.col("n"))
     corner = F.when(F.col("next").bitwiseAND(3) != F.col("heading"), F.struct(at.alias("at"), x(end).cast("double").alias("x"), y(end).cast("double").alias("y")))

@@ -224,3 +224,24 @@ def test_least_nodes_of_links(spark):
     links = [(1, a, b) for a, b in zip(order, order[1:])] + [(2, 5, 6), (2, 6, 7), (2, 7, 5), (2, 9, 9), (3, 1, 100), (3, 100, 50)]
     got = {(x.scene, x.node): x.root for x in raster.linked_roots(spark.createDataFrame(links, "scene long, a long, b long")).collect()}
     assert got == {(1, i): 0 for i in range(200)} | {(2, 5): 5, (2, 6): 5, (2, 7): 5, (3, 1): 1, (3, 50): 1, (3, 100): 1}
+
+
+def test_rings_of_small_scenes_in_a_task_and_by_rounds(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(s, r, c, rng.random() < 0.6) for s in range(6) for r in range(9) for c in range(11)]
+    lab = raster.components(spark.createDataFrame(rows, "scene long, r int, c int, m boolean"), "m", eight=False).cache()
+    rings = lambda: sorted(map(str, tracing.trace(lab).collect()))
+    rounds = []
+    monkeypatch.setattr(tracing, "rings_of", lambda *a, f=tracing.rings_of: rounds.append(1) or f(*a))
+    small = rings()
+    assert not rounds and len(small) > 20
+    monkeypatch.setattr(tracing, "WHOLE", 5)
+    assert rings() == small and rounds
+
+
+def test_links_of_tiles_are_not_broadcast(spark):
+    """Files of labels are far smaller than their rows, which would go whole through the driver."""
+    df = spark.createDataFrame([(0, 0, c, True) for c in range(8)], "scene long, r int, c int, m boolean")
+    out = raster.components(df, "m", tile=3)
+    assert [r.component for r in out.collect()] == [0] * 8
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
