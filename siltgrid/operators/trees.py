@@ -50,7 +50,7 @@ def fit(df: DataFrame, features: Sequence[str], label: str, fold: str, key: Sequ
     ok = F.col(label).isNotNull()
     for f in names:
         ok = ok & finite(F.col(f))
-    rows = df.filter(ok).select(F.col(fold).alias("own"), F.col(label).cast("double").alias("y"), F.xxhash64(*key).alias("id"), *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(names)))
+    rows = stored(df.filter(ok).select(F.col(fold).alias("own"), F.col(label).cast("double").alias("y"), F.xxhash64(*key).alias("id"), *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(names))), "taught")
     by_fold = rows.groupBy("own").agg(F.count("*").alias("n"), F.sum("y").alias("ones"), *(g(f"x{i}").alias(f"{s}{i}") for i in range(len(names)) for s, g in (("low", F.min), ("high", F.max))))
     folds = by_fold.select(F.col("own").alias("fold")).join(by_fold, F.col("fold") != F.col("own"))  # folds are few
     facts = stored(folds.groupBy("fold").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"), *(g(f"{s}{i}").alias(f"{s}{i}") for i in range(len(names)) for s, g in (("low", F.min), ("high", F.max)))), "facts")
@@ -91,7 +91,7 @@ def fit(df: DataFrame, features: Sequence[str], label: str, fold: str, key: Sequ
     spans = {r["fold"]: r for r in facts.collect()}
     cut = pd.concat([x.toPandas() for x in splits]) if splits else pd.DataFrame(columns=[*node, "feature", "bin"])
     threshold = [spans[f][f"low{i}"] + (spans[f][f"high{i}"] - spans[f][f"low{i}"]) * (b + 1) / bins for f, i, b in zip(cut["fold"], cut["feature"], cut["bin"])]
-    done(now, facts, *splits)
+    done(now, rows, facts, *splits)
     del spark
     return Forests(names, cut.assign(threshold=threshold).drop(columns="bin").reset_index(drop=True), leaves)
 

@@ -77,3 +77,25 @@ def test_a_fold_has_no_part_in_its_own_forest(spark):
     assert right > 0.8
     with pytest.raises(ValueError, match="two classes"):
         trees.fit(df.filter("y"), ["a"], "y", "fold", ["id"])
+
+
+def test_samples_and_fits_compute_their_input_once(spark):
+    from siltgrid.operators import forest
+
+    n = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            n.add(len(b))
+            yield b
+
+    rows = [(s, r, r, float(s + r), r % 2) for s in range(4) for r in range(10)]
+    df = spark.createDataFrame(rows, "scene long, r int, c int, v double, y int")
+    sample = forest.block_sample(df.mapInPandas(counted, df.schema), "y", ["scene"], 3)
+    assert len(sample.collect()) == 24 and n.value == 40
+    n.value = 0
+    forest.fit(df.mapInPandas(counted, df.schema), ["v"], "y", trees=2, depth=2)
+    assert n.value == 40
+    n.value = 0
+    trees.fit(df.mapInPandas(counted, df.schema), ["v"], "y", "scene", ["scene", "r"], trees=1, depth=1)
+    assert n.value == 40
