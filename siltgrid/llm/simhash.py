@@ -89,13 +89,13 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
     return common.map_batches(common.byte_texts(df, key, text), run, f"{key} {df.schema[key].dataType.simpleString()}, fp long")
 
 
-def bucket_columns(bits_apart: int) -> list:
-    """The bucket names of a fingerprint: two of its blocks, of bits_apart + 2, and their values."""
-    n = bits_apart + 2
+def bucket_columns(bits_apart: int, agree: int = 2) -> list:
+    """The bucket names of a fingerprint: `agree` of its blocks, of bits_apart + agree, and their values."""
+    n = bits_apart + agree
     edges = [64 * i // n for i in range(n + 1)]
     out = []
-    for number, (i, j) in enumerate(combinations(range(n), 2)):
-        mask = sum(((1 << edges[b + 1]) - (1 << edges[b])) for b in (i, j))
+    for number, chosen in enumerate(combinations(range(n), agree)):
+        mask = sum(((1 << edges[b + 1]) - (1 << edges[b])) for b in chosen)
         signed = mask - (1 << 64) if mask >> 63 else mask
         out.append(F.struct(F.lit(number).alias("blocks"), F.col("fp").bitwiseAND(F.lit(signed)).alias("value")))
     return out
@@ -151,9 +151,9 @@ def link_bucket(prints: np.ndarray, bits_apart: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(distinct: DataFrame, bits_apart: int = BITS_APART) -> DataFrame:
+def links(distinct: DataFrame, bits_apart: int = BITS_APART, agree: int = 2) -> DataFrame:
     """Links (a, b) between the representatives of distinct fingerprints (fp, rep) that connect all that links connect."""
-    buckets = distinct.select("fp", "rep", F.explode(F.array(*bucket_columns(bits_apart))).alias("k")).select("k.blocks", "k.value", "fp", "rep")
+    buckets = distinct.select("fp", "rep", F.explode(F.array(*bucket_columns(bits_apart, agree))).alias("k")).select("k.blocks", "k.value", "fp", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -192,6 +192,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
 ALIKE_WORDS, ALIKE = 5, 0.8
 #: Bits that fingerprints of documents so alike may differ in (their mean is about ten, and the spread three).
 ALIKE_BITS = 20
+#: Bits that fingerprints differ in, at most, to meet in buckets, and how many of their blocks agree there.
+TABLE_BITS, TABLE_BLOCKS = 8, 3
 #: Part of a text's shingles by which it meets others beyond the least that any pair so alike must share.
 SPARE = 0.1
 #: Members of a meeting up to which all pairs are verified at once; then, up to which each member is first verified against
@@ -202,6 +204,15 @@ FEW, SMALL_MEETING, NEAREST = 32, 2048, 3
 PARITY = 8
 
 
+def fingerprint_pairs(sets: DataFrame, bits_apart: int = TABLE_BITS, agree: int = TABLE_BLOCKS) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of the texts (sig, fp) whose fingerprints link: they connect all texts that such links connect."""
+    prints = common.saved(sets.groupBy("fp").agg(F.min("sig").alias("rep"), F.count("*").alias("texts")), "distinct-fingerprints")
+    equal = common.small_side(common.saved(prints.filter("texts > 1").select("fp", "rep"), "equal-fingerprints"))
+    same = sets.select("fp", "sig").join(equal, "fp").filter("sig <> rep").select(F.col("rep").alias("a"), F.col("sig").alias("b"))
+    near_ones = links(prints, bits_apart, agree).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return near_ones.unionByName(same).distinct()
+
+
 def candidate_pairs(prints: np.ndarray, bits_apart: int) -> list[tuple[int, int]]:
     """Positions of pairs to verify first, by fingerprints."""
     n, pairs = len(prints), set()
@@ -340,7 +351,7 @@ def dealt(members: DataFrame, most: int = MEETING_ROWS) -> DataFrame:
 def meetings(members: DataFrame, alike: float, bits_apart: int, rest: bool) -> DataFrame:
     """Candidate pairs (a, b), a < b, of the texts (at, sig, part, n, n_shared, fp, words) that meet at a hash.
 
-    First those of small meetings and, by fingerprints, of large ones; with rest, all pairs of large meetings whose parts differ.
+    Only pairs whose parts differ: first those of small meetings and, by fingerprints, of large ones; with rest, all of large meetings.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,6 +377,9 @@ def meetings(members: DataFrame, alike: float, bits_apart: int, rest: bool) -> D
                         left, right = (x + start for x in np.triu_indices(m, 1))
                     else:
                         left, right = (np.array(x, np.int64) + start for x in zip(*(candidate_pairs(fp[start:end].view(np.uint64), bits_apart) or [(0, 1)])))
+                    if not rest:
+                        split = part[left] != part[right]
+                        left, right = left[split], right[split]
                     for cut in range(0, len(left), 1 << 18):
                         x, y = left[cut : cut + (1 << 18)], right[cut : cut + (1 << 18)]
                         hit = may_be_alike(n, n_shared, table, x, y, alike)
@@ -413,11 +427,13 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     """The rows without near-duplicates: of each group of documents that links connect, the one with the least id.
 
     Links are exact copies (the same words) and pairs whose Jaccard similarity of shingle sets, counted exactly,
-    is at least `alike`. No link is lost: two texts alike share shingles among so many of any order's first as their
-    sizes tell. By the order of hashes, texts that too few others meet go out; by the order of rarity, the rest meet.
-    Small meetings verify all pairs; large ones first those that fingerprints within bits_apart name, and then all
-    that are not in one component yet. Very large ones are dealt over tasks in blocks. Rows that share an id stay or go
-    together; rows without an id stay.
+    is at least `alike`. Two texts alike share shingles among so many of any order's first as their sizes tell: by the
+    order of hashes, texts that too few others meet go out. Of the rest, fingerprints within TABLE_BITS meet in buckets
+    of blocks that agree, and what their tables of distances leave in is verified. As texts alike may have fingerprints
+    farther apart, an exact pass completes this, so that no link is lost: texts meet at their rarest shared shingles,
+    and pairs that are not in one component yet are verified, in small meetings all, in large ones first those
+    that fingerprints within bits_apart name, and then the others. Very large ones are dealt over tasks in blocks.
+    Rows that share an id stay or go together; rows without an id stay.
     """
     found = common.saved(sketches(df.filter(F.col(key).isNotNull()), key, text, size, alike), "sketches")
     docs = found.select(F.col(key).cast("long").alias("doc"), "sig", "n", "fp", "least")
@@ -428,19 +444,28 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     live = met.filter(F.col("count") >= F.greatest(F.lit(1), F.floor(F.col("n") * (SPARE * alike) - 1e-9))).select("sig")
     live = common.saved(live.join(firsts.select("doc", "sig", "fp").distinct(), "sig"), "live")
     sets = common.saved(common_sets(df, live, key, text, size, alike).join(common.small_side(live), "sig"), "sets")
-    members = dealt(sets.select(F.explode("rarest").alias("at"), "sig", F.col("doc").alias("part"), "n", "n_shared", "fp", "words"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         names = sets.select("sig", "doc")
         a, b = (names.select(F.col("sig").alias(x), F.col("doc").alias(f"doc_{x}")) for x in "ab")
         return verified(sets, pairs, alike).join(a, "a").join(b, "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
 
-    first = common.saved(components(linked(common.saved(meetings(members, alike, bits_apart, False), "pairs"))), "components")
-    parts = members.join(common.small_side(first), F.col("part") == F.col("node"), "left").withColumn("part", F.coalesce("component", "part"))
-    again = common.saved(linked(common.saved(meetings(parts, alike, bits_apart, True), "pairs")), "links")
-    whole = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(again)) if again.head() else first
+    def extended(known: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        again = common.saved(linked(common.saved(pairs, "pairs")), "links")
+        if known is not None and not again.head():
+            return known
+        every = again if known is None else known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(again)
+        return common.saved(components(every), "components")
+
+    def parted(rows: DataFrame, known: DataFrame) -> DataFrame:
+        return rows.join(common.small_side(known), F.col("part") == F.col("node"), "left").withColumn("part", F.coalesce("component", "part")).drop("node", "component")
+
+    near_ones = extended(None, fingerprint_pairs(sets))
+    members = dealt(parted(sets.withColumn("part", F.col("doc")), near_ones).select(F.explode("rarest").alias("at"), "sig", "part", "n", "n_shared", "fp", "words"))
+    first = extended(near_ones, meetings(members, alike, bits_apart, False))
+    whole = extended(first, meetings(parted(members, first), alike, bits_apart, True))
     dropped = common.saved(copies.select("doc").unionByName(whole.select(F.col("node").alias("doc"))).distinct(), "dropped")
-    common.discard(found, reps, copies, live, sets, first, again)
+    common.discard(found, reps, copies, live, sets)
     gone = "__siltgrid_gone"
     return df.join(common.small_side(dropped).withColumnRenamed("doc", gone), df[key] == F.col(gone), "left_anti")
 

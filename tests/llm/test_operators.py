@@ -308,6 +308,44 @@ def test_keep_one_counts_repeated_shingles_once(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == alike_components(texts) == list(range(20))
 
 
+def test_keep_one_finds_near_texts_by_their_fingerprints(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = {}
+    for i in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        texts[i] = " ".join(words)
+        words[200] = "x"
+        texts[100 + i] = " ".join(words)
+    found = {i: simhash.majority(np.unique(simhash.shingle_hashes(t.encode().split(), 5))) for i, t in texts.items()}
+    near = [i for i in range(12) if (found[i] ^ found[100 + i]).bit_count() <= simhash.TABLE_BITS]
+    assert len(near) > 6
+    # without the exact pass, what fingerprints find is what is left out
+    monkeypatch.setattr(simhash, "meetings", lambda members, *_: members.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(texts) - {100 + i for i in near})
+
+
+def test_fingerprint_pairs_connect_all_within_their_bits(spark):
+    rng = random.Random(13)
+    prints = []
+    for _ in range(40):
+        start = rng.getrandbits(64)
+        for flips in (0, 0, 3, 7, 8, 9, 20):
+            value = start
+            for bit in rng.sample(range(64), flips):
+                value ^= 1 << bit
+            prints.append(value)
+    want, got = components.Forest(), components.Forest()
+    for a, b in itertools.combinations(range(len(prints)), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= simhash.TABLE_BITS:
+            want.join(a, b)
+    rows = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(prints)], "sig long, fp long").repartition(3)
+    for r in simhash.fingerprint_pairs(rows).collect():
+        assert r.a < r.b and (prints[r.a] ^ prints[r.b]).bit_count() <= simhash.TABLE_BITS
+        got.join(r.a, r.b)
+    assert [got.root(i) for i in range(len(prints))] == [want.root(i) for i in range(len(prints))]
+
+
 def brute_removed(texts, least=100):
     seen, out = set(), {}
     for i in sorted(texts):
