@@ -85,35 +85,51 @@ def least_ahead(to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         to, far = to[to], 2 * far
 
 
+#: Edges that are worked on together, at least where a scene has as many.
+EDGES = 1 << 20
+
+
 def whole_rings(edges: DataFrame, scene: str, zone: str) -> DataFrame:
-    """The edges of scenes that a task can hold, with their ring, the steps ahead to its least edge and the number n of its edges."""
-    columns = [zone, "r", "c", "heading", "edge", "next"]
-    rows = edges.groupBy(scene).agg(F.collect_list(F.struct(*columns)).alias("e"))
+    """What trace returns, of scenes that a task can hold: only rings and their corners leave it."""
+    rows = edges.groupBy(scene).agg(F.collect_list(F.struct(zone, "r", "c", "heading", "edge", "next")).alias("e"))
     kinds = dict(edges.dtypes)
+    place = np.array(STARTS, np.int64)
+
+    def rings(names: pa.Array, lists: pa.Array) -> pa.RecordBatch:
+        flat, which = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        r, c, heading, edge, follow = (flat.field(i).to_numpy().astype(np.int64) for i in range(1, 6))
+        known = np.unique(edge)
+        key = which * len(known) + np.searchsorted(known, edge)
+        order = np.argsort(key)
+        to = np.searchsorted(key[order], (which * len(known) + np.searchsorted(known, follow))[order])
+        ring, ahead = least_ahead(to)
+        r, c, heading, follow = r[order], c[order], heading[order], follow[order]
+        (x1, y1), (x2, y2) = ((c + place[h, 0], place[h, 1] - r) for h in (heading, (heading + 1) % 4))
+        # steps from the least edge; the side's end is a corner if the next one has another heading
+        n = np.bincount(ring, minlength=len(ring))
+        turn = np.lexsort(((n[ring] - ahead) % n[ring], ring))
+        turn = turn[(follow & 3)[turn] != heading[turn]]
+        first = np.flatnonzero(n)
+        cross = np.zeros(len(ring), np.int64)
+        np.add.at(cross, ring, x1 * y2 - x2 * y1)
+        corners = np.bincount(ring[turn], minlength=len(ring))[first]
+        ends = np.cumsum(corners)
+        closed = np.insert(turn, ends, turn[ends - corners])
+        points = pa.StructArray.from_arrays([pa.array(x2[closed].astype(np.float64)), pa.array(y2[closed].astype(np.float64))], ["x", "y"])
+        offsets = np.append(0, ends + np.arange(1, len(ends) + 1)).astype(np.int32)
+        at = pa.array(order[first])
+        columns = [names.take(pa.array(which[order][first])), flat.field(0).take(at), pa.array(edge[order][first]), pa.array(corners.astype(np.int32)), pa.array(cross[first] / 2), pa.array(n[first]), pa.ListArray.from_arrays(pa.array(offsets), points)]
+        return pa.RecordBatch.from_arrays(columns, [scene, zone, "ring", "corners", "signed_area", "sides", "points"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(len(batch)):
-                flat = batch.column(1).slice(k, 1).flatten()
-                edge, follow = flat.field(4).to_numpy(), flat.field(5).to_numpy()
-                order = np.argsort(edge)
-                ring, ahead = least_ahead(np.searchsorted(edge[order], follow[order]))
-                n = np.bincount(ring, minlength=len(ring))[ring]
-                flat = flat.take(pa.array(order))
-                names = batch.column(0).take(pa.array(np.full(len(order), k)))
-                yield pa.RecordBatch.from_arrays([names, *(flat.field(i) for i in range(6)), pa.array(edge[order][ring]), pa.array(ahead), pa.array(n)], [scene, *columns, "ring", "ahead", "n"])
-
-    return rows.mapInArrow(run, f"`{scene}` {kinds[scene]}, " + ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", ring long, ahead long, n long")
+            part = np.cumsum(batch.column(1).value_lengths().to_numpy()) // EDGES
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+            for start, end in zip(cuts, cuts[1:]):
+                if end > start:
+                    yield rings(batch.column(0).slice(start, end - start), batch.column(1).slice(start, end - start))
 
-
-def ringed(zones: DataFrame, scene: str, zone: str) -> DataFrame:
-    """The edges of zones with their ring, the steps ahead to its least edge and the number n of its edges."""
-    side = zones.agg(F.greatest(F.max("r"), F.max("c")).alias("side")).first()["side"]
-    if side is not None and side >= WHOLE:
-        edges = stored(zone_edges(zones, scene, zone), "edges")
-        return edges.join(rings_of(edges, scene).hint("merge"), [scene, "edge"]).withColumn("n", F.count("*").over(Window.partitionBy(scene, "ring")))
-    # all windows over a scene's rows and columns find them where the scene is
-    return whole_rings(zone_edges(zones.repartition(scene), scene, zone), scene, zone)
+    return rows.mapInArrow(run, f"`{scene}` {kinds[scene]}, `{zone}` {kinds[zone]}, ring long, corners int, signed_area double, sides long, points array<struct<x:double,y:double>>")
 
 
 def trace(zones: DataFrame, scene: str = "scene", zone: str = "component") -> DataFrame:
@@ -121,7 +137,13 @@ def trace(zones: DataFrame, scene: str = "scene", zone: str = "component") -> Da
 
     The signed area, in pixels, is that of the edges: above zero for the outline, below for holes.
     """
-    rows = ringed(stored(zones.select(scene, "r", "c", zone), "zones"), scene, zone)
+    zones = stored(zones.select(scene, "r", "c", zone), "zones")
+    side = zones.agg(F.greatest(F.max("r"), F.max("c")).alias("side")).first()["side"]
+    if side is None or side < WHOLE:
+        # all windows over a scene's rows and columns find them where the scene is, and so does what groups its rings later
+        return whole_rings(zone_edges(zones.repartition(scene), scene, zone), scene, zone).repartition(scene)
+    edges = stored(zone_edges(zones, scene, zone), "edges")
+    rows = edges.join(rings_of(edges, scene).hint("merge"), [scene, "edge"]).withColumn("n", F.count("*").over(Window.partitionBy(scene, "ring")))
     x = lambda step: F.col("c") + F.element_at(F.array(*(F.lit(STARTS[k][0]) for k in step)), F.col("heading") + 1)
     y = lambda step: -F.col("r") + F.element_at(F.array(*(F.lit(STARTS[k][1]) for k in step)), F.col("heading") + 1)
     start, end = (0, 1, 2, 3), (1, 2, 3, 0)

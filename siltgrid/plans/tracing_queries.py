@@ -34,6 +34,6 @@ def polygons_back(spark, sf):
     from siltgrid.operators import geometry
 
     polygons = tracing.zone_polygons(raster.components(masks(spark, sf), "pred", eight=False))
-    rings = polygons.select(F.struct("scene", "component").alias("zone"), F.explode("rings").alias("ring"))
-    cells = geometry.rasterize_centres(rings, "zone", "ring", 1.0)
-    return cells.select("zone.scene", (-F.col("gy") - 1).cast("int").alias("r"), F.col("gx").cast("int").alias("c"), "zone.component")
+    rings = polygons.select("scene", "component", F.explode("rings").alias("ring"))
+    cells = geometry.rasterize_centres(rings, ["scene", "component"], "ring", 1.0)
+    return cells.select("scene", (-F.col("gy") - 1).cast("int").alias("r"), F.col("gx").cast("int").alias("c"), "component")

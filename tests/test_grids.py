@@ -245,3 +245,12 @@ def test_links_of_tiles_are_not_broadcast(spark):
     out = raster.components(df, "m", tile=3)
     assert [r.component for r in out.collect()] == [0] * 8
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rings_of_whole_scenes_are_shuffled_once(spark):
+    rows = [(s, r, c, s % 2) for s in range(5) for r in range(4) for c in range(4) if (r, c) != (1, 2)]
+    polygons = tracing.zone_polygons(spark.createDataFrame(rows, "scene long, r int, c int, component long"))
+    cells = geometry.rasterize_centres(polygons.select("scene", "component", F.explode("rings").alias("ring")), ["scene", "component"], "ring", 1.0)
+    # pixels go to their scene, and rings once more; polygons, crossings and cells stay there
+    assert cells._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 2
+    assert {(x.scene, -int(x.gy) - 1, int(x.gx), x.component) for x in cells.collect()} == set(rows)
