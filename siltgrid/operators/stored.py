@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,6 +52,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+#: Rows of a few numbers up to which a stored table is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A stored table of few columns, broadcast if a count shows that it is small and else joined by sorting, whatever its files' size."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
 def done(*frames: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for df in frames:

@@ -288,3 +288,37 @@ def test_far_off_only_the_nearest_side_is_left(spark):
     df = spark.createDataFrame([(10000.0, 50.0, 10000.0, 50.0, 0.0, 0.0, 300.0, 100.0)], "l double, b double, r double, t double, l2 double, b2 double, r2 double, t2 double")
     row = df.select(nearest.least_gap().alias("least"), nearest.most_gap().alias("most")).first()
     assert row.least == 9700 and row.most == pytest.approx(math.hypot(9700, 50))
+
+
+def test_rings_of_a_union_are_not_broadcast(spark, tmp_path):
+    """They stand in a row for each cell, which the size of their table does not tell."""
+    df = spark.createDataFrame([(1, 50.0, 50.0, 60.0, 60.0), (2, 900.0, 0.0, 950.0, 40.0)], "id long, x1 double, y1 double, x2 double, y2 double")
+    shapes = {"union": frame(spark, [[square(0, 0, 100)]], "p"), "areas": frame(spark, [[square(895, -5, 60)]], "id").withColumn("id", F.lit(2))}
+    for name, table in shapes.items():
+        table.write.parquet(f"{tmp_path}/{name}")  # of a known size
+    union, areas = (spark.read.parquet(f"{tmp_path}/{name}") for name in shapes)
+    found = nearest.distance_to_union(df, union, "id", "rings", 400.0, areas=areas)
+    tests = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "ring#" in line]
+    assert len(tests) == 2 and all("SortMergeJoin" in line for line in tests)
+    assert {r.id: r.distance for r in found.collect()} == {1: 0.0, 2: 800.0}
+
+
+def test_nearest_segments_of_long_lines_by_their_ends(spark):
+    """The ends bound the distance by less than the box does, and the nearest stays the nearest."""
+    rng = random.Random(21)
+    lines = [(i, x := rng.uniform(-3000, 3000), y := rng.uniform(-3000, 3000), x + rng.uniform(-900, 900), y + rng.uniform(-900, 900)) for i in range(60)]
+    targets = [(k, x := rng.uniform(0, 1000), y := rng.uniform(0, 1000), x + rng.uniform(-20, 20), y + rng.choice([0.0, 15.0])) for k in range(700)]
+    box = lambda a, b: (F.least(a, b), F.greatest(a, b))
+    (left, right), (bottom, top) = box("x1", "x2"), box("y1", "y2")
+    own = spark.createDataFrame(lines, "id long, x1 double, y1 double, x2 double, y2 double").select("*", left.alias("l"), bottom.alias("b"), right.alias("r"), top.alias("t"))
+    (left, right), (bottom, top) = box("sx1", "sx2"), box("sy1", "sy2")
+    to = spark.createDataFrame(targets, "k long, sx1 double, sy1 double, sx2 double, sy2 double").select("*", left.alias("l2"), bottom.alias("b2"), right.alias("r2"), top.alias("t2"))
+    columns = lambda names: tuple(F.col(c) for c in names.split())
+    d = nearest.segment_gap(columns("x1 y1 x2 y2"), columns("sx1 sy1 sx2 sy2"))
+    every = own.crossJoin(to).groupBy("id").agg(F.min(F.struct(d.alias("d"), "k")).alias("m"))
+    want = {r.id: (r.m.d, r.m.k) for r in every.collect()}
+    got = {r.id: (r.distance, r.k) for r in nearest.nearest(own, to, "id", "k", d, [("x1", "y1"), ("x2", "y2")]).collect()}
+    assert got == want
+    far = spark.createDataFrame([(7000.0, 0.0, 7300.0, 200.0, 5400.0, 0.0, 5410.0, 10.0)], "l double, b double, r double, t double, l2 double, b2 double, r2 double, t2 double")
+    row = far.select(nearest.most_gap().alias("box"), nearest.most_gap("l", "b", "l", "b").alias("end"), nearest.least_gap().alias("least")).first()
+    assert row.least == 1590 and row.end < 1591 and row.box > 1890
