@@ -121,11 +121,14 @@ _CUT = re.compile(r"(?<!\s) (?!\s)")
 _NEAR = re.compile(r"\s\s")
 
 
+def blanks_alone(text: str) -> bool:
+    """Whether every blank stands alone."""
+    return not (text.startswith(" ") or text.endswith(" ") or _NEAR.search(text))
+
+
 def space_pieces(text: str) -> list[str]:
     """Cut a text at blanks that stand alone; each cut's blank belongs to the piece after it, and is left off there."""
-    if text.startswith(" ") or text.endswith(" ") or _NEAR.search(text):
-        return _CUT.split(text)
-    return text.split(" ")
+    return text.split(" ") if blanks_alone(text) else _CUT.split(text)
 
 
 #: Rows of a narrow table (a few numbers each) up to which it is broadcast; a larger one is joined by shuffle.

@@ -19,11 +19,14 @@ read, so others may have any name. An empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,51 +37,128 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces that one task packs.
 SHARD_PIECES = 150_000
+#: Pieces between blanks whose ids a worker process keeps; some 200 bytes each.
+MEMO_PIECES = 400_000
+
+
+#: A word of Latin letters, its marks, and the first word of the next line with its marks: the tokenizer always cuts between these.
+#: Marks are ASCII without the apostrophe, which takes letters with it.
+_WORD, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"[!-&(-/:-@\[-`{-~]"
+_PARTS = re.compile(f"({_WORD})({_MARKS}*)(?:(\n{_WORD})({_MARKS}*))?")
 
 
 class PieceMemo(dict):
-    """Ids of short pieces between blanks as little-endian unsigned 32-bit numbers; misses are encoded many at a time."""
+    """Ids of short pieces between blanks as little-endian unsigned 32-bit numbers; misses are encoded many at a time.
 
-    def __init__(self, path: str, most: int = 400_000, together: int = 200):
+    New words with marks or a line's end are put together from their parts, which are fewer. When half of `most` is full, the pieces become those of before, and those of before go; what is met again comes back from there.
+    """
+
+    def __init__(self, path: str, most: int = MEMO_PIECES, together: int = 64):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.most, self.together = most, together
+        self.before: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         n = self.tokenizer.get_vocab_size()
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
+        self.breaks = np.array([self.tokenizer.id_to_token(i) == "Ċ" for i in range(n)])
         self.specials = [str(t) for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values())]
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self and len(p) <= 64 and p and " " not in p]
-        if len(self) + len(new) > self.most:
+    def learn(self, pieces: list[str]) -> None:
+        absent = [p for p in pieces if p not in self]
+        if len(self) + len(absent) > self.most // 2:
+            self.before = dict(self)
             self.clear()
-            new = [p for p in pieces if len(p) <= 64 and p and " " not in p]
+            absent = pieces
+        whole, lines, built = set(), set(), []
+        for p in absent:
+            found = self.before.get(p)
+            if found is not None:
+                self[p] = found
+            elif len(p) <= 64 and p and " " not in p:
+                x = None if p.isalpha() else _PARTS.fullmatch(p)
+                if x is None:
+                    whole.add(p)
+                else:
+                    word, marks, line, more = x.groups("")
+                    built.append((p, word, marks, line, more))
+                    for part, new in ((word, whole), (line, lines)):
+                        if part and part not in self:
+                            found = self.before.get(part)
+                            if found is not None:
+                                self[part] = found
+                            else:
+                                new.add(part)
+        self.encode_new(sorted(whole), " ", self.opens)
+        self.encode_new(sorted(lines), "", self.breaks)
+        for p, word, marks, line, more in built:
+            a, b = self.get(word), self.get(line) if line else b""
+            if a is not None and b is not None:
+                self[p] = a + self.mark_ids(marks) + b + self.mark_ids(more)
+
+    def encode_new(self, new: list[str], lead: str, opens: np.ndarray) -> None:
+        """Learn pieces in order, as neighbours share merges. A token that `opens` begins each of them, with the lead before it."""
         for i in range(0, len(new), self.together):
             group = new[i : i + self.together]
-            ids = self.plain(" " + " ".join(group))
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) == len(group):  # a blank begins a token at each piece and nowhere else
+            ids = self.plain(lead + lead.join(group))
+            starts = np.flatnonzero(opens[ids])
+            if len(starts) == len(group):  # such a token begins at each piece and nowhere else
                 data = ids.tobytes()
                 edges = [*(4 * starts).tolist(), len(data)]
                 self.update(zip(group, (data[a:b] for a, b in zip(edges, edges[1:]))))
 
+    def mark_ids(self, marks: str) -> bytes:
+        found = self.marks.get(marks)
+        if found is None:
+            if len(self.marks) > 10_000:
+                self.marks = {"": b""}
+            found = self.marks[marks] = self.plain(marks).tobytes()
+        return found
+
     def __missing__(self, piece: str) -> bytes:
         return self.plain(" " + piece).tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [None if any(s in t for s in self.specials) else common.space_pieces(t) for t in texts]
-        self.learn({p for c in cut if c for p in c[1:]})
-        return [self.plain(t).tobytes() if c is None else self.plain(c[0]).tobytes() + b"".join(map(self.__getitem__, c[1:])) for t, c in zip(texts, cut)]
+        """Ids of each text; a piece that stands in the texts many times is looked up once."""
+        # the first piece, and the rest whole, as a list of pieces where blanks do not all stand alone, or None
+        first, rest, cut = [], [], []
+        for t in texts:
+            if any(s in t for s in self.specials):
+                head, tail, pieces = t, None, []
+            elif common.blanks_alone(t):
+                head, blank, tail = t.partition(" ")
+                tail, pieces = tail if blank else None, []
+            else:
+                head, *pieces = common.space_pieces(t)
+                tail = None
+            first.append(head)
+            rest.append(tail)
+            cut.append(pieces)
+        split = pc.split_pattern(pa.array(rest, pa.large_string()), " ")
+        coded = pa.concat_arrays([split.flatten(), pa.array(list(chain.from_iterable(cut)), pa.large_string())]).dictionary_encode()
+        pieces, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self.learn(pieces)
+        found = list(map(self.__getitem__, pieces))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        n = size[codes]
+        ends = np.append(0, np.cumsum(n))  # of the pieces in their order in the texts
+        data = np.frombuffer(b"".join(found), "<u4")[np.arange(ends[-1]) + np.repeat(start[codes] - ends[:-1], n)].tobytes()
+        count = np.append(pc.list_value_length(split).fill_null(0).to_numpy(), np.array([len(c) for c in cut], np.int64)).astype(np.int64)
+        edges = (4 * ends[np.append(0, np.cumsum(count))]).tolist()
+        spans = list(zip(edges, edges[1:]))
+        return [self.plain(h).tobytes() + data[slice(*a)] + data[slice(*b)] for h, a, b in zip(first, spans, spans[len(texts) :])]
 
 
 @lru_cache(maxsize=2)
-def memo(path: str) -> PieceMemo:
-    return PieceMemo(path)
+def memo(path: str, most: int) -> PieceMemo:
+    return PieceMemo(path, most)
 
 
 def cut_points(n: int, capacity: int) -> list[int]:
@@ -87,7 +167,7 @@ def cut_points(n: int, capacity: int) -> list[int]:
     return [0, *range(first, n, capacity)] if n > capacity else [0]
 
 
-def pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, texts_at_once: int = 512) -> DataFrame:
+def pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, texts_at_once: int = 512, memo_pieces: int = MEMO_PIECES) -> DataFrame:
     """(slot, key, piece, start, length, ids_crc32): slot numbers the pieces of a task, from a start of its own."""
     end = np.array([end_id], "<u4").tobytes()
 
@@ -96,7 +176,7 @@ def pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
         for whole in batches:
             for at in range(0, whole.num_rows, texts_at_once):
                 batch = whole.slice(at, texts_at_once)
-                found = memo(tokenizer_path).encode_all([v.as_buffer().to_pybytes().decode("utf-8", "replace") for v in batch.column(1)])
+                found = memo(tokenizer_path, memo_pieces).encode_all([v.as_buffer().to_pybytes().decode("utf-8", "replace") for v in batch.column(1)])
                 rows = []
                 for doc, ids in zip(batch.column(0).to_pylist(), found):
                     ids += end
@@ -154,14 +234,14 @@ def pack(cut: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, shard_pi
     return cut.withColumn("shard", F.pmod("slot", F.lit(shards))).groupBy("shard").applyInArrow(place, f"{key} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    return pack(common.saved(pieces(df, tokenizer_path, key, text, capacity, end_id), "pieces"), key, capacity)
+def pack_documents(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, memo_pieces: int = MEMO_PIECES) -> DataFrame:
+    return pack(common.saved(pieces(df, tokenizer_path, key, text, capacity, end_id, memo_pieces=memo_pieces), "pieces"), key, capacity)
 
 
 def op1_sum_of_squares(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
-    return pack_documents(common.table(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_50k.json"))
+    return pack_documents(common.table(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_50k.json"), memo_pieces=2 * MEMO_PIECES)
 
 
 QUERIES = {"op1_sum_of_squares": op1_sum_of_squares}

@@ -718,3 +718,22 @@ def test_recall_on_the_tables(spark, folder):
         hits += sum(score <= tenth + 1e-9 for score, _ in own)
         total += 10
     assert hits >= 0.9 * total
+
+
+def test_packing_memo_encodes_words_once_and_parts_of_pieces():
+    """Small enough to turn over: ids are the tokenizer's, also of pieces put together from a word, marks and the next line's word; what is met again is not encoded again."""
+    path = vocabularies.path("byte_bpe_50k.json")
+    rng = random.Random(8)
+    marks = ["", "", ".", ",", "!!", '."', "'s", "'s!", "_", ".\n", "\n", "\n\n", ". \n", "\t", "²", "é?", "ʼ", "ǅ;", "1", "-x", "  "]
+    texts = ["", " ", "a", " a", "a ", "a b", "a  b c", "<|endoftext|> a b", "foo.\nBar, baz", "\nx y", "x" * 70 + " b", "b " + "x" * 70, "日本 語 です。"]
+    texts += [" ".join(rng.choice(WORDS) + rng.choice("aeiou") * rng.randint(0, 3) + rng.choice(marks) + rng.choice(["", "", "Über", "(so"]) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    memo = packing.PieceMemo(path, most=300, together=7)
+    for i in range(0, len(texts), 20):
+        assert memo.encode_all(texts[i : i + 20]) == [memo.plain(t).tobytes() for t in texts[i : i + 20]]
+    assert memo.encode_all([]) == [] and memo.before
+    memo = packing.PieceMemo(path, most=20)
+    memo.encode_all(["x river flood, water.\nRises"])
+    seen, plain = [], memo.plain
+    memo.plain = lambda text: seen.append(text) or plain(text)
+    assert memo.encode_all(["x flood. river, water\nRises one two three four five"])[0] == plain("x flood. river, water\nRises one two three four five").tobytes()
+    assert not any(w in text for text in seen for w in ("flood", "river", "water", "Rises"))
