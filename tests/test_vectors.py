@@ -153,6 +153,32 @@ def test_lines_that_only_touch_meet(spark):
     assert got[2] == got[3] == got[4] == 0
 
 
+def test_lines_by_polygon_sum_up_pairs_in_their_tiles(spark, monkeypatch):
+    rng = random.Random(7)
+    at = lambda: rng.uniform(-40, 90)
+    lines = [(i % 70, *((x, y, x, y) if i % 9 == 0 else (x, y, at(), at()) if i % 4 == 0 else (x, y, x + rng.uniform(-20, 20), y))) for i in range(100) for x, y in [(at(), at())]]
+    lines += [(None, 0.0, 0.0, 50.0, 50.0), (None, 0.0, 5.0, 50.0, 50.0), (98, None, 0.0, 1.0, 1.0)]
+    polygons = []
+    for _ in range(40):
+        x, y, w = at(), at(), rng.choice([3, 15, 60])
+        polygons.append([square(x, y, w), square(x + w / 4, y + w / 4, w / 3)][: rng.choice([1, 2])])
+    df = spark.createDataFrame(lines, "id long, x1 double, y1 double, x2 double, y2 double")
+    p = frame(spark, polygons, "p")
+    p = p.withColumn("p", F.when(F.col("p") < 30, F.col("p")).when(F.col("p") < 36, F.col("p") % 4)).unionByName(spark.createDataFrame([(77, None), (78, [])], p.schema))
+    pairs = overlay.lines_in_polygons(df, p, "id", "p", "rings", 20.0).filter("inside > 0.5")
+    want = {r.p: (r.n, pytest.approx(r.m)) for r in pairs.groupBy("p").agg(F.count("*").alias("n"), F.sum("inside").alias("m")).collect()}
+    for block in (1024, 3):
+        monkeypatch.setattr(overlay, "BLOCK", block)
+        found = overlay.lines_by_polygon(df, p, "id", "p", "rings", 20.0, 0.5)
+        assert {r.p: (r.lines, r.inside) for r in found.collect()} == want and len(want) > 20 and None in want
+    monkeypatch.setattr(overlay, "BLOCK", 1024)
+    level = (F.col("id") + 0.5).alias("y1"), F.lit(40.0).alias("x2"), (F.col("id") + 0.5).alias("y2")
+    dense = overlay.lines_by_polygon(spark.range(300).select("id", F.lit(1.0).alias("x1"), *level), frame(spark, [[square(0, 0, 300)]] * 50, "p"), "id", "p", "rings", 100.0, 0.5)
+    assert sorted((r.p, r.lines, round(r.inside, 6)) for r in dense.collect()) == [(i, 300, 300 * 39.0) for i in range(50)]
+    plan = dense._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan
+
+
 def test_boxes_of_many_cells_hold_segments(spark):
     boxes = spark.createDataFrame([(1, 500.0, 100.0, 2500.0, 700.0), (2, -50.0, -50.0, 0.0, 0.0)], "box long, l double, b double, r double, t double")
     lines = spark.createDataFrame([(7, 2100.0, 200.0, 2200.0, 300.0), (8, 0.0, 400.0, 9000.0, 400.0), (9, -100.0, -100.0, 100.0, 100.0), (10, 500.0, 100.0, 500.0, 50.0)], "id long, x1 double, y1 double, x2 double, y2 double")
