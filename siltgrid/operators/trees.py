@@ -1,14 +1,15 @@
 """Many small forests in one job: one for each fold, fitted on the rows of all other folds.
 
-Every row stands once for each forest and tree that it teaches, with its bootstrap weight and the node that it has come to. A level
-of all trees of all forests is one sum: weights by (forest, tree, node, feature, bin). Windows over the bins give the
-impurity of each possible split, the best one of a node is kept, and the rows go on by a join with the splits. What is
-fitted (at most folds x trees x 2^depth nodes) is small; only it is handed to tasks for predicting.
+Every row is stored once, with its fold, features and a bootstrap weight for each tree. A level of all trees of all forests is one pass:
+tasks find the nodes that their rows have come to and count both classes by (forest, tree, node, feature, bin), and one sum puts the
+counts together. Windows over the bins give the impurity of each possible split, and the best one of a node is kept. What is
+fitted (at most folds x trees x 2^depth nodes) is small; it goes with the tasks of the next pass and of predicting. A task holds the
+counts of a level: folds x trees x 2^depth x features x bins pairs of numbers at most.
 
 Bins are of equal width between the least and the greatest value that a forest's own rows have, so a fold has no part in what is
 fitted for it. Bootstrap weights are Poisson draws by hash of the row's key, and the features that a node may use are drawn by hash, so
-a fit repeats exactly. Of equal splits the first feature and the lowest bin are taken. Rows with a null or non-finite feature teach
-nothing and have no prediction. Both classes have the same mass in each forest.
+a fit repeats exactly; counts are whole numbers, so their order plays no part. Of equal splits the first feature and the lowest bin are
+taken. Rows with a null or non-finite feature teach nothing and have no prediction. Both classes have the same mass in each forest.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,81 +50,156 @@ def draw(key: Sequence[str], *parts: Column | str) -> Column:
 def fit(df: DataFrame, features: Sequence[str], label: str, fold: str, key: Sequence[str], trees: int = 20, depth: int = 6, leaf: int = 5, bins: int = 32, bootstrap: bool = True, every_feature: bool = False) -> Forests:
     """A forest for each value of `fold`, of the rows with another value."""
     names, spark = list(features), df.sparkSession
-    ok = F.col(label).isNotNull()
+    ok = F.col(label).isNotNull() & F.col(fold).isNotNull()
     for f in names:
         ok = ok & finite(F.col(f))
-    rows = stored(df.filter(ok).select(F.col(fold).alias("own"), F.col(label).cast("double").alias("y"), F.xxhash64(*key).alias("id"), *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(names))), "taught")
-    by_fold = rows.groupBy("own").agg(F.count("*").alias("n"), F.sum("y").alias("ones"), *(g(f"x{i}").alias(f"{s}{i}") for i in range(len(names)) for s, g in (("low", F.min), ("high", F.max))))
-    folds = by_fold.select(F.col("own").alias("fold")).join(by_fold, F.col("fold") != F.col("own"))  # folds are few
-    facts = stored(folds.groupBy("fold").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"), *(g(f"{s}{i}").alias(f"{s}{i}") for i in range(len(names)) for s, g in (("low", F.min), ("high", F.max)))), "facts")
-    if facts.filter((F.col("ones") == 0) | (F.col("ones") == F.col("n"))).count():
+    u = lambda t: draw(["id"], F.lit(t))
+    times = lambda t: sum((F.when(u(t) >= p, 1).otherwise(0) for p in POISSON), F.lit(0)) if bootstrap else F.lit(1)
+    rows = df.filter(ok).select(F.col(fold).alias("own"), F.col(label).cast("double").alias("y"), F.xxhash64(*key).alias("id"), *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(names)))
+    rows = stored(rows.select("own", "y", *(f"x{i}" for i in range(len(names))), F.array(*(times(t).cast("tinyint") for t in range(trees))).alias("k")), "taught")
+    spans = [f"{s}{i}" for i in range(len(names)) for s in ("low", "high")]
+    by_fold = rows.groupBy("own").agg(F.count("*").alias("n"), F.sum("y").alias("ones"), *((F.min if s.startswith("low") else F.max)(f"x{s.lstrip('lowhigh')}").alias(s) for s in spans))
+    by_fold = {r["own"]: r for r in by_fold.collect()}  # folds are few
+    own = sorted(by_fold)
+    facts = []
+    for f in own:
+        rest = [r for o, r in by_fold.items() if o != f]
+        if rest:
+            facts.append((f, sum(r["n"] for r in rest), sum(r["ones"] for r in rest), *((min if s.startswith("low") else max)(r[s] for r in rest) for s in spans)))
+    if any(ones in (0, n) for _, n, ones, *_ in facts):
         raise ValueError("a forest needs two classes")
-    taught = rows.join(F.broadcast(facts), F.col("own") != F.col("fold"))  # a row for each forest but its own
-    bin_of = lambda i: F.when(F.col(f"high{i}") > F.col(f"low{i}"), F.least(F.floor((F.col(f"x{i}") - F.col(f"low{i}")) / (F.col(f"high{i}") - F.col(f"low{i}")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
-    mass = F.when(F.col("y") == 1, F.col("n") / (2 * F.col("ones"))).otherwise(F.col("n") / (2 * (F.col("n") - F.col("ones"))))
-    taught = taught.select("fold", "id", "y", mass.alias("mass"), F.array(*map(bin_of, range(len(names)))).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    u = draw(["id"], F.col("tree"))
-    times = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0)) if bootstrap else F.lit(1)
-    now = stored(taught.withColumn("k", times).filter("k > 0").select("fold", "tree", F.lit(1).alias("node"), "b", "y", "k", (F.col("mass") * F.col("k")).alias("w")), "rows")
+    low, high = (np.array([[f[3 + 2 * i + j] for i in range(len(names))] for f in facts]).reshape(len(facts), len(names)) for j in (0, 1))
+    mass = [F.create_map(*(F.lit(v) for j, (_, n, ones, *_) in enumerate(facts) for v in (j, n / (2 * (ones if y else n - ones))))) for y in (0, 1)] if facts else None
+    # by (forest, tree, node): the feature that a node is split by, or -1, and the last bin on the left
+    feature, cut = (np.full((len(facts), trees, 2 << depth), v, np.int64) for v in (-1, 0))
     allowed = len(names) if every_feature else max(1, math.isqrt(len(names)))
     node = ["fold", "tree", "node"]
     splits = []
-    for _ in range(depth):
-        sums = now.select(*node, "y", "k", "w", F.posexplode("b").alias("feature", "bin")).groupBy(*node, "feature", "bin").agg(F.sum("k").alias("k"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"))
+    for level in range(depth if facts else 0):
+        sums = rows.mapInArrow(counted(own, low, high, bins, feature, cut, level), COUNTS).groupBy(*node, "feature", "bin").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"))
         upto, whole = Window.partitionBy(*node, "feature").orderBy("bin"), Window.partitionBy(*node, "feature")
-        at = sums.select(*node, "feature", "bin", *(F.sum(c).over(w).alias(f"{c}{s}") for c in ("k", "w", "wy") for s, w in (("l", upto), ("t", whole))))
-        impurity = lambda w, wy: 2 * wy * (w - wy) / w  # noqa: E731  weighted Gini
-        right = {c: F.col(f"{c}t") - F.col(f"{c}l") for c in ("k", "w", "wy")}
-        at = at.filter((F.col("kl") >= leaf) & (right["k"] >= leaf))
-        gain = impurity(F.col("wt"), F.col("wyt")) - impurity(F.col("wl"), F.col("wyl")) - impurity(right["w"], right["wy"])
+        at = sums.select(*node, "feature", "bin", *(F.sum(c).over(w).alias(f"{c}{s}") for c in ("k0", "k1") for s, w in (("l", upto), ("t", whole))))
+        masses = [m[F.col("fold")] for m in mass]
+        parts = {s: (F.col(f"k0{s}"), F.col(f"k1{s}")) for s in "lt"}
+        parts["r"] = tuple(t - l for l, t in zip(parts["l"], parts["t"]))
+
+        def impurity(s: str) -> Column:  # weighted Gini
+            zeros, ones = (k * m for k, m in zip(parts[s], masses))
+            return 2 * ones * zeros / (zeros + ones)
+
+        at = at.filter((sum(parts["l"]) >= leaf) & (sum(parts["r"]) >= leaf))
         if allowed < len(names):
-            drawn = F.array_sort(F.array(*(F.struct(draw(node, F.lit(i)).alias("u"), F.lit(i).alias("i")) for i in range(len(names)))))
+            named = F.create_map(*(F.lit(v) for j, f in enumerate(facts) for v in (j, f[0])))[F.col("fold")].cast(df.schema[fold].dataType)
+            drawn = F.array_sort(F.array(*(F.struct(draw([], named, F.col("tree"), F.col("node"), F.lit(i)).alias("u"), F.lit(i).alias("i")) for i in range(len(names)))))
             at = at.filter(F.array_contains(F.transform(F.slice(drawn, 1, allowed), lambda x: x["i"]), F.col("feature")))
+        gain = impurity("t") - impurity("l") - impurity("r")
         best = at.groupBy(*node).agg(F.min(F.struct((-F.round(gain, 9)).alias("less"), "feature", "bin")).alias("s")).filter("s.less < 0")
-        level = stored(best.select(*node, "s.feature", "s.bin"), "splits")
-        splits.append(level)
-        chosen = level.select(*node, "feature", F.col("bin").alias("cut"))
-        onward = now.join(F.broadcast(chosen), node, "left")  # at most folds x trees x 2^depth rows
-        moved = F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(F.get("b", F.col("feature")) > F.col("cut"), 1).otherwise(0))
-        # a node that is not split once is not split later either: its rows stay where they are
-        new = stored(onward.select("fold", "tree", moved.cast("int").alias("node"), "b", "y", "k", "w"), "rows")
-        done(now)
-        now = new
-    leaves = now.groupBy(*node).agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("p")).toPandas()
-    spans = {r["fold"]: r for r in facts.collect()}
-    cut = pd.concat([x.toPandas() for x in splits]) if splits else pd.DataFrame(columns=[*node, "feature", "bin"])
-    threshold = [spans[f][f"low{i}"] + (spans[f][f"high{i}"] - spans[f][f"low{i}"]) * (b + 1) / bins for f, i, b in zip(cut["fold"], cut["feature"], cut["bin"])]
-    done(now, rows, facts, *splits)
-    del spark
-    return Forests(names, cut.assign(threshold=threshold).drop(columns="bin").reset_index(drop=True), leaves)
+        found = best.select(*node, "s.feature", "s.bin").toPandas()
+        if found.empty:
+            break
+        place = tuple(found[c].to_numpy() for c in node)
+        feature[place], cut[place] = found["feature"], found["bin"]
+        splits.append(found)
+    kinds = [f[0] for f in facts]
+    leaves = rows.mapInArrow(counted(own, low, high, bins, feature, cut, None), COUNTS).groupBy(*node).agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1")).toPandas() if facts else pd.DataFrame(columns=[*node, "k0", "k1"])
+    n, ones = (np.array([f[c] for f in facts])[leaves["fold"].to_numpy(np.int64)] if facts else np.zeros(0) for c in (1, 2))
+    zeros, ones = leaves["k0"] * (n / (2 * (n - ones))), leaves["k1"] * (n / (2 * ones))
+    leaves = leaves[node].assign(fold=[kinds[j] for j in leaves["fold"]], p=ones / (zeros + ones))
+    split = pd.concat(splits) if splits else pd.DataFrame(columns=[*node, "feature", "bin"])
+    threshold = [low[j, i] + (high[j, i] - low[j, i]) * (b + 1) / bins for j, i, b in zip(split["fold"], split["feature"], split["bin"])]
+    done(rows)
+    return Forests(names, split.assign(fold=[kinds[j] for j in split["fold"]], threshold=threshold).drop(columns="bin").reset_index(drop=True), leaves)
+
+
+COUNTS = "fold int, tree int, node int, feature int, bin int, k0 long, k1 long"
+
+
+def walked(x: np.ndarray, feature: np.ndarray, right, steps: int, tree: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The nodes that rows of x come to in trees (tree, node) of features; right(tree, node, values) says where they turn to the second child."""
+    node = np.ones(len(row), np.int64)
+    moving = np.arange(len(row))
+    for _ in range(steps):
+        of = feature[tree[moving], node[moving]]
+        moving, of = moving[of >= 0], of[of >= 0]
+        if not len(moving):
+            break
+        here = node[moving]
+        node[moving] = 2 * here + right(tree[moving], here, x[row[moving], of])
+    return node
+
+
+def counted(own: list, low: np.ndarray, high: np.ndarray, bins: int, feature: np.ndarray, cut: np.ndarray, level: int | None):
+    """Counts of both classes by (forest, tree, node, feature, bin) of a task's rows in the nodes of a level; by (forest, tree, node) where they end if there is none."""
+    forests, trees, nodes = feature.shape
+    width = low.shape[1]
+    fits = np.where(high > low, high - low, np.inf)
+    first, count = (0, nodes) if level is None else (1 << level, 1 << level)
+    shape = (trees, count, 2) if level is None else (trees, count, width, bins, 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(math.prod(shape), np.int64) for _ in range(forests)]
+        for batch in batches:
+            values = batch.column(0).dictionary_encode()
+            at = np.array([own.index(v) for v in values.dictionary.to_pylist()], np.int64)[values.indices.to_numpy()]
+            y = (batch.column(1).to_numpy() == 1).astype(np.int64)
+            x = np.stack([batch.column(2 + i).to_numpy() for i in range(width)], axis=1)
+            k = batch.column(2 + width).flatten().to_numpy().reshape(len(y), trees)
+            for f in range(forests):
+                binned = np.minimum(np.floor((x - low[f]) / fits[f] * bins), bins - 1).astype(np.int64)
+                row, tree = np.nonzero((k > 0) & (at != f)[:, None])
+                node = walked(binned, feature[f], lambda t, n, b, f=f: b > cut[f, t, n], nodes.bit_length(), tree, row)
+                here = np.flatnonzero((node >= first) & (node < first + count))
+                row, tree = row[here], tree[here]
+                place = tree * count + node[here] - first
+                if level is not None:
+                    place = ((place[:, None] * width + np.arange(width)) * bins + binned[row]).ravel()
+                    row, tree = np.repeat(row, width), np.repeat(tree, width)
+                sums[f] += np.bincount(place * 2 + y[row], k[row, tree], len(sums[f])).astype(np.int64)
+        for f in range(forests):
+            pairs = sums[f].reshape(-1, 2)
+            hit = np.flatnonzero(pairs.any(axis=1))
+            tree, node, *rest = np.unravel_index(hit, shape[:-1])
+            of, b = rest or (np.zeros(len(hit)), np.zeros(len(hit)))
+            columns = [np.full(len(hit), f), tree, node + first, of, b]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), pa.array(pairs[hit, 0]), pa.array(pairs[hit, 1])], COUNT_NAMES)
+
+    return run
+
+
+COUNT_NAMES = [c.split()[0] for c in COUNTS.split(", ")]
 
 
 def predict(model: Forests, df: DataFrame, fold: str, out: str = "p") -> DataFrame:
     """The rows with the mean over the trees of their own fold's forest, which has not seen them; null where a feature or the fold's forest lacks."""
+    nodes = 2 * int(max(model.leaves["node"].max(), 1)) + 2 if len(model.leaves) else 2
     tables: dict = {}
-    for (f, t), part in model.leaves.groupby(["fold", "tree"]):
-        tables.setdefault(f, {})[t] = ({}, dict(zip(part["node"], part["p"])))
-    for f, t, n, i, x in model.splits[["fold", "tree", "node", "feature", "threshold"]].itertuples(index=False):
-        tables[f][t][0][n] = (i, x)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f, part in model.leaves.groupby("fold"):
+        numbers = {t: i for i, t in enumerate(part["tree"].drop_duplicates())}
+        feature, threshold, p = np.full((len(numbers), nodes), -1, np.int64), np.zeros((len(numbers), nodes)), np.zeros((len(numbers), nodes))
+        own = model.splits[model.splits["fold"] == f]
+        place = own["tree"].map(numbers).to_numpy(np.int64), own["node"].to_numpy(np.int64)
+        feature[place], threshold[place] = own["feature"].to_numpy(np.int64), own["threshold"].to_numpy(np.float64)
+        p[part["tree"].map(numbers).to_numpy(np.int64), part["node"].to_numpy(np.int64)] = part["p"]
+        tables[f] = feature, threshold, p
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch[model.features].to_numpy(np.float64)
-            p = np.full(len(batch), np.nan)
+            x = np.stack([pc.cast(batch.column(n), pa.float64()).to_numpy(zero_copy_only=False) for n in model.features], axis=1)
+            p = np.full(len(x), np.nan)
             known = np.isfinite(x).all(axis=1)
-            for f, trees in tables.items():
-                rows = np.flatnonzero((batch[fold] == f).to_numpy() & known)
+            values = batch.column(fold).dictionary_encode()
+            kinds, at = values.dictionary.to_pylist(), values.indices.to_numpy(zero_copy_only=False)
+            for j, f in enumerate(kinds):
+                rows = np.flatnonzero((at == j) & known)
+                if f not in tables or not len(rows):
+                    continue
+                feature, threshold, leaf = tables[f]
                 total = np.zeros(len(rows))
-                for nodes, leaves in trees.values():
-                    at = np.ones(len(rows), np.int64)
-                    for n in sorted(nodes):  # parents come before their children
-                        here = at == n
-                        i, cut = nodes[n]
-                        at[here] = 2 * n + (x[rows[here], i] >= cut)
-                    total += np.array([leaves[n] for n in at.tolist()])
-                p[rows] = total / len(trees)
-            yield batch.assign(**{out: p})
+                for t in range(len(feature)):
+                    tree = np.full(len(rows), t)
+                    total += leaf[t, walked(x, feature, lambda t, n, v, threshold=threshold: v >= threshold[t, n], nodes.bit_length(), tree, rows)]
+                p[rows] = total / len(feature)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, mask=np.isnan(p))], [*batch.schema.names, out])
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    scored = df.mapInPandas(run, f"{kinds}, `{out}` double")
-    return scored.withColumn(out, F.when(~F.isnan(out), F.col(out)))
+    return df.mapInArrow(run, f"{kinds}, `{out}` double")

@@ -99,3 +99,19 @@ def test_samples_and_fits_compute_their_input_once(spark):
     n.value = 0
     trees.fit(df.mapInPandas(counted, df.schema), ["v"], "y", "scene", ["scene", "r"], trees=1, depth=1)
     assert n.value == 40
+
+
+def test_rows_are_stored_once_for_all_trees_and_levels(spark, monkeypatch):
+    kept, real = [], trees.stored
+    monkeypatch.setattr(trees, "stored", lambda df, tag: kept.append(df.count()) or real(df, tag))
+    rows, df = data(spark)
+    model = trees.fit(df, ["a", "b", "c"], "y", "fold", ["id"], trees=6, depth=4)
+    assert sum(kept) == 400 and set(model.leaves["tree"]) == set(range(6))
+    # folds of any type; rows of no fold teach nothing and have no prediction, nor has a fold without a forest
+    named = df.withColumn("fold", F.concat(F.lit("f"), "fold")).unionByName(spark.createDataFrame([(950, None, 1.0, 1.0, 1.0, True)], "id long, fold string, a double, b double, c double, y boolean"))
+    again = trees.fit(named, ["a", "b", "c"], "y", "fold", ["id"], trees=6, depth=4, every_feature=True)
+    whole = trees.fit(df, ["a", "b", "c"], "y", "fold", ["id"], trees=6, depth=4, every_feature=True)
+    assert [f"f{f}" for f in whole.leaves.sort_values(["fold", "tree", "node"])["fold"]] == again.leaves.sort_values(["fold", "tree", "node"])["fold"].tolist()
+    p = {r.id: r.p for r in trees.predict(whole, df, "fold").collect()}
+    q = {r.id: r.p for r in trees.predict(again, named.unionByName(named.limit(1).withColumn("id", F.lit(951)).withColumn("fold", F.lit("f9"))), "fold").collect()}
+    assert q == p | {950: None, 951: None}
