@@ -193,8 +193,8 @@ def method_definition(spark, sf):
 
 def by_fold(spark, sf):
     """The pixels with the probability that a forest of the other folds' block samples gives them, and water by it."""
-    px = model_input(spark, sf).withColumn("fold", (F.col("label") % 5).cast("long"))
-    blocks = px.filter("valid").withColumn("br", F.floor(F.col("r") / 4)).withColumn("bc", F.floor(F.col("c") / 4))
+    px = stored(model_input(spark, sf).withColumn("fold", (F.col("label") % 5).cast("long")), "pixels")  # fitted and predicted
+    blocks = px.filter("valid").select("scene", "r", "c", "fold", "ref", *FEATURES, F.floor(F.col("r") / 4).alias("br"), F.floor(F.col("c") / 4).alias("bc"))
     model = trees.fit(forest.block_sample(blocks, "ref", ["scene", "br", "bc"], 3), FEATURES, "ref", "fold", ["scene", "r", "c"], trees=8, depth=5)
     return trees.predict(model, px, "fold").withColumn("rule", F.col("pred")).withColumn("pred", F.coalesce(F.col("p") >= 0.5, F.lit(False)))
 

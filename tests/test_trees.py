@@ -115,3 +115,22 @@ def test_rows_are_stored_once_for_all_trees_and_levels(spark, monkeypatch):
     p = {r.id: r.p for r in trees.predict(whole, df, "fold").collect()}
     q = {r.id: r.p for r in trees.predict(again, named.unionByName(named.limit(1).withColumn("id", F.lit(951)).withColumn("fold", F.lit("f9"))), "fold").collect()}
     assert q == p | {950: None, 951: None}
+
+
+def test_forests_by_fold_compute_their_pixels_once(spark, monkeypatch):
+    from siltgrid.plans import fitting_queries
+
+    n, real = spark.sparkContext.accumulator(0), fitting_queries.model_input
+
+    def counted(batches):
+        for b in batches:
+            n.add(len(b))
+            yield b
+
+    def watched(spark, sf):
+        df = real(spark, sf)
+        return df.mapInPandas(counted, df.schema)
+
+    monkeypatch.setattr(fitting_queries, "model_input", watched)
+    want = real(spark, "/root/testdata/sf0.001").count()
+    assert fitting_queries.by_fold(spark, "/root/testdata/sf0.001").count() == want and n.value == want
