@@ -270,6 +270,26 @@ def test_pairs_of_layers_send_edges_only(spark):
     assert "FlatMapCoGroupsInArrow" in plan.replace("FlatMapCoGroupsInPandas", "")
 
 
+def test_pairs_of_layers_leave_one_tile_whole(spark, monkeypatch):
+    rng = random.Random(11)
+    first, second = ([polygon(rng) for _ in range(14)] for _ in range(2))
+    first += [[square(-200, -300, 600), square(0, 0, 40)], [square(0, 0, 10), square(2, 2, 3)], [[]], [[(0, 0), (5, 5), (0, 0)]]]
+    second += [[square(-5, -5, 10)], [square(10, 0, 10)], [square(-250, -250, 500, -1)]]
+    a, b = frame(spark, first, "a").withColumnRenamed("rings", "shape"), frame(spark, second, "b").withColumnRenamed("rings", "shape")
+    found = overlay.shared_areas(a, b, "a", "b", "shape", 60.0)
+    assert "Aggregate [a#" not in found._jdf.queryExecution().optimizedPlan().toString()  # no pair is sent to be summed
+    want = {(i, j): both(p, q) if p[0] else 0.0 for i, p in enumerate(first) for j, q in enumerate(second)}
+    # whole, by cut edges and mixed, in blocks and in parts
+    for whole, block, held in ((4096, 1024, 1 << 17), (4096, 3, 7), (150, 5, 1 << 17), (0, 1024, 1 << 17)):
+        for name, value in (("WHOLE", whole), ("BLOCK", block), ("HELD", held)):
+            monkeypatch.setattr(overlay, name, value)
+        rows = overlay.shared_areas(a, b, "a", "b", "shape", 60.0).collect()
+        got = {(r.a, r.b): r.both for r in rows}
+        assert len(got) == len(rows)
+        for pair, area_of in want.items():
+            assert got.get(pair, 0.0) == pytest.approx(area_of, abs=1e-6)
+
+
 def test_strips_in_parts(monkeypatch):
     rng = np.random.default_rng(3)
     n = 60
